@@ -1,3 +1,59 @@
-"""Corpus pipeline: quality, exact copies, near copies, mixture, packing."""
+"""Corpus pipeline: quality, exact copies, near copies, mixture, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last have the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from jobloom.llm import exact_dedup, mixing, near_dedup, packing, quality
+from jobloom.llm._common import shared_dir, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays."""
+    return exact_dedup.drop_exact(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return near_dedup.drop_near(docs, words=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    return mixing.mix_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("minhash near dedup", near_stage),
+    ("mixing to target weights", mixing_stage),
+    ("best-two-fit packing", packing_stage),
+]
+
+#: The classifier, the shuffled order and the tokenizer have no form in SQL; tests hold run() against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex[:12]}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
