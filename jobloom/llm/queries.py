@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, html_extract, mixing, near_dedup, packing, quality, secrets, topk
+from . import chat, exact_dedup, html_extract, mixing, near_dedup, packing, quality, secrets, suffix_dedup, topk
 from ._common import table
 
 
@@ -31,6 +31,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_control_case(table(spark, sf_dir, "conversations"))))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": op1_html_extraction,
         "op2_vector_approximation_topk": op2_vector_approximation_topk,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_mixing": op5_mixing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_secret_scan": op7_secret_scan,

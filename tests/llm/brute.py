@@ -33,3 +33,22 @@ def near(docs, words=2, percent=80):
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def windows_removed(docs, window=200):
+    """{doc: (n_bytes, n_removed, n_spans, sha256)} by counting every window of bytes."""
+    import hashlib
+    from collections import Counter
+
+    raw = [(d, (t or "").encode()) for d, t in docs]
+    seen = Counter(b[k : k + window] for _, b in raw for k in range(len(b) - window + 1))
+    out = []
+    for d, b in raw:
+        gone = bytearray(len(b))
+        for k in range(len(b) - window + 1):
+            if seen[b[k : k + window]] > 1:
+                gone[k : k + window] = b"\x01" * window
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    return out
