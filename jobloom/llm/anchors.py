@@ -13,13 +13,14 @@ from .shingles import _BYTE, mix, powers
 GRAM = 64
 
 
-def contexts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first, count, name) of each context of the texts data[begin:end], at most 2**24 bytes in all: the windows
-    starting at first, first + 1, ... (count of them) have the same anchor; name is the hash of its run of bytes."""
+def contexts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(text, first, count, name, anchor) of each context of the texts data[begin:end], at most 2**24 bytes in all: the windows
+    starting at first, first + 1, ... (count of them) have the same anchor; name is the hash of its run of bytes,
+    which starts at anchor."""
     none = np.zeros(0, np.int64)
     n, width = len(data), window - GRAM + 1
     if n < window:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
@@ -44,4 +45,4 @@ def contexts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int)
     first = np.flatnonzero(fresh)
     stops = np.flatnonzero(valid & ~np.append(valid[1:] & ~fresh[1:], False))
     text = np.searchsorted(begin, first, side="right") - 1
-    return text, first, stops - first + 1, name[anchor[first]]
+    return text, first, stops - first + 1, name[anchor[first]], anchor[first]

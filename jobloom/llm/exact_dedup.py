@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
 A text is cut into blocks of a fixed number of bytes. Equal blocks get the same integer name by sorting the distinct
-blocks; then adjacent names are paired and the pairs named in the same way, until one name is left for each text. Two
+blocks of each partition; then adjacent names are paired and the pairs named in the same way, until one name is left for each text. Two
 texts have the same last name exactly when they are equal, as a name stands for one sequence of bytes.
 
 A block that occurs once in the whole corpus can't be in two texts, so its text is alone and leaves before the naming:
@@ -67,8 +67,8 @@ def _cut_blocks(size: int):
 
 
 def _named(distinct: DataFrame, *by: str) -> DataFrame:
-    """Integer names by rank in the sorted order."""
-    return stored(distinct.sort(*by).withColumn("name", F.monotonically_increasing_id()), "names")
+    """Integer names: a partition's number and the rank in its sorted order. Equal keys are in one partition."""
+    return stored(distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

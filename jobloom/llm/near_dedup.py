@@ -3,8 +3,11 @@
 Each permutation of the shingles gives two signature values, its minimum and its maximum, so a signature of a given
 length costs half the hash evaluations. A band joins both values of two permutations; texts that share a band are
 candidates, and a link needs the exact Jaccard similarity of the full shingle sets. Texts with the same set are one
-node. Within a bucket, links are found without all pairs: members are first compared with one member of another
-component, and only pairs whose components are still apart after that are compared one by one.
+node. Within a bucket, links are found without all pairs: members are first compared with a random member of another
+component. Members that are still apart then share buckets for the sake of a passage, or barely miss the threshold. They
+are dealt anew by their rarest shingles: sets that are similar enough share one of the first few in any common order, so
+no link is lost, and passages that many texts share bring few together. There, small buckets are compared pair by pair,
+and large ones in blocks: sets of a block are indexed once and only links leave the task.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,10 +27,13 @@ from .shingles import mix, shingle_sets
 #: 32 bands of two permutations (four values): a pair at similarity 0.8 misses all of them once in 10**7 times.
 BANDS = 32
 PERMUTATIONS_PER_BAND = 2
-#: Rounds of comparing with one member each, at most, before the remaining pairs are compared one by one.
-STAR_ROUNDS = 6
-
-_RNG = np.random.default_rng(77)
+#: Rounds of comparing with random members, before the members that are apart are dealt by their rarest shingles.
+STAR_ROUNDS = 3
+#: Larger buckets of rare shingles are compared in blocks of so many members.
+PAIRED, BLOCK = 32, 512
+#: The most frequent shingles come last in the order of rarity, by their counts; the others are equally rare. The order
+#: only steers how many pairs are compared, never which are found, so a list of fixed size is enough.
+FREQUENT = 1 << 17
 
 
 def signature(shingles: np.ndarray, factors: np.ndarray, step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +85,67 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _local_counts(words: int):
+    """Shingles that occur again in the same task, with their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            every = [s for s in shingle_sets(data, offsets, words)]
+            names, counts = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names[counts > 1].view(np.int64)), pa.array(counts[counts > 1].astype(np.int64))], ["h", "c"])
+
+    return run
+
+
+def _prefixes(words: int, percent: int, frequent):
+    """Of each set the rarest shingles, enough that two similar sets share one: (h, rep, n, at, near).
+
+    The smaller set of a similar pair has a shared shingle earlier still: near tells the places where it may stand.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = frequent.value
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            out = [[*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool)]]
+            for rep, s in zip(batch.column(0).to_pylist(), shingle_sets(data, offsets, words), strict=True):
+                k = np.minimum(np.searchsorted(names, s), max(0, len(names) - 1))
+                often = np.where(names[k] == s, counts[k], 0) if len(names) else np.zeros(len(s), np.int64)
+                first = s[np.lexsort((s, often))[: len(s) + (-len(s) * percent) // 100 + 1]].view(np.int64)
+                at = np.arange(len(first))
+                out.append([first, np.full(len(first), rep), np.full(len(first), len(s)), at, at <= len(s) + (-2 * percent * len(s)) // (100 + percent)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "rep", "n", "at", "near"])
+
+    return run
+
+
+def _blocks(words: int, percent: int):
+    """Links between the members of two blocks, for each member and label of the other block one at most."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            of = lambda t: [s for s in shingle_sets(*text_bytes(pa.array(t, pa.large_string())), words)]
+            sets = of(right.text)
+            size, owner = np.array([len(s) for s in sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            names = np.concatenate(sets)
+            order = np.argsort(names, kind="stable")
+            names, owner = names[order], owner[order]
+            reps, labels = right.rep.to_numpy(), right.label.to_numpy()
+            for rep, label, s in zip(left.rep, left.label, of(left.text), strict=True):
+                a, b = np.searchsorted(names, s, "left"), np.searchsorted(names, s, "right")
+                n = b - a
+                at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((100 * common >= percent * (size + len(s) - common)) & (labels != label))
+                if len(hit):
+                    out += [(int(rep), int(reps[hit[k]])) for k in np.unique(labels[hit], return_index=True)[1]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """(node, root): each node's smallest node that it reaches. Nodes hook to their smallest neighbour, then edges are
     drawn between hooks; at least half of the nodes of a component that is still open go in each round."""
@@ -133,26 +201,56 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         roots = contracted(ends.filter("a <> b").distinct())
         return stored(component.join(roots, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("root", "label").alias("label")), "component")
 
-    for turn in range(STAR_ROUNDS + 1):
+    def apart() -> DataFrame:
+        """All links between texts of different components, by their rarest shingles."""
+        counted = texts.select("text").mapInArrow(_local_counts(words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        most = counted.orderBy(F.col("c").desc(), "h").limit(FREQUENT).toPandas()
+        names, order = np.unique(most.h.to_numpy(np.int64).view(np.uint64), return_index=True)
+        frequent = docs.sparkSession.sparkContext.broadcast((names, most.c.to_numpy(np.int64)[order]))
+        rare = texts.select("rep", "text").mapInArrow(_prefixes(words, percent, frequent), "h long, rep long, n long, at long, near boolean")
+        rare = stored(rare.join(component, "rep"), "rare")
+        by_label = rare.groupBy("h", "label").agg(F.count("*").alias("k"), F.max("near").alias("near"))
+        buckets = by_label.groupBy("h").agg(F.sum("k").alias("c"), F.count("*").alias("labels"), F.max("near").alias("near"), F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"))
+        buckets = stored(buckets.filter("labels > 1 AND near").select("h", "c", "main", (F.col("c") - F.col("most")).alias("rest")), "buckets")
+        small = rare.join(buckets.filter(F.col("c") <= PAIRED).select("h"), "h").select("h", "rep", "n", "at", "near", "label")
+        other = small.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("label").alias("other"))
+        room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+        smaller = F.struct("n", "rep") < F.struct("m", "b")
+        pairs = small.filter("near").join(other, "h").filter((F.col("label") != F.col("other")) & smaller & _similar_size("n", "m", percent) & room)
+        found = linked(pairs.select(F.col("rep").alias("a"), "b").distinct())
+        # Large buckets: members beside the largest component, against all members.
+        large = rare.select("h", "rep", "label").join(buckets.filter(F.col("c") > PAIRED), "h")
+        large = large.withColumn("lefts", F.ceil(F.col("rest") / BLOCK)).withColumn("rights", F.ceil(F.col("c") / BLOCK))
+        place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = large.filter("label <> main").select("h", "rep", "label", place("lefts").alias("i"), every("rights").alias("j"))
+        right = large.select("h", "rep", "label", place("rights").alias("j"), every("lefts").alias("i"))
+        # Both sides come from the same tables, so their columns get names of their own.
+        group = lambda d: d.join(texts, "rep").select(*[F.col(x).alias(x) for x in ("h", "i", "j", "rep", "label", "text")]).groupBy("h", "i", "j")
+        return found.unionByName(group(left).cogroup(group(right)).applyInPandas(_blocks(words, percent), "a long, b long"))
+
+    def unresolved(turn: int) -> tuple[DataFrame, DataFrame, int, int]:
+        """Members with their labels, and for each bucket with several components two random members of different ones."""
         now = stored(members.join(component, "rep"), "members")
-        order = F.xxhash64(F.col("label"), F.lit(turn))
-        one = F.struct(order, "label", "rep", "n")
+        one = F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("rep", "h", F.lit(turn)), "label", "rep", "n")
         lead = now.groupBy("h").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("c")).filter("lo.label <> hi.label")
         lead = stored(lead, "lead")
         rows_left, pairs_left = lead.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+        return now, lead, int(rows_left or 0), int(pairs_left or 0)
+
+    for turn in range(STAR_ROUNDS + 1):
+        now, lead, rows_left, pairs_left = unresolved(turn)
         if not rows_left:
             break
-        joined = now.join(lead, "h")
-        if turn and (pairs_left <= 2 * rows_left or turn == STAR_ROUNDS):
-            # What is left: every pair of a bucket whose components are apart.
-            mine = joined.select("h", "rep", "n", "label")
-            other = mine.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = mine.join(other, "h").filter((F.col("label") < F.col("other")) & _similar_size("n", "m", percent))
-            component = merged(stored(linked(pairs.select(F.col("rep").alias("a"), "b").distinct()), "links"))
+        if turn == STAR_ROUNDS:
+            open_reps = now.join(lead.select("h"), "h", "left_semi").select("rep").distinct()
+            texts = stored(texts.join(open_reps, "rep", "left_semi"), "texts")
+            component = merged(stored(apart(), "links"))
             break
         pick = F.when(F.col("label") != F.col("lo.label"), F.col("lo")).otherwise(F.col("hi"))
-        tried = joined.select("rep", "n", pick.alias("p")).filter(_similar_size("n", "p.n", percent))
-        best = tried.groupBy("rep").agg(F.min(F.struct(F.xxhash64("rep", "p.rep"), "p.rep")).alias("p"), F.max(F.struct(F.xxhash64("rep", "p.rep"), "p.rep")).alias("q"))
+        tried = now.join(lead, "h").select("rep", "n", pick.alias("p")).filter(_similar_size("n", "p.n", percent))
+        choice = F.struct(F.xxhash64("rep", "p.rep", F.lit(turn)), "p.rep")
+        best = tried.groupBy("rep").agg(F.min(choice).alias("p"), F.max(choice).alias("q"))
         pairs = best.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("p.rep", "q.rep") if turn else F.array("p.rep"))).alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         component = merged(stored(linked(pairs), "links"))

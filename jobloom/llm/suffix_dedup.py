@@ -8,7 +8,9 @@ are put in place by one scan over the buckets of first bytes; windows whose neig
 prefix of WINDOW bytes repeat.
 
 A group with very many distinct contexts (a short passage with other neighbours in every document) is not sorted in one
-task: its windows are counted one by one by name, which is exact too and spreads over all tasks.
+task: its contexts are split by the distance of their windows to the anchor, and the parts grouped anew by the bytes that
+all windows of a part have in common. Only where a part is still in a very large group are its few windows, which differ
+in their outermost bytes, counted one by one by name; that is exact too and spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ WINDOW = 200
 PIECE, SORTED_TOGETHER = 1 << 20, 1 << 18
 #: Distinct contexts of a group that is sorted in one task.
 GROUP_CONTEXTS = 256
+#: Windows of a part of a context.
+PART = 16
 
 
 def suffix_order(text: bytes, depth: int) -> list[int]:
@@ -105,11 +109,11 @@ def _contexts(window: int):
             data, offsets = text_bytes(batch.column(1))
             keys = batch.column(0).to_numpy()
             for part, own, begin, end, shift in _segments(data, offsets, window):
-                text, first, count, name = contexts(part, begin, end, window)
+                text, first, count, name, anchor = contexts(part, begin, end, window)
                 raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
                 whole = np.fromiter((digest(raw[s : s + n + window - 1]) for s, n in zip(first.tolist(), count.tolist(), strict=True)), np.uint64, len(first))
-                cols = [name.view(np.int64), whole.view(np.int64), keys[own[text]], first - begin[text] + shift, count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "c", "key", "first", "count"])
+                cols = [name.view(np.int64), whole.view(np.int64), keys[own[text]], first - begin[text] + shift, count.astype(np.int32), (anchor - first).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "c", "key", "first", "count", "off"])
 
     return run
 
@@ -126,12 +130,12 @@ def _fetched(window: int):
                 base = int(offsets[k])
                 for w in wanted.as_py():
                     at = base + w["first"]
-                    out.append((w["h"], w["c"], w["count"], data[at : at + w["count"] + window - 1].tobytes(), w["hot"]))
+                    out.append((w["h"], w["c"], w["n"], w["count"], w["off"], data[at : at + w["count"] + window - 1].tobytes()))
                     held += w["count"] + window
                 if held > 4 << 20 or k == len(batch) - 1:
-                    cols = list(zip(*out, strict=True)) or [[]] * 5
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "c", "count", "bytes", "hot"])
+                    cols = list(zip(*out, strict=True)) or [[]] * 6
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "c", "n", "count", "off", "bytes"])
                     out, held = [], 0
 
     return run
@@ -164,6 +168,27 @@ def _sorted_groups(window: int):
     return run
 
 
+def _parts(window: int):
+    """Contexts cut by the distance of their windows to the anchor; a part's group is named by what its windows share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "c", "n", "count", "off", "bytes", "owner_h", "owner_c", "shift"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+        digest = lambda b, seed: xxhash.xxh3_64_intdigest(b, seed) - 2**63
+        for batch in batches:
+            out: list[tuple] = []
+            for h, c, n, off, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                for q in range((off - n + 1) // PART, off // PART + 1):
+                    low, high = max(0, off - PART * q - PART + 1), min(n - 1, off - PART * q)
+                    core = b[off - PART * q : off - PART * q - PART + 1 + window]
+                    part = b[low : high + window]
+                    out.append((digest(h.to_bytes(8, "little", signed=True) + bytes([q]) + core, 3), digest(part, 4), 1, high - low + 1, 0, part, h, c, low))
+            cols = list(zip(*out, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names)
+
+    return run
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,27 +226,54 @@ def _removed(window: int):
     return run
 
 
+SPAN_TYPE = "array<struct<a:int,b:int>>"
+
+
+def _whole(contexts_: DataFrame) -> DataFrame:
+    """Verdicts of contexts that occur several times: all their windows repeat."""
+    return contexts_.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b"))).cast(SPAN_TYPE).alias("spans"))
+
+
+def _open_groups(distinct: DataFrame) -> DataFrame:
+    """Groups with several contexts of which one at least is not settled by its name."""
+    groups = distinct.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
+    return stored(groups.select("h", (F.col("k") > GROUP_CONTEXTS).alias("hot")), "groups")
+
+
+def _settled(distinct: DataFrame, groups: DataFrame, window: int, parts: bool) -> DataFrame:
+    """h, c and spans of repeated windows, for distinct contexts (h, c, n, count, off, bytes) of open groups."""
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = distinct.join(groups.filter("NOT hot").select("h"), "h").select("h", "c", "count", "bytes").repartition(tasks, "h").sortWithinPartitions("h", "c")
+    found = cold.mapInArrow(_sorted_groups(window), f"h long, c long, spans {SPAN_TYPE}")
+    hot = distinct.join(groups.filter("hot").select("h"), "h")
+    if parts:
+        schema = "h long, c long, n long, count int, off int, bytes binary, owner_h long, owner_c long, shift int"
+        cut = stored(hot.select("h", "c", "count", "off", "bytes").mapInArrow(_parts(window), schema), "parts")
+        inner = stored(cut.groupBy("h", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("count", "off", "bytes"))), "distinct_parts")
+        verdict = stored(_whole(inner).unionByName(_settled(inner, _open_groups(inner), window, False).join(inner.filter("n = 1").select("h", "c"), ["h", "c"], "left_semi")), "verdict_parts")
+        shifted = F.transform("spans", lambda s: F.struct((s.a + F.col("shift")).alias("a"), (s.b + F.col("shift")).alias("b")))
+        more = cut.join(verdict, ["h", "c"]).select(F.col("owner_h").alias("h"), F.col("owner_c").alias("c"), shifted.alias("spans"))
+    else:
+        single = stored(hot.select("h", "c", "count", "bytes").mapInArrow(_windows(window), "h long, c long, k int, w long"), "windows")
+        twice = stored(single.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"), "twice")
+        more = single.join(twice, ["h", "w"]).select("h", "c", F.array(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
+    return found.unionByName(more)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key and spans (a, b) of keyed texts (key, text): the windows that start at a, ..., b - 1 start elsewhere too."""
-    found = docs.select("key", "text").mapInArrow(_contexts(window), "h long, c long, key long, first long, count int")
+    found = docs.select("key", "text").mapInArrow(_contexts(window), "h long, c long, key long, first long, count int, off int")
     again = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
     live = stored(found.join(again, "h"), "live")
-    distinct = live.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
+    distinct = live.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "off")).alias("one"))
     distinct = stored(distinct.select("h", "c", "n", "one.*"), "distinct")
-    whole = distinct.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b"))).alias("spans"))
-    # Groups with several contexts of which one at least is not settled.
-    groups = distinct.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1")
-    groups = stored(groups.select("h", (F.col("k") > GROUP_CONTEXTS).alias("hot")), "groups")
-    wanted = distinct.join(groups, "h").groupBy("key").agg(F.collect_list(F.struct("h", "c", "first", "count", "hot")).alias("wanted"))
-    fetched = docs.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_fetched(window), "h long, c long, count int, bytes binary, hot boolean")
+    groups = _open_groups(distinct)
+    wanted = distinct.join(groups.select("h"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "c", "n", "first", "count", "off")).alias("wanted"))
+    fetched = docs.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_fetched(window), "h long, c long, n long, count int, off int, bytes binary")
+    # Rows that repeat an id and a text share a key, so a context can be fetched twice.
     fetched = stored(fetched.dropDuplicates(["h", "c"]), "contexts")
-    cold = fetched.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h", "c")
-    spans = "array<struct<a:int,b:int>>"
-    part = cold.select("h", "c", "count", "bytes").mapInArrow(_sorted_groups(window), f"h long, c long, spans {spans}")
-    single = stored(fetched.filter("hot").select("h", "c", "count", "bytes").mapInArrow(_windows(window), "h long, c long, k int, w long"), "windows")
-    twice = stored(single.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"), "twice")
-    hot = single.join(twice, ["h", "w"]).select("h", "c", F.array(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("spans"))
-    verdict = stored(whole.unionByName(part.join(whole, ["h", "c"], "left_anti")).unionByName(hot.join(whole, ["h", "c"], "left_anti")), "verdict")
+    single = distinct.filter("n = 1").select("h", "c")
+    verdict = stored(_whole(distinct).unionByName(_settled(fetched, groups, window, True).join(single, ["h", "c"], "left_semi")), "verdict")
     placed = live.join(verdict, ["h", "c"]).select("key", F.explode(F.transform("spans", lambda s: F.struct((F.col("first") + s.a).alias("a"), (F.col("first") + s.b).alias("b")))).alias("s"))
     return placed.groupBy("key").agg(F.collect_list("s").alias("spans"))
 
