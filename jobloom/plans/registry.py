@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +36,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
+    for name in ("text_queries", "serving_queries", "state_queries"):
+        importlib.import_module(f"jobloom.plans.{name}")
