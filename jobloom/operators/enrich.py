@@ -85,7 +85,6 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
 def _walked(texts: pd.Series) -> pd.Series:
     return texts.map(first_object)
 
@@ -95,7 +94,7 @@ def json_object(text: Column) -> Column:
     for other values, empty objects and texts without one. Only texts that don't parse as they are go to Python."""
     bare = F.coalesce(T.or_null(F.regexp_extract(text, FENCE, 1)), text)
     whole = F.when(bare.rlike(r"(?s)^\s*\{.*\}\s*$") & F.try_parse_json(bare).isNotNull(), T.strip(bare))
-    found = F.when(whole.isNotNull(), whole).otherwise(_walked(F.when(whole.isNull(), bare)))
+    found = F.when(whole.isNotNull(), whole).otherwise(F.pandas_udf(_walked, "string")(F.when(whole.isNull(), bare)))
     return F.when(found.rlike(r"^\{\s*\}$"), None).otherwise(found)
 
 
@@ -121,11 +120,12 @@ def clamped_salary(c: Column) -> Column:
 
 def clamped_confidence(c: Column) -> Column:
     n = c.try_cast("double")
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), n)), 2)
+    return F.when(n.isNotNull(), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), n)) * 100, 0) / 100)
 
 
 def clamped_score(c: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), safe_int(c)))
+    n = safe_int(c)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), n)))
 
 
 def classify_patch(rows: DataFrame, body: str = "body") -> DataFrame:
