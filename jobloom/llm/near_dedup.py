@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import same, stored, text_bytes
+from ._common import same, stored, text_bytes, without
 from .shingles import mix, shingle_sets
 
 #: 32 bands of two permutations (four values): a pair at similarity 0.8 misses all of them once in 10**7 times.
@@ -264,5 +264,4 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id; all columns stay."""
-    gone = near_groups(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, same(F.col("doc_id"), F.col("gone")), "left_anti")
+    return without(docs, near_groups(docs, words, percent).filter(~F.col("kept")))
