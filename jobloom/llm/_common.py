@@ -48,6 +48,12 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone; all columns stay, whatever their names."""
+    ids = gone.select("doc_id").distinct().alias("g")
+    return docs.alias("d").join(ids, same(F.col("d.doc_id"), F.col("g.doc_id")), "left_anti")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets, without a copy; null is empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

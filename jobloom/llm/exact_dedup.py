@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import same, stored
+from ._common import same, stored, without
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -119,8 +119,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def drop_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows whose text another row keeps; all columns stay."""
-    gone = exact_groups(docs, block_bytes).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, same(F.col("doc_id"), F.col("gone")), "left_anti")
+    return without(docs, exact_groups(docs, block_bytes).filter(~F.col("kept")))
 
 
 ORACLE_SQL = """

@@ -100,6 +100,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TO
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs, each as often as the mix takes it, to the nearest whole number; all columns stay. doc_id should be unique."""
-    times = mixed(docs, **options).select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    repeated = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_turn", F.explode(F.sequence(F.lit(1), "_times")))
-    return repeated.select(*docs.columns)
+    times = mixed(docs, **options).select("doc_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("times")).filter("times > 0")
+    both = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
+    return both.select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("t.times")))).select("row.*")

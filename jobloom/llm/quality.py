@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return fitted([np.asarray(got.features.iloc[k], dtype=np.int64) for k in order], [int(got.label.iloc[k]) for k in order])
 
 
-def _scored(model, text: int):
+def _scored(model, text: int, name: str = "score"):
     """A score before the columns that come in; text is the place of the text among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def _scored(model, text: int):
         for batch in batches:
             data, at = text_bytes(batch.column(text).cast(pa.large_string()))
             score = [m.score(features(data[at[k] : at[k + 1]], seen)) for k in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()), *batch.columns], ["score", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()), *batch.columns], [name, *batch.schema.names])
 
     return run
 
@@ -161,6 +161,9 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """docs without the rows whose predicted label is 0; all columns stay."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows=rows))
+    name = "score"
+    while name in docs.columns:
+        name += "_"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(_scored(model, docs.columns.index("text")), f"score double, {kinds}")
-    return out.filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    out = docs.mapInArrow(_scored(model, docs.columns.index("text"), name), f"`{name}` double, {kinds}")
+    return out.filter(F.col(name) >= THRESHOLD).select(*docs.columns)

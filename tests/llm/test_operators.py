@@ -1,0 +1,324 @@
+"""Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, no rows, and other columns
+whose names clash with those that the operators use inside."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from jobloom.llm import chat, exact_dedup, html_extract, mixing, near_dedup, packing, quality, secrets, suffix_dedup, topk
+from jobloom.llm.shingles import shingle_sets
+
+from . import brute
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def clashing(df):
+    """df with columns that are named as those inside the operators."""
+    return df.withColumns({c: F.lit("x") for c in ("h", "c", "n", "key", "rep", "label", "size", "block", "bucket", "place", "score", "gone", "name", "start", "times", "row", "g", "d", "t")})
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    base = [words(rng, rng.randint(1, 120)) for _ in range(40)]
+    near = []
+    for t in base[:12]:
+        w = t.split()
+        for _ in range(3):
+            v = list(w)
+            v[rng.randrange(len(v))] = "changed"
+            near.append(" ".join(v))
+    long = words(rng, 30_000)
+    texts = [*base, *base[:10], *(t.upper() for t in base[:5]), *near, long, long + " end", "", None, " \t\n ", "one", "ONE", "two words", "É", "é", "aaaa" * 300, "passage " + base[3] * 2]
+    return [(k, t, "en", None if k % 7 == 0 else f"s{k % 4}", len(t or "")) for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return clashing(spark.createDataFrame(rows, DOCS))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_exact_groups(spark, docs, rows, none):
+    fold = lambda t: (t or "").translate(brute.FOLD)
+    groups = {}
+    for d, t, *_ in rows:
+        groups.setdefault(fold(t), []).append(d)
+    want = sorted((d, max(groups[fold(t)]), len(groups[fold(t)]), d == max(groups[fold(t)]), hashlib.sha256(fold(t).encode()).hexdigest()) for d, t, *_ in rows)
+    for size in (7, 4096):
+        assert sorted(map(tuple, exact_dedup.exact_groups(docs, size).collect())) == want
+    assert exact_dedup.exact_groups(none).count() == 0
+    left = exact_dedup.drop_exact(docs)
+    assert left.columns == docs.columns and left.count() == len(groups)
+    odd = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
+    got = sorted(map(tuple, exact_dedup.exact_groups(odd).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
+    assert got == sorted([(None, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (None, None, 1, True)], key=str)
+
+
+def test_shingle_sets_of_long_texts_are_those_of_whole_ones():
+    text = " ".join(words(random.Random(5), 400).split()).encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole, parts = next(shingle_sets(data, at, 3)), next(shingle_sets(data, at, 3, piece=64))
+    assert (whole == parts).all()
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_groups(docs, rows, none, n):
+    want = {d: (k, r) for d, (k, r) in brute.near([(d, t) for d, t, *_ in rows], n).items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, n).collect()}
+    assert got == want
+    assert near_dedup.near_groups(none, n).count() == 0
+    left = near_dedup.drop_near(docs, n)
+    assert left.columns == docs.columns and {r.doc_id for r in left.select("doc_id").collect()} == {d for d, (_, r) in want.items() if d == r}
+
+
+def test_near_groups_in_blocks(spark, monkeypatch):
+    """A large group of near copies on either side of the threshold, with small buckets and blocks."""
+    monkeypatch.setattr(near_dedup, "PAIRED", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 1)
+    rng = random.Random(8)
+    base = words(rng, 60).split()
+    texts = []
+    for k in range(150):
+        v = list(base)
+        for i in rng.sample(range(60), rng.randint(0, 9)):
+            v[i] = f"w{k}x{i}"
+        texts.append((k, " ".join(v)))
+    want = brute.near(texts, 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [2, 256])
+def test_repeated_passages(spark, docs, rows, none, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", most)
+    window = 200
+    want = brute.windows_removed([(d, t) for d, t, *_ in rows], window)
+    got = sorted(map(tuple, suffix_dedup.digests(suffix_dedup.deduplicated(docs)).collect()))
+    assert got == sorted(want)
+    assert suffix_dedup.deduplicated(none).count() == 0
+
+
+def test_suffix_order():
+    rng = random.Random(1)
+    for n in (0, 1, 2, 50, 400):
+        text = bytes(rng.choice(b"abc") for _ in range(n))
+        assert suffix_dedup.suffix_order(text, 500) == sorted(range(n), key=lambda i: text[i:])
+
+
+def test_mixture(docs, rows, none):
+    got = mixing.mixed(docs, block_words=16).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    size = {d: len(brute.WORD.findall(t or "")) for d, t, *_ in rows}
+    assert all(r.size == size[r.doc_id] and 0 <= r.taken <= 2 * r.size for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    # Targets by sharing again and again.
+    names = sorted((s for s in by if s is not None)) + [None]
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    cap = {s: 2.0 * sum(r.size for r in by[s]) for s in names}
+    target, left, open_ = {}, sum(size.values()) * 1.5, set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if cap[s] <= level * weight[s]}
+        for s in full or open_:
+            target[s] = cap[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    for s in names:
+        assert by[s][0].source_size == cap[s] / 2
+        assert by[s][0].target == pytest.approx(target[s])
+        assert abs(sum(r.taken for r in by[s]) - target[s]) <= 1
+    again = {(r.doc_id, r.taken) for r in mixing.mixed(docs, block_words=16).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+    assert mixing.mixed(none).count() == 0 and mixing.mix_documents(none).count() == 0
+    assert mixing.mix_documents(docs).columns == docs.columns
+
+
+def test_schedule_holds_shares_in_every_stretch(docs):
+    goals = mixing.targets(docs.select("source", mixing.word_count(F.col("text")).alias("size")))
+    slots = mixing.schedule(goals, 8).orderBy("slot").collect()
+    share = {r.source_no: r.target for r in goals.collect()}
+    total = sum(share.values())
+    half = Counter(s.source_no for s in slots[: len(slots) // 2])
+    assert all(abs(half[k] - len(slots) // 2 * v / total) <= 6 for k, v in share.items())
+
+
+def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for tokens in (64, 2048):
+        got = packing.packed(docs, tokens).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id, []).append(r)
+        assert sorted(by) == [r[0] for r in rows]
+        for d, t, *_ in rows:
+            ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+            own = sorted(by[d], key=lambda r: r.piece)
+            assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids)
+            assert all(r.length == tokens for r in own[1:]) and (len(ids) > tokens) == (len(own) > 1)
+            assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+        bins = {}
+        for r in got:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in bins.values():
+            end = 0
+            for offset, length in sorted(parts):
+                assert offset == end
+                end += length
+            assert end <= tokens
+        least = -(-sum(r.length for r in got) // tokens)
+        assert len(bins) <= 1.25 * least + 1
+    assert packing.packed(none).count() == 0
+
+
+def test_plan_swaps_the_smallest_for_two():
+    plan = packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)
+    assert sorted(sum(s * n for s, n in items) * times for times, items in plan) == [3, 10]
+    counts = Counter(random.Random(4).randint(1, 300) for _ in range(3000))
+    plan = packing.plan_bins(dict(counts), 512)
+    used = Counter()
+    for times, items in plan:
+        assert sum(s * n for s, n in items) <= 512
+        for s, n in items:
+            used[s] += times * n
+    assert used == counts
+    assert sum(t for t, _ in plan) <= 1.02 * sum(s * n for s, n in counts.items()) / 512 + 1
+
+
+def test_encoder_agrees_with_tokenizers():
+    encode = packing.Encoder()
+    rng = random.Random(9)
+    pool = [chr(c) for c in range(1, 0x250)] + list("日本😀 \n\t  ") + ["<|endoftext|>", "'s", "  "]
+    for _ in range(300):
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))
+        assert encode(t, t.encode()).tolist() == [*encode.slow.encode(t, add_special_tokens=False).ids, 0]
+    t = words(rng, 300_000)
+    assert encode(t, t.encode()).tolist() == [*encode.slow.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_quality(spark, docs, none):
+    rng = random.Random(2)
+    data = [(k, words(rng, 60) if k % 3 else words(rng, 30) + " ***bad### " * 3, "en", "s", 0) for k in range(600)]
+    d = clashing(spark.createDataFrame(data, DOCS))
+    labels = spark.createDataFrame([(k, 1 if k % 3 else 0, 0) for k in range(600)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.scored(d, labels).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == (1 if r.doc_id % 3 else 0) for r in held) >= 0.97 * len(held)
+    flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted(map(tuple, quality.scored(d, flipped).collect())) == sorted(map(tuple, got))
+    assert quality.scored(none, labels).count() == 0
+    assert quality.scored(docs, labels.limit(0)).filter("score = 0.5").count() == docs.count()
+    kept = quality.keep_good(d, labels)
+    assert kept.columns == d.columns and kept.count() == sum(r.predicted for r in got)
+
+
+PAGES = [
+    ("<html><head><title>t</title></head><body><nav><a>Home</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<p>f&ouml;ur</article><footer>x</footer>", "A & B\none two three\nför".replace("för", "föur")),
+    ("<body><div class='sidebar'>s</div><main><p>x<br>y</p><ul><li>1<li>2</ul><script>if (a<b) {}</script><div id=comments><p>c</div></main>", "x y\n1\n2"),
+    ("<p>no article &lt;b&gt; <style>p{}</style>here", "no article <b> here"),
+    ("", ""),
+    (None, ""),
+    ("plain", "plain"),
+    ("<article><p>cut off &am", "cut off &am"),
+]
+
+
+def test_html(spark):
+    rows = [(k, "http://a.org/x", h) for k, (h, _) in enumerate(PAGES)] + [(None, None, "<p>n"), (3, "http://a.org/x", "")]
+    got = html_extract.extracted(clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    want = [(k, t) for k, (_, t) in enumerate(PAGES)] + [(None, "n"), (3, "")]
+    assert sorted(((r.page_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_site_template_goes(spark):
+    page = lambda k: f"<body><div><p>Join our club today</p></div><div><p>story number {k}</p></div></body>"
+    rows = [(k, "http://h.org/", page(k)) for k in range(30)] + [(99, "http://other.org/", page(99))]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story number {k}" for k in range(30))
+    assert got[99] == "Join our club today\nstory number 99"
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 0.2, (300, 8)).astype("float32")
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(k, x[0].tolist()) for k in range(300, 330)]
+    rows += [(1000, None), (1020, [float("nan")] * 8), (1040, [None] + [0.0] * 7), (None, x[1].tolist()), (1060, [1e6, 2e6]), (1080, [3e6, 1e6]), (1100, [])]
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted(map(tuple, topk.top_k(df, topk.queries_of(df)).collect()))
+    q = {k: [int(np.floor(64 * float(v))) for v in e] for k, e in rows if k is not None and e is not None and all(v is not None and np.isfinite(v) for v in e)}
+    want = []
+    for k in q:
+        if k % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q[k], v, strict=True)), i) for i, v in q.items() if i != k and len(v) == len(q[k]))[:20]
+            want += [(k, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "S" * 100), *((1, k, "assistant" if k % 2 else "user", f"turn {k} " * 40) for k in range(1, 60))]
+    rows += [(2, 1, "assistant", None), (2, 0, None, "a\\<|b\\\\<\\|"), (2, 1, "assistant", "x<|\\"), (2, None, "sys\\n\n<|tem", ""), (3, 0, "user", "q" * 20000), (3, 1, "assistant", "<|im_start|>\n\\n"), (None, 0, "user", "n")]
+    df = chat.with_control_case(clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    made = chat.formatted(df)
+    got = {r.conv_id: r for r in chat.digests(made).collect()}
+    by = {}
+    for c, k, r, t in [*rows, (-1, 0, "user", chat.CONTROL_TEXT), (-1, 1, "assistant", chat.CONTROL_TEXT)]:
+        by.setdefault(c, []).append((-1 if k is None else k, r or "", t or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.loss_chars) == (len(turns), len(loss))
+        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+        assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    windows = chat.windows(df.filter("conv_id = 1")).orderBy("window").collect()
+    assert len(windows) > 2 and all(-(-len(w.text.encode()) // 4) <= chat.WINDOW_TOKENS + w.turns for w in windows)
+    assert all(w.text.startswith("<|im_start|>system") and w.context > 1 for w in windows[1:])
+    assert chat.formatted(df.limit(0)).count() == 0
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_secrets(spark, docs, none):
+    rng = random.Random(6)
+    key = "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(60))
+    extra = [(9000, 'é𝄞 secret: token: abcdefghij TOKEN = "aaaaaaaab" AKIAAKIA1 AKIA1234567890ABCD api_key=passwd=12345678'), (9001, "x" + "0123456789abcdef" * 2 + " " + key), (None, "token=abcdefgh"), (9002, words(rng, 50).replace(" ", ""))]
+    extra += [(9100 + k, words(rng, 20).replace(" ", "")) for k in range(60)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: r for r in secrets.digests(secrets.scanned(clashing(df))).collect()}
+    for d, t in df.collect():
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[d].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) <= set(got[d].spans.split(","))
+    assert "random" in got[9001].spans and "random" not in got[9002].spans
+    assert secrets.scanned(none).count() == 0
