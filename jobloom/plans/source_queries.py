@@ -237,8 +237,10 @@ def s22_fingerprint(spark, sf_dir):
 def s23_slug_resolution(spark, sf_dir):
     s = B.table(spark, sf_dir, "supplier")
     base = F.lower(F.replace("s_name", F.lit(" "), F.lit("-")))
-    boards = s.filter("s_suppkey % 3 = 0").select(F.concat(base, F.lit("-labs")).alias("slug"), F.lit("lever").alias("ats"))
-    boards = boards.unionByName(s.filter("s_suppkey % 3 = 1").select(F.concat(base, F.lit("network")).alias("slug"), F.lit("ashby").alias("ats"))).unionByName(boards.select(F.concat("slug", F.lit("-inc")).alias("slug"), F.lit("late").alias("ats")))
+    k = F.col("s_suppkey") % 3
+    ending = F.when(k == 0, "-labs").when(k == 1, "network").otherwise("-elsewhere")
+    boards = s.select(F.concat(base, ending).alias("slug"), F.when(k == 0, "lever").otherwise("ashby").alias("ats"))
+    boards = boards.unionByName(boards.select(F.concat("slug", F.lit("-inc")).alias("slug"), F.lit("late").alias("ats")))
     return P.resolved(s.select(F.col("s_name").alias("name")), boards)
 
 
@@ -299,7 +301,8 @@ def x29_score_row(spark, sf_dir):
 @query("SELECT conv_id, turn, conv_id % 2 = 0 AS known FROM conversations")
 def j4_match_responses(spark, sf_dir):
     r = _responses(spark, sf_dir).select("conv_id", "turn", "custom_id")
-    asked = r.filter("conv_id % 2 = 0").select("custom_id", F.lit(True).alias("_known"))
+    sent = F.when(F.col("conv_id") % 2 == 0, F.col("custom_id")).otherwise(F.concat(F.lit("other-"), "custom_id"))
+    asked = r.select(sent.alias("custom_id"), F.lit(True).alias("_known"))
     return r.join(asked, "custom_id", "left").select("conv_id", "turn", F.col("_known").isNotNull().alias("known"))
 
 

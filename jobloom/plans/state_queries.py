@@ -273,13 +273,13 @@ def w5_key_backfill(spark, sf_dir):
 
 @query(
     """WITH u AS (SELECT doc_id AS seq, doc_id % 5 AS user_id, text AS body, sha256(text) AS bh, sha256(substr(text, 1, 300)) AS th FROM documents WHERE length(text) >= 100),
-    old AS (SELECT * FROM u WHERE seq % 10 = 0), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id, bh ORDER BY seq) = 1),
+    old AS (SELECT * REPLACE (seq * 3 % 5 AS user_id) FROM u), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id, bh ORDER BY seq) = 1),
     c AS (SELECT * FROM b WHERE (user_id, bh) NOT IN (SELECT user_id, bh FROM old)), d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, th ORDER BY seq) = 1)
     SELECT seq, user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) = 1 AND user_id NOT IN (SELECT user_id FROM old) AS is_active FROM d WHERE (user_id, th) NOT IN (SELECT user_id, th FROM old)"""
 )
 def w7_upload_dedup(spark, sf_dir):
     up = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 5).alias("user_id"), F.col("text").alias("body"))
-    old = up.filter((F.length("body") >= 100) & (F.col("seq") % 10 == 0)).select("user_id", T.fingerprint(F.col("body")).alias("bytes_hash"), T.fingerprint(F.col("body"), 300).alias("text_hash"))
+    old = up.filter(F.length("body") >= 100).select((F.col("seq") * 3 % 5).alias("user_id"), T.fingerprint(F.col("body")).alias("bytes_hash"), T.fingerprint(F.col("body"), 300).alias("text_hash"))
     return dedup.new_uploads(up, old, 300).select("seq", "user_id", "is_active")
 
 
@@ -288,14 +288,13 @@ def w7_upload_dedup(spark, sf_dir):
 COLUMNS = "dedup_key, title, score_total, salary_min_usd, is_active, geo_filtered"
 
 
-def _halves(spark, sf_dir):
-    p = _p(spark, sf_dir).withColumn("dedup_key", F.concat(F.lit("k"), F.floor(F.col("id") / 3).cast("string")))
-    pick = lambda rest: p.filter(F.col("id") % 3 == rest)
-    return pick(0), pick(1).filter("id % 2 = 0").unionByName(pick(2).filter("id % 2 = 1").withColumn("dedup_key", F.concat("dedup_key", F.lit("n"))))
+def _tables(spark, sf_dir):
+    """All postings as the current table, and all of them again as incoming rows under other keys, half of which are known."""
+    p = _p(spark, sf_dir)
+    return tuple(p.withColumn("dedup_key", F.concat(F.lit("k"), (F.col("id") * k).cast("string"))) for k in (1, 2))
 
 
-HALVES = """keyed3 AS (SELECT *, 'k' || id // 3 AS dedup_key FROM postings), cur AS (SELECT * FROM keyed3 WHERE id % 3 = 0),
-inc AS (SELECT * FROM keyed3 WHERE id % 3 = 1 AND id % 2 = 0 UNION ALL SELECT * REPLACE (dedup_key || 'n' AS dedup_key) FROM keyed3 WHERE id % 3 = 2 AND id % 2 = 1)"""
+TABLES = "cur AS (SELECT *, 'k' || id AS dedup_key FROM postings), inc AS (SELECT *, 'k' || id * 2 AS dedup_key FROM postings)"
 
 
 @query(B.with_tables(
@@ -303,9 +302,9 @@ inc AS (SELECT * FROM keyed3 WHERE id % 3 = 1 AND id % 2 = 0 UNION ALL SELECT *
       CASE WHEN i.id IS NOT NULL THEN i.score_total ELSE c.score_total END AS score_total,
       CASE WHEN i.salary_source = 'listed' THEN i.salary_min_usd ELSE c.salary_min_usd END AS salary_min_usd,
       CASE WHEN c.id IS NOT NULL THEN c.is_active ELSE true END AS is_active, CASE WHEN c.id IS NOT NULL THEN c.geo_filtered ELSE i.geo_filtered END AS geo_filtered
-      FROM cur c FULL JOIN inc i ON c.dedup_key = i.dedup_key""", B.POSTINGS, HALVES))
+      FROM cur c FULL JOIN inc i ON c.dedup_key = i.dedup_key""", B.POSTINGS, TABLES))
 def m1_upsert(spark, sf_dir):
-    return lifecycle.upsert(*_halves(spark, sf_dir)).select(*COLUMNS.split(", "))
+    return lifecycle.upsert(*_tables(spark, sf_dir)).select(*COLUMNS.split(", "))
 
 
 @query(B.with_tables("SELECT p.id, coalesce(q.seniority, p.seniority) AS seniority, coalesce(q.vertical, p.vertical) AS vertical FROM postings p LEFT JOIN (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'Lead' END AS seniority, CASE WHEN toxic = 1 THEN 'AI' END AS vertical FROM labels) q USING (id)", B.POSTINGS))
@@ -314,11 +313,14 @@ def m2_patch_merge(spark, sf_dir):
     return lifecycle.patched(_p(spark, sf_dir), patches).select("id", "seniority", "vertical")
 
 
-@query(B.with_tables("SELECT job_id, profile_id, CASE WHEN job_id % 3 <> 0 THEN 77 ELSE match_score END AS match_score FROM scores WHERE job_id % 2 = 0 OR job_id % 3 <> 0", B.SCORES))
+NEW_SCORES = "fresh AS (SELECT job_id, (profile_id + job_id % 2) % 3 AS profile_id, 77 AS match_score FROM scores)"
+
+
+@query(B.with_tables("SELECT job_id, profile_id, match_score FROM fresh UNION ALL SELECT job_id, profile_id, match_score FROM scores s WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.job_id = s.job_id AND f.profile_id = s.profile_id)", B.SCORES, NEW_SCORES))
 def m3_score_upsert(spark, sf_dir):
     s = B.scores(spark, sf_dir)
-    new = s.filter("job_id % 3 <> 0").withColumn("match_score", F.lit(77))
-    return lifecycle.score_upsert(s.filter("job_id % 2 = 0"), new).select("job_id", "profile_id", "match_score")
+    fresh = s.withColumn("profile_id", (F.col("profile_id") + F.col("job_id") % 2) % 3).withColumn("match_score", F.lit(77))
+    return lifecycle.score_upsert(s, fresh).select("job_id", "profile_id", "match_score")
 
 
 @query(B.with_tables("SELECT p.id, geo_filtered OR m.id IS NOT NULL AS geo_filtered, is_active AND NOT (m.id IS NOT NULL AND m.reason IS NOT NULL) AS is_active, coalesce(m.reason, geo_reject_reason) AS geo_reject_reason FROM postings p LEFT JOIN (SELECT conv_id AS id, max(CASE WHEN role = 'system' THEN 'policy' END) AS reason FROM conversations GROUP BY conv_id) m USING (id)", B.POSTINGS))
