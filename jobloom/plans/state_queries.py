@@ -30,12 +30,11 @@ def _p(spark, sf_dir):
     return B.postings(spark, sf_dir)
 
 
-AS_OF = B.at(B.LEDGER_AS_OF)
 
 
 @query(B.with_tables(f"SELECT operation, coalesce({COST}, 0) AS spent FROM ledger WHERE {MONTH} GROUP BY ROLLUP (operation)", B.LEDGER))
 def a1_mtd_spend(spark, sf_dir):
-    return ledger.month_to_date(_l(spark, sf_dir), AS_OF).rollup("operation").agg(ledger.spend(_l(spark, sf_dir)).alias("spent"))
+    return ledger.month_to_date(_l(spark, sf_dir), B.at(B.LEDGER_AS_OF)).rollup("operation").agg(ledger.spend(_l(spark, sf_dir)).alias("spent"))
 
 
 CAPS_SQL = "caps(operation, cap) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in CAPS.items()) + ")"
@@ -47,7 +46,7 @@ def _caps(spark):
 
 @query(B.with_tables(f"SELECT c.operation, coalesce(m.s, 0) AS spent, coalesce(m.s, 0) >= c.cap AS stage_tripped, (SELECT coalesce({COST}, 0) FROM ledger WHERE {MONTH}) >= 30 AS global_tripped FROM caps c LEFT JOIN (SELECT operation, {COST} AS s FROM ledger WHERE {MONTH} GROUP BY operation) m USING (operation)", B.LEDGER, CAPS_SQL))
 def a2_cap_status(spark, sf_dir):
-    return ledger.cap_status(_l(spark, sf_dir), _caps(spark), AS_OF, 30)
+    return ledger.cap_status(_l(spark, sf_dir), _caps(spark), B.at(B.LEDGER_AS_OF), 30)
 
 
 @query(B.with_tables(f"SELECT operation, {COST} AS cost_usd, count(*) AS calls, {COUNTS} FROM ledger GROUP BY operation", B.LEDGER))
@@ -85,7 +84,7 @@ SEEN = f"""seen AS (SELECT operation, CAST(sum(cents) AS DOUBLE) / 1000000 / sum
 
 
 def _mean(spark, sf_dir):
-    return ledger.mean_cost(_l(spark, sf_dir), AS_OF, FALLBACK)
+    return ledger.mean_cost(_l(spark, sf_dir), B.at(B.LEDGER_AS_OF), FALLBACK)
 
 
 @query(B.with_tables("SELECT operation, round(coalesce(seen, fallback), 9) AS usd_per_job FROM known LEFT JOIN seen USING (operation)", B.LEDGER, KNOWN, SEEN))
@@ -175,7 +174,7 @@ def a21_board(spark, sf_dir):
 
 @query(B.with_tables(f"SELECT id, {B.sql_stamp('run_at')}, CAST(row_number() OVER (ORDER BY run_at DESC, id) AS INT) AS rank FROM ledger WHERE {MONTH}", B.LEDGER))
 def k10_ledger_mtd(spark, sf_dir):
-    rows = ledger.month_to_date(_l(spark, sf_dir), AS_OF)
+    rows = ledger.month_to_date(_l(spark, sf_dir), B.at(B.LEDGER_AS_OF))
     return serving.page(rows, [F.col("run_at").desc(), F.col("id").asc()], 2**31 - 1).select("id", B.stamp("run_at"), "rank")
 
 
