@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, dedup, enrich, health, ledger, lifecycle, scoring, serving
+from ..operators import clean, dedup, enrich, health, ledger, lifecycle, scoring
 from ..schemas import APPLICATION_STATUSES
 from . import bindings as B
 from . import sql as S
@@ -148,9 +148,9 @@ def a12_health_header(spark, sf_dir):
     return _overview(spark, sf_dir).agg(F.count("*").alias("sources"), F.count_if(~F.col("success")).alias("failing"), F.sum("fresh").alias("fresh"), F.sum("live").alias("live"))
 
 
-@query(B.with_tables("SELECT source, duration_ms, CAST(row_number() OVER (ORDER BY coalesce(duration_ms, -(1::BIGINT << 62)) DESC, source) AS INT) AS rank FROM overview", B.HEALTH, B.POSTINGS, LATEST, BY_SOURCE, OVERVIEW))
+@query(B.with_tables("SELECT source, duration_ms FROM overview", B.HEALTH, B.POSTINGS, LATEST, BY_SOURCE, OVERVIEW))
 def k7_health_sorted(spark, sf_dir):
-    return serving.page(_overview(spark, sf_dir), health.sort_keys("duration_ms", True), 2**31 - 1).select("source", "duration_ms", "rank")
+    return _overview(spark, sf_dir).select("source", "duration_ms").orderBy(*health.sort_keys("duration_ms", True))
 
 
 @query(B.with_tables(f"SELECT ({GATE}) AS gate_failed, count(*) AS n FROM postings GROUP BY 1", B.POSTINGS))
@@ -172,10 +172,10 @@ def a21_board(spark, sf_dir):
     return names.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(B.with_tables(f"SELECT id, {B.sql_stamp('run_at')}, CAST(row_number() OVER (ORDER BY run_at DESC, id) AS INT) AS rank FROM ledger WHERE {MONTH}", B.LEDGER))
+@query(B.with_tables(f"SELECT id, {B.sql_stamp('run_at')} FROM ledger WHERE {MONTH}", B.LEDGER))
 def k10_ledger_mtd(spark, sf_dir):
     rows = ledger.month_to_date(_l(spark, sf_dir), B.at(B.LEDGER_AS_OF))
-    return serving.page(rows, [F.col("run_at").desc(), F.col("id").asc()], 2**31 - 1).select("id", B.stamp("run_at"), "rank")
+    return rows.orderBy(F.col("run_at").desc(), "id").select("id", B.stamp("run_at"))
 
 
 @query(B.with_tables("SELECT id, CAST(floor(input_tokens * 0.5 + cache_write_input_tokens * 1.0 + cached_input_tokens * 0.05 + output_tokens * 2.5 + 0.5) AS DOUBLE) / 1000000 AS cost FROM ledger", B.LEDGER))

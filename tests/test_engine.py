@@ -190,3 +190,13 @@ def test_operation_sums_agree(spark):
     rows = B.ledger(spark, "/root/testdata/sf0.001")
     total = rows.agg(ledger.spend(rows)).first()[0]
     assert sum(r.cost_usd for r in ledger.by_operation(rows).collect()) == pytest.approx(total)
+
+
+def test_sorted_views(spark):
+    from jobloom.plans import registry
+
+    q = registry.queries()
+    rows = [(r.duration_ms, r.source) for r in q["k7_health_sorted"](spark, "/root/testdata/sf0.001").collect()]
+    assert rows == sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**62)), r[1]))
+    rows = [(r.run_at, r.id) for r in q["k10_ledger_mtd"](spark, "/root/testdata/sf0.001").collect()]
+    assert rows == sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0], reverse=True)
