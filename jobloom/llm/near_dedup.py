@@ -28,7 +28,7 @@ from .shingles import mix, shingle_sets
 BANDS = 32
 PERMUTATIONS_PER_BAND = 2
 #: Rounds of comparing with random members, before the members that are apart are dealt by their rarest shingles.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Larger buckets of rare shingles are compared in blocks of so many members.
 PAIRED, BLOCK = 32, 512
 #: The most frequent shingles come last in the order of rarity, by their counts; the others are equally rare. The order
@@ -204,9 +204,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     def apart() -> DataFrame:
         """All links between texts of different components, by their rarest shingles."""
         counted = texts.select("text").mapInArrow(_local_counts(words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        most = counted.orderBy(F.col("c").desc(), "h").limit(FREQUENT).toPandas()
-        names, order = np.unique(most.h.to_numpy(np.int64).view(np.uint64), return_index=True)
-        frequent = docs.sparkSession.sparkContext.broadcast((names, most.c.to_numpy(np.int64)[order]))
+        counted = stored(counted, "counted")
+        # The least power of two that no more than FREQUENT shingles reach; at most 63 counts tell it.
+        power = F.length(F.bin("c"))
+        sizes = sorted(((r.p, r.n) for r in counted.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)
+        least = next((p + 1 for k, (p, _) in enumerate(sizes) if sum(n for _, n in sizes[: k + 1]) > FREQUENT), 0)
+        most = counted.filter(power >= least).toArrow()
+        names, order = np.unique(most.column("h").to_numpy().view(np.uint64), return_index=True)
+        frequent = docs.sparkSession.sparkContext.broadcast((names, most.column("c").to_numpy()[order]))
         rare = texts.select("rep", "text").mapInArrow(_prefixes(words, percent, frequent), "h long, rep long, n long, at long, near boolean")
         rare = stored(rare.join(component, "rep"), "rare")
         by_label = rare.groupBy("h", "label").agg(F.count("*").alias("k"), F.max("near").alias("near"))
