@@ -1,6 +1,6 @@
-"""Quality classifier: naive Bayes support vectors on byte n-grams.
+"""Quality classifier: naive Bayes support vectors on n-grams.
 
-Indicators of the byte n-grams of a text are scaled by the log ratio of the smoothed class frequencies; a linear hinge
+Indicators of the byte n-grams of a text, of words that repeat at once and of the share of distinct words are scaled by the log ratio of the smoothed class frequencies; a linear hinge
 loss on the scaled, length-normalised indicators is minimised by dual coordinate descent; the margin becomes a
 probability by a logistic curve that is fitted on rows that the hinge model did not see.
 """
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_bytes
+from ._common import LOWER, text_bytes
+from .shingles import word_names
 
 #: At most so many labelled rows, the first by hash of doc_id, are used to fit.
 TRAIN_ROWS = 6000
@@ -25,17 +26,34 @@ _SPREAD = np.uint32(2654435761)
 
 
 def features(data: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
-    """The distinct features of a text's bytes: hashed runs of one to three bytes."""
+    """The distinct features of a text's bytes: hashed runs of one to three bytes, and those of its words."""
     seen = np.zeros(1 << FEATURE_BITS, dtype=bool) if seen is None else seen
     for k in range(0, max(1, len(data)), 1 << 20):
         x = data[k : k + (1 << 20) + 2].astype(np.uint32)
         for n, code in ((1, x), (2, x[:-1] << 8 | x[1:]), (3, x[:-2] << 16 | x[1:-1] << 8 | x[2:] if len(x) > 2 else x[:0])):
             seen[((code + np.uint32(n << 24)) * _SPREAD) >> np.uint32(32 - FEATURE_BITS)] = True
+    seen[word_features(data)] = True
     found = np.flatnonzero(seen).astype(np.int32)
     seen[found] = False
     return found
 
 
+def word_features(data: np.ndarray, part: int = 1 << 20) -> list[int]:
+    """How often a word follows itself, up to four times, and the share of distinct words by sixteenths and by the
+    text's length in powers of two; a very long text is taken in parts, which add up."""
+    words, again, distinct = 0, 0, 0
+    for k in range(0, len(data), part):
+        names = word_names(LOWER[data[k : k + part]])[1]
+        words += len(names)
+        again += int((names[1:] == names[:-1]).sum())
+        distinct += len(np.unique(names))
+    if not words:
+        return []
+    found = [(9 << 24) + min(4, again)] if again else []
+    found.append((10 << 24) + (words.bit_length() << 8) + 16 * distinct // words)
+    return [(x * int(_SPREAD) % 2**32) >> (32 - FEATURE_BITS) for x in found]
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -93,10 +111,12 @@ def fitted(rows: list[np.ndarray], labels: list[int], smoothing: float = 1.0, co
     if len(set(y.tolist())) < 2:
         share = ((y > 0).sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return Model(np.zeros(size), np.zeros(size), 0.0, 0.0, float(np.log(share / (1 - share))))
-    counts = {c: np.bincount(np.concatenate([r for r, k in zip(rows, y, strict=True) if k == c]), minlength=size) + smoothing for c in (1, -1)}
+    counts = {1: np.full(size, smoothing), -1: np.full(size, smoothing)}
+    for r, k in zip(rows, y.tolist(), strict=True):
+        counts[k][r] += 1
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
     ratios = np.where(counts[1] + counts[-1] > 2 * smoothing, ratios, 0.0)
-    values = [ratios[r] / (float(np.sqrt((ratios[r] ** 2).sum())) or 1.0) for r in rows]
+    values = [(ratios[r] / (float(np.sqrt((ratios[r] ** 2).sum())) or 1.0)).astype(np.float32) for r in rows]
     share = {c: len(y) / (2 * max(1, (y == c).sum())) for c in (1, -1)}
     weigh = np.array([cost * share[c] for c in y.tolist()])
     held = np.arange(len(rows)) % 5 == 4
@@ -119,7 +139,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = text_bytes(batch.column(1))
         found = [features(data[at[k] : at[k + 1]], seen) for k in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "features", "label"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
@@ -127,10 +147,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     chosen = usable.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     # At most TRAIN_ROWS pairs of numbers, so this side is safe to send to every executor.
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "label")
-    got = texts.mapInArrow(_featured, "doc_id long, features array<int>, label int").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    order = np.random.default_rng(11).permutation(len(got))
-    return fitted([np.asarray(got.features.iloc[k], dtype=np.int64) for k in order], [int(got.label.iloc[k]) for k in order])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
+    got = texts.mapInArrow(_featured, "doc_id long, features binary, label int").toArrow()
+    ids, labels_, packed = got.column("doc_id").to_numpy(), got.column("label").to_numpy(), got.column("features").combine_chunks()
+    # One row for each id, in an order that neither partitions nor ids decide.
+    _, one = np.unique(ids, return_index=True)
+    order = one[np.random.default_rng(11).permutation(len(one))]
+    return fitted([np.frombuffer(packed[int(k)].as_buffer(), np.int32) for k in order], labels_[order].tolist())
 
 
 def _scored(model, text: int, name: str = "score"):
