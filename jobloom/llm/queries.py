@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vector_approximation_topk": topk.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op3_chat_formatting": chat.ORACLE_SQL, "op2_vector_approximation_topk": topk.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}

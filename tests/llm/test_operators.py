@@ -195,7 +195,8 @@ def test_packing(docs, rows, none):
 def test_plan_swaps_the_smallest_for_two():
     plan = packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)
     assert sorted(sum(s * n for s, n in items) * times for times, items in plan) == [3, 10]
-    counts = Counter(random.Random(4).randint(1, 300) for _ in range(3000))
+    rng = random.Random(4)
+    counts = Counter(rng.randint(1, 300) for _ in range(3000))
     plan = packing.plan_bins(dict(counts), 512)
     used = Counter()
     for times, items in plan:
