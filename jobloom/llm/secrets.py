@@ -34,6 +34,8 @@ ALPHABETS = {
 MOST_Z = 3.0
 #: Largest share of expected false discoveries in a class of lengths.
 FALSE_SHARE = 0.05
+#: Words that pass and words seen before any are counted, so that a class with few words has a rate too.
+PRIOR = (1, 100)
 
 
 KINDS = ("assign", "access", "hex", "random")
@@ -111,8 +113,8 @@ def tested(text: Column) -> Column:
 def open_classes(rows: DataFrame) -> list[int]:
     """The classes of lengths whose expected share of false discoveries stays under the limit.
 
-    The pass rate of words is taken over a class and all shorter ones, which overstates it for long runs; so a class
-    without words of its own is judged too. At most two counts for each class come to the driver.
+    The pass rate of words is taken over a class and all shorter ones, which overstates it for long runs, and starts from
+    a prior; so a class without words of its own is judged too. A few counts for each class come to the driver.
     """
     each = rows.select(F.explode("tested").alias("t")).groupBy("t.size").agg(
         F.count_if("t.word").alias("words"), F.count_if(F.col("t.word") & F.col("t.random")).alias("false_hits"), F.count_if(~F.col("t.word")).alias("others"), F.count_if(~F.col("t.word") & F.col("t.random")).alias("hits")
@@ -123,7 +125,7 @@ def open_classes(rows: DataFrame) -> list[int]:
     for size in range(len(CLASSES)):
         if r := by_size.get(size):
             words, false_hits = words + r.words, false_hits + r.false_hits
-            if r.hits and (false_hits + 1) / (words + 1) * r.others / r.hits <= FALSE_SHARE or not words and r.hits and size:
+            if r.hits and (false_hits + PRIOR[0]) / (words + PRIOR[1]) * r.others / r.hits <= FALSE_SHARE:
                 keep.append(size)
     return keep
 
