@@ -121,10 +121,18 @@ def _prefixes(words: int, percent: int, frequent):
 
 
 def _blocks(words: int, percent: int):
-    """Links between the members of two blocks, for each member and label of the other block one at most."""
+    """Links between the members of two blocks: of those that are found, enough to join all labels that they join."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
         if len(left) and len(right):
             of = lambda t: [s for s in shingle_sets(*text_bytes(pa.array(t, pa.large_string())), words)]
             sets = of(right.text)
@@ -134,13 +142,17 @@ def _blocks(words: int, percent: int):
             names, owner = names[order], owner[order]
             reps, labels = right.rep.to_numpy(), right.label.to_numpy()
             for rep, label, s in zip(left.rep, left.label, of(left.text), strict=True):
-                a, b = np.searchsorted(names, s, "left"), np.searchsorted(names, s, "right")
-                n = b - a
-                at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                begin = np.searchsorted(names, s, "left")
+                n = np.searchsorted(names, s, "right") - begin
+                at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(sets))
                 hit = np.flatnonzero((100 * common >= percent * (size + len(s) - common)) & (labels != label))
                 if len(hit):
-                    out += [(int(rep), int(reps[hit[k]])) for k in np.unique(labels[hit], return_index=True)[1]]
+                    for k in hit[np.unique(labels[hit], return_index=True)[1]]:
+                        a, b = top(int(label)), top(int(labels[k]))
+                        if a != b:
+                            above[a] = b
+                            out.append((int(rep), int(reps[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
