@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree gets a hash of its tags and texts. Spark counts on how many pages of a host each subtree occurs;
-subtrees that recur across many of them are the host's template and are deleted, together with elements that are page
-furniture by their tag, role or class. What is left of the article is written block by block.
+Every element's subtree gets a hash of its tags and texts. Spark counts on how many different pages of a host, and in how
+many different parents, each subtree occurs; subtrees that recur across many of them are the host's template and are
+deleted, together with elements that are page furniture by their tag, role or class. Copies of a page count once. What is
+left of the article is written block by block.
 """
 
 from __future__ import annotations
@@ -56,15 +57,17 @@ def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 class Page:
-    """One page's blocks, with the hash of each subtree that is not furniture."""
+    """One page's blocks, with the hash and the place of each subtree that is not furniture."""
 
-    def __init__(self, page: str, dead: frozenset[int] = frozenset()):
+    def __init__(self, page: str):
         self.tokens: list[str | None] = []
-        self.hashes: set[int] = set()
-        self.dead = dead
+        #: Subtrees: hash, first token, token after the last.
+        self.spans: list[tuple[int, int, int]] = []
+        #: Pairs of a subtree's hash and its parent's.
+        self.parents: set[tuple[int, int]] = set()
         self.mains: list[tuple[int, int]] = []
-        #: Open elements: tag, furniture or not, first token, child hashes.
-        self.stack: list[tuple[str, bool, int, list[bytes]]] = [("", False, 0, [])]
+        #: Open elements: tag, furniture or not, first token, child hashes, hashes of child elements.
+        self.stack: list[tuple[str, bool, int, list[bytes], list[int]]] = [("", False, 0, [], [])]
         at, find = 0, _TAG.search
         while m := find(page, at):
             if m.start() > at:
@@ -85,9 +88,10 @@ class Page:
             self.text(page[at:])
         while len(self.stack) > 1:
             self.pop()
+        self.parents.update((name, 0) for name in self.stack[0][4])
 
     def text(self, raw: str) -> None:
-        _, furniture, _, children = self.stack[-1]
+        _, furniture, _, children, _ = self.stack[-1]
         if furniture:
             return
         text = entities.unescape(raw) if "&" in raw else raw
@@ -96,19 +100,17 @@ class Page:
             children.append(" ".join(words).encode("utf-8", "surrogatepass"))
 
     def pop(self) -> None:
-        tag, furniture, first, children = self.stack.pop()
+        tag, furniture, first, children, names = self.stack.pop()
         if furniture:
             return
         if tag in BLOCK_TAGS:
             self.tokens.append(BREAK)
         if children:
             name = xxhash.xxh3_64_intdigest(b"\x00".join([tag.encode(), *children])) - 2**63
-            self.hashes.add(name)
-            if name in self.dead:
-                del self.tokens[first:]
-                self.tokens.append(BREAK)
-                self.mains = [x for x in self.mains if x[0] < first]
+            self.spans.append((name, first, len(self.tokens)))
+            self.parents.update((x, name) for x in names)
             self.stack[-1][3].append(name.to_bytes(8, "little", signed=True))
+            self.stack[-1][4].append(name)
         if tag in MAIN_TAGS and not any(x[0] in MAIN_TAGS for x in self.stack):
             self.mains.append((first, len(self.tokens)))
 
@@ -131,7 +133,7 @@ class Page:
         furniture = above or is_furniture(tag, attributes, any(x[0] in MAIN_TAGS for x in stack))
         if not furniture and tag in BLOCK_TAGS:
             self.tokens.append(BREAK)
-        stack.append((tag, furniture, len(self.tokens), []))
+        stack.append((tag, furniture, len(self.tokens), [], []))
 
     def close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -140,10 +142,26 @@ class Page:
                     self.pop()
                 return
 
-    def main_text(self) -> str:
-        """The blocks of the article, or of the whole page where no article has text."""
-        inside = self.blocks([t for first, last in self.mains for t in [*self.tokens[first:last], BREAK]])
-        return inside or self.blocks(self.tokens)
+    def main_text(self, dead: frozenset[int] = frozenset()) -> str:
+        """The blocks of the article, or of the whole page where no article has text, without the dead subtrees.
+
+        A subtree that holds all of that text is not deleted. Where the dead subtrees together hold all of it, or more
+        than half of an article, they are the page's content and nothing is deleted.
+        """
+        parts = [(a, b) for a, b in self.mains if not self.blank(a, b)]
+        whole = self.blocks([t for a, b in parts for t in [*self.tokens[a:b], BREAK]]) if parts else self.blocks(self.tokens)
+        if not dead or not whole:
+            return whole
+        filled = [k for a, b in parts or [(0, len(self.tokens))] for k in range(a, b) if not self.blank(k, k + 1)]
+        tokens = list(self.tokens)
+        for name, a, b in self.spans:
+            if name in dead and (a > filled[0] or b <= filled[-1]):
+                tokens[a:b] = [BREAK] * (b - a)
+        left = self.blocks([t for a, b in parts or [(0, len(tokens))] for t in [*tokens[a:b], BREAK]])
+        return left if left and (not parts or 2 * len(left) >= len(whole)) else whole
+
+    def blank(self, first: int, last: int) -> bool:
+        return not any(t and not t.isspace() for t in self.tokens[first:last])
 
     @staticmethod
     def blocks(tokens: list[str | None]) -> str:
@@ -158,21 +176,25 @@ class Page:
         return "\n".join(out)
 
 
+#: A page's row, its host, the hash of its text, one of its subtrees and that one's parent; mark 0 is the page itself.
+MARKS = pa.schema([("key", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("mark", pa.int64()), ("parent", pa.int64())])
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, hosts, marks = [], [], []
-        for key, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = [*Page(page or "").hashes, 0]
-            keys += [key] * len(found)
-            hosts += [host] * len(found)
-            marks += found
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(marks, pa.int64())], ["key", "host", "mark"])
+        rows = []
+        for key, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            page = Page(html or "")
+            content = xxhash.xxh3_64_intdigest(page.main_text().encode("utf-8", "replace")) - 2**63
+            rows += [(key, host, content, mark, parent) for mark, parent in [*page.parents, (0, 0)]]
+        columns = zip(*rows, strict=True) if rows else [()] * len(MARKS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, MARKS.types, strict=True)], schema=MARKS)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dead, pages = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        texts = [Page(p or "", frozenset(d or ())).main_text().encode("utf-8", "replace").decode() for p, d in zip(pages, dead, strict=True)]
+        texts = [Page(p or "").main_text(frozenset(d or ())).encode("utf-8", "replace").decode() for p, d in zip(pages, dead, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -181,14 +203,17 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
 
     A null or empty html gives an empty text. A url that is null or has no host belongs to the host ''. Rows that
     repeat page_id, url and html give equal rows; null ids are kept. Other columns are not read, and an empty table
-    gives no rows. Texts are whole, however long.
+    gives no rows. Texts are whole, however long. Pages of a host with the same text, under one url or several, count as
+    one page when its template is looked for.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    marks = keyed.select("key", host.alias("host"), "html").mapInArrow(_marks, "key long, host string, mark long")
+    marks = keyed.select("key", host.alias("host"), "html").mapInArrow(_marks, "key long, host string, content long, mark long, parent long")
     marks = stored(marks, "marks")
-    counts = marks.groupBy("host", "mark").agg(F.count("*").alias("n"))
+    counts = marks.groupBy("host", "mark").agg(F.count_distinct("content").alias("contents"), F.count_distinct("parent").alias("parents"))
+    # A part of a larger subtree that recurs has that one parent only, and goes or stays with it.
+    counts = counts.select("host", "mark", F.when(F.col("mark") == 0, F.col("contents")).otherwise(F.least("contents", "parents")).alias("n"))
     counts = stored(counts.filter((F.col("mark") == 0) | (F.col("n") >= least_pages)), "subtrees")
     totals = counts.filter("mark = 0").select("host", F.col("n").alias("pages"))
     template = counts.filter("mark <> 0").join(totals, "host").filter(F.col("n") >= F.col("pages") * least_share).select("host", "mark")

@@ -263,6 +263,20 @@ def test_site_template_goes(spark):
     assert got[99] == "Join our club today\nstory number 99"
 
 
+def test_copies_of_a_page_are_not_template(spark):
+    page = lambda k, more="": f"<body><div><p>Join our club today</p></div><article><h1>Head {k}</h1><p>story number {k}</p></article><i>{more}</i></body>"
+    plain = lambda k: f"<body><div><p>Join our club today</p></div><div><p>story number {k}</p></div></body>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(20)] + [(20, "http://h.org/20", page(20))] * 6
+    rows += [(k, f"http://h.org/{k}", page(20)) for k in range(21, 31)] + [(k, f"http://h.org/{k}", page(20, k)) for k in range(31, 50)]
+    rows += [(k, f"http://p.org/{k}", plain(k)) for k in range(60, 80)] + [(k, f"http://p.org/{k}", plain(80)) for k in range(80, 110)]
+    rows += [(k, "http://one.org/", plain(110)) for k in range(110, 130)]
+    got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = r.page_id
+        assert r.text == (f"Head {min(k, 20)}\nstory number {min(k, 20)}" if k < 60 else f"story number {min(k, 80)}" if k < 110 else "Join our club today\nstory number 110")
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (300, 8)).astype("float32")
