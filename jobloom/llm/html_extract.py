@@ -32,42 +32,69 @@ BLOCK_TAGS = frozenset(
 )
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 LISTS = frozenset("ul ol dl table menu article main section div body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Furniture that stays where it holds the page's main text, furniture that stays where it holds a main element, and never.
+WRAPPER, PART, NEVER = 1, 2, 3
+NEVER_TAGS = FURNITURE_TAGS - frozenset("nav footer aside form menu dialog".split())
+#: A wrapper without article or main stays from this share of the page's text on.
+WRAPPER_SHARE = 0.8
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe social share sharing comment comments disqus replies related recommended".split()
 )
+FURNITURE_COMPOUNDS = frozenset(
+    "site-header page-header site-footer page-footer main-footer site-nav main-nav top-nav nav-bar nav-menu main-menu site-menu side-bar left-sidebar right-sidebar sidebar-left sidebar-right cookie-banner cookie-notice cookie-bar cookie-consent consent-banner gdpr-banner ad-banner ad-container ad-slot ad-unit ad-wrapper ad-box share-bar share-buttons share-links social-bar social-buttons social-icons social-links social-share related-articles related-links related-posts related-stories comment-form comment-list comment-section comments-area comments-section disqus-thread newsletter-box newsletter-form newsletter-signup popup-overlay modal-dialog promo-box sponsored-content breadcrumb-trail".split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_WORDS = re.compile("[a-z0-9]+")
 BREAK = None
 
 
-def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in FURNITURE_TAGS or tag == "header" and not in_main:
-        return True
+def furniture_kind(tag: str, attributes: str, in_main: bool) -> int:
+    """0 or the kind of furniture: by tag, by role, or by a whole class or id. Ids of headings and paragraphs are anchors."""
+    if tag in NEVER_TAGS:
+        return NEVER
+    if tag == "form" or tag == "header" and not in_main:
+        return WRAPPER
+    if tag in FURNITURE_TAGS:
+        return PART
     if not attributes or tag in MAIN_TAGS or tag in ("html", "body"):
-        return False
+        return 0
     for name, value in _ATTRIBUTE.findall(attributes):
-        words = _WORDS.findall(value.lower())
-        if (FURNITURE_ROLES if name.lower() == "role" else FURNITURE_WORDS).intersection(words):
-            return True
-    return False
+        name, tokens = name.lower(), value.strip("\"'").lower().replace("_", "-").split()
+        if name == "role":
+            if FURNITURE_ROLES.intersection(tokens):
+                return WRAPPER
+        elif (name == "class" or tag != "p" and tag not in HEADINGS) and any(t in FURNITURE_WORDS or t in FURNITURE_COMPOUNDS for t in tokens):
+            return WRAPPER
+    return 0
 
 
 class Page:
     """One page's blocks, with the hash and the place of each subtree that is not furniture."""
 
     def __init__(self, page: str):
+        #: Elements, by their number, that would be furniture but hold the page's main text.
+        self.kept: set[int] = set()
+        self.parse(page)
+        while more := self.holders():
+            self.kept |= more
+            self.parse(page)
+
+    def parse(self, page: str) -> None:
+        #: Furniture inside none: number, kind, characters outside nested furniture, whether main and article are in it.
+        self.furniture: list[list[int]] = []
+        self.elements = 0
         self.tokens: list[str | None] = []
         #: Subtrees: hash, first token, token after the last.
         self.spans: list[tuple[int, int, int]] = []
         #: Pairs of a subtree's hash and its parent's.
         self.parents: set[tuple[int, int]] = set()
         self.mains: list[tuple[int, int]] = []
-        #: Open elements: tag, furniture or not, first token, child hashes, hashes of child elements.
-        self.stack: list[tuple[str, bool, int, list[bytes], list[int]]] = [("", False, 0, [], [])]
+        #: Open elements: tag, depth and kind of furniture, first token, child hashes, hashes of child elements.
+        self.stack: list[tuple[str, tuple[int, int], int, list[bytes], list[int]]] = [("", (0, 0), 0, [], [])]
         at, find = 0, _TAG.search
         while m := find(page, at):
             if m.start() > at:
@@ -91,8 +118,10 @@ class Page:
         self.parents.update((name, 0) for name in self.stack[0][4])
 
     def text(self, raw: str) -> None:
-        _, furniture, _, children, _ = self.stack[-1]
-        if furniture:
+        _, (depth, kind), _, children, _ = self.stack[-1]
+        if depth:
+            if depth == 1 and kind != NEVER:
+                self.furniture[-1][2] += len("".join(raw.split()))
             return
         text = entities.unescape(raw) if "&" in raw else raw
         self.tokens.append(text)
@@ -100,8 +129,8 @@ class Page:
             children.append(" ".join(words).encode("utf-8", "surrogatepass"))
 
     def pop(self) -> None:
-        tag, furniture, first, children, names = self.stack.pop()
-        if furniture:
+        tag, (depth, _), first, children, names = self.stack.pop()
+        if depth:
             return
         if tag in BLOCK_TAGS:
             self.tokens.append(BREAK)
@@ -125,15 +154,34 @@ class Page:
                 break
             if stack[k][0] in LISTS:
                 break
-        above = stack[-1][1]
+        depth, worst = stack[-1][1]
         if tag in VOID_TAGS:
-            if not above:
+            if not depth:
                 self.tokens.append(BREAK if tag in BLOCK_TAGS else " ")
             return
-        furniture = above or is_furniture(tag, attributes, any(x[0] in MAIN_TAGS for x in stack))
-        if not furniture and tag in BLOCK_TAGS:
+        self.elements += 1
+        kind = 0 if self.elements in self.kept else furniture_kind(tag, attributes, any(x[0] in MAIN_TAGS for x in stack))
+        if kind and not depth:
+            self.furniture.append([self.elements, kind, 0, 0, 0])
+        if depth and worst != NEVER and tag in MAIN_TAGS:
+            self.furniture[-1][3 if tag == "main" else 4] = 1
+        depth, worst = depth + (kind > 0), max(kind, worst)
+        if not depth and tag in BLOCK_TAGS:
             self.tokens.append(BREAK)
-        stack.append((tag, furniture, len(self.tokens), [], []))
+        stack.append((tag, (depth, worst), len(self.tokens), [], []))
+
+    def holders(self) -> set[int]:
+        """Furniture that holds the page's main text: main, the only articles, or most of a page that has neither."""
+        if not any(kind != NEVER for _, kind, *_ in self.furniture):
+            return set()
+        if found := {k for k, kind, _, main, _ in self.furniture if main and kind != NEVER}:
+            return found
+        if any(not self.blank(a, b) for a, b in self.mains):
+            return set()
+        if found := {k for k, kind, _, _, article in self.furniture if article and kind == WRAPPER}:
+            return found
+        size = sum(len("".join(t.split())) for t in self.tokens if t) + sum(x[2] for x in self.furniture)
+        return {k for k, kind, n, *_ in self.furniture if kind == WRAPPER and n and n >= size * WRAPPER_SHARE}
 
     def close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):

@@ -277,6 +277,23 @@ def test_copies_of_a_page_are_not_template(spark):
         assert r.text == (f"Head {min(k, 20)}\nstory number {min(k, 20)}" if k < 60 else f"story number {min(k, 80)}" if k < 110 else "Join our club today\nstory number 110")
 
 
+WRAPPED = [
+    ('<body><div class="has-sidebar"><main><p>whole story</p></main></div></body>', "whole story"),
+    ('<body><div class="sidebar comments"><nav>n</nav><article><p>whole story</p></article></div></body>', "whole story"),
+    ('<body><form><div class="modal"><main><p>whole story</p></main></div><nav>n</nav></form></body>', "whole story"),
+    ("<body><p>top</p><form><nav>n</nav><div><p>a page-wide form around the whole long story</p></div></form></body>", "top\na page-wide form around the whole long story"),
+    ('<body><article><h2 id="social-impact">Impact</h2><h2 id="share">Price</h2><p class="notice-period">Notice</p><p id="comments">text</p></article></body>', "Impact\nPrice\nNotice\ntext"),
+    ('<body><article><p>story</p><div class="ad">buy</div><div id="cookie_notice">eat</div></article><div class="related"><article><p>other</p></article></div></body>', "story"),
+    ("<body><p>the story is here</p><form><p>sign up</p></form><template><main>no</main></template></body>", "the story is here"),
+]
+
+
+def test_elements_around_and_in_the_article_stay(spark):
+    rows = [(k, f"http://h{k}.org/x", h) for k, (h, _) in enumerate(WRAPPED)]
+    got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: t for k, (_, t) in enumerate(WRAPPED)}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (300, 8)).astype("float32")
