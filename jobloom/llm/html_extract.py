@@ -22,6 +22,10 @@ from ._common import stored
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
 LEAST_PAGES = 10
 LEAST_SHARE = 0.3
+#: On small hosts a block is template from fewer pages on, if on nearly all of them.
+SMALL_PAGES, SMALL_SHARE = 3, 0.8
+#: Words of a block from which on its share no longer falls.
+MOST_WORDS = 60
 
 #: HTML's own tags and common names of page furniture.
 FURNITURE_TAGS = frozenset("head nav footer aside form script style noscript iframe object svg canvas template button select textarea input dialog menu".split())
@@ -30,6 +34,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+LOOSE_TAGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup td th li dt dd figcaption summary".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 LISTS = frozenset("ul ol dl table menu article main section div body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -90,11 +95,12 @@ class Page:
         self.tokens: list[str | None] = []
         #: Subtrees: hash, first token, token after the last.
         self.spans: list[tuple[int, int, int]] = []
-        #: Pairs of a subtree's hash and its parent's.
-        self.parents: set[tuple[int, int]] = set()
+        #: A subtree's hash, its weight (the words of a block, 0 for headings, cells and parts of lines) and its parent's hash.
+        self.parents: set[tuple[int, int, int]] = set()
         self.mains: list[tuple[int, int]] = []
-        #: Open elements: tag, depth and kind of furniture, first token, child hashes, hashes of child elements.
-        self.stack: list[tuple[str, tuple[int, int], int, list[bytes], list[int]]] = [("", (0, 0), 0, [], [])]
+        #: Open elements: tag, depth and kind of furniture, first token, child hashes, hashes and weights of child elements.
+        self.stack: list[tuple[str, tuple[int, int], int, list[bytes], list[tuple[int, int]]]] = [("", (0, 0), 0, [], [])]
+        self.words = [0]
         at, find = 0, _TAG.search
         while m := find(page, at):
             if m.start() > at:
@@ -115,7 +121,7 @@ class Page:
             self.text(page[at:])
         while len(self.stack) > 1:
             self.pop()
-        self.parents.update((name, 0) for name in self.stack[0][4])
+        self.parents.update((*x, 0) for x in self.stack[0][4])
 
     def text(self, raw: str) -> None:
         _, (depth, kind), _, children, _ = self.stack[-1]
@@ -127,9 +133,11 @@ class Page:
         self.tokens.append(text)
         if words := text.split():
             children.append(" ".join(words).encode("utf-8", "surrogatepass"))
+            self.words[-1] += len(words)
 
     def pop(self) -> None:
         tag, (depth, _), first, children, names = self.stack.pop()
+        words = self.words.pop()
         if depth:
             return
         if tag in BLOCK_TAGS:
@@ -137,9 +145,10 @@ class Page:
         if children:
             name = xxhash.xxh3_64_intdigest(b"\x00".join([tag.encode(), *children])) - 2**63
             self.spans.append((name, first, len(self.tokens)))
-            self.parents.update((x, name) for x in names)
+            self.parents.update((*x, name) for x in names)
             self.stack[-1][3].append(name.to_bytes(8, "little", signed=True))
-            self.stack[-1][4].append(name)
+            self.stack[-1][4].append((name, min(words, MOST_WORDS) if tag in BLOCK_TAGS and tag not in LOOSE_TAGS else 0))
+            self.words[-1] += words
         if tag in MAIN_TAGS and not any(x[0] in MAIN_TAGS for x in self.stack):
             self.mains.append((first, len(self.tokens)))
 
@@ -169,6 +178,7 @@ class Page:
         if not depth and tag in BLOCK_TAGS:
             self.tokens.append(BREAK)
         stack.append((tag, (depth, worst), len(self.tokens), [], []))
+        self.words.append(0)
 
     def holders(self) -> set[int]:
         """Furniture that holds the page's main text: main, the only articles, or most of a page that has neither."""
@@ -190,23 +200,31 @@ class Page:
                     self.pop()
                 return
 
-    def main_text(self, dead: frozenset[int] = frozenset()) -> str:
-        """The blocks of the article, or of the whole page where no article has text, without the dead subtrees.
+    def main_text(self, dead: frozenset[int] = frozenset(), rare: frozenset[int] = frozenset()) -> str:
+        """The blocks of the article, or of the whole page where no article has text, without dead and rare subtrees.
 
         A subtree that holds all of that text is not deleted. Where the dead subtrees together hold all of it, or more
-        than half of an article, they are the page's content and nothing is deleted.
+        than half of an article, they are the page's content and stay; so do rare ones that hold more than half of what
+        is left by then, as paragraphs of near copies do.
         """
         parts = [(a, b) for a, b in self.mains if not self.blank(a, b)]
         whole = self.blocks([t for a, b in parts for t in [*self.tokens[a:b], BREAK]]) if parts else self.blocks(self.tokens)
-        if not dead or not whole:
+        if not whole or not (dead or rare):
             return whole
         filled = [k for a, b in parts or [(0, len(self.tokens))] for k in range(a, b) if not self.blank(k, k + 1)]
-        tokens = list(self.tokens)
-        for name, a, b in self.spans:
-            if name in dead and (a > filled[0] or b <= filled[-1]):
-                tokens[a:b] = [BREAK] * (b - a)
-        left = self.blocks([t for a, b in parts or [(0, len(tokens))] for t in [*tokens[a:b], BREAK]])
-        return left if left and (not parts or 2 * len(left) >= len(whole)) else whole
+
+        def cut(names: frozenset[int]) -> str:
+            tokens = list(self.tokens)
+            for name, a, b in self.spans:
+                if name in names and (a > filled[0] or b <= filled[-1]):
+                    tokens[a:b] = [BREAK] * (b - a)
+            return self.blocks([t for a, b in parts or [(0, len(tokens))] for t in [*tokens[a:b], BREAK]])
+
+        left = cut(dead)
+        if not left or parts and 2 * len(left) < len(whole):
+            left, dead = whole, frozenset()
+        less = cut(dead | rare) if rare else left
+        return less if less and 2 * len(less) >= len(left) else left
 
     def blank(self, first: int, last: int) -> bool:
         return not any(t and not t.isspace() for t in self.tokens[first:last])
@@ -224,8 +242,8 @@ class Page:
         return "\n".join(out)
 
 
-#: A page's row, its host, the hash of its text, one of its subtrees and that one's parent; mark 0 is the page itself.
-MARKS = pa.schema([("key", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("mark", pa.int64()), ("parent", pa.int64())])
+#: A page's row, its host, the hash of its text, one of its subtrees and that one's weight and parent; mark 0 is the page itself.
+MARKS = pa.schema([("key", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("mark", pa.int64()), ("weight", pa.int64()), ("parent", pa.int64())])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +252,15 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             page = Page(html or "")
             content = xxhash.xxh3_64_intdigest(page.main_text().encode("utf-8", "replace")) - 2**63
-            rows += [(key, host, content, mark, parent) for mark, parent in [*page.parents, (0, 0)]]
+            rows += [(key, host, content, *mark) for mark in [*page.parents, (0, 0, 0)]]
         columns = zip(*rows, strict=True) if rows else [()] * len(MARKS)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, MARKS.types, strict=True)], schema=MARKS)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        dead, pages = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        texts = [Page(p or "").main_text(frozenset(d or ())).encode("utf-8", "replace").decode() for p, d in zip(pages, dead, strict=True)]
+        sets = [[frozenset(x or ()) for x in batch.column(c).to_pylist()] for c in (2, 3)]
+        texts = [Page(p or "").main_text(d, r).encode("utf-8", "replace").decode() for p, d, r in zip(batch.column(4).to_pylist(), *sets, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -257,15 +275,20 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    marks = keyed.select("key", host.alias("host"), "html").mapInArrow(_marks, "key long, host string, content long, mark long, parent long")
+    marks = keyed.select("key", host.alias("host"), "html").mapInArrow(_marks, "key long, host string, content long, mark long, weight long, parent long")
     marks = stored(marks, "marks")
-    counts = marks.groupBy("host", "mark").agg(F.count_distinct("content").alias("contents"), F.count_distinct("parent").alias("parents"))
+    counts = marks.groupBy("host", "mark").agg(F.count_distinct("content").alias("contents"), F.count_distinct("parent").alias("parents"), F.max("weight").alias("weight"))
     # A part of a larger subtree that recurs has that one parent only, and goes or stays with it.
-    counts = counts.select("host", "mark", F.when(F.col("mark") == 0, F.col("contents")).otherwise(F.least("contents", "parents")).alias("n"))
-    counts = stored(counts.filter((F.col("mark") == 0) | (F.col("n") >= least_pages)), "subtrees")
+    counts = counts.select("host", "mark", "weight", F.when(F.col("mark") == 0, F.col("contents")).otherwise(F.least("contents", "parents")).alias("n"))
+    counts = stored(counts.filter((F.col("mark") == 0) | (F.col("n") >= min(least_pages, SMALL_PAGES))), "subtrees")
     totals = counts.filter("mark = 0").select("host", F.col("n").alias("pages"))
-    template = counts.filter("mark <> 0").join(totals, "host").filter(F.col("n") >= F.col("pages") * least_share).select("host", "mark")
-    template = stored(template, "template")
-    dead = stored(marks.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("dead")), "dead")
-    whole = keyed.join(dead, "key", "left").select("page_id", "url", "dead", "html")
+    n, share = F.col("n"), F.col("pages") * least_share
+    small = (n >= SMALL_PAGES) & (F.col("weight") > 0) & (n >= F.col("pages") * SMALL_SHARE)
+    often = (n >= least_pages) & (n >= share) | small
+    # Each word makes it less likely that different pages have a block by chance, so long blocks need no share.
+    rare = (n >= least_pages) & (F.col("weight") > 0) & (n >= share / F.pow(F.lit(2.0), F.col("weight")))
+    template = stored(counts.filter("mark <> 0").join(totals, "host").filter(often | rare).select("host", "mark", often.alias("often")), "template")
+    sets = [F.collect_set(F.when(c, F.col("mark"))).alias(name) for name, c in (("dead", F.col("often")), ("rare", ~F.col("often")))]
+    dead = stored(marks.join(template, ["host", "mark"]).groupBy("key").agg(*sets), "dead")
+    whole = keyed.join(dead, "key", "left").select("page_id", "url", "dead", "rare", "html")
     return whole.mapInArrow(_texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

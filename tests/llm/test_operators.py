@@ -294,6 +294,20 @@ def test_elements_around_and_in_the_article_stay(spark):
     assert {r.page_id: r.text for r in got} == {k: t for k, (_, t) in enumerate(WRAPPED)}
 
 
+def test_template_of_sections_and_of_small_hosts(spark):
+    story = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    note = "<div><p>Members of our club save on every ticket</p></div>"
+    page = lambda k, more: f"<body><article><h2>{'Background' if k % 5 == 0 else f'Head {k}'}</h2><p>{story(k)} {'<em>not</em>' if k % 5 == 0 else 'not'} so</p>{more}</article></body>"
+    rows = [(k, f"http://big.org/{k}", page(k, note if k % 4 == 0 else "")) for k in range(120)]
+    rows += [(k, f"http://big.org/{k}", page(k, f"<p>{story(999)}</p><p>{story(998)}</p><p>{story(997)}</p>")) for k in range(120, 135)]
+    rows += [(k, f"http://small.org/{k}", f"<body><div><p>Join our club today</p></div><div><p>{story(k)}</p></div></body>") for k in range(200, 205)]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    head = lambda k: f"{'Background' if k % 5 == 0 else f'Head {k}'}\n{story(k)} not so"
+    assert all(got[k] == head(k) for k in range(120)) and all(got[k] == story(k) for k in range(200, 205))
+    # Near copies have most of their paragraphs in common, so these are their content.
+    assert all(got[k] == f"{head(k)}\n{story(999)}\n{story(998)}\n{story(997)}" for k in range(120, 135))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (300, 8)).astype("float32")
