@@ -1,14 +1,17 @@
 """Secret scans with a randomness test battery, with DataFrame operations only.
 
-Fixed patterns give the base spans. Beyond them, every long run of key characters is tested: its encoding is inferred
-from its alphabet, and chi-squared uniformity, runs and serial-correlation tests say how well it fits random symbols of
-that encoding. Words and identifiers fail these tests more surely the longer they are, so runs are judged within
-classes of length: the rate at which lower-case words of the corpus pass gives the expected false discoveries of each
-class, and only classes whose share of them stays under the limit report spans.
+Fixed patterns give the base spans. Beyond them, every long run of key characters, and every long segment of it between
+slashes and equals signs, is tested: its encoding is inferred from its alphabet, and chi-squared uniformity, runs and
+serial-correlation tests say whether it fits random symbols of that encoding. How much less likely it is as ordinary text
+(words, paths, names with numbers: characters that mostly stay in their class) gives each run a p-value of its own: a
+likelihood ratio of 2^b comes up in ordinary text with a probability of at most 2^-b. Within classes of length the
+Benjamini-Hochberg rule takes the runs that are reported, so a certain run stays whatever else its class holds.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +30,20 @@ CLASSES = (20, 28, 40, 56, 80, 120)
 #: Alphabets by encoding.
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "upper_hex": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: Each test's |z| must stay under this.
 MOST_Z = 3.0
-#: Largest share of expected false discoveries in a class of lengths.
+#: Largest expected share of false discoveries in a class of lengths.
 FALSE_SHARE = 0.05
-#: Words that pass and words seen before any are counted, so that a class with few words has a rate too.
-PRIOR = (1, 100)
+#: Segments of a run.
+SEGMENT = r"[A-Za-z0-9+_-]{20,}"
+#: Ordinary text: chances of a character to stay in its class and to change to one other, and the same after a separator.
+STAY, CHANGE, STAY_APART, CHANGE_APART = 0.85, 0.05, 0.15, 0.85 / 3
+#: Whole bits that p-values are counted by, at most.
+MOST_BITS = 200
 
 
 KINDS = ("assign", "access", "hex", "random")
@@ -92,42 +100,56 @@ def looks_random(token: Column, alphabet: str) -> Column:
     return (F.abs(chi_z) <= MOST_Z) & (F.abs(runs_z) <= MOST_Z) & (F.abs(serial_z) <= MOST_Z)
 
 
+def text_bits(token: Column, symbols: int) -> Column:
+    """log2 of how much likelier the token is as random symbols than as ordinary text."""
+    n = F.length(token)
+    of = lambda chars: n - F.length(F.regexp_replace(token, f"[{chars}]+", ""))
+    letters, digits, seps = of("A-Za-z"), of("0-9"), of("+/")
+    runs = F.length(F.regexp_replace(token, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x"))
+    left, double = F.regexp_count(token, F.lit("[+/](?=[A-Za-z0-9])")), F.regexp_count(token, F.lit("[+/](?=[+/])"))
+    text = (n - runs - double) * log2(STAY) + double * log2(STAY_APART) + (runs - 1 - left) * log2(CHANGE) + left * log2(CHANGE_APART)
+    return -log2(symbols) * n - (text - 2 - letters * log2(26) - digits * log2(10) - seps)
+
+
 def tested(text: Column) -> Column:
-    """Runs of key characters as an array of (start, stop, size, word, random): the place of their length's class,
-    whether they are lower-case words, and whether the battery takes them for random symbols of their encoding."""
+    """Runs of key characters and their segments as an array of (start, stop, size, bits, random): the place of their
+    length's class, the whole bits that they are away from ordinary text, and whether the battery takes them for random
+    symbols of their encoding. Lower-case words are ordinary text."""
 
     def test(s: Column) -> Column:
         token = F.translate(F.regexp_replace(s.match, "=+$", ""), "-_=", "+/")
-        random = (
-            F.when(F.length(token) < CLASSES[0], F.lit(False))
-            .when(token.rlike("^[0-9a-f]+$"), looks_random(token, ALPHABETS["hex"]))
-            .when(token.rlike("^[A-Z2-7]+$"), looks_random(token, ALPHABETS["base32"]))
-            .otherwise(looks_random(token, ALPHABETS["base64"]))
+        by_alphabet = lambda f: (
+            F.when(token.rlike("^[0-9a-f]+$"), f("hex")).when(token.rlike("^[0-9A-F]+$"), f("upper_hex")).when(token.rlike("^[A-Z2-7]+$"), f("base32")).otherwise(f("base64"))
         )
         size = sum(((F.length(s.match) >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
-        return F.struct(s.start.alias("start"), s.stop.alias("stop"), size.alias("size"), s.match.rlike("^[a-z]+$").alias("word"), random.alias("random"))
-
-    return F.transform(found(text, RUN), test)
-
-
-def open_classes(rows: DataFrame) -> list[int]:
-    """The classes of lengths whose expected share of false discoveries stays under the limit.
-
-    The pass rate of words is taken over a class and all shorter ones, which overstates it for long runs, and starts from
-    a prior; so a class without words of its own is judged too. A few counts for each class come to the driver.
-    """
-    each = rows.select(F.explode("tested").alias("t")).groupBy("t.size").agg(
-        F.count_if("t.word").alias("words"), F.count_if(F.col("t.word") & F.col("t.random")).alias("false_hits"), F.count_if(~F.col("t.word")).alias("others"), F.count_if(~F.col("t.word") & F.col("t.random")).alias("hits")
-    )
-    by_size = {r["size"]: r for r in each.collect()}
-    words = false_hits = 0
-    keep = []
-    for size in range(len(CLASSES)):
-        if r := by_size.get(size):
-            words, false_hits = words + r.words, false_hits + r.false_hits
-            if r.hits and (false_hits + PRIOR[0]) / (words + PRIOR[1]) * r.others / r.hits <= FALSE_SHARE:
-                keep.append(size)
-    return keep
+        ordinary = (F.length(token) < CLASSES[0]) | s.match.rlike("^[a-z]+$")
+        bits = F.greatest(F.lit(0), F.least(F.lit(MOST_BITS), F.floor(by_alphabet(lambda a: text_bits(token, len(ALPHABETS[a])))).cast("int")))
+        bits = F.when(ordinary, F.lit(0)).otherwise(bits)
+        random = F.when(ordinary, F.lit(False)).otherwise(by_alphabet(lambda a: looks_random(token, ALPHABETS[a])))
+        return F.struct(s.start.alias("start"), s.stop.alias("stop"), size.alias("size"), bits.alias("bits"), random.alias("random"))
+
+    def with_segments(s: Column) -> Column:
+        moved = lambda g: F.struct((s.start + g.start).alias("start"), (s.start + g.stop).alias("stop"), g.match.alias("match"))
+        return F.when(s.match.rlike("/|=[^=]"), F.concat(F.array(s), F.transform(found(s.match, SEGMENT), moved))).otherwise(F.array(s))
+
+    runs = F.flatten(F.transform(found(text, RUN), with_segments))
+    return F.transform(F.array_distinct(runs), test)
+
+
+def least_bits(rows: DataFrame) -> dict[int, int]:
+    """The bits from which on a class of lengths reports spans, by the Benjamini-Hochberg rule over all of its runs; runs
+    that the battery rejects have a p-value of 1. At most MOST_BITS counts for each class come to the driver."""
+    bits = F.when(F.col("t.random"), F.col("t.bits")).otherwise(F.lit(0))
+    each = rows.select(F.explode("tested").alias("t")).groupBy("t.size", bits.alias("bits")).agg(F.count("*").alias("n")).collect()
+    out = {}
+    for size in {r["size"] for r in each}:
+        counts = {r.bits: r.n for r in each if r["size"] == size}
+        total, hits = sum(counts.values()), 0
+        for b in sorted((b for b in counts if b), reverse=True):
+            hits += counts[b]
+            if 2.0**-b <= FALSE_SHARE * hits / total:
+                out[size] = b
+    return out
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -135,17 +157,21 @@ def scanned(docs: DataFrame) -> DataFrame:
     then kind, places in code points and stop exclusive.
 
     A null text is empty and has no spans; a null doc_id is kept; repeated rows are scanned alike; other columns are
-    not read; an empty table gives no rows. Spans of the battery that lie in a base span are left to it.
+    not read; an empty table gives no rows. Spans of the battery that meet a base span are left to it, and segments of a
+    run to the run where that is reported.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign, access, hexes = base_spans(text)
     place = lambda spans: F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place(assign).alias("assign"), place(access).alias("access"), place(hexes).alias("hex"), tested(text).alias("tested"))
     rows = stored(rows, "scanned")
-    open_sizes = open_classes(rows)
+    least = least_bits(rows)
+    lowest = F.array(*[F.lit(least.get(size, MOST_BITS + 1)) for size in range(len(CLASSES))])
     of_kind = lambda name, no: F.transform(name, lambda s: F.struct(s.start.alias("start"), F.lit(no).alias("kind"), s.stop.alias("stop")))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[of_kind(k, i) for i, k in enumerate(KINDS[:3])])))
-    more = F.filter("tested", lambda t: t.random & ~t.word & t["size"].isin(open_sizes) & ~F.exists("base", lambda b: (b.start < t.stop) & (t.start < b.stop)))
+    rows = rows.withColumn("hits", F.filter("tested", lambda t: t.random & (t.bits >= F.element_at(lowest, t["size"] + 1)) & ~F.exists("base", lambda b: (b.start < t.stop) & (t.start < b.stop))))
+    inside = lambda t, u: (u.start <= t.start) & (t.stop <= u.stop) & (u.stop - u.start > t.stop - t.start)
+    more = F.filter("hits", lambda t: ~F.exists("hits", lambda u: inside(t, u)))
     rows = rows.withColumn("more", F.transform(more, lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.stop.alias("stop"))))
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 

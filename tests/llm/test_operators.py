@@ -368,3 +368,18 @@ def test_secrets(spark, docs, none):
         assert set(base.split(",")) <= set(got[d].spans.split(","))
     assert "random" in got[9001].spans and "random" not in got[9002].spans
     assert secrets.scanned(none).count() == 0
+
+
+def test_certain_secrets_stay_among_many_paths(spark):
+    rng = random.Random(8)
+    pick = lambda name, n: "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n))
+    rows = [(k, "see " + "/".join(words(rng, 4).split())[:27] + f"/{k}") for k in range(3000)]
+    rows += [(10_000 + k, words(rng, 8).replace(" ", "")[:24]) for k in range(50)]
+    keys = [pick("base64", 26).replace("+", "A").replace("/", "b") for _ in range(20)]
+    rows += [(20_000 + k, f"is {key} here") for k, key in enumerate(keys)]
+    rows += [(30_000 + k, f"is {pick('upper_hex', 40)} here") for k in range(20)]
+    rows += [(40_000 + k, f"at www/files/articles/archive/documents/{pick('base64', 44).replace('/', 'b')}/view/pages/index") for k in range(20)]
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    hit = lambda a, b: sum("random" in got[k] for k in range(a, b))
+    assert hit(0, 3000) <= 3 and hit(10_000, 10_050) == 0
+    assert hit(20_000, 20_020) >= 18 and hit(30_000, 30_020) >= 18 and hit(40_000, 40_020) >= 18
