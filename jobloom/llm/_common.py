@@ -48,10 +48,25 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; all columns stay, whatever their names."""
-    ids = gone.select("doc_id").distinct().alias("g")
-    return docs.alias("d").join(ids, same(F.col("d.doc_id"), F.col("g.doc_id")), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, name, row: docs with a key of its own for each row, written once, so decisions can be carried by it.
+
+    name is a hash of doc_id and text, the same in each run; row holds all columns, whatever their names.
+    """
+    name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return stored(docs.select(F.monotonically_increasing_id().alias("key"), name.alias("name"), F.struct("*").alias("row")), "keyed")
+
+
+def only(rows: DataFrame, groups: DataFrame, best) -> DataFrame:
+    """The rows of keyed() that come first in their group, or are in none; all columns of docs.
+
+    groups (key, of): the groups, rows of none may lack. best makes an aggregate of key out of the columns key, name and doc_id.
+    """
+    groups = stored(groups, "groups")
+    ids = rows.select("key", "name", F.col("row.doc_id").cast("long").alias("doc_id"))
+    first = groups.join(ids, "key").groupBy("of").agg(best.alias("key")).select("key")
+    gone = stored(groups.select("key").join(first, "key", "left_anti"), "gone")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import same, stored, without
+from ._common import keyed, only, same, stored
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -118,8 +118,14 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the rows whose text another row keeps; all columns stay."""
-    return without(docs, exact_groups(docs, block_bytes).filter(~F.col("kept")))
+    """docs with one row for each text, the one with the largest doc_id; all columns stay.
+
+    A null doc_id comes after all others. Rows are told apart by keys of their own, so ids may be null or repeat.
+    """
+    rows = keyed(docs)
+    groups = exact_groups(rows.select(F.col("key").alias("doc_id"), "row.text"), block_bytes).filter("group_size > 1")
+    best = F.max(F.struct("doc_id", "name", "key"))["key"]
+    return only(rows, groups.select(F.col("doc_id").alias("key"), F.col("keep_id").alias("of")), best)
 
 
 ORACLE_SQL = """

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import keyed, stored
 from .prefix import buckets_for, running_total
 
 #: Weights of the sources in code point order, repeating.
@@ -74,32 +74,38 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return slots.select("slot", "source_no", "block", F.least(F.lit(block_words), F.col("goal") - F.col("block") * block_words).alias("words"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 7, key: str | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
 
     size counts words; a null text has none and is never taken. A null source is a source of its own, after the others.
     Documents stand by hash of doc_id, ties by doc_id and size, so reruns agree; a null doc_id is a value like any
-    other, and repeated rows are each taken for themselves. Other columns are not read. An empty table gives no rows.
+    other, and repeated rows are each taken for themselves. Other columns are not read, but for key, if one is named: a
+    number of each row, which breaks ties and is given back. An empty table gives no rows.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sized")
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.col(key) if key else F.lit(0)).cast("long").alias("key")), "sized")
     goals = stored(targets(sized, weights, percent, most).coalesce(1), "targets")
     slots = schedule(goals, block_words)
     shuffled = F.xxhash64("doc_id", F.lit(seed))
-    keyed = sized.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    keyed = keyed.withColumn("place", shuffled).withColumn("bucket", F.pmod("place", F.lit(buckets_for(sized.count()))))
-    empty = keyed.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    placed = running_total(keyed.filter("size > 0"), ["source_no"], "bucket", ["place", "doc_id", "size"], F.col("size"), "start")
+    rows = sized.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("place", shuffled).withColumn("bucket", F.pmod("place", F.lit(buckets_for(sized.count()))))
+    empty = rows.filter("size = 0").select("key", "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    placed = running_total(rows.filter("size > 0"), ["source_no"], "bucket", ["place", "doc_id", "size", "key"], F.col("size"), "start")
     passes = placed.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.col("start") + p * F.col("source_size"))))
     parts = passes.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
     met = parts.join(slots.select("source_no", "block", "words"), ["source_no", "block"], "left")
     begin = F.col("block") * block_words
     inside = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), begin + F.coalesce("words", F.lit(0))) - F.greatest(F.col("at"), begin))
-    taken = met.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum(inside).cast("long").alias("taken"))
-    return taken.drop("start").unionByName(empty)
+    taken = met.groupBy("key", "doc_id", "source", "size", "source_size", "target", "start").agg(F.sum(inside).cast("long").alias("taken"))
+    out = taken.drop("start").unionByName(empty)
+    return out if key else out.drop("key")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each as often as the mix takes it, to the nearest whole number; all columns stay. doc_id should be unique."""
-    times = mixed(docs, **options).select("doc_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("times")).filter("times > 0")
-    both = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return both.select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("t.times")))).select("row.*")
+    """docs, each as often as the mix takes it, to the nearest whole number; all columns stay.
+
+    Rows are told apart by keys of their own, so ids may be null or repeat; they stand by a hash of doc_id and text.
+    """
+    rows = keyed(docs)
+    taken = mixed(rows.select(F.col("name").alias("doc_id"), "row.text", "row.source", "key"), key="key", **options)
+    times = taken.select("key", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("times")).filter("times > 0")
+    return rows.join(times, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

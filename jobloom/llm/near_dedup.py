@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import same, stored, text_bytes, without
+from ._common import keyed, only, same, stored, text_bytes
 from .shingles import mix, shingle_sets
 
 #: 32 bands of two permutations (four values): a pair at similarity 0.8 misses all of them once in 10**7 times.
@@ -280,5 +280,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near copies, the one with the smallest doc_id; all columns stay."""
-    return without(docs, near_groups(docs, words, percent).filter(~F.col("kept")))
+    """docs with one row of each group of near copies, the one with the smallest doc_id; all columns stay.
+
+    A null doc_id comes after all others. Rows are told apart by keys of their own, so ids may be null or repeat, and
+    each text of a repeated id has its links.
+    """
+    rows = keyed(docs)
+    groups = near_groups(rows.select(F.col("key").alias("doc_id"), "row.text"), words, percent).filter("n_shingles > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name", "key"))["key"]
+    return only(rows, groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("of")), best)

@@ -52,6 +52,21 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(set(ids(packed[1]))) == sorted(set(ids(packed[0])))
 
 
+def test_null_and_repeated_ids(spark, corpus):
+    rng = random.Random(4)
+    a, b, c, e = (words(rng, 60) for _ in range(4))
+    rows = [(None, a), (2, a), (None, "unique"), (3, b), (9, b), (3, c), (None, e), (None, e), (7, c + " end"), (7, b + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", f"s{k}", k) for k, (d, t) in enumerate(rows)], DOCS)
+    pairs = lambda d: sorted(((r.doc_id, r.text or "") for r in d.collect()), key=str)
+    exact = corpus_pipeline.exact_stage(spark, docs, corpus)
+    assert pairs(exact) == sorted([(2, a), (None, "unique"), (9, b), (3, c), (None, e), (7, c + " end"), (7, b + " end"), (None, "")], key=str)
+    assert pairs(corpus_pipeline.near_stage(spark, exact, corpus)) == sorted([(2, a), (None, "unique"), (3, c), (None, e), (7, b + " end"), (None, "")], key=str)
+    many = spark.createDataFrame([(None if k % 2 else 1, f"{words(rng, 30)}", "en", f"s{k % 3}", k) for k in range(60)], DOCS)
+    mixed = corpus_pipeline.mixing_stage(spark, many, corpus)
+    assert max(r["count"] for r in mixed.groupBy("n_chars").count().collect()) <= 2
+    assert 1.3 * 60 <= mixed.count() <= 1.7 * 60
+
+
 def test_no_rows(spark, corpus):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
