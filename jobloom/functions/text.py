@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,8 +27,16 @@ WORK_NOTE = r"(?i)\s*[\(\[].*?(remote|hybrid|onsite|full[\s\-]?time|part[\s\-]?t
 BADGES = r"(?i)(\s+(remote|hybrid|on[\s\-]?site|full[\s\-]?time|part[\s\-]?time|contract|freelance|internship)(\s+(available|role|only))?\s*)+$"
 
 
+SPACE = " \t\n\x0b\f\r"
+
+
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often it is used: the variable of a one-element transform."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def or_empty(c: Column) -> Column:
@@ -50,10 +59,9 @@ def normalized(c: Column) -> Column:
 
 def location_bucket(c: Column) -> Column:
     """any, remote, or the city in 24 characters."""
-    low = strip(F.lower(or_empty(c)))
-    city = collapsed(F.regexp_replace(F.substring_index(low, ",", 1), r"[^\p{L}\p{N}_\s]", " "))
-    cut = F.substring(city, 1, 24)
-    return F.when(low == "", "any").when(low.rlike("|".join(REMOTE_HINTS)), "remote").when(cut == "", "any").otherwise(cut)
+    city = lambda low: F.substring(collapsed(F.regexp_replace(F.substring_index(low, ",", 1), r"[^\p{L}\p{N}_\s]", " ")), 1, 24)
+    named = lambda low: F.coalesce(or_null(city(low)), F.lit("any"))
+    return once(strip(F.lower(or_empty(c))), lambda low: F.when(low.rlike("|".join(REMOTE_HINTS)), "remote").otherwise(named(low)))
 
 
 def dedup_key(title: Column, company: Column, location: Column) -> Column:
@@ -131,19 +139,27 @@ def blob(title: Column, company: Column, description: Column, location: Column)
 
 
 def inferred_salary(text: Column) -> Column:
-    """struct(lo, hi) a year from monthly or hourly pay in a text: a monthly range, a monthly sum, an hourly rate."""
-    part = lambda p, k: F.regexp_extract(text, p, k).try_cast("int")
+    """struct(lo, hi) a year from monthly or hourly pay in a text: a monthly range, a monthly sum, an hourly rate.
+
+    Each pattern runs over the text once; its groups are read from what it found.
+    """
+    found = lambda p: F.regexp_extract(text, p, 0)
+    rate = F.when(F.contains(text, F.lit("$")) & F.contains(text, F.lit("/")), found(HOURLY))
+    hits = F.struct(found(MONTHLY_RANGE).alias("range"), found(MONTHLY_SINGLE).alias("single"), rate.alias("rate"))
+    part = lambda m, p, k: F.regexp_extract(m, p, k).try_cast("int")
     pair = lambda a, b: F.struct(a.cast("int").alias("lo"), b.cast("int").alias("hi"))
-    hour = part(HOURLY, 1)
-    year = hour * 2080
-    one = part(MONTHLY_SINGLE, 1) * 12
     none = F.lit(None).cast("int")
-    return (
-        F.when(part(MONTHLY_RANGE, 1).isNotNull(), pair(part(MONTHLY_RANGE, 1) * 12, part(MONTHLY_RANGE, 2) * 12))
-        .when(one.isNotNull(), pair(one, one))
-        .when((hour > 1) & (hour < 100), pair(year, year))
-        .otherwise(pair(none, none))
-    )
+
+    def pay(m: Column) -> Column:
+        low, one, hour = part(m["range"], MONTHLY_RANGE, 1), part(m["single"], MONTHLY_SINGLE, 1), part(m["rate"], HOURLY, 1)
+        return (
+            F.when(low.isNotNull(), pair(low * 12, part(m["range"], MONTHLY_RANGE, 2) * 12))
+            .when(one.isNotNull(), pair(one * 12, one * 12))
+            .when((hour > 1) & (hour < 100), pair(hour * 2080, hour * 2080))
+            .otherwise(pair(none, none))
+        )
+
+    return once(hits, pay)
 
 
 def redacted(c: Column) -> Column:

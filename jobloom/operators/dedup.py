@@ -20,12 +20,14 @@ def split_by_key(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def richest(postings: DataFrame) -> DataFrame:
     """One row for each valid dedup_key: highest tier, then listed pay, then the longest description, then the first by
-    seq. Rows without a valid key pass through. An aggregate, so rows meet map-side first and nothing is sorted."""
-    valid, other = split_by_key(postings)
+    seq. Rows without a valid key pass through, each as a group of its own. One aggregate over one reading of postings,
+    so rows meet map-side first and each key is made once."""
+    solo = F.when(~T.valid_key(F.col("dedup_key")), F.monotonically_increasing_id())
     paid = ((F.coalesce("salary_min_usd", F.lit(0)) != 0) | (F.coalesce("salary_max_usd", F.lit(0)) != 0)).cast("int")
     rank = F.struct("source_tier", paid, F.length(T.or_empty(F.col("description"))), -F.col("seq"))
-    best = valid.groupBy(F.col("dedup_key").alias("_key")).agg(F.max_by(F.struct(*valid.columns), rank).alias("r")).select("r.*")
-    return best.unionByName(other)
+    rows = postings.withColumn("_solo", solo)
+    best = rows.groupBy(F.when(F.col("_solo").isNull(), F.col("dedup_key")).alias("_key"), "_solo").agg(F.max_by(F.struct(*postings.columns), rank).alias("r"))
+    return best.select("r.*")
 
 
 def repair_collisions(rows: DataFrame, day) -> DataFrame:

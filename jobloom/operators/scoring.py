@@ -154,11 +154,15 @@ def band_penalty(c: ScoreConfig) -> Column:
     """struct(value, reason): listed pay, or else pay inferred from the text, that is wholly outside the band."""
     listed = [F.when(F.col(x) > 0, F.col(x)) for x in ("salary_min_usd", "salary_max_usd")]
     guess = F.when(F.coalesce(*listed).isNull(), T.inferred_salary(F.col("_blob")))
-    lo, hi = F.coalesce(listed[0], guess["lo"]), F.coalesce(listed[1], guess["hi"])
-    top, bottom = F.coalesce(hi, lo), F.coalesce(lo, hi)
     out = lambda word, side, v: F.struct(F.lit(-c.penalty).alias("value"), F.concat(F.lit(f"-{c.penalty} {word}-band: {side}="), v.cast("string")).alias("reason"))
     none = F.struct(F.lit(0).alias("value"), F.lit(None).cast("string").alias("reason"))
-    return F.when(top < c.band[0], out("below", "max", top)).when(bottom > c.band[1], out("above", "min", bottom)).otherwise(none)
+
+    def judged(g: Column) -> Column:
+        lo, hi = F.coalesce(listed[0], g["lo"]), F.coalesce(listed[1], g["hi"])
+        top, bottom = F.coalesce(hi, lo), F.coalesce(lo, hi)
+        return F.when(top < c.band[0], out("below", "max", top)).when(bottom > c.band[1], out("above", "min", bottom)).otherwise(none)
+
+    return T.once(guess, judged)
 
 
 def prepared(postings: DataFrame) -> DataFrame:
