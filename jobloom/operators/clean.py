@@ -49,6 +49,12 @@ def relevant(mode: Column, haystack: Column, function_words: str, default_words:
     return F.when(mode == "function", haystack.rlike(function_words)).otherwise(haystack.rlike(default_words))
 
 
+def url_violations(url: Column, most: int = 1000) -> Column:
+    """What is wrong with a link, joined by commas: scheme, credentials, length."""
+    scheme = ~F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")).isin("http", "https"), F.lit(False))
+    return F.concat_ws(",", F.when(scheme, "scheme"), F.when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "credentials"), F.when(F.length(url) > most, "length"))
+
+
 def is_feed(category: Column, name: Column) -> Column:
     low = F.lower(T.or_empty(name))
     return category.eqNullSafe("X_Feed") | low.startswith("x: @") | low.startswith("x:@")

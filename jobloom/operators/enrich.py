@@ -46,8 +46,25 @@ def rescued(postings: DataFrame, terms: list[str], floor: int, warm: int, least_
     return postings.filter((F.col("score_total") >= floor) & (F.col("score_total") < warm)).withColumn("hits", term_hits(text, terms)).filter(F.col("hits") >= least_hits)
 
 
-def run_limit(scored: int, backlog_below: int, normal: int, backlog: int) -> int:
-    return backlog if scored < backlog_below else normal
+def run_limit(scored: Column, backlog_below: int = 100, normal: int = 1000, backlog: int = 2000) -> Column:
+    return F.when(scored < backlog_below, backlog).otherwise(normal)
+
+
+def matched(responses: DataFrame, requests_: DataFrame) -> DataFrame:
+    """responses with the flag known: a request with their custom_id was sent."""
+    asked = requests_.select("custom_id").distinct().withColumn("known", F.lit(True))
+    return responses.join(asked, "custom_id", "left").withColumn("known", F.col("known").isNotNull())
+
+
+def outcomes(responses: DataFrame, by: str) -> DataFrame:
+    """Counts of failed, unparsed and good answers (outcome, body)."""
+    failed, parsed = F.col("outcome") != "succeeded", F.col("body").isNotNull()
+    return responses.groupBy(by).agg(F.count_if(failed).alias("errored"), F.count_if(~failed & ~parsed).alias("json_failed"), F.count_if(~failed & parsed).alias("ok"), F.count("*").alias("total"))
+
+
+def usage(responses: DataFrame) -> DataFrame:
+    """Tokens of failed and of other answers."""
+    return responses.groupBy((F.col("outcome") != "succeeded").alias("errored")).agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"))
 
 
 # --- requests -------------------------------------------------------------------------------------------------------
@@ -188,13 +205,17 @@ def skill_terms(graph: Column, least: int = 3) -> Column:
     return F.transform(F.filter(graph.skills, lambda s: F.length(s["name"]) >= least), lambda s: F.lower(s["name"]))
 
 
-CITY_COUNTRY = r"^\s*(?:Location|Based in|Address)?\s*:?\s*([A-Z][\p{L} .'\-]+,\s*[A-Z][\p{L} .'\-]+)\s*$"
+# Places that are known by name, a word and a place, and two names with a comma between them.
+KNOWN_PLACE = r"\b(Buenos Aires|Rosario|Córdoba|Mendoza|Argentina|CABA|[A-Z][a-z]+,\s*[A-Z][a-zA-Z ]+)\b"
+TWO_NAMES = r"([A-Z][a-zA-Z ]{2,}),\s*([A-Z][a-zA-Z ]{2,})"
+LINE_ENDS = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def profile_location(text: Column, lines: int = 30) -> Column:
-    """The first line of the head that is a city and a country."""
-    head = F.slice(F.split(text, "\n"), 1, lines)
-    return F.regexp_extract(F.try_element_at(F.filter(head, lambda s: s.rlike(CITY_COUNTRY)), F.lit(1)), CITY_COUNTRY, 1)
+    """The first place in the first lines of a profile: known places in any of them come before two names with a comma."""
+    head = lambda t: F.slice(F.split(t, LINE_ENDS), 1, lines)
+    first = lambda rows, p: F.try_element_at(F.filter(F.transform(rows, lambda s: F.regexp_extract(s, p, 0)), lambda s: s != ""), F.lit(1))
+    return T.once(head(text), lambda rows: T.strip(F.coalesce(first(rows, KNOWN_PLACE), first(rows, TWO_NAMES))))
 
 
 def city_country(place: Column) -> Column:

@@ -73,3 +73,8 @@ def new_alerts(tripped: DataFrame, sent: DataFrame) -> DataFrame:
     """Alerts (month_start, scope, operation) that were not sent; global ones are one for a month, whichever stage tripped."""
     keyed = tripped.withColumn("operation", F.when(F.col("scope") == "global", "*").otherwise(F.col("operation"))).distinct()
     return keyed.join(sent, ["month_start", "scope", "operation"], "left_anti")
+
+
+def log_rows(ledger: DataFrame, chars: int = 500) -> DataFrame:
+    """Rows as they are appended: notes in so many characters."""
+    return ledger.withColumn("notes", F.substring("notes", 1, chars))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,17 @@ UPSERTED = ("title", "company", "location", "description", "apply_url", "source"
 SALARY = ("salary_min_usd", "salary_max_usd", "salary_source")
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str = "dedup_key") -> DataFrame:
-    """current with incoming rows put in by key, one row a key. A new row takes all it has and is active."""
+def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row for each key: the last by order, if there is one, and then by all values. Rows whose keys are all null stay."""
+    rank = F.struct(*([order] if order in rows.columns else []), *rows.columns)
+    none = F.when(reduce(and_, [F.col(k).isNull() for k in keys]), F.monotonically_increasing_id())
+    return rows.withColumn("_none", none).groupBy(*[F.col(k).alias(f"_{k}") for k in keys], "_none").agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select("r.*")
+
+
+def upsert(current: DataFrame, incoming: DataFrame, key: str = "dedup_key", order: str = "seq") -> DataFrame:
+    """current with incoming rows put in by key, one row a key. A new row takes all it has and is active. Of incoming rows
+    with one key the last by order counts."""
+    incoming = latest(incoming, [key], order)
     c, i = current.alias("c"), incoming.alias("i")
     both = c.join(i, F.col(f"c.{key}") == F.col(f"i.{key}"), "full")
     has, old = F.col(f"i.{key}").isNotNull(), F.col(f"c.{key}").isNotNull()
@@ -30,22 +42,29 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "dedup_key") -> D
     return both.select(*[(F.coalesce(F.col(f"i.{key}"), F.col(f"c.{key}")) if n == key else pick(n)).alias(n) for n in current.columns])
 
 
-def patched(current: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
-    """current with the values of patches that are not null; ids that current lacks are ignored."""
-    names = [n for n in patches.columns if n != key]
-    p = patches.select(F.col(key), *[F.col(n).alias(f"_{n}") for n in names])
+def patched(current: DataFrame, patches: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+    """current with the values of patches that are not null; ids that current lacks are ignored. Of several patches of an
+    id the last value by order counts that is not null, column by column."""
+    names = [n for n in patches.columns if n not in (key, order)]
+    at = [F.col(order)] if order in patches.columns else []
+    last = lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*at, F.col(n))))
+    p = patches.groupBy(key).agg(*[last(n).alias(f"_{n}") for n in names])
     rows = current.join(p, key, "left")
     return rows.select(*[F.coalesce(F.col(f"_{n}"), F.col(n)).alias(n) if n in names else F.col(n) for n in current.columns])
 
 
-def score_upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Last write wins for each (job_id, profile_id)."""
+def score_upsert(current: DataFrame, incoming: DataFrame, order: str = "seq") -> DataFrame:
+    """Last write wins for each (job_id, profile_id), among incoming rows by order."""
+    incoming = latest(incoming, ["job_id", "profile_id"], order).select(*current.columns)
     return current.join(incoming, ["job_id", "profile_id"], "left_anti").unionByName(incoming)
 
 
-def geo_marked(postings: DataFrame, marks: DataFrame) -> DataFrame:
-    """marks (id, reason): all are filtered; those with a reason are inactive and keep it."""
-    rows = postings.join(marks.select("id", F.lit(True).alias("_m"), F.col("reason").alias("_r")), "id", "left")
+def geo_marked(postings: DataFrame, marks: DataFrame, order: str = "seq") -> DataFrame:
+    """marks (id, reason): all are filtered; those with a reason are inactive and keep it. Of several reasons of an id the
+    last by order counts."""
+    at = [F.col(order)] if order in marks.columns else []
+    last = F.max_by("reason", F.when(F.col("reason").isNotNull(), F.struct(*at, F.col("reason"))))
+    rows = postings.join(marks.groupBy("id").agg(F.lit(True).alias("_m"), last.alias("_r")), "id", "left")
     marked = F.col("_m").isNotNull()
     return rows.withColumns({
         "geo_filtered": F.col("geo_filtered") | marked,
@@ -77,14 +96,16 @@ def activated(profiles: DataFrame, user_id: int, profile_id: int) -> DataFrame:
 
 
 def status_changes(applications: DataFrame, changes: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    """changes (id, status, at): applied_at is set once, updated_at at every change; unknown statuses are rejected."""
-    ok = changes.filter(F.col("status").isin(*statuses)).select("id", F.col("status").alias("_s"), F.col("at").alias("_at"))
+    """changes (id, status, at): applied_at is set once, by the first change that applies; updated_at at every change, and
+    the last one's status stays; unknown statuses are rejected."""
+    known = changes.filter(F.col("status").isin(*statuses))
+    ok = known.groupBy("id").agg(F.max_by("status", F.struct("at", "status")).alias("_s"), F.max("at").alias("_at"), F.min(F.when(F.col("status") == "applied", F.col("at"))).alias("_first"))
     rows = applications.join(ok, "id", "left")
     return rows.withColumns({
-        "applied_at": F.coalesce("applied_at", F.when(F.col("_s") == "applied", F.col("_at"))),
+        "applied_at": F.coalesce("applied_at", "_first"),
         "status": F.coalesce("_s", "status"),
         "updated_at": F.coalesce("_at", "updated_at"),
-    }).drop("_s", "_at")
+    }).drop("_s", "_at", "_first")
 
 
 def idempotent_insert(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -113,6 +134,38 @@ def requeued(postings: DataFrame, since: Column) -> DataFrame:
     return postings.withColumns(columns | {"geo_filtered": F.col("geo_filtered") & ~F.col("is_active")})
 
 
+def with_sentinels(postings: DataFrame) -> DataFrame:
+    """Views show a sentinel where an enum says that nothing is classified."""
+    return postings.fillna(SENTINELS)
+
+
+def with_snapshots(applications: DataFrame, postings: DataFrame) -> DataFrame:
+    """applications with the title of the posting, or the one kept with the application where the posting has gone."""
+    live = postings.select(F.col("id").alias("job_id"), "title")
+    return applications.join(live, "job_id", "left").withColumn("title", F.coalesce("title", "job_title_snapshot"))
+
+
+def orphans(scores: DataFrame, profiles: DataFrame, profile: str = "profile_id") -> DataFrame:
+    """scores with the flag kept: their profile is still there."""
+    known = profiles.select(F.col("id").alias(profile)).distinct().withColumn("_has", F.lit(True))
+    return scores.join(known, profile, "left").withColumn("kept", F.col("_has").isNotNull()).drop("_has")
+
+
+def active_profiles(profiles: DataFrame) -> DataFrame:
+    """The active profile of each user, the first by id."""
+    return profiles.filter("is_active").groupBy("user_id").agg(F.min("id").alias("profile_id"))
+
+
+def newest_first(applications: DataFrame) -> DataFrame:
+    """applications with their rank for each user, the last changed first."""
+    return applications.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), "id")))
+
+
+def rescore_window(postings: DataFrame, since: Column) -> DataFrame:
+    """Rows of a window that were rejected for their place and are to be judged again."""
+    return postings.filter((F.col("first_seen_at") >= since) & F.col("geo_reject_reason").isNotNull())
+
+
 def deleted_profiles(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (id, user_id) with outcome: missing, not owned, active or deleted."""
     p = profiles.select(F.col("id"), F.col("user_id").alias("_owner"), F.col("is_active").alias("_active"))

@@ -111,6 +111,11 @@ def last_page(total: int, size: int, wanted: int) -> int:
     return max(1, min(wanted, -(-total // size)))
 
 
+def clamped_page(rows: DataFrame, order: list[Column], size: int, wanted: int) -> DataFrame:
+    """The wanted page, from 1, or the last one where it is past the end. The number of rows comes to the driver."""
+    return page(rows, order, size, (last_page(rows.count(), size, wanted) - 1) * size)
+
+
 #: Named views: days back and rows.
 VIEWS = {"today": (1, 60), "week": (7, 100), "archive": (60, 50)}
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, dedup, enrich, scoring, serving
+from ..operators import clean, dedup, enrich, lifecycle, reports, scoring, serving
 from . import bindings as B
 from . import sql as S
 from .registry import query
@@ -107,6 +108,29 @@ def f7_serving_filter(spark, sf_dir):
     return serving.filtered(_joined(spark, sf_dir), f).select("id", "match_score")
 
 
+#: Parameters as they come, and the conditions that are left of them.
+ASKED = (
+    ({"function": "Marketing", "salaryFloor": "60000", "q": "th"}, "function_category = 'Marketing' AND (salary_max_usd IS NULL OR salary_max_usd >= 60000) AND (title ILIKE '%th%' OR company ILIKE '%th%')"),
+    ({"function": "Wizardry", "vertical": "Fintech", "matchMin": "60"}, "vertical = 'Fintech' AND match_score >= 60"),
+    ({"seniority": ["Senior", "Mid"], "salaryFloor": "much", "remote": "Remote"}, "remote_status = 'Remote'"),
+    ({"seniority": "Senior", "matchMin": "inf", "q": ""}, "seniority = 'Senior'"),
+)
+
+
+@query(B.with_tables(" UNION ALL ".join(f"SELECT {k} AS asked, id FROM joined WHERE {SERVED} AND {sql}" for k, (_, sql) in enumerate(ASKED)), B.POSTINGS, B.SCORES, JOINED))
+def f8_filter_parameters(spark, sf_dir):
+    rows = _joined(spark, sf_dir)
+    each = [serving.filtered(rows, serving.parse_filters(p)).select(F.lit(k).alias("asked"), "id") for k, (p, _) in enumerate(ASKED)]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+@query(B.with_tables(
+    f"SELECT id, rank, total_count FROM (SELECT id, CAST(row_number() OVER (ORDER BY {ORDER}) AS INT) AS rank, count(*) OVER () AS total_count FROM joined WHERE {SERVED}) WHERE rank > (total_count - 1) // 50 * 50", B.POSTINGS, B.SCORES, JOINED))
+def k3_page_past_the_end(spark, sf_dir):
+    rows = serving.filtered(_joined(spark, sf_dir), serving.Filters())
+    return serving.clamped_page(rows, serving.ranked_order(), 50, 10**9).select("id", "rank", "total_count")
+
+
 @query(B.with_tables(f"SELECT id FROM postings WHERE first_seen_at >= greatest(TIMESTAMP '{B.AS_OF}' - INTERVAL 60 DAY, TIMESTAMP '{B.AS_OF}' - INTERVAL 30 DAY)", B.POSTINGS))
 def f9_effective_cutoff(spark, sf_dir):
     return _p(spark, sf_dir).filter(F.col("first_seen_at") >= serving.cutoff(B.AS_OF, 60, serving.POSTED_WITHIN["30d"])).select("id")
@@ -140,14 +164,12 @@ URLS = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://use
 
 @query(f"WITH t AS (SELECT page_id AS id, {URLS} AS u FROM pages) SELECT id, concat_ws(',', CASE WHEN NOT {_re('u', '^https?://')} THEN 'scheme' END, CASE WHEN {_re('u', '^[a-z]+://[^/?#]*@')} THEN 'credentials' END, CASE WHEN length(u) > 1000 THEN 'length' END) AS violations FROM t")
 def f14_url_validity(spark, sf_dir):
-    u = F.expr(URLS)
-    bad = F.concat_ws(",", F.when(~F.coalesce(F.try_parse_url(u, F.lit("PROTOCOL")).isin("http", "https"), F.lit(False)), "scheme"), F.when(F.try_parse_url(u, F.lit("USERINFO")).isNotNull(), "credentials"), F.when(F.length(u) > 1000, "length"))
-    return B.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), bad.alias("violations"))
+    return B.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), clean.url_violations(F.expr(URLS)).alias("violations"))
 
 
 @query(B.with_tables("SELECT id FROM postings WHERE first_seen_at >= TIMESTAMP '2024-01-20' AND geo_reject_reason IS NOT NULL", B.POSTINGS))
 def f15_rescore_window(spark, sf_dir):
-    return _p(spark, sf_dir).filter((F.col("first_seen_at") >= B.at("2024-01-20")) & F.col("geo_reject_reason").isNotNull()).select("id")
+    return lifecycle.rescore_window(_p(spark, sf_dir), B.at("2024-01-20")).select("id")
 
 
 @query(B.with_tables("SELECT id, match_score FROM joined", B.POSTINGS, B.SCORES, JOINED))
@@ -176,8 +198,7 @@ def j3_unscored(spark, sf_dir):
 
 @query(B.with_tables("SELECT p.id, a.user_id, min(a.id) AS application_id FROM postings p LEFT JOIN applications a ON a.job_id = p.id GROUP BY ALL", B.POSTINGS, B.APPLICATIONS))
 def j5_saved_map(spark, sf_dir):
-    own = B.applications(spark, sf_dir).groupBy(F.col("job_id").alias("id"), "user_id").agg(F.min("id").alias("application_id"))
-    return _p(spark, sf_dir).select("id").join(own, "id", "left")
+    return reports.saved_map(_p(spark, sf_dir), B.applications(spark, sf_dir))
 
 
 TERMS = ("the", "tion", "wh", "enau", "leaux", "der", "que", "ción")
@@ -234,8 +255,7 @@ def k8_week_view(spark, sf_dir):
 
 @query(B.with_tables(f"SELECT user_id, id, {B.sql_stamp('updated_at')}, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id) AS INT) AS rank FROM applications", B.APPLICATIONS))
 def k9_newest_first(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), "id"))
-    return B.applications(spark, sf_dir).withColumn("rank", rank).select("user_id", "id", B.stamp("updated_at"), "rank")
+    return lifecycle.newest_first(B.applications(spark, sf_dir)).select("user_id", "id", B.stamp("updated_at"), "rank")
 
 
 EXPORT = ("id", "title", "company", "apply_url", "salary_min_usd", "match_score")
@@ -262,4 +282,4 @@ def w2_page_total(spark, sf_dir):
 
 @query(B.with_tables("SELECT user_id, min(id) AS profile_id FROM profiles WHERE is_active GROUP BY user_id", B.PROFILES))
 def w8_active_profile(spark, sf_dir):
-    return B.profiles(spark, sf_dir).filter("is_active").groupBy("user_id").agg(F.min("id").alias("profile_id"))
+    return lifecycle.active_profiles(B.profiles(spark, sf_dir))

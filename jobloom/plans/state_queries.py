@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, dedup, enrich, health, ledger, lifecycle, scoring
+from ..operators import clean, dedup, enrich, health, ledger, lifecycle, reports, scoring
 from ..schemas import APPLICATION_STATUSES
 from . import bindings as B
 from . import sql as S
@@ -97,24 +97,12 @@ def a8_mean_cost(spark, sf_dir):
       WHEN '2-HIGH' THEN (SELECT count(*) FROM postings WHERE is_active AND NOT geo_filtered AND remote_status IS NOT NULL) ELSE (SELECT count(*) FROM postings WHERE is_active AND score_total >= 40) END AS n
       FROM known LEFT JOIN seen USING (operation))""", B.POSTINGS, B.LEDGER, KNOWN, SEEN))
 def a9_rescore_estimate(spark, sf_dir):
-    p = _p(spark, sf_dir)
-    scope = p.agg(
-        F.count_if(F.col("function_category").isNull() & F.col("is_active") & (F.col("score_total") >= 40)).alias("1-URGENT"),
-        F.count_if(F.col("is_active") & ~F.col("geo_filtered") & F.col("remote_status").isNotNull()).alias("2-HIGH"),
-        F.count_if(F.col("is_active") & (F.col("score_total") >= 40)).alias("cv_score"),
-    )
-    counts = scope.select(F.explode(F.create_map(*[x for o in FALLBACK for x in (F.lit(o), F.col(o))])).alias("operation", "jobs"))
-    cost = F.col("jobs") * F.col("usd_per_job")
-    return counts.join(_mean(spark, sf_dir), "operation").select("operation", "jobs", F.round(cost, 6).alias("estimate"), F.when(cost > 0.001, "TRIPS CAP").otherwise("OK").alias("headroom"))
+    return reports.rescore_estimate(_p(spark, sf_dir), _mean(spark, sf_dir), {"1-URGENT": "classify", "2-HIGH": "geo", "cv_score": "score"}, 40, 0.001)
 
 
 @query(B.with_tables("SELECT (SELECT count(*) FROM postings WHERE is_active) AS indexed, count(match_score) AS scored, CAST(floor(avg(match_score) + 0.5) AS BIGINT) AS average, (SELECT count(*) FROM applications WHERE status = 'saved') AS saved FROM scores", B.POSTINGS, B.SCORES, B.APPLICATIONS))
 def a10_stats_bar(spark, sf_dir):
-    a = _p(spark, sf_dir).agg(F.count_if("is_active").alias("indexed"))
-    b = B.scores(spark, sf_dir).agg(F.count("match_score").alias("scored"), F.floor(F.avg("match_score") + 0.5).alias("average"))
-    c = B.applications(spark, sf_dir).agg(F.count_if(F.col("status") == "saved").alias("saved"))
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(a).join(one(b), "_one").join(one(c), "_one").drop("_one")
+    return reports.stats_bar(_p(spark, sf_dir), B.scores(spark, sf_dir), B.applications(spark, sf_dir))
 
 
 @query(B.with_tables("SELECT coalesce(source, '?') AS source, count(*) FILTER (is_active) AS live, count(*) FILTER (is_active AND first_seen_at >= TIMESTAMP '2024-02-20') AS fresh FROM postings GROUP BY 1", B.POSTINGS))
@@ -123,8 +111,7 @@ def a11_source_counts(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    on = F.col("is_active")
-    return _p(spark, sf_dir).groupBy(F.coalesce("source", F.lit("?")).alias("source")).agg(F.count_if(on).alias("live"), F.count_if(on & (F.col("first_seen_at") >= B.at("2024-02-20"))).alias("fresh"))
+    return reports.source_counts(_p(spark, sf_dir), B.at("2024-02-20"))
 
 
 LATEST = "latest AS (SELECT * FROM health QUALIFY row_number() OVER (PARTITION BY source ORDER BY run_at DESC, seq DESC) = 1)"
@@ -165,10 +152,7 @@ def a14_cleanup_counts(spark, sf_dir):
 
 @query(B.with_tables("SELECT coalesce(nullif(status, ''), 'saved') AS status, 0 AS n FROM applications WHERE false UNION ALL SELECT s.status, count(a.id) FROM (SELECT unnest(['saved', 'applied', 'interview', 'offer', 'rejected', 'stale']) AS status) s LEFT JOIN applications a ON a.status = s.status GROUP BY s.status", B.APPLICATIONS))
 def a21_board(spark, sf_dir):
-    names = spark.createDataFrame([(s,) for s in APPLICATION_STATUSES], "status string")
-    known = F.when(F.col("status").isin(*APPLICATION_STATUSES), F.col("status")).otherwise("saved")
-    counts = B.applications(spark, sf_dir).groupBy(known.alias("status")).agg(F.count("*").alias("n"))
-    return names.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+    return reports.board(B.applications(spark, sf_dir))
 
 
 @query(B.with_tables(f"SELECT id, {B.sql_stamp('run_at')} FROM ledger WHERE {MONTH}", B.LEDGER))
@@ -287,12 +271,15 @@ COLUMNS = "dedup_key, title, score_total, salary_min_usd, is_active, geo_filtere
 
 
 def _tables(spark, sf_dir):
-    """All postings as the current table, and all of them again as incoming rows under other keys, half of which are known."""
+    """All postings as the current table, and all of them again as incoming rows under other keys, each of two rows."""
     p = _p(spark, sf_dir)
-    return tuple(p.withColumn("dedup_key", F.concat(F.lit("k"), (F.col("id") * k).cast("string"))) for k in (1, 2))
+    named = lambda k: p.withColumn("dedup_key", F.concat(F.lit("k"), k.cast("string")))
+    return named(F.col("id")), named((F.col("id") - F.col("id") % 2) * 2)
 
 
-TABLES = "cur AS (SELECT *, 'k' || id AS dedup_key FROM postings), inc AS (SELECT *, 'k' || id * 2 AS dedup_key FROM postings)"
+#: Pairs of incoming rows have one key.
+TABLES = """cur AS (SELECT *, 'k' || id AS dedup_key FROM postings),
+inc AS (SELECT * FROM (SELECT *, 'k' || (id - id % 2) * 2 AS dedup_key FROM postings) QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY seq DESC) = 1)"""
 
 
 @query(B.with_tables(
@@ -305,25 +292,29 @@ def m1_upsert(spark, sf_dir):
     return lifecycle.upsert(*_tables(spark, sf_dir)).select(*COLUMNS.split(", "))
 
 
-@query(B.with_tables("SELECT p.id, coalesce(q.seniority, p.seniority) AS seniority, coalesce(q.vertical, p.vertical) AS vertical FROM postings p LEFT JOIN (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'Lead' END AS seniority, CASE WHEN toxic = 1 THEN 'AI' END AS vertical FROM labels) q USING (id)", B.POSTINGS))
+@query(B.with_tables("SELECT p.id, coalesce(q.seniority, p.seniority) AS seniority, coalesce(q.vertical, p.vertical) AS vertical FROM postings p LEFT JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'Staff' WHEN quality = 1 THEN 'Lead' END AS seniority, CASE WHEN toxic = 1 THEN 'AI' WHEN doc_id % 2 = 0 THEN 'B2B' END AS vertical FROM labels) q USING (id)", B.POSTINGS))
 def m2_patch_merge(spark, sf_dir):
-    patches = B.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "Lead").alias("seniority"), F.when(F.col("toxic") == 1, "AI").alias("vertical"))
+    patch = lambda n, seniority, vertical: B.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(n).alias("seq"), seniority.alias("seniority"), vertical.alias("vertical"))
+    i = F.col("doc_id")
+    patches = patch(1, F.when(F.col("quality") == 1, "Lead"), F.when(i % 2 == 0, "B2B")).unionByName(patch(2, F.when(i % 3 == 0, "Staff"), F.when(F.col("toxic") == 1, "AI")))
     return lifecycle.patched(_p(spark, sf_dir), patches).select("id", "seniority", "vertical")
 
 
-NEW_SCORES = "fresh AS (SELECT job_id, (profile_id + job_id % 2) % 3 AS profile_id, 77 AS match_score FROM scores)"
+NEW_SCORES = "fresh AS (SELECT job_id, (profile_id + job_id % 2) % 3 AS profile_id, CASE WHEN job_id % 3 = 0 THEN 88 ELSE 77 END AS match_score FROM scores)"
 
 
 @query(B.with_tables("SELECT job_id, profile_id, match_score FROM fresh UNION ALL SELECT job_id, profile_id, match_score FROM scores s WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.job_id = s.job_id AND f.profile_id = s.profile_id)", B.SCORES, NEW_SCORES))
 def m3_score_upsert(spark, sf_dir):
     s = B.scores(spark, sf_dir)
-    fresh = s.withColumn("profile_id", (F.col("profile_id") + F.col("job_id") % 2) % 3).withColumn("match_score", F.lit(77))
+    fresh = s.withColumn("profile_id", (F.col("profile_id") + F.col("job_id") % 2) % 3).withColumns({"match_score": F.lit(77), "seq": F.lit(1)})
+    fresh = fresh.unionByName(fresh.filter("job_id % 3 = 0").withColumns({"match_score": F.lit(88), "seq": F.lit(2)}))
     return lifecycle.score_upsert(s, fresh).select("job_id", "profile_id", "match_score")
 
 
-@query(B.with_tables("SELECT p.id, geo_filtered OR m.id IS NOT NULL AS geo_filtered, is_active AND NOT (m.id IS NOT NULL AND m.reason IS NOT NULL) AS is_active, coalesce(m.reason, geo_reject_reason) AS geo_reject_reason FROM postings p LEFT JOIN (SELECT conv_id AS id, max(CASE WHEN role = 'system' THEN 'policy' END) AS reason FROM conversations GROUP BY conv_id) m USING (id)", B.POSTINGS))
+@query(B.with_tables("SELECT p.id, geo_filtered OR m.id IS NOT NULL AS geo_filtered, is_active AND NOT (m.id IS NOT NULL AND m.reason IS NOT NULL) AS is_active, coalesce(m.reason, geo_reject_reason) AS geo_reject_reason FROM postings p LEFT JOIN (SELECT conv_id AS id, arg_max(role || ' ' || turn, turn) FILTER (turn % 3 = 2) AS reason FROM conversations GROUP BY conv_id) m USING (id)", B.POSTINGS))
 def m4_geo_marks(spark, sf_dir):
-    marks = B.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max(F.when(F.col("role") == "system", "policy")).alias("reason"))
+    reason = F.when(F.col("turn") % 3 == 2, F.concat_ws(" ", "role", F.col("turn").cast("string")))
+    marks = B.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), reason.alias("reason"))
     return lifecycle.geo_marked(_p(spark, sf_dir), marks).select("id", "geo_filtered", "is_active", "geo_reject_reason")
 
 
@@ -332,7 +323,7 @@ def m5_retention(spark, sf_dir):
     return lifecycle.retained(_p(spark, sf_dir), B.at(B.AS_OF), 30, 45).select("id", "is_active")
 
 
-LATE = "1999-01-01 00:00:00"
+LATE, LATER = "1999-01-01 00:00:00", "1999-02-03 04:05:06"
 
 
 @query(B.with_tables(f"SELECT id, CASE WHEN old THEN 'stale' ELSE status END AS status, strftime(CASE WHEN old THEN TIMESTAMP '{LATE}' ELSE updated_at END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM (SELECT *, status = 'applied' AND updated_at < TIMESTAMP '{LATE}' - INTERVAL 30 DAY AS old FROM applications)", B.APPLICATIONS))
@@ -346,11 +337,15 @@ def m7_activate_one(spark, sf_dir):
 
 
 @query(B.with_tables(
-    f"""SELECT id, coalesce(s, status) AS status, strftime(coalesce(applied_at, CASE WHEN s = 'applied' THEN changed END), '%Y-%m-%d %H:%M:%S') AS applied_at, strftime(coalesce(changed, updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at
-      FROM applications LEFT JOIN (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'offer' WHEN 2 THEN 'rejected' END AS s, TIMESTAMP '{LATE}' AS changed FROM orders WHERE o_orderkey % 4 < 3) c USING (id)""", B.APPLICATIONS))
+    f"""SELECT id, coalesce(s, status) AS status, strftime(coalesce(applied_at, first), '%Y-%m-%d %H:%M:%S') AS applied_at, strftime(coalesce(changed, updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at
+      FROM applications LEFT JOIN (SELECT id, arg_max(s, moment) AS s, max(moment) AS changed, min(moment) FILTER (s = 'applied') AS first FROM (
+        SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'offer' WHEN 2 THEN 'rejected' END AS s, TIMESTAMP '{LATE}' AS moment FROM orders WHERE o_orderkey % 4 < 3
+        UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'applied' ELSE 'interview' END, TIMESTAMP '{LATER}' FROM orders) GROUP BY id) c USING (id)""", B.APPLICATIONS))
 def m8_status_stamps(spark, sf_dir):
     k = F.col("o_orderkey") % 4
-    changes = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(k == 0, "applied").when(k == 1, "offer").when(k == 2, "rejected").otherwise("bogus").alias("status"), B.at(LATE).alias("at"))
+    change = lambda status, at: B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), B.at(at).alias("at"))
+    changes = change(F.when(k == 0, "applied").when(k == 1, "offer").when(k == 2, "rejected").otherwise("bogus"), LATE)
+    changes = changes.unionByName(change(F.when(F.col("o_orderkey") % 3 == 0, "applied").otherwise("interview"), LATER))
     return lifecycle.status_changes(B.applications(spark, sf_dir), changes, APPLICATION_STATUSES).select("id", "status", B.stamp("applied_at"), B.stamp("updated_at"))
 
 
@@ -365,7 +360,7 @@ def m9_idempotent_insert(spark, sf_dir):
 
 @query(B.with_tables("SELECT id, coalesce(function_category, 'Other') AS function_category, coalesce(seniority, 'Unspecified') AS seniority, coalesce(vertical, 'Other') AS vertical, coalesce(remote_status, 'Unspecified') AS remote_status FROM postings", B.POSTINGS))
 def m10_sentinels(spark, sf_dir):
-    return _p(spark, sf_dir).fillna(lifecycle.SENTINELS).select("id", *lifecycle.SENTINELS)
+    return lifecycle.with_sentinels(_p(spark, sf_dir)).select("id", *lifecycle.SENTINELS)
 
 
 @query(B.with_tables("SELECT id, geo_filtered AND NOT b AS geo_filtered, is_active OR b AS is_active, CASE WHEN NOT b THEN geo_reject_reason END AS geo_reject_reason FROM (SELECT *, first_seen_at >= TIMESTAMP '2024-01-20' AND geo_reject_reason IS NOT NULL AS b FROM postings)", B.POSTINGS))
@@ -382,8 +377,7 @@ def m12_rescore(spark, sf_dir):
 
 @query(B.with_tables("SELECT a.id, coalesce(p.title, a.job_title_snapshot) AS title FROM applications a LEFT JOIN postings p ON p.id = a.job_id", B.APPLICATIONS, B.POSTINGS))
 def m14_snapshot_fallback(spark, sf_dir):
-    live = _p(spark, sf_dir).select(F.col("id").alias("job_id"), "title")
-    return B.applications(spark, sf_dir).join(live, "job_id", "left").select("id", F.coalesce("title", "job_title_snapshot").alias("title"))
+    return lifecycle.with_snapshots(B.applications(spark, sf_dir), _p(spark, sf_dir)).select("id", "title")
 
 
 WANTED = "wanted AS (SELECT c_custkey * 2 AS id, c_custkey % 40 AS user_id FROM customer)"
@@ -408,9 +402,8 @@ def m17_tracker_delete(spark, sf_dir):
 
 @query(B.with_tables("SELECT job_id, profile_id, profile_id + 1 IN (SELECT id FROM profiles) AS kept FROM scores", B.SCORES, B.PROFILES))
 def j7_orphans(spark, sf_dir):
-    s, p = B.scores(spark, sf_dir).withColumn("_pid", F.col("profile_id") + 1), B.profiles(spark, sf_dir).select(F.col("id").alias("_pid"))
-    kept, lost = s.join(p, "_pid", "left_semi"), s.join(p, "_pid", "left_anti")
-    return kept.select("job_id", "profile_id", F.lit(True).alias("kept")).unionByName(lost.select("job_id", "profile_id", F.lit(False).alias("kept")))
+    rows = B.scores(spark, sf_dir).withColumn("_pid", F.col("profile_id") + 1)
+    return lifecycle.orphans(rows, B.profiles(spark, sf_dir), "_pid").select("job_id", "profile_id", "kept")
 
 
 @query(B.with_tables("SELECT job_id, profile_id FROM scores s WHERE NOT (profile_id = 1 AND EXISTS (SELECT 1 FROM postings p WHERE p.id = s.job_id AND p.first_seen_at >= TIMESTAMP '2024-02-01'))", B.SCORES, B.POSTINGS))
@@ -427,7 +420,7 @@ def a18_backlog(spark, sf_dir):
 @query(B.with_tables("SELECT profile_id, count(*) FILTER (has_breakdown) AS scored, CASE WHEN count(*) FILTER (has_breakdown) < 100 THEN 2000 ELSE 1000 END AS run_limit FROM scores GROUP BY profile_id", B.SCORES))
 def a19_run_limit(spark, sf_dir):
     n = F.count_if("has_breakdown")
-    return B.scores(spark, sf_dir).groupBy("profile_id").agg(n.alias("scored"), F.when(n < 100, 2000).otherwise(1000).alias("run_limit"))
+    return B.scores(spark, sf_dir).groupBy("profile_id").agg(n.alias("scored"), enrich.run_limit(n).alias("run_limit"))
 
 
 # --- sinks ----------------------------------------------------------------------------------------------------------
@@ -445,6 +438,8 @@ def shared_folder(spark) -> str:
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobloom-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -458,5 +453,5 @@ def s19_health_sink(spark, sf_dir):
 
 @query(B.with_tables("SELECT id, operation, substr(notes, 1, 500) AS notes, CAST(cents AS DOUBLE) / 1000000 AS cost FROM ledger", B.LEDGER))
 def s20_ledger_sink(spark, sf_dir):
-    back = _written(spark, _l(spark, sf_dir).withColumn("notes", F.substring("notes", 1, 500)))
+    back = _written(spark, ledger.log_rows(_l(spark, sf_dir)))
     return back.select("id", "operation", "notes", F.col("cost_usd").cast("double").alias("cost"))

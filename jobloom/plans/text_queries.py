@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, dedup, scoring
+from ..operators import clean, dedup, reports, scoring
 from . import bindings as B
 from . import sql as S
 from .registry import query
@@ -255,11 +255,7 @@ MAXES = {"role": 30, "skills": 25, "stage": 15}
 
 @query(B.with_tables("SELECT job_id, d.name AS dimension, CAST(d.v AS DOUBLE) / d.m AS ratio, least(1.0, CAST(d.v AS DOUBLE) / d.m) AS bar FROM (SELECT job_id, unnest([{'name': 'role', 'v': match_score, 'm': 30}, {'name': 'skills', 'v': job_id % 40, 'm': 25}, {'name': 'stage', 'v': job_id % 9, 'm': 15}]) AS d FROM scores)", B.SCORES))
 def x38_dimension_ratio(spark, sf_dir):
-    s = B.scores(spark, sf_dir)
-    each = F.create_map(F.lit("role"), F.col("match_score").cast("long"), F.lit("skills"), F.col("job_id") % 40, F.lit("stage"), F.col("job_id") % 9)
-    most = F.create_map(*[F.lit(x) for kv in MAXES.items() for x in kv])
-    r = s.select("job_id", F.explode(each).alias("dimension", "v")).withColumn("ratio", F.col("v").cast("double") / F.element_at(most, F.col("dimension")))
-    return r.select("job_id", "dimension", "ratio", F.when(F.col("ratio").isNotNull(), F.least(F.lit(1.0), F.col("ratio"))).otherwise(F.lit(1.0)).alias("bar"))
+    return reports.dimension_ratio(B.scores(spark, sf_dir), {"role": F.col("match_score"), "skills": F.col("job_id") % 40, "stage": F.col("job_id") % 9}, MAXES)
 
 
 @query("SELECT doc_id, sha256(text) AS bytes_hash, sha256(substr(text, 1, 20000)) AS text_hash FROM documents")
