@@ -151,16 +151,45 @@ def s16_getonbrd(spark, sf_dir):
     return P.getonbrd(_wrapped(_docs(spark, sf_dir), body, "https://www.getonbrd.com/api"), companies).select("company", "title", "location", "salary_max_usd")
 
 
-@query(None)
+#: Links that are put after each page's own html: text, href, what they become on a page of https://{host}/careers/list?x=1.
+LINKS = (
+    ("Growth Manager {n}", "https://jobs.lever.co/acme/{n}", "https://jobs.lever.co/acme/{n}"),
+    ("Content Lead {n} (Remote)", "/jobs/{n}?a=b", "https://{host}/jobs/{n}?a=b"),
+    ("Data Engineer {n} Full-Time", "apply/position/{n}#top", "https://{host}/careers/apply/position/{n}#top"),
+    ("Sales Director {n}", "../role/./{n}/", "https://{host}/role/{n}/"),
+    ("Legal Counsel {n}", "//careers.example.com/job/{n}", "https://careers.example.com/job/{n}"),
+    ("Product Designer {n}", "?from=/jobs/&id={n}", "https://{host}/careers/list?from=/jobs/&id={n}"),
+    ("GROWTH MANAGER {n}", "/jobs/twice/{n}", None),
+    ("Read more about Engineer {n}", "/jobs/more/{n}", None),
+    ("Careers", "/careers/", None),
+    ("Community Manager {n}", "/blog/{n}", None),
+)
+CLEANED = ("Growth Manager {n}", "Content Lead {n}", "Data Engineer {n}", "Sales Director {n}", "Legal Counsel {n}", "Product Designer {n}")
+NEAR = ("On-site, {lang}", "Hybrid in Latam")
+
+
+def _found(k: int) -> str:
+    """SQL of the row that the k-th link gives."""
+    text = lambda t: S.lit(t).replace("{n}", "' || page_id || '").replace("{host}", "' || host || '")
+    place = S.lit(f"Place {k}: remote") if k % 2 else "NULL"
+    note = S.lit(f"About & no. {k}") if k % 3 == 0 else "NULL"
+    return f"SELECT page_id, {text(CLEANED[k])} AS title, {text(LINKS[k][2])} AS apply_url, {place} AS location, {note} AS description FROM p"
+
+
+@query("WITH p AS (SELECT page_id, regexp_extract(url, '//([^/?#]+)', 1) AS host FROM pages WHERE page_id % 10 <> 0) " + " UNION ALL ".join(_found(k) for k in range(len(CLEANED))))
 def s17_link_harvest(spark, sf_dir):
-    pages = B.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source"), "url", F.col("url").alias("final_url"), F.col("html").alias("body"))
-    return P.harvested(pages, signals=("/",), title_ok=lambda t: F.length(t) >= 2)
-
-
-@query("SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href=[\"''][^\"'']*[\"''][^>]*>.*?</a>')) FROM pages) GROUP BY page_id")
-def s17_link_count(spark, sf_dir):
-    anchors = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*href=["'][^"']*["'][^>]*>.*?</a>"""), F.lit(0))
-    return B.table(spark, sf_dir, "pages").select("page_id", F.size(anchors).cast("long").alias("links")).filter("links > 0")
+    """Each page's own links, none of which is a job, and then a list of links of all forms; every tenth page was sent to
+    its site's front page."""
+    n, host = F.col("page_id").cast("string"), F.regexp_extract("url", "//([^/?#]+)", 1)
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{n}"), n), F.lit("{host}"), host)
+    row = lambda k, text, href: F.concat(
+        F.lit("<li>"), F.lit(f"<i>Place {k}: remote</i>" if k % 2 else ""), F.lit(f'<p class="job-desc">About &amp; <b>no. {k}</b></p>' if k % 3 == 0 else ""), F.lit('<a class="x" href="'), filled(href), F.lit('">'), filled(text), F.lit('</a></li><a href="#">next</a>')
+    )
+    body = F.concat(F.col("html"), F.lit('<a href="#">start</a>'), *[row(k, text, href) for k, (text, href, _) in enumerate(LINKS)])
+    url = F.concat(F.lit("https://"), host, F.lit("/careers/list?x=1"))
+    final = F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("https://"), host, F.lit("/"))).otherwise(url)
+    pages = B.table(spark, sf_dir, "pages").select(n.alias("source"), url.alias("url"), final.alias("final_url"), body.alias("body"))
+    return P.harvested(pages).select(F.col("source").cast("long").alias("page_id"), "title", "apply_url", "location", "description")
 
 
 @query(f"SELECT source AS company, {TITLE} AS title, CAST(NULL AS VARCHAR) AS _job_type FROM documents WHERE {TITLE} <> '' UNION ALL SELECT source, {TITLE}, 'listed' FROM documents WHERE {TITLE} <> ''")
@@ -174,12 +203,13 @@ def s18_union_formats(spark, sf_dir):
 GROUPS = {"group_1": 1, "group_2": 1, "group_3": 1, "group_4": 2, "group_5": 2}
 
 
-@query("SELECT 'group_' || (r_regionkey + 1) AS v2_group, n_name AS name, CASE WHEN r_regionkey < 3 THEN 1 ELSE 2 END AS super_group FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 0")
+@query("SELECT 'group_' || (c_nationkey % 6 + 1) AS v2_group, c_name || s AS name, CASE WHEN c_nationkey % 6 < 3 THEN 1 ELSE 2 END AS super_group FROM customer, (SELECT unnest(['', ' Labs']) AS s) WHERE c_custkey % 6 <> 0 AND c_nationkey % 6 < 5")
 def s1_source_catalog(spark, sf_dir):
-    n = B.table(spark, sf_dir, "nation")
-    source = F.struct(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 6 == 0, "X_Feed").otherwise("Board").alias("category"))
-    groups = n.groupBy("n_regionkey").agg(F.struct(F.collect_list(source).alias("sources")).alias("g"))
-    whole = groups.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("group_"), (F.col("n_regionkey") + 1).cast("string")), F.col("g")))).alias("groups"))
+    """A catalog for each customer: one group with two sources."""
+    kind = F.when(F.col("c_custkey") % 6 == 0, "X_Feed").otherwise("Board").alias("category")
+    source = lambda s: F.struct(F.concat(F.col("c_name"), F.lit(s)).alias("name"), kind)
+    group = F.concat(F.lit("group_"), (F.col("c_nationkey") % 6 + 1).cast("string"))
+    whole = B.table(spark, sf_dir, "customer").select(F.create_map(group, F.struct(F.array(source(""), source(" Labs")).alias("sources"))).alias("groups"))
     return P.catalog(whole, GROUPS).select("v2_group", "name", "super_group")
 
 
@@ -197,13 +227,13 @@ FORMS = {
     "bamboohr": "https://{s}.bamboohr.com/jobs", "teamtailor": "https://{s}.teamtailor.com", "workable": "https://apply.workable.com/{s}/", "cryptojobslist": "https://cryptojobslist.com/{s}",
     "web3career": "https://web3.career/{s}", "weworkremotely": "https://weworkremotely.com/{s}", "getonbrd": "https://www.getonbrd.com/{s}", "generic": "https://{s}.example.com",
 }
-NATION_SLUG = "lower(replace(replace(n_name, ' ', '-'), '_', '-'))"
+FIRM_SLUG = "lower(replace(replace(c_name, '#', '-'), '_', '-'))"
 
 
-@query("SELECT n_nationkey AS id, f.name AS parser FROM nation, (SELECT unnest([" + ", ".join(f"{{'name': '{k}'}}" for k in FORMS) + "]) AS f)")
+@query("SELECT c_custkey AS id, f.name AS parser FROM customer, (SELECT unnest([" + ", ".join(f"{{'name': '{k}'}}" for k in FORMS) + "]) AS f)")
 def s3_format_routing(spark, sf_dir):
-    urls = F.array(*[F.replace(F.lit(u), F.lit("{s}"), F.expr(NATION_SLUG)) for u in FORMS.values()])
-    return B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.explode(urls).alias("u")).select("id", P.parser(F.col("u")).alias("parser"))
+    urls = F.array(*[F.replace(F.lit(u), F.lit("{s}"), F.expr(FIRM_SLUG)) for u in FORMS.values()])
+    return B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(urls).alias("u")).select("id", P.parser(F.col("u")).alias("parser"))
 
 
 SLUGS = {
@@ -213,13 +243,13 @@ SLUGS = {
 
 
 def _filled(t: str | None) -> str:
-    return "NULL" if t is None else "'" + t.replace("{s}", f"' || {NATION_SLUG} || '") + "'"
+    return "NULL" if t is None else "'" + t.replace("{s}", f"' || {FIRM_SLUG} || '") + "'"
 
 
-@query("SELECT id, form, slug FROM (SELECT n_nationkey AS id, unnest([" + ", ".join(f"{{'form': {k}, 'slug': {_filled(v)}}}" for k, v in enumerate(SLUGS.values())) + "], recursive := true) FROM nation)")
+@query("SELECT id, form, slug FROM (SELECT c_custkey AS id, unnest([" + ", ".join(f"{{'form': {k}, 'slug': {_filled(v)}}}" for k, v in enumerate(SLUGS.values())) + "], recursive := true) FROM customer)")
 def s4_board_slug(spark, sf_dir):
-    urls = F.array(*[F.struct(F.lit(k).alias("form"), F.replace(F.lit(u), F.lit("{s}"), F.expr(NATION_SLUG)).alias("u")) for k, u in enumerate(SLUGS)])
-    n = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.explode(urls).alias("v")).select("id", "v.*")
+    urls = F.array(*[F.struct(F.lit(k).alias("form"), F.replace(F.lit(u), F.lit("{s}"), F.expr(FIRM_SLUG)).alias("u")) for k, u in enumerate(SLUGS)])
+    n = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(urls).alias("v")).select("id", "v.*")
     s = P.board_slug(F.col("u"))
     return n.select("id", "form", F.coalesce(s["greenhouse"], s["lever"], s["ashby"], s["workable"], s["teamtailor"]).alias("slug"))
 
@@ -267,9 +297,12 @@ def _responses(spark, sf_dir):
 OK = "turn % 4 <> 3"
 
 
-@query(f"SELECT conv_id, turn, {OK} AS parsed FROM conversations")
+@query(f"SELECT conv_id, turn, {OK} AS parsed, CASE WHEN {OK} THEN 'braces }} in {{ text ' || turn END AS note, CASE WHEN {OK} THEN role END AS reason, CASE WHEN {OK} THEN CAST(turn * 17 AS VARCHAR) END AS score, CASE WHEN {OK} THEN ' a ||' || role END AS strengths FROM conversations")
 def x25_lenient_json(spark, sf_dir):
-    return _responses(spark, sf_dir).select("conv_id", "turn", F.col("body").isNotNull().alias("parsed"))
+    """The object of each answer, read back value by value."""
+    b = F.col("body")
+    strengths = F.array_join(F.from_json(enrich.get(b, "strengths"), "array<string>"), "|")
+    return _responses(spark, sf_dir).select("conv_id", "turn", b.isNotNull().alias("parsed"), enrich.get(b, "note").alias("note"), enrich.get(b, "reason").alias("reason"), enrich.get(b, "final_score").alias("score"), strengths.alias("strengths"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, CASE WHEN CAST(trunc(value) AS BIGINT) BETWEEN 1 AND 2000000 THEN CAST(trunc(value) AS INT) END AS salary, round_even(greatest(0.0, least(1.0, value / 100)), 2) AS confidence, CAST(greatest(0, least(100, trunc(value))) AS INT) AS score FROM events")
@@ -302,16 +335,14 @@ def x29_score_row(spark, sf_dir):
 def j4_match_responses(spark, sf_dir):
     r = _responses(spark, sf_dir).select("conv_id", "turn", "custom_id")
     sent = F.when(F.col("conv_id") % 2 == 0, F.col("custom_id")).otherwise(F.concat(F.lit("other-"), "custom_id"))
-    asked = r.select(sent.alias("custom_id"), F.lit(True).alias("_known"))
-    return r.join(asked, "custom_id", "left").select("conv_id", "turn", F.col("_known").isNotNull().alias("known"))
+    return enrich.matched(r, r.select(sent.alias("custom_id"))).select("conv_id", "turn", "known")
 
 
 OUTCOMES = f"count(*) FILTER (conv_id % 9 = 0) AS errored, count(*) FILTER (conv_id % 9 <> 0 AND NOT {OK}) AS json_failed, count(*) FILTER (conv_id % 9 <> 0 AND {OK}) AS ok, count(*) AS total"
 
 
 def _outcomes(spark, sf_dir):
-    failed, parsed = F.col("outcome") != "succeeded", F.col("body").isNotNull()
-    return _responses(spark, sf_dir).groupBy("role").agg(F.count_if(failed).alias("errored"), F.count_if(~failed & ~parsed).alias("json_failed"), F.count_if(~failed & parsed).alias("ok"), F.count("*").alias("total"))
+    return enrich.outcomes(_responses(spark, sf_dir), "role")
 
 
 @query(f"SELECT role, {OUTCOMES} FROM conversations GROUP BY role")
@@ -326,7 +357,7 @@ def a16_parse_status(spark, sf_dir):
 
 @query("SELECT conv_id % 9 = 0 AS errored, CAST(sum(length(text)) AS BIGINT) AS input_tokens FROM conversations GROUP BY 1")
 def a17_usage(spark, sf_dir):
-    return _responses(spark, sf_dir).groupBy((F.col("outcome") != "succeeded").alias("errored")).agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"))
+    return enrich.usage(_responses(spark, sf_dir))
 
 
 @query(f"SELECT coalesce(reason, 'pass') AS reason, count(*) AS n FROM (SELECT CASE WHEN {OK} AND conv_id % 9 <> 0 AND turn % 2 <> 0 THEN role END AS reason FROM conversations) GROUP BY 1")
@@ -359,12 +390,22 @@ def x31_skill_terms(spark, sf_dir):
     return g.select("id", F.array_join(enrich.skill_terms(F.col("g")), ",").alias("terms"))
 
 
-PLACE = "CASE lang WHEN 'en' THEN 'Lima, Peru' WHEN 'fr' THEN 'Lyon , Rhone, France' ELSE 'Madrid' END"
+#: Some texts get a line with a place: late, after another kind of place, or not at all.
+RESUME = "CASE doc_id % 4 WHEN 0 THEN 'x' || chr(10) || 'Based near La Plata, Buenos Aires Province. ' || chr(10) || text WHEN 1 THEN 'from new YORK CITY, USA today' || chr(10) || text WHEN 2 THEN 'at Lima,  Peru' || chr(10) || 'Rosario' || chr(10) || text ELSE text END"
+HEAD = f"list_slice(string_split_regex(t, {S.lit(chr(92) + 'r' + chr(92) + 'n|[' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'x0b' + chr(92) + 'f' + chr(92) + 'x1c-' + chr(92) + 'x1e' + chr(92) + 'x{85}' + chr(92) + 'x{2028}' + chr(92) + 'x{2029}]')}), 1, 30)"
+
+
+def _first_in_head(p: str) -> str:
+    return f"list_filter(list_transform(h, lambda s: regexp_extract(s, {S.lit(p)}, 0)), lambda s: s <> '')[1]"
 
 
-@query(f"SELECT doc_id, {S.strip(f'split_part({PLACE}, {S.lit(chr(44))}, 1)')} AS city, {S.strip(f'split_part({PLACE}, {S.lit(chr(44))}, -1)')} AS country FROM documents")
+@query(
+    f"WITH r AS (SELECT doc_id, {RESUME} AS t FROM documents), s AS (SELECT doc_id, {HEAD} AS h FROM r), p AS (SELECT doc_id, {S.strip(f'coalesce({_first_in_head(enrich.KNOWN_PLACE)}, {_first_in_head(enrich.TWO_NAMES)})')} AS place FROM s) "
+    f"SELECT doc_id, place, {S.strip('string_split(place, chr(44))[1]')} AS city, {S.strip('string_split(place, chr(44))[-1]')} AS country FROM p"
+)
 def x32_profile_location(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").withColumn("p", enrich.city_country(F.expr(PLACE))).select("doc_id", "p.city", "p.country")
+    rows = B.table(spark, sf_dir, "documents").select("doc_id", enrich.profile_location(F.expr(RESUME.replace("chr(10)", "'\\n'"))).alias("place"))
+    return rows.withColumn("p", enrich.city_country(F.col("place"))).select("doc_id", "place", "p.city", "p.country")
 
 
 @query(f"SELECT c_custkey AS id, CASE WHEN {REAL} THEN 'graph' ELSE 'text' END AS mode, CASE WHEN {REAL} THEN NULL ELSE c_name END AS text FROM customer")
