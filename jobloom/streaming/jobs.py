@@ -19,8 +19,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class SourceState(StatefulProcessor):
     """One source's state machine: a success clears it, the n-th failure in a row suspends it.
 
-    Runs of a batch are taken in the order of time; runs that are not later than the last one taken are left out, and
-    runs that only record a suspension change nothing.
+    Runs of a batch count in the order of time; runs that are not later than the last one of earlier batches are left
+    out, and runs that only record a suspension change nothing. Of a batch, only the failures after the last success are
+    held, a chunk of rows at a time.
     """
 
     def __init__(self, suspend_after: int = SUSPEND_AFTER):
@@ -30,19 +31,28 @@ class SourceState(StatefulProcessor):
         self.state = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        runs = pd.concat(list(rows)).sort_values(["run_at", "seq"], kind="stable")
         failures, suspended, since, good, last = self.state.get() if self.state.exists() else (0, False, None, None, None)
-        for run in runs.itertuples():
-            if run.error_message == "suspended" or (last is not None and run.run_at <= last):
+        order = ["run_at", "seq"]
+        failed, success, newest = None, None, last
+        for chunk in rows:
+            chunk = chunk[chunk.error_message.ne("suspended") & (chunk.run_at > last if last is not None else True)]
+            if not len(chunk):
                 continue
-            last = run.run_at
-            if run.success:
-                failures, suspended, since, good = 0, False, None, last
-            else:
-                failures += 1
-                if failures == self.suspend_after:
-                    suspended, since = True, last
-        out = (failures, suspended, since, good, last)
+            newest = chunk.run_at.max() if newest is None else max(newest, chunk.run_at.max())
+            best = chunk[chunk.success].sort_values(order)[order].tail(1)
+            best = tuple(best.iloc[0]) if len(best) else None
+            success = max((x for x in (success, best) if x is not None), default=None)
+            failed = pd.concat([x for x in (failed, chunk.loc[~chunk.success, order]) if x is not None])
+            if success is not None:
+                failed = failed[(failed.run_at > success[0]) | ((failed.run_at == success[0]) & (failed.seq > success[1]))]
+        if success is not None:
+            failures, suspended, since, good = 0, False, None, success[0]
+        if failed is not None and len(failed):
+            nth = self.suspend_after - failures - 1
+            failures += len(failed)
+            if not suspended and failures >= self.suspend_after:
+                suspended, since = True, failed.sort_values(order).run_at.iloc[nth]
+        out = (failures, suspended, since, good, newest)
         plain = lambda x: x.to_pydatetime() if isinstance(x, pd.Timestamp) else x
         self.state.update(tuple(plain(x) for x in out))
         yield pd.DataFrame([(key[0], *out)], columns=["source", "consecutive_failures", "suspended", "suspended_at", "last_success_at", "updated_at"])

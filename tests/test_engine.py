@@ -110,6 +110,39 @@ def test_upsert_keeps_what_others_wrote(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, lifecycle.upsert(cur, inc).collect()))
 
 
+def test_repeated_changes_give_one_row(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    cur = spark.createDataFrame([("a", "old", 1, None, None, True, 0)], "dedup_key string, title string, score_total int, salary_min_usd int, salary_source string, is_active boolean, seq int")
+    inc = spark.createDataFrame([(k, t, n, None, None, True, n) for k, t, n in (("a", "x", 2), ("a", "y", 3), ("b", "u", 5), ("b", "v", 4), ("b", "u", 5))], cur.schema)
+    assert sorted((r.dedup_key, r.title) for r in lifecycle.upsert(cur, inc).collect()) == [("a", "y"), ("b", "u")]
+    table = spark.createDataFrame([(1, "p", "q"), (2, "p", None)], "id int, a string, b string")
+    patches = spark.createDataFrame([(1, "x", None, 1), (1, None, "y", 2), (1, "z", None, 0), (3, "n", "n", 1)], "id int, a string, b string, seq int")
+    assert sorted(map(tuple, lifecycle.patched(table, patches).collect()), key=str) == [(1, "x", "y"), (2, "p", None)]
+    scores = spark.createDataFrame([(1, 1, 5), (2, 1, 6)], "job_id int, profile_id int, match_score int")
+    new = spark.createDataFrame([(1, 1, 9, 1), (1, 1, 7, 2), (1, 1, 8, 0)], "job_id int, profile_id int, match_score int, seq int")
+    assert sorted(map(tuple, lifecycle.score_upsert(scores, new).collect())) == [(1, 1, 7), (2, 1, 6)]
+    posts = spark.createDataFrame([(1, False, True, None), (2, False, True, None)], "id int, geo_filtered boolean, is_active boolean, geo_reject_reason string")
+    marks = spark.createDataFrame([(1, "far", 1), (1, None, 2), (2, None, 1), (2, None, 1)], "id int, reason string, seq int")
+    assert sorted(map(tuple, lifecycle.geo_marked(posts, marks).collect()), key=str) == [(1, True, False, "far"), (2, True, True, None)]
+    apps = spark.createDataFrame([(1, "saved", None, day(1))], "id int, status string, applied_at timestamp, updated_at timestamp")
+    changes = spark.createDataFrame([(1, "applied", day(3)), (1, "offer", day(5)), (1, "applied", day(4)), (1, "bogus", day(9))], "id int, status string, at timestamp")
+    assert [tuple(r) for r in lifecycle.status_changes(apps, changes, ("applied", "offer")).select("id", "status", "applied_at", "updated_at").collect()] == [(1, "offer", day(3), day(5))]
+
+
+def test_urls_are_joined(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://x.com/careers/x", "https://x.com/careers/", "http://x.com", "https://x.com/a/b/c?q=1"]
+    links = ["jobs/1", "../x", "?id=3", "//host/x", "/jobs/", "#top", "", "./a/../b/", "../../../up", "a?b=/../c", "mailto:a@b.c", "https://y.org/../z", "..", "."]
+    df = spark.createDataFrame([(b, h) for b in bases for h in links], "b string, h string").withColumn("u", P.joined_url(F.col("b"), F.col("h")))
+    assert [(r.b, r.h, r.u) for r in df.collect()] == [(b, h, h if h.startswith("http") else urljoin(b, h)) for b in bases for h in links]
+
+
+def test_profile_places(spark):
+    texts = ["x\nBased in La Plata, Argentina now", "Name\rQuito, Ecuador 2", "new YORK CITY, USA\nCABA", "LIMA, PERU", "a\n" * 30 + "Rome, Italy", "none", None]
+    assert calls(spark, enrich.profile_location, texts) == ["Plata, Argentina now", "Quito, Ecuador", "CABA", "LIMA, PERU", None, None, None]
+
+
 def runs(spark, outcomes):
     start = dt.datetime(2024, 1, 1)
     rows = [("s", start + dt.timedelta(days=k), o == "+", "suspended" if o == "s" else None, k) for k, o in enumerate(outcomes)]
