@@ -1,27 +1,34 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Components are integers, floor(64 * x). Vectors lie in blocks; a block's approximation file holds each component as a
-cell of a grid of that dimension, in one byte at most. For a block of queries, the scan of the cells bounds every score
-from below and above; then exact vectors are read in the order of their upper bounds until the k-th score is certain.
-Spark pairs every block of queries with every block of vectors, and merges the k best of each pair.
+Components are integers, floor(64 * x). Distinct vectors lie in blocks; a block's approximation file holds each component
+as a cell of a grid of its dimension, in one byte, and the exact vectors stay where they are. Spark pairs blocks of
+queries with groups of approximation files; a task scans the files of its group one after another, bounds every score from
+below and above, and carries each query's k-th best lower bound from file to file. The bounds of all groups together give
+the floor that a candidate's upper bound must reach. Then exact vectors are read in the order of their upper bounds: first
+as many as are wanted, and then those whose bound still reaches the k-th score, until the k-th score is certain.
+
+Vectors that are equal are one candidate with its smallest ids, so ties by the thousand are no candidates by the thousand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import stored
 
 SCALE = 64
-#: Cells of each dimension.
-CELLS = 16
-BLOCK_ROWS = 8192
-QUERY_ROWS = 512
-#: Exact vectors read at a time, in the order of their bounds.
-READ_ROWS = 256
+#: Cells of each dimension; a cell is one byte.
+CELLS = 64
+#: Vectors in a block, and blocks that one task scans after another.
+BLOCK_ROWS, GROUP_BLOCKS = 4096, 16
+#: Queries in a block, at most.
+QUERY_ROWS = 2048
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -32,95 +39,144 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return rows.filter(sound & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda v: F.floor(v * SCALE).cast("long")).alias("q"))
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id", kind="stable")
-    q = np.stack(rows.q.to_numpy()).astype(np.int64) if rows.q.iloc[0].size else np.zeros((len(rows), 0), np.int64)
-    return pd.DataFrame({"dim": [q.shape[1]], "block": [rows.block.iloc[0]], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "data": [q.tobytes()]})
+def distinct_vectors(q: DataFrame, most: int) -> DataFrame:
+    """vid, q and ids: each distinct vector with its smallest ids, so many at most, and how often each id has it.
+
+    The limit by rank holds within the tasks that read, before anything is shuffled.
+    """
+    counted = q.groupBy("q", "vec_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("vec_id"))
+    least = counted.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return least.groupBy("q").agg(F.collect_list(F.struct("vec_id", "n")).alias("ids")).select(F.monotonically_increasing_id().alias("vid"), "q", "ids")
 
 
-def blocks(q: DataFrame, rows: int) -> DataFrame:
-    """One row for each block of vectors of one dimension: dim, block, ids, data; vectors are dealt by hash of the id."""
-    sizes = q.groupBy(F.size("q").alias("dim")).count()
-    dealt = q.withColumn("dim", F.size("q")).join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("count") / rows)).cast("long"))
-    return dealt.select("dim", "block", "vec_id", "q").groupBy("dim", "block").applyInPandas(_block, "dim int, block long, ids binary, data binary")
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64) if column.iloc[0].size else np.zeros((len(column), 0), np.int64)
 
 
-def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The approximation file of a block: the cell of each component, and the least and largest value in each cell."""
-    low, high = x.min(axis=0), x.max(axis=0)
-    width = np.maximum(-(-(high - low + 1) // CELLS), 1)
+def _file(rows: pd.DataFrame) -> pd.DataFrame:
+    """The approximation file of a block: the cell of each component, and each dimension's least value and cell width."""
+    x = _matrix(rows.q)
+    low = x.min(axis=0)
+    width = np.maximum(-(-(x.max(axis=0) - low + 1) // CELLS), 1)
     cell = ((x - low) // width).astype(np.uint8)
-    edges = np.arange(CELLS)[:, None] * width + low
-    return cell, edges, np.minimum(edges + width - 1, high)
+    part = [rows.vid.to_numpy(np.int64).tobytes(), cell.tobytes(), low.tobytes(), width.tobytes()]
+    return pd.DataFrame({"dim": [x.shape[1]], "block": [rows.block.iloc[0]], **{k: [v] for k, v in zip(("ids", "data", "low", "width"), part, strict=True)}})
+
+
+def _exact(rows: pd.DataFrame) -> pd.DataFrame:
+    x = _matrix(rows.q)
+    return pd.DataFrame({"dim": [x.shape[1]], "block": [rows.block.iloc[0]], "ids": [rows.vid.to_numpy(np.int64).tobytes()], "data": [x.tobytes()], "low": [b""], "width": [b""]})
+
 
+FILES = "dim int, block long, ids binary, data binary, low binary, width binary"
 
-def search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score): for each query its k best of the block, ties to the smaller id, exactly."""
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+
+def blocks(q: DataFrame, rows: int, make) -> DataFrame:
+    """One row for each block of so many vectors (vid, q) of one dimension, dealt by hash of vid."""
+    sizes = q.groupBy(F.size("q").alias("dim")).count()
+    dealt = q.withColumn("dim", F.size("q")).join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vid"), F.ceil(F.col("count") / rows)).cast("long"))
+    return dealt.select("dim", "block", "vid", "q").groupBy("dim", "block").applyInPandas(make, FILES)
+
+
+def bounds(queries: np.ndarray, cell: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Twice the score of each query with the middle of each vector's cells, and how far twice a score can be from it."""
+    middle = 2 * (low + cell.astype(np.int64) * width) + width - 1
+    largest = 2 * float(np.abs(queries).max(initial=0)) * float(np.abs(middle).max(initial=0) + width.max(initial=0)) * max(1, len(low))
     kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.object_
-    if x.shape[1]:
-        cell, least, most = cells(x)
-        at = np.arange(x.shape[1])
-        down, up = least[cell, at].astype(kind), most[cell, at].astype(kind)
-    else:
-        down = up = x.astype(kind)
-    plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    lower, upper = plus @ down.T + minus @ up.T, plus @ up.T + minus @ down.T
-    q, x = queries.astype(kind), x.astype(kind)
-    out = []
-    for i, own in enumerate(q_ids):
-        others = np.flatnonzero(ids != own)
-        take = min(k, len(others))
-        if not take:
-            continue
-        # The k-th largest lower bound; what can't reach it is never read.
-        floor = np.partition(lower[i, others], len(others) - take)[len(others) - take]
-        near = others[upper[i, others] >= floor]
-        near = near[np.argsort(-upper[i, near], kind="stable")]
-        score, which, at = np.zeros(0, kind), np.zeros(0, np.int64), 0
-        while at < len(near):
-            part = near[at : at + READ_ROWS]
-            at += len(part)
-            which = np.concatenate([which, part])
-            score = np.concatenate([score, x[part] @ q[i]])
-            best = np.lexsort((ids[which], -score))[:take]
-            which, score = which[best], score[best]
-            if len(score) == take and at < len(near) and upper[i, near[at]] < score[-1]:
-                break
-        out += [(int(own), int(ids[j]), int(s)) for j, s in zip(which, score, strict=True)]
-    return out
-
-
-def _pair(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        for a in left.itertuples():
-            for b in right.itertuples():
-                vectors = lambda r: np.frombuffer(r.data, np.int64).reshape(-1, r.dim) if r.dim else np.zeros((len(r.ids) // 8, 0), np.int64)
-                out += search(np.frombuffer(a.ids, np.int64), vectors(a), np.frombuffer(b.ids, np.int64), vectors(b), k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    return queries.astype(kind) @ middle.T.astype(kind), np.abs(queries).astype(kind) @ (width - 1).astype(kind)
+
+
+class Scan:
+    """The scan of files for one block of queries; best holds the largest lower bounds of each query so far."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.best = ids, queries, np.full((len(ids), k), -np.inf, dtype=object if queries.dtype == object else np.float64)
+
+    def read(self, vids: np.ndarray, cell: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
+        """query, vid, lower and upper bound (twice the score) of those whose upper bound reaches the floor so far."""
+        middle, reach = bounds(self.queries, cell, low, width)
+        k = self.best.shape[1]
+        lower = middle - reach[:, None]
+        top = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k:] if lower.shape[1] > k else lower
+        both = np.concatenate([self.best, top.astype(self.best.dtype)], axis=1)
+        self.best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        upper = middle + reach[:, None]
+        i, j = np.nonzero(upper >= self.best.min(axis=1)[:, None])
+        return self.ids[i], vids[j], lower[i, j].astype(np.int64), upper[i, j].astype(np.int64)
+
+
+def _scanned(k: int):
+    """Rows (dim, qb, vg, block, ids, data, low, width) come by (dim, qb, vg): a block of queries and then files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int64)
+                if row["block"] < 0:
+                    scan = Scan(ids, np.frombuffer(row["data"], np.int64).reshape(len(ids), row["dim"]), k)
+                else:
+                    cell = np.frombuffer(row["data"], np.uint8).reshape(len(ids), row["dim"])
+                    found = scan.read(ids, cell, np.frombuffer(row["low"], np.int64), np.frombuffer(row["width"], np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vid", "lower", "upper"])
 
     return run
 
 
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, vid and the score of pairs (query_id, vid, q, x) of vectors of one length each."""
+    for batch in batches:
+        q, x = batch.column(2), batch.column(3)
+        at, values = q.offsets.to_numpy(), (q.values.to_numpy(), x.values.to_numpy())
+        base = x.offsets.to_numpy()[0]
+        parts = values[0][at[0] : at[-1]] * values[1][base : base + at[-1] - at[0]]
+        sums = np.concatenate([[0], np.cumsum(parts)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums[at[1:] - at[0]] - sums[at[:-1] - at[0]])], ["query_id", "vid", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k best rows of vectors for each row of queries (both: vec_id, embedding), but for the query's own id:
     query_id, rank from 1, vec_id, score; ties go to the smaller vec_id.
 
     Rows with a null id, and vectors that are null or hold null or non-finite components, take no part; vectors are
-    compared with those of the same dimension. Rows that repeat an id are candidates each for themselves. Fewer than k
-    candidates give fewer rows, and an empty table gives none. Other columns are not read.
+    compared with those of the same dimension. Rows that repeat an id are candidates each for themselves; of queries that
+    repeat an id the smallest vector counts. Scores are exact while they are below 2**62. Fewer than k candidates give
+    fewer rows, and an empty table gives none. Other columns are not read.
     """
-    c = stored(blocks(quantised(vectors), BLOCK_ROWS), "vectors")
-    q = stored(blocks(quantised(queries), QUERY_ROWS), "queries")
-    # Every block meets every other once: keys for the pairs come from the numbers of blocks by dimension.
-    counts = lambda b, name: b.groupBy("dim").agg(F.max("block").alias(name))
-    left = q.join(counts(c, "last"), "dim").select("dim", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("cb"), "ids", "data")
-    right = c.join(counts(q, "last"), "dim").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("qb"), F.col("block").alias("cb"), "ids", "data")
-    pairs = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb"))
-    best = pairs.applyInPandas(_pair(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    # One more than k vectors, as the query's own may be among them.
+    most = k + 1
+    x = stored(distinct_vectors(quantised(vectors), most), "vectors")
+    q = stored(quantised(queries).groupBy(F.col("vec_id").alias("vid")).agg(F.min("q").alias("q")), "queries")
+    files = stored(blocks(x.select("vid", "q"), BLOCK_ROWS, _file), "files")
+    # Enough blocks of queries for all cores; more than QUERY_ROWS are never in one.
+    each = max(1, min(QUERY_ROWS, -(-q.count() // spark.sparkContext.defaultParallelism)))
+    asked = stored(blocks(q, each, _exact), "asked")
+    count = lambda d, name, n: d.groupBy("dim").agg(F.floor(F.max("block") / n).alias(name))
+    every = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), F.col(last)))
+    names = ["dim", "qb", "vg", "block", "ids", "data", "low", "width"]
+    left = asked.join(count(files, "last", GROUP_BLOCKS), "dim").withColumn("vg", every("last")).withColumn("qb", F.col("block")).withColumn("block", F.lit(-1).cast("long"))
+    right = files.join(count(asked, "last", 1), "dim").withColumn("qb", every("last")).withColumn("vg", F.floor(F.col("block") / GROUP_BLOCKS))
+    pairs = left.select(*names).unionByName(right.select(*names)).repartition("dim", "qb", "vg").sortWithinPartitions("dim", "qb", "vg", "block")
+    near = stored(pairs.mapInArrow(_scanned(most), "query_id long, vid long, lower long, upper long"), "near")
+
+    by_query = lambda *order: Window.partitionBy("query_id").orderBy(*order)
+    floors = near.withColumn("rank", F.row_number().over(by_query(F.col("lower").desc(), "vid"))).filter(F.col("rank") == most).select("query_id", F.col("lower").alias("floor"))
+    able = near.join(floors, "query_id", "left").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
+    able = stored(able.withColumn("rank", F.row_number().over(by_query(F.col("upper").desc(), "vid"))).select("query_id", "vid", "upper", "rank"), "able")
+
+    def read(wanted: DataFrame) -> DataFrame:
+        both = wanted.select("query_id", "vid").join(q.select(F.col("vid").alias("query_id"), F.col("q").alias("a")), "query_id").join(x.select("vid", F.col("q").alias("b")), "vid")
+        return both.select("query_id", "vid", "a", "b").mapInArrow(_scores, "query_id long, vid long, score long")
+
+    first = stored(read(able.filter(F.col("rank") <= most)), "first")
+    kth = first.groupBy("query_id").agg(F.min("score").alias("least"))
+    rest = able.filter(F.col("rank") > most).join(kth, "query_id").filter(F.col("upper") >= 2 * F.col("least"))
+    scored = first.unionByName(read(rest)).join(x.select("vid", "ids"), "vid").select("query_id", "score", F.explode("ids").alias("i"))
+    rows = scored.filter(F.col("i.vec_id") != F.col("query_id")).select("query_id", "score", "i.vec_id", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("i.n"), F.lit(k)))))
+    rank = F.row_number().over(by_query(F.col("score").desc(), "vec_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def queries_of(vectors: DataFrame, every: int = 20) -> DataFrame:
