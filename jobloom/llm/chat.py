@@ -1,20 +1,24 @@
 """Chat formatting in budgeted windows, with DataFrame operations only.
 
 Turns are rendered with a template whose control strings are escaped inside texts. Running totals of turn tokens choose
-windows that begin and end at turns: each window opens with the conversation's system turns, repeats a limited history
-of the turns before it, and goes on with new turns up to the budget. Only new assistant turns are under the loss mask.
+windows that begin and end at turns: the totals are cut into strides, a turn belongs to the stride that it begins in, and
+one that reaches over the stride's end stays in it if it fits the budget and else is a window of its own. A window opens
+with the conversation's system turn and repeats a limited history of the turns before it. Only new assistant turns are
+under the loss mask. Totals are taken over narrow rows in ranges of one order, so a conversation of any length is spread
+over all tasks, and what is gathered in one row is one window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import digest
+from ._common import digest, same, stored
 
-WINDOW_TOKENS = 2048
-HISTORY_TOKENS = 256
-#: UTF-8 bytes that count as one token.
+#: Tokens of a window, and at most so many of them repeat earlier turns.
+WINDOW_TOKENS = 1024
+HISTORY_TOKENS = 128
+#: UTF-8 bytes that count as one token: the rate of the public 50k byte-level vocabulary on prose.
 BYTES_PER_TOKEN = 4
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 LINE_BREAK = "<|nl|>"
@@ -38,77 +42,98 @@ def unescaped_role(role: Column) -> Column:
     return unescaped(F.replace(role, F.lit(LINE_BREAK), F.lit("\n")))
 
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """conv_id and turns: array of (role, text, body, tokens, target) in order of turn, then role and text."""
+#: Rows with these equal are the same turn, repeated.
+TURN = ("conv_id", "turn", "role", "name")
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, name (a hash of the text) and body of each row."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    listed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    grouped = listed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    body = F.concat(F.lit(OPEN), escaped_role(role), F.lit("\n"), escaped(text), F.lit(CLOSE))
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.md5(text.cast("binary")).alias("name"), body.alias("body"))
 
-    def shaped(t: Column) -> Column:
-        body = F.concat(F.lit(OPEN), escaped_role(t.role), F.lit("\n"), escaped(t.text), F.lit(CLOSE))
-        return F.struct(t.role.alias("role"), body.alias("body"), F.ceil(F.octet_length(body) / BYTES_PER_TOKEN).cast("long").alias("tokens"), F.length(t.role).alias("role_chars"))
 
-    return grouped.select("conv_id", F.transform("t", shaped).alias("turns"))
+def placed(turns: DataFrame) -> DataFrame:
+    """no and start of each turn of rendered(): how many turns and how many tokens of its conversation come before it.
+
+    Narrow rows are dealt in ranges of (conversation, turn, role, name); sums of ranges are added up, and then windows run
+    inside one range of one conversation at a time.
+    """
+    tokens = F.ceil(F.octet_length("body") / BYTES_PER_TOKEN).cast("long")
+    counted = turns.groupBy(*TURN).agg(F.count("*").alias("n"), F.max(tokens).alias("tokens"))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    dealt = stored(each.repartitionByRange(*TURN, "copy").withColumn("part", F.spark_partition_id()), "turns")
+    sums = dealt.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
+    earlier = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("c", "p", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_before") for x in ("n", "sum")))
+    inside = Window.partitionBy("conv_id", "part").orderBy(*TURN[1:], "copy").rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumns({"no": F.count("*").over(inside), "start": F.coalesce(F.sum("tokens").over(inside), F.lit(0))})
+    whole = within.join(sums, same(F.col("conv_id"), F.col("c")) & (F.col("part") == F.col("p")))
+    return whole.select(*TURN, "tokens", (F.col("no") + F.col("n_before")).alias("no"), (F.col("start") + F.col("sum_before")).alias("start"))
+
+
+def cut(turns: DataFrame, window_tokens: int, history_tokens: int) -> DataFrame:
+    """Each turn of each window, from placed(): conv_id, window, place, context, and the turn's key.
+
+    place orders a window's turns; context tells those that repeat earlier ones. window rises along the conversation.
+    """
+    turns = stored(turns, "placed")
+    leads = turns.filter("no = 0 AND role = 'system'").select(F.col("conv_id").alias("c"), F.col("tokens").alias("fixed"), *(F.col(k).alias(f"lead_{k}") for k in TURN[1:]))
+    after = turns.join(leads.select("c", "fixed"), same(F.col("conv_id"), F.col("c")), "left").drop("c").withColumn("fixed", F.coalesce("fixed", F.lit(0)))
+    after = after.filter("NOT (no = 0 AND role = 'system')").withColumn("at", F.col("start") - F.col("fixed"))
+    stride = F.greatest(F.lit(1), F.lit(window_tokens - history_tokens) - F.col("fixed"))
+    after = after.withColumn("cell", F.floor(F.col("at") / stride)).withColumn("first", F.min("at").over(Window.partitionBy("conv_id", "cell")))
+    end = F.col("at") + F.col("tokens")
+    own = (end > (F.col("cell") + 1) * stride) & (F.col("first") < F.col("at")) & (end - F.col("first") > stride)
+    new = stored(after.withColumn("window", F.col("cell") * 2 + F.when(own, 1).otherwise(0)).select(*TURN, "window", "no", "at", "tokens", "fixed"), "new")
+    spans = new.groupBy(F.col("conv_id").alias("c"), F.col("window").alias("w")).agg(F.min("at").alias("from"), F.sum("tokens").alias("size"), F.max("fixed").alias("fixed"))
+    later = stored(spans.filter("from > 0").withColumn("room", F.least(F.lit(history_tokens), F.greatest(F.lit(0), F.lit(window_tokens) - F.col("fixed") - F.col("size")))), "later")
+    # A turn in reach begins in the same stretch of history_tokens as the window, or in the one before.
+    stretch = lambda c: F.floor(F.col(c) / max(1, history_tokens))
+    seen = later.filter("room > 0").withColumn("near", F.explode(F.array(stretch("from"), stretch("from") - 1)))
+    old = new.withColumn("stretch", stretch("at")).join(seen.select("c", "w", "from", "room", "near"), same(F.col("conv_id"), F.col("c")) & (F.col("stretch") == F.col("near")))
+    old = old.filter((F.col("at") < F.col("from")) & (F.col("at") >= F.col("from") - F.col("room")))
+    again = later.select("c", "w").join(leads.withColumnRenamed("c", "l"), same(F.col("c"), F.col("l")))
+    head = turns.filter("no = 0 AND role = 'system'")
+    row = lambda window, place, context, key=TURN: [window.alias("window"), place.alias("place"), F.lit(context).alias("context"), *(F.col(k).alias(n) for k, n in zip(key, TURN, strict=True))]
+    return (
+        new.select(*row(F.col("window"), F.col("no"), False))
+        .unionByName(head.select(*row(F.lit(0).cast("long"), F.col("no"), False)))
+        .unionByName(old.select(*row(F.col("w"), F.col("no"), True)))
+        .unionByName(again.select(*row(F.col("w"), F.lit(0).cast("long"), True, ("c", *(f"lead_{k}" for k in TURN[1:])))))
+    )
 
 
 def formatted(rows: DataFrame, window_tokens: int = WINDOW_TOKENS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """One row for each conversation of rows (conv_id, turn, role, text): conv_id and windows, an array of
-    (text, context, turns, loss): the rendered text, how many of its turns repeat earlier ones, how many it has, and the
-    spans (start, length in code points, from 0) under the loss mask.
-
-    Every turn is new in exactly one window. Windows keep to the budget unless one turn with the system turns exceeds
-    it; turns are never cut. Null roles and texts are empty, null turns come first, rows with equal turns stand by role
-    and text, repeated rows are repeated turns, a null conv_id is one conversation, and other columns are not read.
-    An empty table gives no rows.
+    """One row for each window of the conversations in rows (conv_id, turn, role, text): conv_id, window, text, context,
+    turns, loss: the rendered text, how many of its turns repeat earlier ones, how many it has, and the spans (start,
+    length in code points, from 0) under the loss mask. window rises along a conversation, from 0 and with gaps.
+
+    Every turn is new in exactly one window. Windows keep to the budget unless one turn with the system turn exceeds it;
+    turns are never cut. The system turn is a first turn of that role. Null roles and texts are empty, null turns come
+    first, rows with equal turns stand by role and a hash of the text, repeated rows are repeated turns, a null conv_id is
+    one conversation, and other columns are not read. An empty table gives no rows.
     """
-    base = conversations(rows).select(
+    turns = rendered(rows)
+    texts = turns.groupBy(*TURN).agg(F.max("body").alias("body")).select(*(F.col(k).alias(f"t_{k}") for k in TURN), "body")
+    parts = cut(placed(turns), window_tokens, history_tokens)
+    met = parts.join(texts, same(F.col("conv_id"), F.col("t_conv_id")) & same(F.col("turn"), F.col("t_turn")) & (F.col("role") == F.col("t_role")) & (F.col("name") == F.col("t_name")))
+    # Earlier turns come first; the system turn, where it is repeated, has the place 0.
+    one = F.struct("place", "context", (F.col("role") == "assistant").alias("target"), "body")
+    made = met.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(one)).alias("list"))
+    begins = F.aggregate("list", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t.body))))
+    made = made.withColumn("begins", begins)
+    head = lambda t: F.instr(t.body, "\n")
+    span = lambda t, k: F.struct((F.get("begins", k) + head(t)).cast("long").alias("start"), (F.length(t.body) - head(t) - len(CLOSE)).cast("long").alias("length"), (t.target & ~t.context).alias("own"))
+    loss = F.transform(F.filter(F.transform("list", span), lambda s: s.own), lambda s: F.struct(s.start.alias("start"), s.length.alias("length")))
+    return made.select(
         "conv_id",
-        "turns",
-        # System turns at the start are repeated in every window.
-        F.coalesce(F.array_position(F.transform("turns", lambda t: t.role != "system"), True), F.lit(0)).alias("p"),
+        "window",
+        F.concat_ws("", F.transform("list", lambda t: t.body)).alias("text"),
+        F.size(F.filter("list", lambda t: t.context)).alias("context"),
+        F.size("list").alias("turns"),
+        loss.alias("loss"),
     )
-    base = base.withColumn("n", F.size("turns")).withColumn("lead", F.when(F.col("p") == 0, F.col("n")).otherwise(F.col("p") - 1).cast("int"))
-    # Running totals: tokens of the turns before each place, 0 to n.
-    start = F.array(F.lit(0).cast("long"))
-    base = base.withColumn("upto", F.aggregate("turns", start, lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t.tokens))))
-    base = base.withColumn("fixed", F.element_at("upto", F.col("lead") + 1))
-    upto = lambda k: F.element_at("upto", (k + 1).cast("int"))
-    # Each window as (first new turn, first history turn): a new one opens where the next turn would exceed the budget.
-    kind = "array<struct<first:int,history:int>>"
-    windows = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("history"))).cast(kind)
-
-    def step(a: Column, k: Column) -> Column:
-        last = F.element_at(a, -1)
-        begin = F.when(last["first"] == 0, F.lit(0).cast("long")).otherwise(F.col("fixed") - upto(last["history"]))
-        over = (begin + upto(k + 1) > window_tokens) & (k > last["first"]) & (k >= F.col("lead"))
-        room = upto(k) - F.least(F.lit(history_tokens).cast("long"), F.greatest(F.lit(0).cast("long"), F.lit(window_tokens) - F.col("fixed") - (upto(k + 1) - upto(k))))
-        # The first turn from which the history fits: as many running totals below it as turns stay out.
-        out = F.size(F.filter("upto", lambda u: u < room))
-        history = F.least(k, F.greatest(F.col("lead"), out)).cast("int")
-        return F.when(over, F.concat(a, F.array(F.struct(k.cast("int").alias("first"), history.alias("history"))).cast(kind))).otherwise(a)
-
-    base = base.withColumn("cuts", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), windows, step))
-
-    def built(w: Column, i: Column) -> Column:
-        end = F.coalesce(F.try_element_at(F.col("cuts"), (i + 2).cast("int"))["first"], F.col("n"))
-        lead = F.when(w["first"] == 0, F.lit(0)).otherwise(F.col("lead"))
-        context = lead + w["first"] - w["history"]
-        old = F.concat(F.slice("turns", F.lit(1), lead), F.slice("turns", w["history"] + 1, w["first"] - w["history"]))
-        new = F.slice("turns", w["first"] + 1, end - w["first"])
-        shown = F.concat(old, new)
-        head = F.length(F.concat_ws("", F.transform(old, lambda t: t.body)))
-        places = F.aggregate(new, F.array(head), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t.body))))
-        body_start = lambda t: F.instr(t.body, "\n")
-        spans = F.transform(new, lambda t, k: F.struct((F.get(places, k) + body_start(t)).cast("long").alias("start"), (F.length(t.body) - body_start(t) - len(CLOSE)).cast("long").alias("length"), (t.role == "assistant").alias("target")))
-        loss = F.transform(F.filter(spans, lambda s: s.target), lambda s: F.struct(s.start.alias("start"), s.length.alias("length")))
-        return F.struct(F.concat_ws("", F.transform(shown, lambda t: t.body)).alias("text"), context.cast("int").alias("context"), F.size(shown).alias("turns"), loss.alias("loss"))
-
-    return base.select("conv_id", F.transform("cuts", built).alias("windows"))
-
-
-def windows(rows: DataFrame, **options) -> DataFrame:
-    """One row for each window: conv_id, window (from 0), text, context, turns, loss."""
-    return formatted(rows, **options).select("conv_id", F.posexplode("windows").alias("window", "w")).select("conv_id", "window", "w.*")
 
 
 def parsed(text: Column) -> Column:
@@ -124,17 +149,24 @@ def parsed(text: Column) -> Column:
 
 
 def digests(made: DataFrame) -> DataFrame:
-    """Read back from what formatted() returns: counts and digests of the turns and of the text under the loss mask."""
-    turns = F.flatten(F.transform("windows", lambda w: F.slice(parsed(w.text), w.context + 1, w.turns - w.context)))
-    loss = F.flatten(F.transform("windows", lambda w: F.transform(w.loss, lambda s: unescaped(F.substr(w.text, (s.start + 1).cast("int"), s.length.cast("int"))))))
-    read = made.select("conv_id", turns.alias("turns"), F.concat_ws("", loss).alias("loss"), F.aggregate("windows", F.lit(0).cast("long"), lambda a, w: a + F.length(w.text)).alias("formatted_chars"))
-    whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
+    """Read back from what formatted() returns: counts and digests of the turns and of the text under the loss mask.
+
+    A digest needs a conversation's text in order, so here, and only here, a conversation is gathered in one row.
+    """
+    new = F.slice(parsed(F.col("text")), F.col("context") + 1, F.col("turns") - F.col("context"))
+    said = F.concat_ws("", F.transform(new, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
+    target = F.concat_ws("", F.transform("loss", lambda s: unescaped(F.substr("text", (s.start + 1).cast("int"), s.length.cast("int")))))
+    one = F.struct("window", said.alias("said"), target.alias("target"))
+    read = made.groupBy("conv_id").agg(
+        F.sum(F.col("turns") - F.col("context")).cast("long").alias("n_turns"), F.sum(F.length("text")).cast("long").alias("formatted_chars"), F.array_sort(F.collect_list(one)).alias("list")
+    )
+    loss = F.concat_ws("", F.transform("list", lambda w: w.target))
     return read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        digest(whole).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        digest(F.col("loss")).alias("loss_sha256"),
+        "n_turns",
+        digest(F.concat_ws("", F.transform("list", lambda w: w.said))).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        digest(loss).alias("loss_sha256"),
         "formatted_chars",
     )
 
@@ -148,33 +180,31 @@ def with_control_case(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 
-#: The same rows as of digests(formatted(with_control_case(conversations))): windows are walked turn by turn.
+#: The same rows as of digests(formatted(with_control_case(conversations))).
 ORACLE_SQL = r"""
-WITH RECURSIVE rows AS (
+WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), bodies AS (
   SELECT *, '<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') || chr(10)
     || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS body FROM rows
-), convs AS (
-  SELECT conv_id, count(*) AS n, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS loss_chars,
-    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-    list(CAST((octet_length(encode(body)) + 3) // 4 AS BIGINT) ORDER BY turn NULLS FIRST, role, text) AS tokens,
-    list(CAST(length(body) AS BIGINT) ORDER BY turn NULLS FIRST, role, text) AS chars, list(role ORDER BY turn NULLS FIRST, role, text) AS roles
-  FROM bodies GROUP BY conv_id
-), sums AS (
-  SELECT *, list_transform(range(n + 1), lambda i: coalesce(list_sum(tokens[1:i]), 0)) AS upto, list_transform(range(n + 1), lambda i: coalesce(list_sum(chars[1:i]), 0)) AS cupto,
-    coalesce(list_position(list_transform(roles, lambda r: r <> 'system'), true), n + 1) - 1 AS lead FROM convs
-), walk AS (
-  SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS history, CAST(0 AS BIGINT) AS extra FROM sums
-  UNION ALL
-  SELECT conv_id, k + 1, CASE WHEN over THEN k ELSE first END, CASE WHEN over THEN fresh ELSE history END, extra + CASE WHEN over THEN cupto[lead + 1] + cupto[k + 1] - cupto[fresh + 1] ELSE 0 END
-  FROM (SELECT w.*, s.lead, s.cupto,
-      CASE WHEN first = 0 THEN 0 ELSE upto[lead + 1] - upto[history + 1] END + upto[k + 2] > 2048 AND k > first AND k >= lead AS over,
-      CAST(least(k, greatest(lead, len(list_filter(upto, lambda u: u < upto[k + 1] - least(256, greatest(0, 2048 - upto[lead + 1] - tokens[k + 1])))))) AS BIGINT) AS fresh
-    FROM walk w JOIN sums s USING (conv_id) WHERE k < n)
+), turns AS (
+  SELECT *, (octet_length(encode(body)) + 3) // 4 AS tokens, length(body) AS chars, row_number() OVER w - 1 AS no FROM bodies WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))
+), leads AS (SELECT conv_id, tokens AS fixed, chars AS lead_chars FROM turns WHERE no = 0 AND role = 'system'
+), after AS (
+  SELECT t.*, coalesce(fixed, 0) AS fixed, coalesce(lead_chars, 0) AS lead_chars, greatest(1, 1024 - 128 - coalesce(fixed, 0)) AS stride,
+    CAST(sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY no) - tokens AS BIGINT) AS pos
+  FROM turns t LEFT JOIN leads USING (conv_id) WHERE NOT (no = 0 AND role = 'system')
+), cells AS (SELECT *, pos // stride AS cell, min(pos) OVER (PARTITION BY conv_id, pos // stride) AS first FROM after
+), cut AS (SELECT *, 2 * cell + CASE WHEN pos + tokens > (cell + 1) * stride AND first < pos AND pos + tokens - first > stride THEN 1 ELSE 0 END AS wno FROM cells
+), later AS (
+  SELECT conv_id, wno, min(pos) AS begin, any_value(lead_chars) AS lead_chars, least(128, greatest(0, 1024 - any_value(fixed) - sum(tokens))) AS room FROM cut GROUP BY conv_id, wno HAVING min(pos) > 0
+), repeated AS (
+  SELECT l.conv_id, sum(l.lead_chars + coalesce((SELECT sum(c.chars) FROM cut c WHERE c.conv_id = l.conv_id AND c.pos < l.begin AND c.pos >= l.begin - l.room), 0)) AS extra FROM later l GROUP BY l.conv_id
 )
-SELECT conv_id, n AS n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256, CAST(list_sum(chars) + extra AS BIGINT) AS formatted_chars
-FROM sums JOIN walk USING (conv_id) WHERE k = n
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY no), '')) AS loss_sha256,
+  CAST(sum(chars) + coalesce(any_value(extra), 0) AS BIGINT) AS formatted_chars
+FROM turns LEFT JOIN repeated USING (conv_id) GROUP BY conv_id
 """
