@@ -4,8 +4,10 @@ Fixed patterns give the base spans. Beyond them, every long run of key character
 slashes and equals signs, is tested: its encoding is inferred from its alphabet, and chi-squared uniformity, runs and
 serial-correlation tests say whether it fits random symbols of that encoding. How much less likely it is as ordinary text
 (words, paths, names with numbers: characters that mostly stay in their class) gives each run a p-value of its own: a
-likelihood ratio of 2^b comes up in ordinary text with a probability of at most 2^-b. Within classes of length the
-Benjamini-Hochberg rule takes the runs that are reported, so a certain run stays whatever else its class holds.
+likelihood ratio of 2^b comes up in ordinary text with a probability of at most 2^-b. How often ordinary text changes its
+class of characters is measured, for each encoding, on the runs that the tests reject. Within classes of length and
+encoding the Benjamini-Hochberg rule takes the runs that are reported, so a certain run stays whatever else its class holds.
+Runs that meet a base span are neither counted nor reported.
 """
 
 from __future__ import annotations
@@ -40,8 +42,9 @@ MOST_Z = 3.0
 FALSE_SHARE = 0.05
 #: Segments of a run.
 SEGMENT = r"[A-Za-z0-9+_-]{20,}"
-#: Ordinary text: chances of a character to stay in its class and to change to one other, and the same after a separator.
-STAY, CHANGE, STAY_APART, CHANGE_APART = 0.85, 0.05, 0.15, 0.85 / 3
+#: Ordinary text before anything is measured: chances of a character to stay in its class, and the same after a separator;
+#: they count as so many characters.
+STAY, STAY_APART, PRIOR_CHARS = 0.85, 0.15, 1000
 #: Whole bits that p-values are counted by, at most.
 MOST_BITS = 200
 
@@ -100,33 +103,34 @@ def looks_random(token: Column, alphabet: str) -> Column:
     return (F.abs(chi_z) <= MOST_Z) & (F.abs(runs_z) <= MOST_Z) & (F.abs(serial_z) <= MOST_Z)
 
 
-def text_bits(token: Column, symbols: int) -> Column:
-    """log2 of how much likelier the token is as random symbols than as ordinary text."""
-    n = F.length(token)
-    of = lambda chars: n - F.length(F.regexp_replace(token, f"[{chars}]+", ""))
-    letters, digits, seps = of("A-Za-z"), of("0-9"), of("+/")
-    runs = F.length(F.regexp_replace(token, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x"))
-    left, double = F.regexp_count(token, F.lit("[+/](?=[A-Za-z0-9])")), F.regexp_count(token, F.lit("[+/](?=[+/])"))
-    text = (n - runs - double) * log2(STAY) + double * log2(STAY_APART) + (runs - 1 - left) * log2(CHANGE) + left * log2(CHANGE_APART)
-    return -log2(symbols) * n - (text - 2 - letters * log2(26) - digits * log2(10) - seps)
+def shape(token: Column) -> list[Column]:
+    """What ordinary text is told by: characters, those of each kind, and changes from one class to another."""
+    of = lambda chars: F.length(token) - F.length(F.regexp_replace(token, f"[{chars}]+", ""))
+    return [
+        F.length(token).alias("n"),
+        of("A-Za-z").alias("letters"),
+        of("0-9").alias("digits"),
+        F.length(F.regexp_replace(token, "[a-z]+|[A-Z]+|[0-9]+|[+/]+", "x")).alias("runs"),
+        F.regexp_count(token, F.lit("[+/](?=[A-Za-z0-9])")).alias("left"),
+        F.regexp_count(token, F.lit("[+/](?=[+/])")).alias("double"),
+    ]
 
 
 def tested(text: Column) -> Column:
-    """Runs of key characters and their segments as an array of (start, stop, size, bits, random): the place of their
-    length's class, the whole bits that they are away from ordinary text, and whether the battery takes them for random
-    symbols of their encoding. Lower-case words are ordinary text."""
+    """Runs of key characters and their segments as an array of (start, stop, size, code, ordinary, random, and shape()):
+    the places of their length's class and of their encoding, and whether the battery takes them for random symbols of
+    that encoding. Lower-case words are ordinary text."""
 
     def test(s: Column) -> Column:
         token = F.translate(F.regexp_replace(s.match, "=+$", ""), "-_=", "+/")
-        by_alphabet = lambda f: (
-            F.when(token.rlike("^[0-9a-f]+$"), f("hex")).when(token.rlike("^[0-9A-F]+$"), f("upper_hex")).when(token.rlike("^[A-Z2-7]+$"), f("base32")).otherwise(f("base64"))
-        )
+        code = F.when(token.rlike("^[0-9a-f]+$"), 0).when(token.rlike("^[0-9A-F]+$"), 1).when(token.rlike("^[A-Z2-7]+$"), 2).otherwise(3)
+        random = F.lit(False)
+        for k, alphabet in reversed(list(enumerate(ALPHABETS.values()))):
+            random = F.when(code == k, looks_random(token, alphabet)).otherwise(random)
         size = sum(((F.length(s.match) >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
         ordinary = (F.length(token) < CLASSES[0]) | s.match.rlike("^[a-z]+$")
-        bits = F.greatest(F.lit(0), F.least(F.lit(MOST_BITS), F.floor(by_alphabet(lambda a: text_bits(token, len(ALPHABETS[a])))).cast("int")))
-        bits = F.when(ordinary, F.lit(0)).otherwise(bits)
-        random = F.when(ordinary, F.lit(False)).otherwise(by_alphabet(lambda a: looks_random(token, ALPHABETS[a])))
-        return F.struct(s.start.alias("start"), s.stop.alias("stop"), size.alias("size"), bits.alias("bits"), random.alias("random"))
+        named = [s.start.alias("start"), s.stop.alias("stop"), size.alias("size"), code.alias("code"), ordinary.alias("ordinary")]
+        return F.struct(*named, F.when(ordinary, F.lit(False)).otherwise(random).alias("random"), *shape(token))
 
     def with_segments(s: Column) -> Column:
         moved = lambda g: F.struct((s.start + g.start).alias("start"), (s.start + g.stop).alias("stop"), g.match.alias("match"))
@@ -136,19 +140,40 @@ def tested(text: Column) -> Column:
     return F.transform(F.array_distinct(runs), test)
 
 
-def least_bits(rows: DataFrame) -> dict[int, int]:
-    """The bits from which on a class of lengths reports spans, by the Benjamini-Hochberg rule over all of its runs; runs
-    that the battery rejects have a p-value of 1. At most MOST_BITS counts for each class come to the driver."""
-    bits = F.when(F.col("t.random"), F.col("t.bits")).otherwise(F.lit(0))
-    each = rows.select(F.explode("tested").alias("t")).groupBy("t.size", bits.alias("bits")).agg(F.count("*").alias("n")).collect()
+def background(rows: DataFrame) -> list[tuple[float, float]]:
+    """For each encoding, the chances of ordinary text to stay in a class of characters, and to stay with separators, as
+    measured on the runs that the battery rejects. One row for each encoding comes to the driver."""
+    t = rows.select(F.explode("tested").alias("t")).filter("NOT t.random AND NOT t.ordinary").select("t.*")
+    sums = t.groupBy("code").agg(F.sum(F.col("n") - F.col("runs") - F.col("double")).alias("stay"), F.sum(F.col("runs") - 1 - F.col("left")).alias("change"), F.sum("double").alias("double"), F.sum("left").alias("left"))
+    by = {r.code: r for r in sums.collect()}
+    share = lambda yes, no, prior: (yes + prior * PRIOR_CHARS) / (yes + no + PRIOR_CHARS)
+    return [(share(r.stay, r.change, STAY), share(r.double, r.left, STAY_APART)) if (r := by.get(code)) else (STAY, STAY_APART) for code in range(len(ALPHABETS))]
+
+
+def text_bits(t: Column, rates: list[tuple[float, float]]) -> Column:
+    """log2 of how much likelier a tested run is as random symbols than as ordinary text, in whole bits up to MOST_BITS;
+    0 for runs that the battery rejects."""
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), t.code + 1)
+    stay, stay_apart = of([log2(a) for a, _ in rates]), of([log2(b) for _, b in rates])
+    change, change_apart = of([log2((1 - a) / 3) for a, _ in rates]), of([log2((1 - b) / 3) for _, b in rates])
+    text = (t.n - t.runs - t.double) * stay + t.double * stay_apart + (t.runs - 1 - t.left) * change + t.left * change_apart
+    text = text - 2 - t.letters * log2(26) - t.digits * log2(10) - (t.n - t.letters - t.digits)
+    bits = F.floor(-of([log2(len(a)) for a in ALPHABETS.values()]) * t.n - text).cast("int")
+    return F.when(t.random, F.greatest(F.lit(0), F.least(F.lit(MOST_BITS), bits))).otherwise(0)
+
+
+def least_bits(rows: DataFrame, rates: list[tuple[float, float]]) -> dict[tuple[int, int], int]:
+    """The bits from which on a class of lengths and encodings reports spans, by the Benjamini-Hochberg rule over all of its
+    runs; runs that the battery rejects have a p-value of 1. At most MOST_BITS counts for each class come to the driver."""
+    each = rows.select(F.explode("tested").alias("t")).groupBy("t.size", "t.code", text_bits(F.col("t"), rates).alias("bits")).agg(F.count("*").alias("n")).collect()
     out = {}
-    for size in {r["size"] for r in each}:
-        counts = {r.bits: r.n for r in each if r["size"] == size}
+    for kind in {(r["size"], r.code) for r in each}:
+        counts = {r.bits: r.n for r in each if (r["size"], r.code) == kind}
         total, hits = sum(counts.values()), 0
         for b in sorted((b for b in counts if b), reverse=True):
             hits += counts[b]
             if 2.0**-b <= FALSE_SHARE * hits / total:
-                out[size] = b
+                out[kind] = b
     return out
 
 
@@ -161,15 +186,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     run to the run where that is reported.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    assign, access, hexes = base_spans(text)
-    place = lambda spans: F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place(assign).alias("assign"), place(access).alias("access"), place(hexes).alias("hex"), tested(text).alias("tested"))
-    rows = stored(rows, "scanned")
-    least = least_bits(rows)
-    lowest = F.array(*[F.lit(least.get(size, MOST_BITS + 1)) for size in range(len(CLASSES))])
-    of_kind = lambda name, no: F.transform(name, lambda s: F.struct(s.start.alias("start"), F.lit(no).alias("kind"), s.stop.alias("stop")))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*[of_kind(k, i) for i, k in enumerate(KINDS[:3])])))
-    rows = rows.withColumn("hits", F.filter("tested", lambda t: t.random & (t.bits >= F.element_at(lowest, t["size"] + 1)) & ~F.exists("base", lambda b: (b.start < t.stop) & (t.start < b.stop))))
+    of_kind = lambda spans, no: F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(no).alias("kind"), s.stop.alias("stop")))
+    base = F.array_sort(F.concat(*[of_kind(spans, no) for no, spans in enumerate(base_spans(text))]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.alias("base"), tested(text).alias("tested"))
+    apart = F.filter("tested", lambda t: ~F.exists("base", lambda b: (b.start < t.stop) & (t.start < b.stop)))
+    rows = stored(rows.withColumn("tested", apart), "scanned")
+    rates = background(rows)
+    least = least_bits(rows, rates)
+    lowest = F.array(*[F.lit(least.get((size, code), MOST_BITS + 1)) for size in range(len(CLASSES)) for code in range(len(ALPHABETS))])
+    rows = rows.withColumn("hits", F.filter("tested", lambda t: t.random & (text_bits(t, rates) >= F.element_at(lowest, t["size"] * len(ALPHABETS) + t.code + 1))))
     inside = lambda t, u: (u.start <= t.start) & (t.stop <= u.stop) & (u.stop - u.start > t.stop - t.start)
     more = F.filter("hits", lambda t: ~F.exists("hits", lambda u: inside(t, u)))
     rows = rows.withColumn("more", F.transform(more, lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.stop.alias("stop"))))
