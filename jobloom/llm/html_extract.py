@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import same, stored
 
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
 LEAST_PAGES = 10
@@ -243,16 +243,16 @@ class Page:
 
 
 #: A page's row, its host, the hash of its text, one of its subtrees and that one's weight and parent; mark 0 is the page itself.
-MARKS = pa.schema([("key", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("mark", pa.int64()), ("weight", pa.int64()), ("parent", pa.int64())])
+MARKS = pa.schema([("page_id", pa.int64()), ("key", pa.int64()), ("host", pa.string()), ("content", pa.int64()), ("mark", pa.int64()), ("weight", pa.int64()), ("parent", pa.int64())])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for key, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for page_id, key, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             page = Page(html or "")
             content = xxhash.xxh3_64_intdigest(page.main_text().encode("utf-8", "replace")) - 2**63
-            rows += [(key, host, content, *mark) for mark in [*page.parents, (0, 0, 0)]]
+            rows += [(page_id, key, host, content, *mark) for mark in [*page.parents, (0, 0, 0)]]
         columns = zip(*rows, strict=True) if rows else [()] * len(MARKS)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, MARKS.types, strict=True)], schema=MARKS)
 
@@ -267,15 +267,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row for each row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    A null or empty html gives an empty text. A url that is null or has no host belongs to the host ''. Rows that
+    A null or empty html gives an empty text. A page whose url is null or has no host is a host of its own. Rows that
     repeat page_id, url and html give equal rows; null ids are kept. Other columns are not read, and an empty table
     gives no rows. Texts are whole, however long. Pages of a host with the same text, under one url or several, count as
     one page when its template is looked for.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    # Rows are told apart by page_id and key, so it takes two pages of one id for their hashes to meet.
+    keyed = pages.withColumn("key", F.xxhash64("url", "html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    marks = keyed.select("key", host.alias("host"), "html").mapInArrow(_marks, "key long, host string, content long, mark long, weight long, parent long")
+    host = F.coalesce(F.nullif(host, F.lit("")), F.concat_ws(" ", F.lit(""), F.col("page_id").cast("string"), F.col("key").cast("string")))
+    marks = keyed.select("page_id", "key", host.alias("host"), "html").mapInArrow(_marks, "page_id long, key long, host string, content long, mark long, weight long, parent long")
     marks = stored(marks, "marks")
     counts = marks.groupBy("host", "mark").agg(F.count_distinct("content").alias("contents"), F.count_distinct("parent").alias("parents"), F.max("weight").alias("weight"))
     # A part of a larger subtree that recurs has that one parent only, and goes or stays with it.
@@ -289,6 +291,6 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     rare = (n >= least_pages) & (F.col("weight") > 0) & (n >= share / F.pow(F.lit(2.0), F.col("weight")))
     template = stored(counts.filter("mark <> 0").join(totals, "host").filter(often | rare).select("host", "mark", often.alias("often")), "template")
     sets = [F.collect_set(F.when(c, F.col("mark"))).alias(name) for name, c in (("dead", F.col("often")), ("rare", ~F.col("often")))]
-    dead = stored(marks.join(template, ["host", "mark"]).groupBy("key").agg(*sets), "dead")
-    whole = keyed.join(dead, "key", "left").select("page_id", "url", "dead", "rare", "html")
+    dead = marks.join(template, ["host", "mark"]).groupBy(F.col("page_id").alias("p"), F.col("key").alias("k")).agg(*sets)
+    whole = keyed.join(stored(dead, "dead"), same(F.col("page_id"), F.col("p")) & (F.col("key") == F.col("k")), "left").select("page_id", "url", "dead", "rare", "html")
     return whole.mapInArrow(_texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
