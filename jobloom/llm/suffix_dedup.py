@@ -69,6 +69,19 @@ def suffix_order(text: bytes, depth: int) -> list[int]:
     return sa
 
 
+def common_prefixes(text: bytes, order: np.ndarray, depth: int, step: int = 4096) -> np.ndarray:
+    """The bytes that each suffix has in common with the next one in the order, depth at most; all have so many bytes."""
+    if len(order) < 2:
+        return np.zeros(0, np.int64)
+    heads = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), depth)
+    out = []
+    for k in range(0, len(order) - 1, step):
+        part = heads[order[k : k + step + 1]]
+        differ = part[1:] != part[:-1]
+        out.append(np.where(differ.any(axis=1), differ.argmax(axis=1), depth))
+    return np.concatenate(out)
+
+
 def repeated(group: list[tuple[bytes, int]], window: int) -> list[np.ndarray]:
     """For each (context, count of windows): which of its windows occur elsewhere among the contexts."""
     text = b"\xff".join(c for c, _ in group)
@@ -78,8 +91,7 @@ def repeated(group: list[tuple[bytes, int]], window: int) -> list[np.ndarray]:
         starts[b : b + n] = True
     order = np.array(suffix_order(text, window), dtype=np.int64)
     order = order[starts[order]]
-    ranked = order.tolist()
-    common = np.array([text[i : i + window] == text[j : j + window] for i, j in zip(ranked, ranked[1:], strict=False)], dtype=bool)
+    common = common_prefixes(text, order, window) >= window
     hit = np.zeros(len(text), dtype=bool)
     hit[order[1:][common]] = hit[order[:-1][common]] = True
     return [hit[b : b + n] for b, (_, n) in zip(begin, group, strict=True)]
@@ -270,8 +282,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = _open_groups(distinct)
     wanted = distinct.join(groups.select("h"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "c", "n", "first", "count", "off")).alias("wanted"))
     fetched = docs.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_fetched(window), "h long, c long, n long, count int, off int, bytes binary")
-    # Rows that repeat an id and a text share a key, so a context can be fetched twice.
-    fetched = stored(fetched.dropDuplicates(["h", "c"]), "contexts")
+    fetched = stored(fetched, "contexts")
     single = distinct.filter("n = 1").select("h", "c")
     verdict = stored(_whole(distinct).unionByName(_settled(fetched, groups, window, True).join(single, ["h", "c"], "left_semi")), "verdict")
     placed = live.join(verdict, ["h", "c"]).select("key", F.explode(F.transform("spans", lambda s: F.struct((F.col("first") + s.a).alias("a"), (F.col("first") + s.b).alias("b")))).alias("s"))
@@ -287,7 +298,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns are not read, and an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = stored(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
     marked = docs.join(stored(repeats(docs, window), "repeats"), "key", "left")
     return marked.select("doc_id", "text", "spans").mapInArrow(_removed(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
