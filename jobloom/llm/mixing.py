@@ -74,6 +74,13 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return slots.select("slot", "source_no", "block", F.least(F.lit(block_words), F.col("goal") - F.col("block") * block_words).alias("words"))
 
 
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """The mix itself: slot, source, block, doc_id, begin (a place in the source, passes one after another) and words: what
+    each slot of the schedule holds of each document, in the order of slot and begin. Options and rows are as of mixed()."""
+    parts, _ = _parts(docs, weights, percent, most, block_words, seed, None)
+    return parts.filter("words > 0").select("slot", "source", "block", "doc_id", F.greatest("at", F.col("block") * block_words).alias("begin"), "words")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 7, key: str | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
 
@@ -82,6 +89,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TO
     other, and repeated rows are each taken for themselves. Other columns are not read, but for key, if one is named: a
     number of each row, which breaks ties and is given back. An empty table gives no rows.
     """
+    parts, empty = _parts(docs, weights, percent, most, block_words, seed, key)
+    taken = parts.groupBy("key", "doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("words").cast("long").alias("taken"))
+    out = taken.drop("start").unionByName(empty)
+    return out if key else out.drop("key")
+
+
+def _parts(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int, block_words: int, seed: int, key: str | None) -> tuple[DataFrame, DataFrame]:
+    """What each slot takes of each document (words, 0 for none), and the documents without words."""
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.col(key) if key else F.lit(0)).cast("long").alias("key")), "sized")
     goals = stored(targets(sized, weights, percent, most).coalesce(1), "targets")
     slots = schedule(goals, block_words)
@@ -92,12 +107,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TO
     placed = running_total(rows.filter("size > 0"), ["source_no"], "bucket", ["place", "doc_id", "size", "key"], F.col("size"), "start")
     passes = placed.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.col("start") + p * F.col("source_size"))))
     parts = passes.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
-    met = parts.join(slots.select("source_no", "block", "words"), ["source_no", "block"], "left")
+    met = parts.join(slots, ["source_no", "block"], "left")
     begin = F.col("block") * block_words
     inside = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), begin + F.coalesce("words", F.lit(0))) - F.greatest(F.col("at"), begin))
-    taken = met.groupBy("key", "doc_id", "source", "size", "source_size", "target", "start").agg(F.sum(inside).cast("long").alias("taken"))
-    out = taken.drop("start").unionByName(empty)
-    return out if key else out.drop("key")
+    return met.withColumn("words", inside), empty
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
