@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, text_bytes
+from ._common import LOWER, stored, text_bytes
 from .shingles import word_names
 
 #: At most so many labelled rows, the first by hash of doc_id, are used to fit.
 TRAIN_ROWS = 6000
+#: And at most so many bytes of their features, which come to the driver.
+TRAIN_BYTES = 1 << 28
 THRESHOLD = 0.7
 FEATURE_BITS = 18
 _SPREAD = np.uint32(2654435761)
@@ -143,13 +145,18 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """The model, from at most so many labelled rows that are not held out. Rows with a null id or label are left out."""
+    """The model, from at most so many labelled rows that are not held out, the first by hash of their id, and of those as
+    many as have TRAIN_BYTES of features together. Rows with a null id or label are left out."""
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     chosen = usable.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     # At most TRAIN_ROWS pairs of numbers, so this side is safe to send to every executor.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
-    got = texts.mapInArrow(_featured, "doc_id long, features binary, label int").toArrow()
+    featured = stored(texts.mapInArrow(_featured, "doc_id long, features binary, label int"), "featured")
+    sizes = featured.groupBy("doc_id").agg(F.sum(F.length("features").cast("long")).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total = np.cumsum([r.bytes for r in sizes])
+    own = [r.doc_id for r, t in zip(sizes, total.tolist(), strict=True) if t <= TRAIN_BYTES]
+    got = (featured if len(own) == len(sizes) else featured.filter(F.col("doc_id").isin(own))).toArrow()
     ids, labels_, packed = got.column("doc_id").to_numpy(), got.column("label").to_numpy(), got.column("features").combine_chunks()
     # One row for each id, in an order that neither partitions nor ids decide.
     _, one = np.unique(ids, return_index=True)
