@@ -2,6 +2,7 @@
 whose names clash with those that the operators use inside."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -87,11 +88,11 @@ def test_near_groups(docs, rows, none, n):
     assert left.columns == docs.columns and {r.doc_id for r in left.select("doc_id").collect()} == {d for d, (_, r) in want.items() if d == r}
 
 
-def test_near_groups_in_blocks(spark, monkeypatch):
-    """A large group of near copies on either side of the threshold, with small buckets and blocks."""
-    monkeypatch.setattr(near_dedup, "PAIRED", 4)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 1)
+@pytest.mark.parametrize(("block", "rounds"), [(1 << 20, 2), (1 << 20, 0), (1000, 0), (1000, 1)])
+def test_near_groups_in_blocks(spark, monkeypatch, block, rounds):
+    """A large group of near copies on either side of the threshold, with whole buckets and with many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
     rng = random.Random(8)
     base = words(rng, 60).split()
     texts = []
@@ -105,6 +106,28 @@ def test_near_groups_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_near_groups_of_repeated_ids(spark):
+    """Each text of a repeated doc_id has its own links."""
+    rng = random.Random(5)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (9, a + " end"), (7, b + " end"), (7, c), (7, c), (None, a), (3, c + " end"), (4, None)]
+    got = sorted(map(tuple, near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()), key=str)
+    n = lambda t: len({tuple(x) for x in zip(t.split(), t.split()[1:], strict=False)})
+    root = [5, 5, 5, 5, 3, 3, None, 3, 4]
+    assert got == sorted(((d, n(t or ""), r, d == r) for (d, t), r in zip(rows, root, strict=True)), key=str)
+
+
+def test_sketches_bound_the_similarity():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 33, 500):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n * 3 // 4], rng.integers(0, 2**63, n // 2, dtype=np.uint64)]))
+        x, y = (np.frombuffer(near_dedup.sketch(s), np.uint8) for s in (a, b))
+        while len(x) != len(y):
+            x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
 @pytest.mark.parametrize("most", [2, 256])
 def test_repeated_passages(spark, docs, rows, none, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", most)
@@ -119,7 +142,11 @@ def test_suffix_order():
     rng = random.Random(1)
     for n in (0, 1, 2, 50, 400):
         text = bytes(rng.choice(b"abc") for _ in range(n))
-        assert suffix_dedup.suffix_order(text, 500) == sorted(range(n), key=lambda i: text[i:])
+        order = suffix_dedup.suffix_order(text, 500)
+        assert order == sorted(range(n), key=lambda i: text[i:])
+        order = np.array([i for i in order if i <= n - 7], dtype=np.int64)
+        want = [len(os.path.commonprefix([text[i : i + 7], text[j : j + 7]])) for i, j in zip(order, order[1:], strict=False)]
+        assert suffix_dedup.common_prefixes(text, order, 7, 5).tolist() == want
 
 
 def test_mixture(docs, rows, none):
@@ -146,6 +173,20 @@ def test_mixture(docs, rows, none):
         assert by[s][0].source_size == cap[s] / 2
         assert by[s][0].target == pytest.approx(target[s])
         assert abs(sum(r.taken for r in by[s]) - target[s]) <= 1
+    # A source gives its first words in the order of a hash, twice over, up to its target.
+    place = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("p")).collect()}
+    for s in names:
+        start, whole, goal = 0, sum(r.size for r in by[s]), int(by[s][0].target + 0.5)
+        for r in sorted(by[s], key=lambda r: (place[r.doc_id] % int(len(rows) ** 0.5), place[r.doc_id], r.doc_id)):
+            want = sum(max(0, min(a + r.size, goal) - a) for a in (start, start + whole))
+            assert r.taken == want
+            start += r.size
+    slots = mixing.mix(docs, block_words=16).collect()
+    assert Counter({d: n for d, n in ((r.doc_id, r.taken) for r in got) if n}) == sum((Counter({r.doc_id: r.words}) for r in slots), Counter())
+    by_slot = {}
+    for r in slots:
+        by_slot.setdefault(r.slot, set()).add((r.source, r.block))
+    assert all(len(v) == 1 for v in by_slot.values()) and len({x for v in by_slot.values() for x in v}) == len(by_slot)
     again = {(r.doc_id, r.taken) for r in mixing.mixed(docs, block_words=16).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
     assert mixing.mixed(none).count() == 0 and mixing.mix_documents(none).count() == 0
@@ -207,6 +248,46 @@ def test_plan_swaps_the_smallest_for_two():
     assert sum(t for t, _ in plan) <= 1.02 * sum(s * n for s, n in counts.items()) / 512 + 1
 
 
+def brute_bins(lengths, room_of):
+    """Best-two-fit over single documents: fill greedily, then the smallest gives way to the best two."""
+    left, bins = sorted(lengths), []
+
+    def largest(room):
+        fits = [x for x in left if x <= room]
+        return fits[-1] if fits else 0
+
+    while left:
+        own, room = [], room_of
+        while room and (x := largest(room)):
+            left.remove(x)
+            own.append(x)
+            room -= x
+        if room and len(own) + max(Counter(own).values()) > 0 and len(set(own)) + max(Counter(own).values()) > 2:
+            small, gap, best = min(own), room + min(own), (0, 0, 0)
+            for a in sorted(set(left)):
+                rest = list(left)
+                rest.remove(a)
+                fits = [b for b in rest if b <= min(gap - a, a)]
+                if fits and a + fits[-1] > best[0]:
+                    best = (a + fits[-1], a, fits[-1])
+            if best[0] > small:
+                own.remove(small)
+                left = sorted([*left, small])
+                for x in best[1:]:
+                    left.remove(x)
+                    own.append(x)
+        bins.append(tuple(sorted(own)))
+    return Counter(bins)
+
+
+def test_plan_is_that_of_single_documents():
+    rng = random.Random(21)
+    for tokens, n in ((20, 60), (64, 150), (50, 7)):
+        lengths = [rng.randint(1, tokens) for _ in range(n)]
+        plan = packing.plan_bins(dict(Counter(lengths)), tokens)
+        assert sum((Counter({tuple(sorted(x for s, k in items for x in [s] * k)): times}) for times, items in plan), Counter()) == brute_bins(lengths, tokens)
+
+
 def test_encoder_agrees_with_tokenizers():
     encode = packing.Encoder()
     rng = random.Random(9)
@@ -261,6 +342,9 @@ def test_site_template_goes(spark):
     got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"story number {k}" for k in range(30))
     assert got[99] == "Join our club today\nstory number 99"
+    bare = [(k, [None, "", "no host"][k % 3], page(k)) for k in range(30)]
+    got = html_extract.extracted(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Join our club today\nstory number {r.page_id}" for r in got)
 
 
 def test_copies_of_a_page_are_not_template(spark):
@@ -325,25 +409,75 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_windows(turns, budget, history):
+    """The windows of one conversation's (role, text) as lists of (turn number, repeated)."""
+    body = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    size = [-(-len(body(r, t).encode()) // 4) for r, t in turns]
+    lead = 1 if turns[0][0] == "system" else 0
+    fixed = sum(size[:lead])
+    stride, at, windows, cell, first = max(1, budget - history - fixed), 0, [], None, 0
+    for k in range(lead, len(turns)):
+        if at // stride != cell:
+            cell, first = at // stride, at
+            windows.append([])
+        elif at + size[k] > (cell + 1) * stride and at + size[k] - first > stride:
+            windows.append([])
+        windows[-1].append((k, at))
+        at += size[k]
+    places, out = [x for w in windows for x in w], []
+    for w in windows or [[]]:
+        own = [(k, False) for k, _ in w]
+        if not w or w[0][1] == 0:
+            out.append([(k, False) for k in range(lead)] + own)
+            continue
+        room = min(history, max(0, budget - fixed - sum(size[k] for k, _ in w)))
+        old = [(k, True) for k, a in places if w[0][1] - room <= a < w[0][1]]
+        out.append([(k, True) for k in range(lead)] + old + own)
+    return out
+
+
+def test_chat_windows(spark):
+    rng = random.Random(14)
+    rows = []
+    for c in range(30):
+        n = rng.choice([1, 2, 5, 40, 400 if c == 3 else 12])
+        for k in range(n):
+            role = "system" if k == 0 and c % 3 else rng.choice(["user", "assistant", "system"])
+            rows.append((c, k, role, "".join(rng.choice("abé") for _ in range(rng.choice([0, 3, 40, 200, 900])))))
+    made = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 256, 64).collect()
+    for c in range(30):
+        turns = [(r, t) for d, _, r, t in rows if d == c]
+        got = sorted((r for r in made if r.conv_id == c), key=lambda r: r.window)
+        want = brute_windows(turns, 256, 64)
+        text = lambda ks: "".join(f"<|im_start|>{turns[k][0]}\n{turns[k][1]}<|im_end|>\n" for k, _ in ks)
+        assert [r.text for r in got] == [text(w) for w in want]
+        assert [(r.turns, r.context) for r in got] == [(len(w), sum(old for _, old in w)) for w in want]
+        for r, w in zip(got, want, strict=True):
+            assert [r.text[s.start : s.start + s.length] for s in r.loss] == [turns[k][1] for k, old in w if not old and turns[k][0] == "assistant"]
+            assert -(-len(r.text.encode()) // 4) <= 256 or sum(not old for _, old in w) == 1 or any(turns[k][0] == "system" for k, _ in w[:1])
+    assert max(len([r for r in made if r.conv_id == c]) for c in range(30)) > 20
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "S" * 100), *((1, k, "assistant" if k % 2 else "user", f"turn {k} " * 40) for k in range(1, 60))]
     rows += [(2, 1, "assistant", None), (2, 0, None, "a\\<|b\\\\<\\|"), (2, 1, "assistant", "x<|\\"), (2, None, "sys\\n\n<|tem", ""), (3, 0, "user", "q" * 20000), (3, 1, "assistant", "<|im_start|>\n\\n"), (None, 0, "user", "n")]
+    rows += [(4, 7, "assistant", "again")] * 40 + [(5, None, "system", "only")]
     df = chat.with_control_case(clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     made = chat.formatted(df)
     got = {r.conv_id: r for r in chat.digests(made).collect()}
     by = {}
     for c, k, r, t in [*rows, (-1, 0, "user", chat.CONTROL_TEXT), (-1, 1, "assistant", chat.CONTROL_TEXT)]:
-        by.setdefault(c, []).append((-1 if k is None else k, r or "", t or ""))
+        by.setdefault(c, []).append((-1 if k is None else k, r or "", hashlib.md5((t or "").encode()).hexdigest(), t or ""))
     assert set(got) == set(by)
     for c, turns in by.items():
         turns.sort()
-        loss = "".join(t for _, r, t in turns if r == "assistant")
+        loss = "".join(t for _, r, _, t in turns if r == "assistant")
         g = got[c]
         assert (g.n_turns, g.loss_chars) == (len(turns), len(loss))
-        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, _, t in turns).encode()).hexdigest()
         assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    windows = chat.windows(df.filter("conv_id = 1")).orderBy("window").collect()
-    assert len(windows) > 2 and all(-(-len(w.text.encode()) // 4) <= chat.WINDOW_TOKENS + w.turns for w in windows)
+    windows = chat.formatted(df.filter("conv_id = 1")).orderBy("window").collect()
+    assert len(windows) > 2 and all(-(-len(w.text.encode()) // 4) <= chat.WINDOW_TOKENS for w in windows)
     assert all(w.text.startswith("<|im_start|>system") and w.context > 1 for w in windows[1:])
     assert chat.formatted(df.limit(0)).count() == 0
 
@@ -370,6 +504,23 @@ def test_secrets(spark, docs, none):
     assert secrets.scanned(none).count() == 0
 
 
+@pytest.mark.parametrize(("size", "least"), [(24, (18, 22, 28)), (32, (24, 28, 28)), (48, (27, 28, 28)), (64, (27, 28, 28)), (100, (27, 28, 28))])
+def test_planted_keys_are_found_by_class(spark, size, least):
+    """Keys of three encodings among words, paths and numbered names in mixed case: recall and precision of the battery.
+
+    Such names change their class of characters every few letters, so short keys in base64 are less certain there.
+    """
+    rng = random.Random(size)
+    pick = lambda name, n: "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n))
+    name = lambda: "".join(w.title() for w in words(rng, 9).split())[:size] + str(rng.randint(0, 99))
+    rows = [(k, f"see {name()} and {'/'.join(words(rng, 12).split())[:size]} {words(rng, 3)}") for k in range(900)]
+    rows += [(10_000 + k, f"is {pick(('base64', 'base32', 'upper_hex')[k % 3], size)} here") for k in range(90)]
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    false = sum("random" in got[k] for k in range(900))
+    by = [sum("random" in got[10_000 + k] for k in range(j, 90, 3)) for j in range(3)]
+    assert false <= 5 and all(a >= b for a, b in zip(by, least, strict=True))
+
+
 def test_certain_secrets_stay_among_many_paths(spark):
     rng = random.Random(8)
     pick = lambda name, n: "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n))
