@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import digest, same, stored
+from ._common import digest, stored
 
 #: Tokens of a window, and at most so many of them repeat earlier turns.
 WINDOW_TOKENS = 1024
@@ -43,33 +43,37 @@ def unescaped_role(role: Column) -> Column:
 
 
 #: Rows with these equal are the same turn, repeated.
-TURN = ("conv_id", "turn", "role", "name")
+TURN = ("conv_id", "turn", "name")
+#: Stands for a null conv_id or turn inside, so that joins need no more shuffles than groups; it comes first in any order.
+NONE = -(2**63)
 
 
 def rendered(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, name (a hash of the text) and body of each row."""
+    """conv_id, turn, name (60 bits of a hash of role and text), system, target and body of each row."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     body = F.concat(F.lit(OPEN), escaped_role(role), F.lit("\n"), escaped(text), F.lit(CLOSE))
-    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.md5(text.cast("binary")).alias("name"), body.alias("body"))
+    name = F.conv(F.substring(F.md5(F.concat(role, F.lit("\n"), text).cast("binary")), 1, 15), 16, 10).cast("long")
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NONE)).alias(c)
+    return rows.select(number("conv_id"), number("turn"), name.alias("name"), (role == "system").alias("system"), (role == "assistant").alias("target"), body.alias("body"))
 
 
 def placed(turns: DataFrame) -> DataFrame:
     """no and start of each turn of rendered(): how many turns and how many tokens of its conversation come before it.
 
-    Narrow rows are dealt in ranges of (conversation, turn, role, name); sums of ranges are added up, and then windows run
-    inside one range of one conversation at a time.
+    Narrow rows are dealt in ranges of (conversation, turn, name); sums of ranges are added up, and then windows run inside
+    one range of one conversation at a time.
     """
     tokens = F.ceil(F.octet_length("body") / BYTES_PER_TOKEN).cast("long")
-    counted = turns.groupBy(*TURN).agg(F.count("*").alias("n"), F.max(tokens).alias("tokens"))
+    counted = turns.groupBy(*TURN).agg(F.count("*").alias("n"), F.max(tokens).alias("tokens"), F.max("system").alias("system"))
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     dealt = stored(each.repartitionByRange(*TURN, "copy").withColumn("part", F.spark_partition_id()), "turns")
-    sums = dealt.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
-    earlier = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("c", "p", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_before") for x in ("n", "sum")))
-    inside = Window.partitionBy("conv_id", "part").orderBy(*TURN[1:], "copy").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("conv_id", "part", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_before") for x in ("n", "sum")))
+    inside = Window.partitionBy("conv_id", "part").orderBy("turn", "name", "copy").rowsBetween(Window.unboundedPreceding, -1)
     within = dealt.withColumns({"no": F.count("*").over(inside), "start": F.coalesce(F.sum("tokens").over(inside), F.lit(0))})
-    whole = within.join(sums, same(F.col("conv_id"), F.col("c")) & (F.col("part") == F.col("p")))
-    return whole.select(*TURN, "tokens", (F.col("no") + F.col("n_before")).alias("no"), (F.col("start") + F.col("sum_before")).alias("start"))
+    whole = within.join(sums, ["conv_id", "part"])
+    return whole.select(*TURN, "tokens", "system", (F.col("no") + F.col("n_before")).alias("no"), (F.col("start") + F.col("sum_before")).alias("start"))
 
 
 def cut(turns: DataFrame, window_tokens: int, history_tokens: int) -> DataFrame:
@@ -78,29 +82,29 @@ def cut(turns: DataFrame, window_tokens: int, history_tokens: int) -> DataFrame:
     place orders a window's turns; context tells those that repeat earlier ones. window rises along the conversation.
     """
     turns = stored(turns, "placed")
-    leads = turns.filter("no = 0 AND role = 'system'").select(F.col("conv_id").alias("c"), F.col("tokens").alias("fixed"), *(F.col(k).alias(f"lead_{k}") for k in TURN[1:]))
-    after = turns.join(leads.select("c", "fixed"), same(F.col("conv_id"), F.col("c")), "left").drop("c").withColumn("fixed", F.coalesce("fixed", F.lit(0)))
-    after = after.filter("NOT (no = 0 AND role = 'system')").withColumn("at", F.col("start") - F.col("fixed"))
+    head = turns.filter("no = 0 AND system")
+    leads = head.select("conv_id", F.col("tokens").alias("fixed"), F.col("turn").alias("lead_turn"), F.col("name").alias("lead_name"))
+    after = turns.filter("NOT (no = 0 AND system)").join(leads.select("conv_id", "fixed"), "conv_id", "left").withColumn("fixed", F.coalesce("fixed", F.lit(0)))
+    after = after.withColumn("at", F.col("start") - F.col("fixed"))
     stride = F.greatest(F.lit(1), F.lit(window_tokens - history_tokens) - F.col("fixed"))
     after = after.withColumn("cell", F.floor(F.col("at") / stride)).withColumn("first", F.min("at").over(Window.partitionBy("conv_id", "cell")))
     end = F.col("at") + F.col("tokens")
     own = (end > (F.col("cell") + 1) * stride) & (F.col("first") < F.col("at")) & (end - F.col("first") > stride)
     new = stored(after.withColumn("window", F.col("cell") * 2 + F.when(own, 1).otherwise(0)).select(*TURN, "window", "no", "at", "tokens", "fixed"), "new")
-    spans = new.groupBy(F.col("conv_id").alias("c"), F.col("window").alias("w")).agg(F.min("at").alias("from"), F.sum("tokens").alias("size"), F.max("fixed").alias("fixed"))
-    later = stored(spans.filter("from > 0").withColumn("room", F.least(F.lit(history_tokens), F.greatest(F.lit(0), F.lit(window_tokens) - F.col("fixed") - F.col("size")))), "later")
+    spans = new.groupBy("conv_id", "window").agg(F.min("at").alias("from"), F.sum("tokens").alias("size"), F.max("fixed").alias("fixed"))
+    room = F.least(F.lit(history_tokens), F.greatest(F.lit(0), F.lit(window_tokens) - F.col("fixed") - F.col("size")))
+    later = stored(spans.filter("from > 0").select("conv_id", F.col("window").alias("w"), "from", room.alias("room")), "later")
     # A turn in reach begins in the same stretch of history_tokens as the window, or in the one before.
     stretch = lambda c: F.floor(F.col(c) / max(1, history_tokens))
-    seen = later.filter("room > 0").withColumn("near", F.explode(F.array(stretch("from"), stretch("from") - 1)))
-    old = new.withColumn("stretch", stretch("at")).join(seen.select("c", "w", "from", "room", "near"), same(F.col("conv_id"), F.col("c")) & (F.col("stretch") == F.col("near")))
-    old = old.filter((F.col("at") < F.col("from")) & (F.col("at") >= F.col("from") - F.col("room")))
-    again = later.select("c", "w").join(leads.withColumnRenamed("c", "l"), same(F.col("c"), F.col("l")))
-    head = turns.filter("no = 0 AND role = 'system'")
-    row = lambda window, place, context, key=TURN: [window.alias("window"), place.alias("place"), F.lit(context).alias("context"), *(F.col(k).alias(n) for k, n in zip(key, TURN, strict=True))]
+    seen = later.filter("room > 0").withColumn("stretch", F.explode(F.array(stretch("from"), stretch("from") - 1)))
+    old = new.withColumn("stretch", stretch("at")).join(seen, ["conv_id", "stretch"]).filter((F.col("at") < F.col("from")) & (F.col("at") >= F.col("from") - F.col("room")))
+    again = later.select("conv_id", "w").join(leads, "conv_id")
+    row = lambda window, place, context, turn="turn", name="name": ["conv_id", F.col(turn).alias("turn"), F.col(name).alias("name"), window.cast("long").alias("window"), place.cast("long").alias("place"), F.lit(context).alias("context")]
     return (
         new.select(*row(F.col("window"), F.col("no"), False))
-        .unionByName(head.select(*row(F.lit(0).cast("long"), F.col("no"), False)))
+        .unionByName(head.select(*row(F.lit(0), F.col("no"), False)))
         .unionByName(old.select(*row(F.col("w"), F.col("no"), True)))
-        .unionByName(again.select(*row(F.col("w"), F.lit(0).cast("long"), True, ("c", *(f"lead_{k}" for k in TURN[1:])))))
+        .unionByName(again.select(*row(F.col("w"), F.lit(0), True, "lead_turn", "lead_name")))
     )
 
 
@@ -111,23 +115,21 @@ def formatted(rows: DataFrame, window_tokens: int = WINDOW_TOKENS, history_token
 
     Every turn is new in exactly one window. Windows keep to the budget unless one turn with the system turn exceeds it;
     turns are never cut. The system turn is a first turn of that role. Null roles and texts are empty, null turns come
-    first, rows with equal turns stand by role and a hash of the text, repeated rows are repeated turns, a null conv_id is
-    one conversation, and other columns are not read. An empty table gives no rows.
+    first, rows with equal turns stand by a hash of role and text, repeated rows are repeated turns, a null conv_id is one
+    conversation, -2**63 counts as null, and other columns are not read. An empty table gives no rows.
     """
     turns = rendered(rows)
-    texts = turns.groupBy(*TURN).agg(F.max("body").alias("body")).select(*(F.col(k).alias(f"t_{k}") for k in TURN), "body")
-    parts = cut(placed(turns), window_tokens, history_tokens)
-    met = parts.join(texts, same(F.col("conv_id"), F.col("t_conv_id")) & same(F.col("turn"), F.col("t_turn")) & (F.col("role") == F.col("t_role")) & (F.col("name") == F.col("t_name")))
+    texts = turns.groupBy(*TURN).agg(F.max("body").alias("body"), F.max("target").alias("target"))
+    met = cut(placed(turns), window_tokens, history_tokens).join(texts, list(TURN))
     # Earlier turns come first; the system turn, where it is repeated, has the place 0.
-    one = F.struct("place", "context", (F.col("role") == "assistant").alias("target"), "body")
-    made = met.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(one)).alias("list"))
+    made = met.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("place", "context", "target", "body"))).alias("list"))
     begins = F.aggregate("list", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t.body))))
     made = made.withColumn("begins", begins)
     head = lambda t: F.instr(t.body, "\n")
     span = lambda t, k: F.struct((F.get("begins", k) + head(t)).cast("long").alias("start"), (F.length(t.body) - head(t) - len(CLOSE)).cast("long").alias("length"), (t.target & ~t.context).alias("own"))
     loss = F.transform(F.filter(F.transform("list", span), lambda s: s.own), lambda s: F.struct(s.start.alias("start"), s.length.alias("length")))
     return made.select(
-        "conv_id",
+        F.nullif(F.col("conv_id"), F.lit(NONE)).alias("conv_id"),
         "window",
         F.concat_ws("", F.transform("list", lambda t: t.body)).alias("text"),
         F.size(F.filter("list", lambda t: t.context)).alias("context"),
@@ -189,7 +191,7 @@ WITH rows AS (
   SELECT *, '<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') || chr(10)
     || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS body FROM rows
 ), turns AS (
-  SELECT *, (octet_length(encode(body)) + 3) // 4 AS tokens, length(body) AS chars, row_number() OVER w - 1 AS no FROM bodies WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))
+  SELECT *, (octet_length(encode(body)) + 3) // 4 AS tokens, length(body) AS chars, row_number() OVER w - 1 AS no FROM bodies WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text))
 ), leads AS (SELECT conv_id, tokens AS fixed, chars AS lead_chars FROM turns WHERE no = 0 AND role = 'system'
 ), after AS (
   SELECT t.*, coalesce(fixed, 0) AS fixed, coalesce(lead_chars, 0) AS lead_chars, greatest(1, 1024 - 128 - coalesce(fixed, 0)) AS stride,
