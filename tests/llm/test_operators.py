@@ -138,6 +138,15 @@ def test_repeated_passages(spark, docs, rows, none, monkeypatch, most):
     assert suffix_dedup.deduplicated(none).count() == 0
 
 
+def test_a_passage_with_many_neighbours(spark):
+    """More distinct contexts of one passage than a group that is sorted in one task holds."""
+    rng = random.Random(31)
+    passage = words(rng, 60)[:260]
+    rows = [(k, f"{words(rng, 40)} {passage} {words(rng, 40)}") for k in range(suffix_dedup.GROUP_CONTEXTS + 60)]
+    got = sorted(map(tuple, suffix_dedup.digests(suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))).collect()))
+    assert got == sorted(brute.windows_removed(rows)) and all(r[2] >= 260 for r in got)
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for n in (0, 1, 2, 50, 400):
@@ -312,6 +321,11 @@ def test_quality(spark, docs, none):
     assert sorted(map(tuple, quality.scored(d, flipped).collect())) == sorted(map(tuple, got))
     assert quality.scored(none, labels).count() == 0
     assert quality.scored(docs, labels.limit(0)).filter("score = 0.5").count() == docs.count()
+    long = spark.createDataFrame([(k, words(rng, 40_000) + (" ***bad###" * 20_000 if k % 2 == 0 else ""), 1) for k in range(12)], "doc_id long, text string, n int")
+    same_id = long.withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id"))).unionByName(long.filter("doc_id = 5"))
+    assert quality.keep_good(same_id, labels).count() + quality.scored(same_id, labels).filter("predicted = 0").count() == 13
+    marked = spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    assert quality.scored(long, marked).filter("held_out").count() == sum(zlib.crc32(str(k).encode()) % 4 == 2 for k in range(12))
     kept = quality.keep_good(d, labels)
     assert kept.columns == d.columns and kept.count() == sum(r.predicted for r in got)
 
@@ -440,7 +454,7 @@ def test_chat_windows(spark):
     rng = random.Random(14)
     rows = []
     for c in range(30):
-        n = rng.choice([1, 2, 5, 40, 400 if c == 3 else 12])
+        n = 3000 if c == 3 else rng.choice([1, 2, 5, 12, 40])
         for k in range(n):
             role = "system" if k == 0 and c % 3 else rng.choice(["user", "assistant", "system"])
             rows.append((c, k, role, "".join(rng.choice("abé") for _ in range(rng.choice([0, 3, 40, 200, 900])))))
@@ -467,14 +481,14 @@ def test_chat(spark):
     got = {r.conv_id: r for r in chat.digests(made).collect()}
     by = {}
     for c, k, r, t in [*rows, (-1, 0, "user", chat.CONTROL_TEXT), (-1, 1, "assistant", chat.CONTROL_TEXT)]:
-        by.setdefault(c, []).append((-1 if k is None else k, r or "", hashlib.md5((t or "").encode()).hexdigest(), t or ""))
+        by.setdefault(c, []).append((-1 if k is None else k, hashlib.md5(f"{r or ''}\n{t or ''}".encode()).hexdigest(), r or "", t or ""))
     assert set(got) == set(by)
     for c, turns in by.items():
         turns.sort()
-        loss = "".join(t for _, r, _, t in turns if r == "assistant")
+        loss = "".join(t for _, _, r, t in turns if r == "assistant")
         g = got[c]
         assert (g.n_turns, g.loss_chars) == (len(turns), len(loss))
-        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, _, t in turns).encode()).hexdigest()
+        assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
         assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     windows = chat.formatted(df.filter("conv_id = 1")).orderBy("window").collect()
     assert len(windows) > 2 and all(-(-len(w.text.encode()) // 4) <= chat.WINDOW_TOKENS for w in windows)
