@@ -14,8 +14,9 @@ SALARY = ("salary_min_usd", "salary_max_usd", "salary_source")
 
 
 def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row for each key: the last by order, if there is one, and then by all values. Rows whose keys are all null stay."""
-    rank = F.struct(*([order] if order in rows.columns else []), *rows.columns)
+    """One row for each key: the last by order, if there is one, and then by a hash of all values. Rows whose keys are all
+    null stay."""
+    rank = F.struct(*([order] if order in rows.columns else []), F.xxhash64(*rows.columns).alias("_hash"))
     none = F.when(reduce(and_, [F.col(k).isNull() for k in keys]), F.monotonically_increasing_id())
     return rows.withColumn("_none", none).groupBy(*[F.col(k).alias(f"_{k}") for k in keys], "_none").agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select("r.*")
 

@@ -99,6 +99,11 @@ def _signed(sign: str, terms: Column) -> Column:
     return F.transform(terms, lambda t: F.concat(F.lit(sign), t))
 
 
+def _found(text: str, **lists: tuple[str, ...]) -> Column:
+    """struct of the terms of each list that a text contains."""
+    return F.struct(*[hits(F.col(text), terms).alias(name) for name, terms in lists.items()])
+
+
 def _dimension(score: Column, reasons: list[Column]) -> Column:
     return F.struct(score.cast("int").alias("score"), F.filter(F.concat(*reasons), lambda r: r.isNotNull()).alias("reasons"))
 
@@ -112,9 +117,12 @@ def role_fit(c: ScoreConfig) -> Column:
 
 
 def vertical_fit(c: ScoreConfig) -> Column:
-    n, bad = F.size(hits(F.col("_blob"), c.vertical_boost)), hits(F.col("_blob"), c.vertical_penalty)
-    score = F.when(n > 0, F.least(F.lit(100), 60 + 10 * n)).otherwise(50) - 20 * F.size(bad)
-    return _dimension(_between(score), [F.array(F.when(n > 0, F.concat(F.lit("+boost x"), n.cast("string")))), _signed("-penalty: ", bad)])
+    def rated(h: Column) -> Column:
+        n, bad = F.size(h.up), h.down
+        score = F.when(n > 0, F.least(F.lit(100), 60 + 10 * n)).otherwise(50) - 20 * F.size(bad)
+        return _dimension(_between(score), [F.array(F.when(n > 0, F.concat(F.lit("+boost x"), n.cast("string")))), _signed("-penalty: ", bad)])
+
+    return T.once(_found("_blob", up=c.vertical_boost, down=c.vertical_penalty), rated)
 
 
 def channel_mix(c: ScoreConfig) -> Column:
@@ -124,23 +132,31 @@ def channel_mix(c: ScoreConfig) -> Column:
 
 
 def team_stage(c: ScoreConfig) -> Column:
-    up, even, down = (hits(F.col("_blob"), x) for x in (c.stage_boost, c.stage_neutral, c.stage_penalty))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), 50 + 20 * F.size(up) + 5 * F.size(even)) - 20 * F.size(down))
-    return _dimension(score, [_signed("+", up), _signed("-", down)])
+    def rated(h: Column) -> Column:
+        score = F.greatest(F.lit(0), F.least(F.lit(100), 50 + 20 * F.size(h.up) + 5 * F.size(h.even)) - 20 * F.size(h.down))
+        return _dimension(score, [_signed("+", h.up), _signed("-", h.down)])
+
+    return T.once(_found("_blob", up=c.stage_boost, even=c.stage_neutral, down=c.stage_penalty), rated)
 
 
 def geo_timezone(c: ScoreConfig) -> Column:
-    up, down = first_hit(F.col("_blob"), c.geo_boost), hits(F.col("_blob"), c.geo_penalty)
-    score = F.greatest(F.lit(0), F.when(up.isNotNull(), 65).otherwise(50) - 25 * F.size(down))
-    return _dimension(score, [F.array(F.concat(F.lit("+"), up)), _signed("-", down)])
+    def rated(h: Column) -> Column:
+        up = F.try_element_at(h.up, F.lit(1))
+        score = F.greatest(F.lit(0), F.when(F.size(h.up) > 0, 65).otherwise(50) - 25 * F.size(h.down))
+        return _dimension(score, [F.array(F.concat(F.lit("+"), up)), _signed("-", h.down)])
+
+    return T.once(_found("_blob", up=c.geo_boost, down=c.geo_penalty), rated)
 
 
 def metrics_clarity(c: ScoreConfig) -> Column:
-    up, down = hits(F.col("_blob"), c.clarity_boost), hits(F.col("_blob"), c.clarity_penalty)
     listed = (F.coalesce("salary_min_usd", F.lit(0)) != 0) & (F.coalesce("salary_max_usd", F.lit(0)) != 0)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), 30 + 15 * F.size(up)) - 10 * F.size(down))
-    score = F.least(F.lit(100), score + F.when(listed, 20).otherwise(0))
-    return _dimension(score, [_signed("+", up), _signed("-", down), F.array(F.when(listed, F.lit("+salary listed")))])
+
+    def rated(h: Column) -> Column:
+        score = F.greatest(F.lit(0), F.least(F.lit(100), 30 + 15 * F.size(h.up)) - 10 * F.size(h.down))
+        score = F.least(F.lit(100), score + F.when(listed, 20).otherwise(0))
+        return _dimension(score, [_signed("+", h.up), _signed("-", h.down), F.array(F.when(listed, F.lit("+salary listed")))])
+
+    return T.once(_found("_blob", up=c.clarity_boost, down=c.clarity_penalty), rated)
 
 
 #: Dimensions by name, in order; a new one is a function of the config that gives a struct (score, reasons).

@@ -217,6 +217,43 @@ def test_upsert_stream_replays(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/t/1").collect())) == first
 
 
+def test_source_state_takes_chunks_in_any_order():
+    import random
+
+    import pandas as pd
+
+    from jobloom.streaming import jobs
+
+    class Kept:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    rng = random.Random(3)
+    for _ in range(60):
+        runs_ = [(pd.Timestamp("2024-01-01") + pd.Timedelta(hours=k), rng.random() < 0.3, "suspended" if rng.random() < 0.1 else "x", k) for k in range(40)]
+        machine = jobs.SourceState(3)
+        machine.state = Kept()
+        for batch in (runs_[:25], runs_[20:]):
+            mixed = rng.sample(batch, len(batch))
+            frames = [pd.DataFrame(mixed[k : k + 7], columns=["run_at", "success", "error_message", "seq"]) for k in range(0, len(mixed), 7)]
+            out = list(machine.handleInputRows(("s",), iter(frames), None))[0].iloc[0]
+        failures, since, good = 0, None, None
+        for at, ok, said, _ in runs_:
+            if said == "suspended":
+                continue
+            if ok:
+                failures, since, good = 0, None, at
+            else:
+                failures += 1
+                since = at if failures == 3 else since
+        none = lambda x: None if pd.isna(x) else x
+        assert (out.consecutive_failures, bool(out.suspended), none(out.suspended_at), none(out.last_success_at)) == (failures, since is not None, since, good)
+
+
 def test_operation_sums_agree(spark):
     from jobloom.plans import bindings as B
 
