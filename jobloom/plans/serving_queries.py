@@ -81,10 +81,17 @@ def _re(c: str, p: str) -> str:
     return f"regexp_matches({c}, {S.lit(p)})"
 
 
-@query(f"WITH t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS t FROM documents) SELECT id, coalesce(NOT {_re('t', clean.JUNK_PREFIX)} AND length(t) BETWEEN 8 AND 160 AND NOT {_re('t', clean.NAV_PHRASE)} AND {_re('t', ROLES)}, false) AS ok FROM t")
+LINES = "lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line FROM documents)"
+
+
+def _lines(spark, sf_dir):
+    """Every line of every text: id, line, t."""
+    return B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+
+
+@query(f"WITH {LINES} SELECT id, line, coalesce(NOT {_re('t', clean.JUNK_PREFIX)} AND length(t) BETWEEN 8 AND 160 AND NOT {_re('t', clean.NAV_PHRASE)} AND {_re('t', ROLES)}, false) AS ok FROM lines")
 def f5_title_like(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("t"))
-    return d.select("id", clean.looks_like_title(F.col("t"), ROLES).alias("ok"))
+    return _lines(spark, sf_dir).select("id", "line", clean.looks_like_title(F.col("t"), ROLES).alias("ok"))
 
 
 FUNCTION, DEFAULT = r"(?i)\b(the|and|of)\b", r"(?i)\b(der|la|el)\b"
@@ -136,9 +143,9 @@ def f9_effective_cutoff(spark, sf_dir):
     return _p(spark, sf_dir).filter(F.col("first_seen_at") >= serving.cutoff(B.AS_OF, 60, serving.POSTED_WITHIN["30d"])).select("id")
 
 
-@query(f"SELECT doc_id AS id, nullif(substr({S.strip(S.sub('split_part(text, chr(10), 1)', chr(91) + '%_*,()' + chr(92) + chr(92) + '.:' + chr(34) + chr(39) + chr(92) + 'x00-' + chr(92) + 'x1f' + chr(92) + 'x7f]', ''))}, 1, 100), '') AS term FROM documents")
+@query(f"WITH {LINES} SELECT id, line, nullif(substr({S.strip(S.sub('t', chr(91) + '%_*,()' + chr(92) + chr(92) + '.:' + chr(34) + chr(39) + chr(92) + 'x00-' + chr(92) + 'x1f' + chr(92) + 'x7f]', ''))}, 1, 100), '') AS term FROM lines")
 def f10_search_sanitize(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.search_term(F.substring_index("text", "\n", 1)).alias("term"))
+    return _lines(spark, sf_dir).select("id", "line", T.search_term(F.col("t")).alias("term"))
 
 
 BEST = "score_total DESC NULLS LAST, id"
