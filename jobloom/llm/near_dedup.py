@@ -31,6 +31,8 @@ PERMUTATIONS_PER_BAND = 2
 STAR_ROUNDS = 2
 #: Bytes of sketches in a block of a bucket.
 BLOCK_BYTES = 1 << 20
+#: So many links that are left are joined in one task.
+LAST_LINKS = 1 << 14
 
 
 def signature(shingles: np.ndarray, factors: np.ndarray, step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
@@ -181,12 +183,31 @@ def _compared(percent: int, best: bool):
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the few links (a, b) of one task."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """(node, root): each node's smallest node that it reaches. Nodes hook to their smallest neighbour, then edges are
-    drawn between hooks; at least half of the nodes of a component that is still open go in each round."""
+    drawn between hooks; at least half of the nodes of a component that is still open go in each round. When no more than
+    LAST_LINKS edges are left, one task joins them."""
     edges = stored(edges.select("a", "b"), "edges")
     roots = None
-    while not edges.isEmpty():
+    while edges.count() > LAST_LINKS:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = stored(both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("r")), "hook")
         before = (edges, roots)
@@ -198,7 +219,11 @@ def contracted(edges: DataFrame) -> DataFrame:
         moved = half.join(hook, F.col("b") == F.col("u")).select("x", F.col("r").alias("y"))
         edges = stored(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         forget(hook, *before)
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    last = edges.coalesce(1).mapInArrow(_joined, "node long, root long")
+    if roots is None:
+        return last
+    last = last.select(F.col("node").alias("u"), F.col("root").alias("r"))
+    return roots.join(last, F.col("root") == F.col("u"), "left").select("node", F.coalesce("r", "root").alias("root"))
 
 
 def _similar_size(a: str, b: str, percent: int):
@@ -244,7 +269,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         ends = links.join(label, F.col("a") == F.col("r")).select(F.col("label").alias("a"), "b").join(label, F.col("b") == F.col("r")).select("a", F.col("label").alias("b"))
         roots = contracted(ends.filter("a <> b").distinct())
         out = stored(component.join(roots, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("root", "label").alias("label")), "component")
-        forget(links, roots, component)
+        forget(links, component)
         return out
 
     def apart(now: DataFrame, lead: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
@@ -256,7 +281,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         buckets = by_label.groupBy("h").agg(F.sum("bytes").alias("all"), F.max("bytes").alias("most"), F.max_by("label", F.struct("bytes", "label")).alias("main"))
         parts = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("long")
         buckets = buckets.select("h", "main", parts(F.col("all") - F.col("most")).alias("lefts"), parts(F.col("all")).alias("rights"))
-        dealt_ = rows_.join(sketches, "rep").join(stored(buckets, "buckets"), "h")
+        dealt_ = rows_.join(buckets, "h")
         beside, place = F.col("label") != F.col("main"), F.xxhash64("rep")
         own, own_right = F.pmod(place, F.col("lefts")), F.pmod(place, F.col("rights"))
         each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -264,7 +289,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         lefts = F.transform(each("rights"), lambda j: seat(own, j, F.lit(LEFT | BESIDE) + F.when(j == own_right, RIGHT).otherwise(0)))
         rights = F.transform(F.filter(each("lefts"), lambda i: ~beside | (i != own)), lambda i: seat(i, own_right, F.lit(RIGHT) + F.when(beside, BESIDE).otherwise(0)))
         seats = F.explode(F.when(beside, F.concat(lefts, rights)).otherwise(rights)).alias("s")
-        blocks = dealt_.select("h", seats, "rep", "label", "n", "bands", "bits").select("h", "s.i", "s.j", "s.side", "rep", "label", "n", "bands", "bits")
+        # Sketches come last, so they are shuffled once by member and once by block.
+        blocks = dealt_.select("h", seats, "rep", "label", "n").join(sketches, "rep").select("h", "s.i", "s.j", "s.side", "rep", "label", "n", "bands", "bits")
         blocks = blocks.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         return linked(blocks.mapInArrow(_compared(percent, best), "a long, b long").distinct())
 
