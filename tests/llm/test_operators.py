@@ -93,6 +93,7 @@ def test_near_groups_in_blocks(spark, monkeypatch, block, rounds):
     """A large group of near copies on either side of the threshold, with whole buckets and with many blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
     monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "LAST_LINKS", 1 << 14 if rounds else 5)
     rng = random.Random(8)
     base = words(rng, 60).split()
     texts = []
