@@ -81,6 +81,7 @@ def only(rows: DataFrame, groups: DataFrame, best) -> DataFrame:
     ids = rows.select("key", "name", F.col("row.doc_id").cast("long").alias("doc_id"))
     first = groups.join(ids, "key").groupBy("of").agg(best.alias("key")).select("key")
     gone = stored(groups.select("key").join(first, "key", "left_anti"), "gone")
+    forget(groups)
     return rows.join(gone, "key", "left_anti").select("row.*")
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, only, same, stored
+from ._common import forget, keyed, only, same, stored
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -90,6 +90,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     cut = texts.mapInArrow(_cut_blocks(block_bytes), "doc_id long, whole long, pos long, block binary")
     names = _named(cut.groupBy("block").agg(F.count("*").alias("n")).select("block"), "block")
     level = stored(cut.join(names, "block").select("doc_id", "whole", "pos", "name").distinct(), "level")
+    forget(names, again)
     longest = keys.agg(F.max("n")).first()[0] or 1
     while longest > 1:
         half = F.floor(F.col("pos") / 2).cast("long")
@@ -98,7 +99,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         names = _named(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b"), "a", "b")
-        level = stored(pairs.join(names, ["a", "b"]).select("doc_id", "whole", "pos", "name"), "level")
+        before, level = level, stored(pairs.join(names, ["a", "b"]).select("doc_id", "whole", "pos", "name"), "level")
+        forget(before, names)
         longest = (longest + 1) // 2
 
     identity = level.select("doc_id", "whole", "name").alias("v")

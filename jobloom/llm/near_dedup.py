@@ -322,7 +322,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     names = nodes.select("set_name", "rep", "doc_id").join(component, "rep", "left")
     smallest = names.filter("label IS NOT NULL").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("low"))
     of_set = names.join(smallest, F.col("label") == F.col("l"), "left").select("set_name", F.coalesce("low", "doc_id").alias("own"))
-    out = rows.select("doc_id", "n_shingles", "set_name").join(stored(of_set, "labels"), "set_name", "left")
+    labels = stored(of_set, "labels")
+    forget(nodes, component, met)
+    out = rows.select("doc_id", "n_shingles", "set_name").join(labels, "set_name", "left")
     has = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     own = F.when(has, F.coalesce("own", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), same(F.col("doc_id"), own).alias("kept"))
