@@ -107,16 +107,18 @@ class Scan:
 
 
 def _scanned(k: int):
-    """Rows (dim, qb, vg, block, ids, data, low, width) come by (dim, qb, vg): a block of queries and then files."""
+    """Rows (dim, qb, vg, block, ids, data, low, width) come by (dim, qb, vg): a block of queries and then files. Files
+    whose block of queries is empty, so that no row of it comes, are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = None
+        scan = own = None
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
+                ids, group = np.frombuffer(row["ids"], np.int64), (row["dim"], row["qb"], row["vg"])
                 if row["block"] < 0:
+                    own = group
                     scan = Scan(ids, np.frombuffer(row["data"], np.int64).reshape(len(ids), row["dim"]), k)
-                else:
+                elif own == group:
                     cell = np.frombuffer(row["data"], np.uint8).reshape(len(ids), row["dim"])
                     found = scan.read(ids, cell, np.frombuffer(row["low"], np.int64), np.frombuffer(row["width"], np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vid", "lower", "upper"])
