@@ -424,6 +424,19 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_with_empty_blocks_of_queries(spark):
+    """More blocks of queries than their hashes fill."""
+    rng = np.random.default_rng(7)
+    x = np.floor(64 * rng.normal(0, 0.2, (400, 16)).astype("float32").astype(float)).astype(int)
+    df = spark.createDataFrame([(k, (v / 64).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, topk.queries_of(df, 40), 5).collect()))
+    want = []
+    for k in range(0, 400, 40):
+        best = sorted((-int(x[k] @ x[i]), i) for i in range(400) if i != k)[:5]
+        want += [(k, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def brute_windows(turns, budget, history):
     """The windows of one conversation's (role, text) as lists of (turn number, repeated)."""
     body = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
