@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, html_extract, mixing, near_dedup, packing, quality, secrets, suffix_dedup, topk
+from . import chat, exact_dedup, html_extract, lexical, mixing, near_dedup, packing, quality, secrets, sharding, suffix_dedup, topk, whitening
 from ._common import table
 
 
@@ -51,6 +51,18 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op12_dense_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,9 +81,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_two_fit_packing": op8_best_two_fit_packing,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_hilbert_sharding": op11_hilbert_sharding,
+        "op12_dense_lexical_search": op12_dense_lexical_search,
+        "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.ORACLE_SQL, "op2_vector_approximation_topk": topk.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op2_vector_approximation_topk": topk.ORACLE_SQL,
+        "op3_chat_formatting": chat.ORACLE_SQL,
+        "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_hilbert_sharding": sharding.ORACLE_SQL,
+        "op12_dense_lexical_search": lexical.ORACLE_SQL,
+    }
