@@ -6,11 +6,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schemas import CLASSIFY_MIN, FUNCTIONS, PARSE_FAIL, PARSE_WARN, REMOTE, SENIORITIES, VERTICALS, WARM
+from ..schemas import CLASSIFY_MIN, FUNCTIONS, PARSE_FAIL, PARSE_WARN, REMOTE, RESCUE_CAP, RESCUE_FLOOR, RESCUE_HITS, SENIORITIES, VERTICALS, WARM
+from . import skill_index
 
 
 def best_first() -> list[Column]:
@@ -41,9 +42,44 @@ def term_hits(blob: Column, terms: list[str]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(blob, t)))
 
 
-def rescued(postings: DataFrame, terms: list[str], floor: int, warm: int, least_hits: int) -> DataFrame:
-    text = T.blob(*(F.col(c) for c in ("title", "company", "description", "location")))
-    return postings.filter((F.col("score_total") >= floor) & (F.col("score_total") < warm)).withColumn("hits", term_hits(text, terms)).filter(F.col("hits") >= least_hits)
+def borderline(postings: DataFrame, since: Column, floor: int = RESCUE_FLOOR, warm: int = WARM) -> DataFrame:
+    """Recent postings that passed every gate and whose score is just under the warm one; text is what terms are looked up in."""
+    ok = F.col("is_active") & F.col("geo_filtered") & (F.col("score_total") >= floor) & (F.col("score_total") < warm) & (F.col("first_seen_at") >= since)
+    return postings.filter(ok).withColumn("text", F.lower(F.concat_ws(" ", T.or_empty(F.col("title")), T.or_empty(F.col("description")))))
+
+
+def rescued(postings: DataFrame, scores: DataFrame, profile_id: int, terms: list[str], since: Column, floor: int = RESCUE_FLOOR, warm: int = WARM, least_hits: int = RESCUE_HITS) -> DataFrame:
+    """Borderline postings without a score for a profile whose title or description has so many of the profile's terms,
+    with hits. A profile without terms rescues none."""
+    rows = unscored(borderline(postings, since, floor, warm), scores, profile_id)
+    return rows.withColumn("hits", term_hits(F.col("text"), terms)).filter(F.col("hits") >= least_hits) if terms else rows.withColumn("hits", F.lit(0)).filter(F.lit(False))
+
+
+def rescued_by_profile(postings: DataFrame, scores: DataFrame, terms: DataFrame, since: Column, floor: int = RESCUE_FLOOR, warm: int = WARM, least_hits: int = RESCUE_HITS) -> DataFrame:
+    """rescued() for every profile of terms (profile_id, term) at once: id, profile_id, hits, score_total."""
+    rows = borderline(postings, since, floor, warm)
+    done = scores.filter("has_breakdown").select(F.col("job_id").alias("id"), "profile_id").distinct()
+    hits = skill_index.profile_hits(rows.select("id", "text"), terms, least_hits)
+    return hits.join(done, ["id", "profile_id"], "left_anti").join(rows.select("id", "score_total"), "id")
+
+
+def with_rescued(first: DataFrame, more: DataFrame, limit: int, cap: int = RESCUE_CAP) -> DataFrame:
+    """first (at most limit rows), and of more the best: so many as are left of the limit, and cap at most, with the flag
+    rescued. How many are left is counted within the plan."""
+    left = first.agg(F.greatest(F.lit(0), F.least(F.lit(cap), F.lit(limit) - F.count("*"))).alias("_left"), F.lit(1).alias("_all"))
+    best = more.orderBy(*best_first()).limit(cap).withColumn("_all", F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("_all").orderBy(*best_first()))
+    kept = best.withColumn("_rank", rank).join(F.broadcast(left), "_all").filter(F.col("_rank") <= F.col("_left"))
+    names = [c for c in first.columns if c in more.columns]
+    return first.select(*names, F.lit(False).alias("rescued")).unionByName(kept.select(*names, F.lit(True).alias("rescued")))
+
+
+def with_rescued_by_profile(first: DataFrame, more: DataFrame, limit: int, cap: int = RESCUE_CAP) -> DataFrame:
+    """with_rescued() for each profile_id: profile_id, id, rescued. first has at most limit rows a profile."""
+    left = first.groupBy("profile_id").agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("profile_id").orderBy(*best_first()))
+    kept = more.withColumn("_rank", rank).filter(F.col("_rank") <= cap).join(left, "profile_id", "left").filter(F.col("_rank") <= F.lit(limit) - F.coalesce("_n", F.lit(0)))
+    return first.select("profile_id", "id", F.lit(False).alias("rescued")).unionByName(kept.select("profile_id", "id", F.lit(True).alias("rescued")))
 
 
 def run_limit(scored: Column, backlog_below: int = 100, normal: int = 1000, backlog: int = 2000) -> Column:

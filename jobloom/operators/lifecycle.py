@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -21,9 +22,9 @@ def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFr
     return rows.withColumn("_none", none).groupBy(*[F.col(k).alias(f"_{k}") for k in keys], "_none").agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select("r.*")
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str = "dedup_key", order: str = "seq") -> DataFrame:
+def upsert(current: DataFrame, incoming: DataFrame, key: str = "dedup_key", order: str = "seq", flag: str | None = None) -> DataFrame:
     """current with incoming rows put in by key, one row a key. A new row takes all it has and is active. Of incoming rows
-    with one key the last by order counts."""
+    with one key the last by order counts. A column flag, if one is named, says inserted, updated or kept."""
     incoming = latest(incoming, [key], order)
     c, i = current.alias("c"), incoming.alias("i")
     both = c.join(i, F.col(f"c.{key}") == F.col(f"i.{key}"), "full")
@@ -40,18 +41,21 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "dedup_key", orde
             return F.when(old, mine).otherwise(F.lit(True))
         return F.when(old, mine).otherwise(theirs)
 
-    return both.select(*[(F.coalesce(F.col(f"i.{key}"), F.col(f"c.{key}")) if n == key else pick(n)).alias(n) for n in current.columns])
+    did = [F.when(has & old, "updated").when(old, "kept").otherwise("inserted").alias(flag)] if flag else []
+    return both.select(*[(F.coalesce(F.col(f"i.{key}"), F.col(f"c.{key}")) if n == key else pick(n)).alias(n) for n in current.columns], *did)
 
 
-def patched(current: DataFrame, patches: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+def patched(current: DataFrame, patches: DataFrame, key: str = "id", order: str = "seq", flag: str | None = None) -> DataFrame:
     """current with the values of patches that are not null; ids that current lacks are ignored. Of several patches of an
-    id the last value by order counts that is not null, column by column."""
+    id the last value by order counts that is not null, column by column. A column flag, if one is named, tells the rows
+    that have a patch."""
     names = [n for n in patches.columns if n not in (key, order)]
     at = [F.col(order)] if order in patches.columns else []
     last = lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*at, F.col(n))))
-    p = patches.groupBy(key).agg(*[last(n).alias(f"_{n}") for n in names])
+    p = patches.groupBy(key).agg(*[last(n).alias(f"_{n}") for n in names], F.lit(True).alias("_has"))
     rows = current.join(p, key, "left")
-    return rows.select(*[F.coalesce(F.col(f"_{n}"), F.col(n)).alias(n) if n in names else F.col(n) for n in current.columns])
+    hit = [F.col("_has").isNotNull().alias(flag)] if flag else []
+    return rows.select(*[F.coalesce(F.col(f"_{n}"), F.col(n)).alias(n) if n in names else F.col(n) for n in current.columns], *hit)
 
 
 def score_upsert(current: DataFrame, incoming: DataFrame, order: str = "seq") -> DataFrame:
@@ -84,6 +88,14 @@ def retained(postings: DataFrame, as_of: Column, inactive_after: int, delete_aft
     return kept.withColumn("is_active", F.col("is_active") & (F.col("last_seen_at") >= _before(as_of, inactive_after)))
 
 
+def retention_flags(postings: DataFrame, as_of: Column, inactive_after: int, delete_after: int) -> DataFrame:
+    """postings with what retention does to a row: _stale (active, but not seen for a while), _gone (first seen long ago).
+    A row without the moment that decides is neither."""
+    said = lambda c: F.coalesce(c, F.lit(False))
+    stale = said(F.col("is_active") & (F.col("last_seen_at") < _before(as_of, inactive_after)))
+    return postings.withColumns({"_stale": stale, "_gone": said(F.col("first_seen_at") < _before(as_of, delete_after))})
+
+
 def staled(applications: DataFrame, as_of: Column, after: int) -> DataFrame:
     old = (F.col("status") == "applied") & (F.col("updated_at") < _before(as_of, after))
     return applications.withColumns({"status": F.when(old, "stale").otherwise(F.col("status")), "updated_at": F.when(old, as_of).otherwise(F.col("updated_at"))})
@@ -110,10 +122,45 @@ def status_changes(applications: DataFrame, changes: DataFrame, statuses: tuple[
 
 
 def idempotent_insert(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """incoming (user_id, job_id, seq) with the flag duplicate: the pair is in current or came before. Rows without a job are always new."""
-    keyed = incoming.join(current.select("user_id", "job_id").distinct().withColumn("_has", F.lit(True)), ["user_id", "job_id"], "left")
-    n = F.row_number().over(Window.partitionBy("user_id", "job_id").orderBy("seq"))
-    return keyed.withColumn("duplicate", F.col("job_id").isNotNull() & (F.col("_has").isNotNull() | (n > 1))).drop("_has")
+    """incoming (user_id, job_id, seq) with the flag duplicate: the pair is in current or came before; existing_id is then
+    the row that is there, or none where an earlier incoming row is. Rows without a job or a user are always new.
+
+    The first incoming row of a pair is found by an aggregate over rows that name one, so no group of nulls is made.
+    """
+    known = current.filter("job_id IS NOT NULL").groupBy("user_id", "job_id").agg(F.min("id").alias("existing_id"))
+    first = incoming.filter("job_id IS NOT NULL AND user_id IS NOT NULL").groupBy("user_id", "job_id").agg(F.min("seq").alias("_first"))
+    rows = incoming.join(first, ["user_id", "job_id"], "left")
+    # Only rows that share the first seq of a pair are ranked; one of them, whichever it is, comes first.
+    leads = F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))
+    tied = rows.filter(leads).withColumn("_late", F.row_number().over(Window.partitionBy("user_id", "job_id").orderBy("seq")) > 1)
+    rows = tied.unionByName(rows.filter(~leads).withColumn("_late", F.col("_first").isNotNull())).join(known, ["user_id", "job_id"], "left")
+    return rows.withColumn("duplicate", F.col("existing_id").isNotNull() | F.col("_late")).select(*incoming.columns, "duplicate", "existing_id")
+
+
+#: Statuses that an application may begin with; later ones come by changes only.
+INITIAL_STATUSES = ("saved", "applied")
+
+
+def inserted(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """What each insert (user_id, job_id, seq, job_title_snapshot, status, at) gives: seq, outcome and the row that is there
+    after it (id, user_id, job_id, job_title_snapshot, status, applied_at, updated_at).
+
+    outcome is `created`, `duplicate` (an existing row, or the one that an earlier insert created, is given back) or
+    `refused` (a status that isn't initial; no row). No status is saved. A created row has no id yet; it is applied at its
+    own moment.
+    """
+    said = F.coalesce("status", F.lit("saved"))
+    asked = incoming.withColumn("status", said)
+    allowed = asked.filter(F.col("status").isin(*INITIAL_STATUSES))
+    fresh = lambda r: F.struct(F.lit(None).cast("long").alias("id"), *[F.col(f"{r}{c}").alias(c) for c in ("user_id", "job_id", "job_title_snapshot", "status")], F.when(F.col(f"{r}status") == "applied", F.col(f"{r}at")).alias("applied_at"), F.col(f"{r}at").alias("updated_at"))
+    marked = idempotent_insert(current, allowed).withColumn("_row", fresh(""))
+    first = marked.filter("job_id IS NOT NULL AND NOT duplicate").select("user_id", "job_id", F.col("_row").alias("_made"))
+    old = current.filter("job_id IS NOT NULL").groupBy("user_id", "job_id").agg(F.min_by(F.struct(*[F.col(c) for c in ("id", "user_id", "job_id", "job_title_snapshot", "status", "applied_at", "updated_at")]), "id").alias("_old"))
+    rows = marked.join(first, ["user_id", "job_id"], "left").join(old, ["user_id", "job_id"], "left")
+    given = F.when(F.col("duplicate"), F.coalesce("_old", "_made")).otherwise(F.col("_row"))
+    done = rows.select("seq", F.when(F.col("duplicate"), "duplicate").otherwise("created").alias("outcome"), given.alias("application"))
+    refused = asked.filter(~F.col("status").isin(*INITIAL_STATUSES)).select("seq", F.lit("refused").alias("outcome"), F.lit(None).cast(done.schema["application"].dataType).alias("application"))
+    return done.unionByName(refused).select("seq", "outcome", "application.*")
 
 
 SENTINELS = {"function_category": "Other", "seniority": "Unspecified", "vertical": "Other", "remote_status": "Unspecified"}
@@ -175,5 +222,16 @@ def deleted_profiles(profiles: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("id", "user_id", said.alias("outcome"))
 
 
+def profile_cascade(profiles: DataFrame, scores: DataFrame, wanted: DataFrame, store: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after profiles were deleted on demand: profiles, scores and refusals (id, user_id, outcome).
+
+    All three follow from one table of decisions, which store() writes once, so they agree also where profiles are written
+    over before the others are read. Scores of a deleted profile go with it; a profile that is asked for twice goes once.
+    """
+    decided = store(deleted_profiles(profiles, wanted))
+    gone = decided.filter("outcome = 'deleted'").select("id").distinct()
+    return profiles.join(gone, "id", "left_anti"), scores.join(gone.withColumnRenamed("id", "profile_id"), "profile_id", "left_anti").select(*scores.columns), decided.filter("outcome <> 'deleted'")
+
+
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone, keys, "left_anti")

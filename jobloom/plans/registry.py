@@ -36,5 +36,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    for name in ("text_queries", "serving_queries", "state_queries", "source_queries", "stream_queries"):
+    for name in ("text_queries", "serving_queries", "state_queries", "source_queries", "stream_queries", "change_queries"):
         importlib.import_module(f"jobloom.plans.{name}")

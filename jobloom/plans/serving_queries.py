@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -209,11 +210,44 @@ def j5_saved_map(spark, sf_dir):
 
 
 TERMS = ("the", "tion", "wh", "enau", "leaux", "der", "que", "ción")
+RECENT = f"first_seen_at >= TIMESTAMP '{B.AS_OF}' - INTERVAL 30 DAY"
+UNSCORED = f"NOT EXISTS (SELECT 1 FROM scores s WHERE s.job_id = p.id AND s.profile_id = {PROFILE} AND s.has_breakdown)"
+#: Postings just under the warm score that passed every gate, with the text that terms are looked up in.
+BORDERLINE = f"""borderline AS (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(description, '')) AS b FROM postings
+  WHERE is_active AND geo_filtered AND score_total >= 35 AND score_total < 40 AND {RECENT})"""
+RESCUED = f"SELECT * FROM (SELECT *, CAST({S.hits('b', TERMS)} AS INT) AS hits FROM borderline p WHERE {UNSCORED}) WHERE hits >= 3"
 
 
-@query(B.with_tables(f"SELECT id, hits FROM (SELECT id, score_total, CAST({S.hits('b', TERMS)} AS INT) AS hits FROM blobbed) WHERE score_total >= 35 AND score_total < 40 AND hits >= 3", B.POSTINGS, BLOBBED))
+def _rescued(spark, sf_dir):
+    return enrich.rescued(_p(spark, sf_dir), B.scores(spark, sf_dir), PROFILE, list(TERMS), serving.cutoff(B.AS_OF, 30))
+
+
+@query(B.with_tables(f"SELECT id, hits FROM ({RESCUED})", B.POSTINGS, B.SCORES, BORDERLINE))
 def j9_skill_hits(spark, sf_dir):
-    return enrich.rescued(_p(spark, sf_dir), list(TERMS), 35, 40, 3).select("id", "hits")
+    return _rescued(spark, sf_dir).select("id", "hits")
+
+
+#: Each profile's terms: the longer ones of a document's first words, of two customers the same.
+PROFILE_TERMS = """own AS (SELECT c_custkey AS profile_id, lower(trim(w)) AS term FROM (
+    SELECT c_custkey, unnest(list_slice(string_split(d.text, ' '), 1, 12)) AS w FROM customer JOIN documents d ON d.doc_id = c_custkey // 2) GROUP BY ALL),
+  terms AS (SELECT * FROM own WHERE length(term) >= 3)"""
+BY_PROFILE = """SELECT p.id, t.profile_id, count(*) AS hits, any_value(p.score_total) AS score_total FROM borderline p JOIN terms t ON contains(p.b, t.term)
+  WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.job_id = p.id AND s.profile_id = t.profile_id AND s.has_breakdown) GROUP BY p.id, t.profile_id HAVING count(*) >= 3"""
+
+
+def profile_terms(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"), F.expr("c_custkey div 2").alias("doc_id"))
+    return c.join(B.table(spark, sf_dir, "documents"), "doc_id").select("profile_id", F.explode(F.slice(F.split("text", " "), 1, 12)).alias("term"))
+
+
+def _rescued_by_profile(spark, sf_dir):
+    return enrich.rescued_by_profile(_p(spark, sf_dir), B.scores(spark, sf_dir), profile_terms(spark, sf_dir), serving.cutoff(B.AS_OF, 30))
+
+
+@query(B.with_tables(f"SELECT id, profile_id, hits FROM ({BY_PROFILE})", B.POSTINGS, B.SCORES, BORDERLINE, PROFILE_TERMS))
+def j9_profile_hits(spark, sf_dir):
+    """Borderline postings for all customers as profiles with terms of their own."""
+    return _rescued_by_profile(spark, sf_dir).select("id", "profile_id", "hits")
 
 
 @query(B.with_tables(paged(SERVED, ORDER, 50), B.POSTINGS, B.SCORES, JOINED))
@@ -238,13 +272,27 @@ def k4_eligible_topk(spark, sf_dir):
     return _eligible(spark, sf_dir).orderBy(*enrich.best_first()).limit(1000).select("id")
 
 
+#: A limit that the eligible postings nearly reach.
+RUN_LIMIT = 150
+
+
 @query(B.with_tables(
-    f"SELECT id, false AS rescued FROM (SELECT id FROM postings p WHERE {ELIGIBLE} ORDER BY {BEST} LIMIT 1000) UNION ALL "
-    f"SELECT id, true FROM (SELECT id FROM (SELECT *, {S.hits('b', TERMS)} AS hits FROM blobbed) WHERE score_total >= 35 AND score_total < 40 AND hits >= 3 ORDER BY {BEST} LIMIT 100)", B.POSTINGS, B.SCORES, BLOBBED))
+    "SELECT id, false AS rescued FROM first UNION ALL SELECT id, true FROM (SELECT id, row_number() OVER (ORDER BY " + BEST + f") AS n FROM ({RESCUED})) WHERE n <= least(100, {RUN_LIMIT} - (SELECT count(*) FROM first))",
+    B.POSTINGS, B.SCORES, BORDERLINE, f"first AS (SELECT id FROM postings p WHERE {ELIGIBLE} ORDER BY {BEST} LIMIT {RUN_LIMIT})"))
 def k5_rescue_union(spark, sf_dir):
-    first = _eligible(spark, sf_dir).orderBy(*enrich.best_first()).limit(1000).select("id", F.lit(False).alias("rescued"))
-    more = enrich.rescued(_p(spark, sf_dir), list(TERMS), 35, 40, 3).orderBy(*enrich.best_first()).limit(100).select("id", F.lit(True).alias("rescued"))
-    return first.unionByName(more)
+    first = _eligible(spark, sf_dir).orderBy(*enrich.best_first()).limit(RUN_LIMIT)
+    return enrich.with_rescued(first.select("id"), _rescued(spark, sf_dir), RUN_LIMIT)
+
+
+@query(B.with_tables(
+    """SELECT profile_id, id, false AS rescued FROM first UNION ALL SELECT profile_id, id, true FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score_total DESC, id) AS n FROM more) m
+      WHERE n <= least(100, 4 - (SELECT count(*) FROM first f WHERE f.profile_id = m.profile_id))""",
+    B.POSTINGS, B.SCORES, BORDERLINE, PROFILE_TERMS, f"more AS ({BY_PROFILE})", "first AS (SELECT profile_id, job_id AS id FROM scores WHERE has_breakdown QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY job_id) <= 3)"))
+def k5_rescue_by_profile(spark, sf_dir):
+    """Each profile's first three scored postings, filled up to four with rescued ones."""
+    done = B.scores(spark, sf_dir).filter("has_breakdown")
+    first = done.withColumn("n", F.row_number().over(Window.partitionBy("profile_id").orderBy("job_id"))).filter("n <= 3").select("profile_id", F.col("job_id").alias("id"))
+    return enrich.with_rescued_by_profile(first, _rescued_by_profile(spark, sf_dir), 4)
 
 
 @query(B.with_tables(TOP.replace("SELECT p.id,", "SELECT p.id, concat_ws(' · ', nullif(p.seniority, 'Unspecified'), nullif(p.remote_status, 'Unspecified')) AS badges,").replace("INTERVAL 30 DAY", "INTERVAL 7 DAY"), B.POSTINGS, B.SCORES))

@@ -350,12 +350,13 @@ def m8_status_stamps(spark, sf_dir):
 
 
 @query(B.with_tables(
-    """SELECT user_id, job_id, seq, job_id IS NOT NULL AND (EXISTS (SELECT 1 FROM applications a WHERE a.user_id = i.user_id AND a.job_id = i.job_id) OR row_number() OVER (PARTITION BY user_id, job_id ORDER BY seq) > 1) AS duplicate
+    """SELECT user_id, job_id, seq, job_id IS NOT NULL AND (EXISTS (SELECT 1 FROM applications a WHERE a.user_id = i.user_id AND a.job_id = i.job_id) OR row_number() OVER (PARTITION BY user_id, job_id ORDER BY seq) > 1) AS duplicate,
+      (SELECT min(a.id) FROM applications a WHERE a.user_id = i.user_id AND a.job_id = i.job_id) AS existing_id
       FROM (SELECT l_partkey % 50 AS user_id, CASE WHEN l_orderkey % 9 <> 0 THEN l_orderkey % 2000 END AS job_id, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) i""", B.APPLICATIONS))
 def m9_idempotent_insert(spark, sf_dir):
     k = F.col("l_orderkey")
     rows = B.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("user_id"), F.when(k % 9 != 0, k % 2000).alias("job_id"), (k * 10 + F.col("l_linenumber")).alias("seq"))
-    return lifecycle.idempotent_insert(B.applications(spark, sf_dir), rows).select("user_id", "job_id", "seq", "duplicate")
+    return lifecycle.idempotent_insert(B.applications(spark, sf_dir), rows).select("user_id", "job_id", "seq", "duplicate", "existing_id")
 
 
 @query(B.with_tables("SELECT id, coalesce(function_category, 'Other') AS function_category, coalesce(seniority, 'Unspecified') AS seniority, coalesce(vertical, 'Other') AS vertical, coalesce(remote_status, 'Unspecified') AS remote_status FROM postings", B.POSTINGS))
