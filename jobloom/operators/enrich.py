@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,6 +99,32 @@ def outcomes(responses: DataFrame, by: str) -> DataFrame:
     return responses.groupBy(by).agg(F.count_if(failed).alias("errored"), F.count_if(~failed & ~parsed).alias("json_failed"), F.count_if(~failed & parsed).alias("ok"), F.count("*").alias("total"))
 
 
+def verdict_of(outcome: Column, known: Column, body: Column, built: Column) -> Column:
+    """What became of an answer: errored, unknown_id (nothing with its custom_id was sent), json_failed, build_failed (no
+    row could be made of it) or ok."""
+    return F.when(~outcome.eqNullSafe("succeeded"), "errored").when(~F.coalesce(known, F.lit(False)), "unknown_id").when(body.isNull(), "json_failed").when(~F.coalesce(built, F.lit(False)), "build_failed").otherwise("ok")
+
+
+def write_back(responses: DataFrame, requests_: DataFrame, by: str | None = None) -> DataFrame:
+    """Counts of what became of the answers (custom_id, outcome, body) to score requests, by a column or of all: errored,
+    unknown_id, json_failed, build_failed, parse_failed (the three together), ok and repeated.
+
+    A custom_id that is answered more than once counts once, by the best of its answers (a good one before a failed one);
+    the others are repeated. Answers without a custom_id each count as unknown.
+    """
+    row = score_of(F.col("body"))
+    said = verdict_of(F.col("outcome"), F.col("known"), F.col("body"), row.isNotNull())
+    rank = {"ok": 0, "build_failed": 1, "json_failed": 2, "unknown_id": 3, "errored": 4}
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("said"))
+    keys = [by] if by else []
+    judged = matched(responses, requests_).select(*keys, "custom_id", said.alias("said"))
+    solo = F.when(F.col("custom_id").isNull(), F.monotonically_increasing_id())
+    each = judged.withColumn("_solo", solo).groupBy(*keys, "custom_id", "_solo").agg(F.min_by("said", order).alias("said"), (F.count("*") - 1).alias("_again"))
+    counts = [F.count_if(F.col("said") == k).alias(k) for k in ("errored", "unknown_id", "json_failed", "build_failed", "ok")]
+    out = each.groupBy(*keys).agg(*counts, F.coalesce(F.sum("_again"), F.lit(0)).alias("repeated"))
+    return out.withColumn("parse_failed", F.col("json_failed") + F.col("build_failed") + F.col("unknown_id"))
+
+
 def usage(responses: DataFrame) -> DataFrame:
     """Tokens of failed and of other answers."""
     return responses.groupBy((F.col("outcome") != "succeeded").alias("errored")).agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"))
@@ -206,16 +233,106 @@ def geo_decision(outcome: Column, body: Column) -> Column:
     return F.struct((~F.coalesce(no, F.lit(False))).alias("passed"), F.when(no, F.substring(F.coalesce(get(body, "reason"), F.lit("")), 1, 200)).alias("reason"))
 
 
+#: The dimensions of a score.
+DIMENSIONS = ("skill_match", "industry_fit", "title_alignment", "seniority", "requirements", "geography")
+#: What no text stands for, but where it is itself a text.
+NOTHING = ("", "0", "0.0", "false", "[]", "{}")
+BREAKDOWN = (
+    "struct<location_eligible:boolean,subtotal:int,dimensions:map<string,struct<score:int,notes:string>>,"
+    "adjustments:array<struct<label:string,value:int>>,strengths:array<string>,gaps:array<string>>"
+)
+
+
+def kind(v: Column) -> Column:
+    """What a variant holds: object, array, string, number, boolean, or null where there is none or a JSON null."""
+    return T.once(F.schema_of_variant(v), lambda t: F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t != "VOID", "number"))
+
+
+def part(v: Column, name: str, kind_: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{name}", kind_)
+
+
+def listed(v: Column) -> Column:
+    """The elements of a variant that is an array; of anything else, none."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def typed(v: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """of(kind, text) of a variant, each computed once."""
+    return T.once(F.struct(kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")), lambda x: of(x["kind"], x["text"]))
+
+
+def said(v: Column, chars: int, trimmed: bool = True) -> Column:
+    """A variant as text of so many characters; what is empty, zero or false says nothing, and so does null."""
+    full = typed(v, lambda k, t: F.when((k != "string") & t.isin(*NOTHING), "").otherwise(T.or_empty(t)))
+    return F.substring(T.strip(full) if trimmed else full, 1, chars)
+
+
+def whole(v: Column, default: int | None = 0) -> Column:
+    """A variant as a whole number, fractions cut off; texts count if they hold a number, booleans don't."""
+    return T.once(typed(v, lambda k, t: F.when(k.isin("number", "string"), T.strip(t))), lambda n: safe_int(n, default))
+
+
+def clean_list(v: Column, most: int = 4, chars: int = 140) -> Column:
+    """Of the first elements of an array, the texts that aren't blank, trimmed and cut."""
+    texts = F.transform(F.slice(listed(v), 1, most), lambda x: typed(x, lambda k, t: F.when(k == "string", F.substring(T.strip(t), 1, chars))))
+    return F.filter(texts, lambda s: F.coalesce(s != "", F.lit(False)))
+
+
+def final_score(v: Column) -> Column:
+    """A whole number within 0 and 100 of a number (fractions cut off), a boolean or the text of a whole number; else null."""
+
+    def of(k: Column, t: Column) -> Column:
+        digits = (k == "string") & t.rlike(r"^\s*[+-]?\d+\s*$")
+        # Beyond 32 bits only the sign counts.
+        number = F.when((k == "number") | digits, F.coalesce(safe_int(T.strip(t)), F.when(T.strip(t).startswith("-"), 0).otherwise(100)))
+        return number.when(k == "boolean", F.when(t == "true", 1).otherwise(0))
+
+    return T.once(typed(v, of), lambda n: F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), n))))
+
+
+def fits(v: Column, *kinds: str) -> Column:
+    """Whether a part is of one of some kinds, or says nothing."""
+    return typed(v, lambda k, t: k.isNull() | k.isin(*kinds) | t.isin(*NOTHING))
+
+
+def score_of(body: Column) -> Column:
+    """struct(match_score, strengths, gaps, verdict, breakdown) of an answer; null where no row can be made of it.
+
+    An ineligible place scores 0 and has a breakdown that says just so. Else the score must be a whole number or the text
+    of one, and is kept within 0 and 100. dimensions, and each dimension in it, must be objects where they are there;
+    adjustments that are no objects are left out.
+    """
+    texts = F.array().cast("array<string>")
+    minimal = F.struct(F.lit(False), *[F.lit(None)] * 5).cast(BREAKDOWN)
+    row = lambda n, s, g, v, b: F.struct(n.cast("int").alias("match_score"), s.alias("strengths"), g.alias("gaps"), v.alias("verdict"), b.alias("breakdown"))
+
+    def full(v: Column, verdict: Column, score: Column) -> Column:
+        cell = lambda d: F.struct(whole(part(v, f"dimensions.{d}.score")).alias("score"), said(part(v, f"dimensions.{d}.notes"), 80, False).alias("notes"))
+        by_name = F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), cell(d))])
+        objects = F.filter(listed(part(v, "adjustments")), lambda a: F.coalesce(kind(a) == "object", F.lit(False)))
+        changes = F.transform(objects, lambda a: F.struct(said(part(a, "label"), 60, False).alias("label"), whole(part(a, "value")).alias("value")))
+        lists = F.struct(clean_list(part(v, "strengths")).alias("s"), clean_list(part(v, "gaps")).alias("g"))
+        return T.once(lists, lambda x: row(score, x["s"], x["g"], verdict, F.struct(F.lit(True), whole(part(v, "subtotal")), by_name, changes, x["s"], x["g"]).cast(BREAKDOWN)))
+
+    def made(v: Column) -> Column:
+        sound = fits(part(v, "dimensions"), "object") & fits(part(v, "adjustments"), "array", "object", "string")
+        for d in DIMENSIONS:
+            sound = sound & fits(part(v, f"dimensions.{d}"), "object")
+        known = F.struct(
+            typed(part(v, "location_eligible"), lambda k, t: F.coalesce((k == "boolean") & (t == "false"), F.lit(False))).alias("away"),
+            F.when(sound, final_score(part(v, "final_score"))).alias("score"),
+            typed(part(v, "verdict"), lambda k, t: F.when(k == "string", T.or_null(F.substring(T.strip(t), 1, 120)))).alias("verdict"),
+        )
+        return T.once(known, lambda x: F.when(x["away"], row(F.lit(0), texts, texts, x["verdict"], minimal)).when(x["score"].isNotNull(), full(v, x["verdict"], x["score"])))
+
+    return T.once(F.try_parse_json(body), lambda v: F.when(kind(v) == "object", made(v)))
+
+
 def score_rows(rows: DataFrame, body: str = "body") -> DataFrame:
-    """rows (job_id, profile_id, body) as score rows; an ineligible place scores 0; a row without a valid score goes."""
-    b = F.col(body)
-    out_of_place = F.coalesce(get(b, "location_eligible") == "false", F.lit(False))
-    score = F.when(out_of_place, 0).otherwise(clamped_score(get(b, "final_score")))
-    listed = lambda k: F.transform(F.slice(F.filter(F.from_json(get(b, k), "array<string>"), lambda s: T.strip(s) != ""), 1, 4), lambda s: F.substring(T.strip(s), 1, 140))
-    empty = F.array().cast("array<string>")
-    pick = lambda k: F.when(out_of_place, empty).otherwise(F.coalesce(listed(k), empty))
-    verdict = F.substring(F.coalesce(get(b, "verdict"), F.lit("")), 1, 120)
-    return rows.select("job_id", "profile_id", score.alias("match_score"), pick("strengths").alias("strengths"), pick("gaps").alias("gaps"), verdict.alias("verdict")).filter("match_score IS NOT NULL")
+    """rows (job_id, profile_id, body) as score rows with score_of()'s fields; an answer that no row can be made of goes."""
+    out = rows.select("job_id", "profile_id", score_of(F.col(body)).alias("r")).filter("r IS NOT NULL")
+    return out.select("job_id", "profile_id", "r.*")
 
 
 def parse_status(failed: Column, total: Column) -> Column:
@@ -225,16 +342,48 @@ def parse_status(failed: Column, total: Column) -> Column:
 
 # --- profiles -------------------------------------------------------------------------------------------------------
 
-LEVELS = ("beginner", "intermediate", "advanced", "expert")
-GRAPH = "skills array<struct<name:string,level:string,years:string>>, domains array<string>, seniority_anchor string"
-
-
-def sane_graph(text: Column, most_skills: int = 30, most_domains: int = 10) -> Column:
-    """A skill graph with closed levels, years from 0 to 50, and lists of bounded length; null if it isn't JSON."""
-    g = F.from_json(text, GRAPH)
-    named = F.filter(g.skills, lambda s: T.strip(T.or_empty(s["name"])) != "")
-    skills = F.transform(F.slice(named, 1, most_skills), lambda s: F.struct(T.strip(s["name"]).alias("name"), in_enum(s.level, LEVELS, "intermediate").alias("level"), F.greatest(F.lit(0), F.least(F.lit(50), safe_int(s.years, 0))).alias("years")))
-    return F.struct(F.coalesce(skills, F.array().cast("array<struct<name:string,level:string,years:int>>")).alias("skills"), F.coalesce(F.slice(g.domains, 1, most_domains), F.array().cast("array<string>")).alias("domains"), in_enum(g.seniority_anchor, SENIORITIES, "Unspecified").alias("seniority_anchor"))
+# Closed vocabularies of a skill graph, and how much of each list is kept.
+LEVELS = ("senior", "intermediate", "exposure")
+ANCHORS = ("principal", "staff", "senior", "mid", "junior", "unclear")
+MOST_SKILLS, MOST_DOMAINS, MOST_OTHERS = 30, 15, 10
+NAME_CHARS, EVIDENCE_CHARS, PLACE_CHARS, PHRASE_CHARS = 60, 80, 80, 120
+MOST_YEARS = 50
+
+
+def sane_graph(text: Column) -> Column:
+    """A skill graph as struct(skills, domains, seniority_anchor, location, languages, deal_breakers, preferences); null
+    where the text is no JSON object.
+
+    The text is parsed once, each part is read by the type it has: a part of another type is empty, an element of a list
+    that has no text goes after the list was cut. Levels and the anchor are closed vocabularies in lower case.
+    """
+    cut = lambda x, chars: F.substring(T.strip(T.or_empty(F.try_variant_get(x, "$", "string"))), 1, chars)
+    texts = lambda v, most, chars: F.filter(F.transform(F.slice(listed(v), 1, most), lambda x: cut(x, chars)), lambda s: s != "")
+    word = lambda v: typed(v, lambda k, t: F.when(k == "string", F.lower(T.strip(t))))
+
+    def years(v: Column) -> Column:
+        n = typed(v, lambda k, t: F.when((k == "number") | ((k == "string") & t.rlike(r"^\s*[+-]?\d+\s*$")), safe_int(T.strip(t))).when(k == "boolean", F.when(t == "true", 1)))
+        return F.greatest(F.lit(0), F.least(F.lit(MOST_YEARS), F.coalesce(n, F.lit(0))))
+
+    def skill(v: Column) -> Column:
+        return F.struct(said(part(v, "name"), NAME_CHARS).alias("name"), in_enum(word(part(v, "level")), LEVELS, "exposure").alias("level"), years(part(v, "years")).alias("years"), said(part(v, "evidence"), EVIDENCE_CHARS).alias("evidence"))
+
+    def made(v: Column) -> Column:
+        objects = F.filter(F.slice(listed(part(v, "skills")), 1, MOST_SKILLS), lambda x: F.coalesce(kind(x) == "object", F.lit(False)))
+        place = part(v, "location")
+        at = lambda k: F.when(kind(place) == "object", said(part(place, k), PLACE_CHARS)).otherwise("")
+        graph = F.struct(
+            F.filter(F.transform(objects, skill), lambda s: s["name"] != "").alias("skills"),
+            texts(part(v, "domains"), MOST_DOMAINS, NAME_CHARS).alias("domains"),
+            in_enum(word(part(v, "seniority_anchor")), ANCHORS, "unclear").alias("seniority_anchor"),
+            F.struct(at("city").alias("city"), at("country").alias("country")).alias("location"),
+            texts(part(v, "languages"), MOST_OTHERS, NAME_CHARS).alias("languages"),
+            texts(part(v, "deal_breakers"), MOST_OTHERS, PHRASE_CHARS).alias("deal_breakers"),
+            texts(part(v, "preferences"), MOST_OTHERS, PHRASE_CHARS).alias("preferences"),
+        )
+        return F.when(kind(v) == "object", graph)
+
+    return T.once(F.try_parse_json(text), made)
 
 
 def skill_terms(graph: Column, least: int = 3) -> Column:

@@ -81,10 +81,10 @@ ASKED = """asked AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_partkey % 5
 
 
 @query(B.with_tables(
-    f"""SELECT a.seq, CASE WHEN NOT ok THEN 'refused' WHEN o.id IS NOT NULL OR n > 1 THEN 'duplicate' ELSE 'created' END AS outcome, CASE WHEN ok THEN o.id END AS id,
-      CASE WHEN NOT ok THEN NULL WHEN o.id IS NOT NULL THEN o.job_title_snapshot WHEN n > 1 THEN f.title ELSE a.title END AS title,
-      CASE WHEN NOT ok THEN NULL WHEN o.id IS NOT NULL THEN o.status WHEN n > 1 THEN f.status ELSE a.status END AS status,
-      CASE WHEN NOT ok THEN NULL WHEN o.id IS NOT NULL THEN strftime(o.applied_at, '%Y-%m-%d') WHEN (CASE WHEN n > 1 THEN f.status ELSE a.status END) = 'applied' THEN '{LATE[:10]}' END AS applied
+    f"""SELECT a.seq, CASE WHEN NOT a.ok THEN 'refused' WHEN o.id IS NOT NULL OR a.n > 1 THEN 'duplicate' ELSE 'created' END AS outcome, CASE WHEN a.ok THEN o.id END AS id,
+      CASE WHEN NOT a.ok THEN NULL WHEN o.id IS NOT NULL THEN o.job_title_snapshot WHEN a.n > 1 THEN f.title ELSE a.title END AS title,
+      CASE WHEN NOT a.ok THEN NULL WHEN o.id IS NOT NULL THEN o.status WHEN a.n > 1 THEN f.status ELSE a.status END AS status,
+      CASE WHEN NOT a.ok THEN NULL WHEN o.id IS NOT NULL THEN strftime(o.applied_at, '%Y-%m-%d') WHEN (CASE WHEN a.n > 1 THEN f.status ELSE a.status END) = 'applied' THEN '{LATE[:10]}' END AS applied
       FROM numbered a LEFT JOIN (SELECT * FROM applications WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY id) = 1) o ON o.user_id = a.user_id AND o.job_id = a.job_id
       LEFT JOIN (SELECT * FROM numbered WHERE job_id IS NOT NULL AND ok AND n = 1) f ON f.user_id = a.user_id AND f.job_id = a.job_id""",
     B.APPLICATIONS, ASKED, """numbered AS (SELECT *, CASE WHEN job_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY user_id, job_id, ok ORDER BY seq) END AS n

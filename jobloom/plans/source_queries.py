@@ -325,10 +325,47 @@ def x28_geo_decision(spark, sf_dir):
     return _responses(spark, sf_dir).withColumn("g", enrich.geo_decision(F.col("outcome"), F.col("body"))).select("conv_id", "turn", "g.passed", "g.reason")
 
 
-@query(f"SELECT conv_id AS job_id, turn AS profile_id, CAST(least(100, turn * 17) AS INT) AS match_score, 'a|' || role AS strengths FROM conversations WHERE {OK}")
+#: Answers to score requests, with values of wrong types, as text that both sides read alike.
+ANSWER = """'{"location_eligible": ' || CASE WHEN turn % 5 = 4 THEN 'false' ELSE 'true' END || ', "final_score": ' || CASE turn % 4 WHEN 0 THEN CAST(turn * 17 AS STRING) WHEN 1 THEN '" ' || CAST(turn * 9 AS STRING) || '"' WHEN 2 THEN CAST(turn AS STRING) || '.7' ELSE '"high"' END
+  || ', "verdict": "' || CASE WHEN turn % 2 = 0 THEN '  fits ' || role ELSE ' ' END || ' ", "subtotal": "' || CAST(turn AS STRING) || '.9", "dimensions": ' || CASE WHEN conv_id % 10 = 3 THEN '"none"' ELSE '{"skill_match": {"score": ' || CAST(turn * 3 AS STRING) || ', "notes": "' || repeat('n', CAST(75 + turn AS INT)) || '"}, "geography": {"score": true}, "seniority": null}' END
+  || ', "adjustments": [{"label": "' || role || '", "value": "-' || CAST(turn AS STRING) || '"}, "odd", {"value": 2.9}], "strengths": [" a ", "", 7, "' || role || '", "late"], "gaps": "none"}'"""
+AWAY = "turn % 5 = 4"
+BUILT = f"({AWAY} OR turn % 4 <> 3 AND conv_id % 10 <> 3)"
+
+
+def _answers(spark, sf_dir):
+    rows = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("custom_id"), F.when(F.col("conv_id") % 9 == 0, "errored").otherwise("succeeded").alias("outcome"), F.expr(ANSWER).alias("answer"))
+    broken = F.col("conv_id") % 7 == 5
+    return rows.withColumn("body", enrich.json_object(F.when(broken, F.expr("left(answer, 40)")).otherwise(F.concat(F.lit("```json\n"), "answer", F.lit("\n```")))))
+
+
+@query(f"""SELECT conv_id AS job_id, turn AS profile_id, CAST(CASE WHEN {AWAY} THEN 0 ELSE least(100, CASE turn % 4 WHEN 0 THEN turn * 17 WHEN 1 THEN turn * 9 ELSE turn END) END AS INT) AS match_score,
+  CASE WHEN turn % 2 = 0 THEN 'fits ' || role END AS verdict, NOT ({AWAY}) AS eligible, CASE WHEN NOT {AWAY} THEN CAST(turn AS INT) END AS subtotal,
+  CASE WHEN NOT {AWAY} THEN 'skill_match ' || turn * 3 || ' ' || repeat('n', CAST(least(80, 75 + turn) AS INT)) || ', industry_fit 0 , title_alignment 0 , seniority 0 , requirements 0 , geography 0 ' END AS dimensions,
+  CASE WHEN NOT {AWAY} THEN role || ' ' || CASE WHEN turn = 0 THEN '0' ELSE '-' || turn END || ',  2' END AS adjustments, CASE WHEN {AWAY} THEN '' ELSE 'a|' || role END AS strengths, 0 AS gaps
+  FROM conversations WHERE conv_id % 7 <> 5 AND {BUILT}""")
 def x29_score_row(spark, sf_dir):
-    r = _responses(spark, sf_dir).select(F.col("conv_id").alias("job_id"), F.col("turn").alias("profile_id"), "body")
-    return enrich.score_rows(r).select("job_id", "profile_id", "match_score", F.array_join("strengths", "|").alias("strengths"))
+    r = _answers(spark, sf_dir).select(F.col("conv_id").alias("job_id"), F.col("turn").alias("profile_id"), "body")
+    b = F.col("breakdown")
+    cell = lambda d: F.concat_ws(" ", F.lit(d), b["dimensions"][d]["score"].cast("string"), b["dimensions"][d]["notes"])
+    dims = F.when(b["dimensions"].isNotNull(), F.concat_ws(", ", *[cell(d) for d in enrich.DIMENSIONS]))
+    changes = F.array_join(F.transform(b["adjustments"], lambda a: F.concat_ws(" ", a["label"], a["value"].cast("string"))), ", ")
+    return enrich.score_rows(r).select(
+        "job_id", "profile_id", "match_score", "verdict", b["location_eligible"].alias("eligible"), b["subtotal"].alias("subtotal"), dims.alias("dimensions"),
+        changes.alias("adjustments"), F.array_join("strengths", "|").alias("strengths"), F.size("gaps").alias("gaps"),
+    )
+
+
+#: Every answer of a first turn comes twice, once as a failed one; requests of odd conversations were never sent.
+SAID = f"CASE WHEN conv_id % 9 = 0 THEN 'errored' WHEN conv_id % 2 = 1 THEN 'unknown_id' WHEN conv_id % 7 = 5 THEN 'json_failed' WHEN NOT {BUILT} THEN 'build_failed' ELSE 'ok' END"
+
+
+@query("SELECT role, " + ", ".join(f"count(*) FILTER (said = '{k}') AS {k}" for k in ("errored", "unknown_id", "json_failed", "build_failed", "ok")) + f", count(*) FILTER (turn = 0) AS repeated, count(*) FILTER (said IN ('unknown_id', 'json_failed', 'build_failed')) AS parse_failed FROM (SELECT *, {SAID} AS said FROM conversations) GROUP BY role")
+def a15_write_back(spark, sf_dir):
+    rows = _answers(spark, sf_dir)
+    twice = rows.unionByName(rows.filter("turn = 0").withColumns({"outcome": F.lit("expired"), "body": F.lit(None).cast("string")}))
+    sent = rows.filter("conv_id % 2 = 0").select("custom_id")
+    return enrich.write_back(twice, sent, "role")
 
 
 @query("SELECT conv_id, turn, conv_id % 2 = 0 AS known FROM conversations")
@@ -366,27 +403,33 @@ def a20_reason_buckets(spark, sf_dir):
     return _responses(spark, sf_dir).groupBy(F.coalesce(g["reason"], F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def _graphs(spark, sf_dir):
-    k = F.col("c_custkey")
-    skill = lambda name, level, years: F.struct(name.alias("name"), level.alias("level"), years.alias("years"))
-    skills = F.array(skill(F.col("c_mktsegment"), F.lit("expert"), (k % 80).cast("string")), skill(F.lit("Go"), F.lit("guru"), F.lit("many")), skill(F.lit(" "), F.lit("expert"), F.lit("1")))
-    graph = F.to_json(F.struct(skills.alias("skills"), F.array(F.lit("retail")).alias("domains"), F.when(k % 2 == 0, "Senior").otherwise("Wizard").alias("seniority_anchor")))
-    return B.table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_name").alias("text"), F.when(k % 5 == 0, "{}").when(k % 5 == 1, None).otherwise(graph).alias("graph"))
+#: Skill graphs with values of wrong types, as text that both sides read alike.
+GRAPH_TEXT = """'{"skills": [{"name": " ' || c_mktsegment || ' ", "level": "SENIOR ", "years": "' || CAST(c_custkey % 80 AS STRING) || '", "evidence": "' || repeat('e', CAST(c_custkey % 100 AS INT)) || '"}, {"name": "Go", "level": "guru", "years": 3.9}, "odd", {"name": " ", "years": 1}, {"name": 7, "years": "2.5", "level": null}], "domains": '
+  || CASE WHEN c_custkey % 3 = 0 THEN '"retail"' ELSE '["retail", " ", 5, "' || repeat('d', 70) || '", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13"]' END || ', "seniority_anchor": ' || CASE WHEN c_custkey % 2 = 0 THEN '" Staff"' ELSE '"wizard"' END
+  || ', "location": ' || CASE WHEN c_custkey % 4 = 0 THEN '["Lima"]' ELSE '{"city": " C' || CAST(c_nationkey AS STRING) || ' "}' END || ', "languages": ["en: native"], "preferences": {"a": 1}, "deal_breakers": [" ' || repeat('b', CAST(c_custkey % 200 AS INT)) || '"]}'"""
+REAL = "c_custkey % 5 > 1"
 
 
-REAL = "c_custkey % 5 > 1"
+def _graphs(spark, sf_dir):
+    k = F.col("c_custkey")
+    return B.table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_name").alias("text"), F.when(k % 5 == 0, "{}").when(k % 5 == 1, None).otherwise(F.expr(GRAPH_TEXT)).alias("graph"))
 
 
-@query(f"SELECT c_custkey AS id, CASE WHEN {REAL} THEN c_mktsegment || ':expert:' || least(50, c_custkey % 80) || ',Go:intermediate:0' ELSE '' END AS skills, CASE WHEN {REAL} AND c_custkey % 2 = 0 THEN 'Senior' ELSE 'Unspecified' END AS anchor FROM customer")
+@query(f"""SELECT c_custkey AS id, CASE WHEN {REAL} THEN c_mktsegment || ':senior:' || least(50, c_custkey % 80) || ':' || repeat('e', CAST(least(80, c_custkey % 100) AS INT)) || ',Go:exposure:3:,7:exposure:0:' ELSE '' END AS skills,
+  CASE WHEN {REAL} AND c_custkey % 3 <> 0 THEN 'retail|5|' || repeat('d', 60) || '|1|2|3|4|5|6|7|8|9|10|11' ELSE '' END AS domains,
+  CASE WHEN {REAL} AND c_custkey % 2 = 0 THEN 'staff' ELSE 'unclear' END AS anchor, CASE WHEN {REAL} AND c_custkey % 4 <> 0 THEN 'C' || c_nationkey ELSE '' END AS city, '' AS country,
+  CASE WHEN {REAL} THEN 'en: native' ELSE '' END AS languages, '' AS preferences, CASE WHEN {REAL} THEN repeat('b', CAST(least(120, c_custkey % 200) AS INT)) ELSE '' END AS deal_breakers
+  FROM customer WHERE c_custkey % 5 <> 1""")
 def x30_graph_sanitize(spark, sf_dir):
-    g = _graphs(spark, sf_dir).withColumn("g", enrich.sane_graph(F.col("graph")))
-    said = F.array_join(F.transform("g.skills", lambda s: F.concat_ws(":", s["name"], s.level, s.years.cast("string"))), ",")
-    return g.select("id", said.alias("skills"), F.col("g.seniority_anchor").alias("anchor"))
+    g = _graphs(spark, sf_dir).select("id", enrich.sane_graph(F.col("graph")).alias("g")).filter("g IS NOT NULL").select("id", "g.*")
+    skills = F.array_join(F.transform("skills", lambda s: F.concat_ws(":", s["name"], s.level, s.years.cast("string"), s.evidence)), ",")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return g.select("id", skills.alias("skills"), joined("domains"), F.col("seniority_anchor").alias("anchor"), "location.city", "location.country", joined("languages"), joined("preferences"), joined("deal_breakers"))
 
 
-@query(f"SELECT c_custkey AS id, CASE WHEN {REAL} THEN lower(c_mktsegment) ELSE '' END AS terms FROM customer")
+@query(f"SELECT c_custkey AS id, CASE WHEN {REAL} THEN lower(c_mktsegment) ELSE '' END AS terms FROM customer WHERE c_custkey % 5 <> 1")
 def x31_skill_terms(spark, sf_dir):
-    g = _graphs(spark, sf_dir).withColumn("g", enrich.sane_graph(F.col("graph")))
+    g = _graphs(spark, sf_dir).select("id", enrich.sane_graph(F.col("graph")).alias("g")).filter("g IS NOT NULL")
     return g.select("id", F.array_join(enrich.skill_terms(F.col("g")), ",").alias("terms"))
 
 
