@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -136,3 +136,56 @@ def csv_cell(c: Column) -> Column:
 def export_lines(rows: DataFrame, columns: list[str]) -> Column:
     apply = F.coalesce(F.col("apply_url"), F.col("source_url"))
     return F.concat_ws(",", *[csv_cell(apply if c == "apply_url" else F.col(c)) for c in columns])
+
+
+def digest(postings: DataFrame, scores: DataFrame, profile_id: int, since: Column, rows: int = 10) -> DataFrame:
+    """The best matches of a profile among recent postings that are served: postings' columns, match_score, rank, badges
+    (what is known of its kind), strength and gap (the first of each list, null where there is none)."""
+    own = scores.filter(F.col("profile_id") == profile_id).select(F.col("job_id").alias("id"), "match_score", "strengths", "gaps")
+    found = filtered(postings.filter(F.col("first_seen_at") >= since).join(own, "id"), Filters())
+    top = page(found, [F.col("match_score").desc_nulls_last(), F.col("id").asc()], rows)
+    kinds = [F.nullif(F.col(c), F.lit("Unspecified")) for c in ("function_category", "vertical", "seniority", "remote_status")]
+    first = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    return top.withColumns({"badges": F.concat_ws(" · ", *kinds), "strength": first("strengths"), "gap": first("gaps")}).drop("strengths", "gaps", "total_count")
+
+
+# Columns of an export, in two styles, and its most rows.
+EXPORTED = {
+    "title": "Name", "company": "Company", "match_score": "Match", "score_total": "Rule Score", "function_category": "Function",
+    "vertical": "Vertical", "seniority": "Seniority", "remote_status": "Remote", "salary_min_usd": "Salary Min", "salary_max_usd": "Salary Max",
+    "location": "Location", "source": "Source", "apply_url": "Apply URL", "first_seen_at": "First Seen", "verdict_one_liner": "Verdict",
+}
+MOST_EXPORTED = 2000
+
+
+def export(rows: DataFrame, path: str, form: str = "csv", limit: int = MOST_EXPORTED) -> int:
+    """Writes the best ranked rows as text under path, by form: `csv` (columns by name), `notion` (by title) or `json` (one
+    object a line, no header); gives the number of rows.
+
+    The header and the rows are sorted as one table, so files and their lines stand in rank order, however many there are.
+    Columns that rows lack are empty.
+    """
+    if form not in ("csv", "notion", "json"):
+        raise ValueError(f"unknown form: {form}")
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    shown = {c: F.coalesce(has(c), has("source_url")) if c == "apply_url" else has(c) for c in EXPORTED}
+    shown["first_seen_at"] = F.date_format(has("first_seen_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    keys = ranked_order("match_score" in rows.columns)
+    best = rows.orderBy(*keys).limit(limit)
+    line = F.to_json(F.struct(*[v.alias(c) for c, v in shown.items()]), {"ignoreNullFields": "false"}) if form == "json" else F.concat_ws(",", *[csv_cell(v) for v in shown.values()])
+    order = ["score_total", "first_seen_at", "id"]
+    lines = best.select(line.alias("value"), F.lit(1).alias("_at"), has("match_score").cast("double").alias("match_score"), *order)
+    if form != "json":
+        names = [n if form == "notion" else c for c, n in EXPORTED.items()]
+        head = rows.sparkSession.range(1).select(F.concat_ws(",", *[csv_cell(F.lit(n)) for n in names]).alias("value"), F.lit(0).alias("_at"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("match_score", *order)])
+        lines = head.unionByName(lines)
+    # The rows are counted as they are written; before the sort they are read more than once, to find its ranges.
+    seen = Observation()
+    lines.orderBy("_at", *ranked_order()).observe(seen, F.count_if(F.col("_at") == 1).alias("rows")).select("value").write.text(path)
+    return seen.get["rows"]
+
+
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """What export() wrote, file by file: file (number in their order) and text."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return files.select(F.regexp_extract("name", r"part-(\d+)", 1).cast("int").alias("file"), "text")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,6 +13,7 @@ from ..operators import clean, dedup, enrich, lifecycle, reports, scoring, servi
 from . import bindings as B
 from . import sql as S
 from .registry import query
+from .state_queries import shared_folder
 from .text_queries import BANDED, BLOBBED, CONFIG, GATE, SCORED
 
 PROFILE, OWNER = 1, 1
@@ -295,10 +297,21 @@ def k5_rescue_by_profile(spark, sf_dir):
     return enrich.with_rescued_by_profile(first, _rescued_by_profile(spark, sf_dir), 4)
 
 
-@query(B.with_tables(TOP.replace("SELECT p.id,", "SELECT p.id, concat_ws(' · ', nullif(p.seniority, 'Unspecified'), nullif(p.remote_status, 'Unspecified')) AS badges,").replace("INTERVAL 30 DAY", "INTERVAL 7 DAY"), B.POSTINGS, B.SCORES))
+#: What a score says for and against: lists of no, one or two entries.
+STRENGTHS = "CASE job_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['s' || job_id] ELSE ['s' || job_id, 'more'] END"
+DIGEST = f"""SELECT id, concat_ws(' · ', nullif(function_category, 'Unspecified'), nullif(vertical, 'Unspecified'), nullif(seniority, 'Unspecified'), nullif(remote_status, 'Unspecified')) AS badges,
+  strengths[1] AS strength, CASE WHEN id % 2 = 0 THEN 'gap ' || id END AS gap, match_score, rank FROM (
+  SELECT p.*, {STRENGTHS.replace('job_id', 'p.id')} AS strengths, s.match_score, CAST(row_number() OVER (ORDER BY s.match_score DESC NULLS LAST, p.id) AS INT) AS rank FROM postings p JOIN scores s ON s.job_id = p.id
+  WHERE s.profile_id = {PROFILE} AND {SERVED} AND p.first_seen_at >= TIMESTAMP '{B.AS_OF}' - INTERVAL 7 DAY ORDER BY s.match_score DESC NULLS LAST, p.id LIMIT 10)"""
+
+
+@query(B.with_tables(DIGEST, B.POSTINGS, B.SCORES))
 def k6_digest_top10(spark, sf_dir):
-    said = lambda c: F.nullif(c, F.lit("Unspecified"))
-    return _top(spark, sf_dir, 7).select("id", F.concat_ws(" · ", said(F.col("seniority")), said(F.col("remote_status"))).alias("badges"), "match_score", "rank")
+    k = F.col("job_id")
+    name = F.concat(F.lit("s"), k.cast("string"))
+    strengths = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(name)).otherwise(F.array(name, F.lit("more")))
+    said = B.scores(spark, sf_dir).withColumns({"strengths": strengths, "gaps": F.when(k % 2 == 0, F.array(F.concat(F.lit("gap "), k.cast("string"))))})
+    return serving.digest(_p(spark, sf_dir), said, PROFILE, serving.cutoff(B.AS_OF, 7)).select("id", "badges", "strength", "gap", "match_score", "rank")
 
 
 @query(B.with_tables(paged(f"{SERVED} AND first_seen_at >= TIMESTAMP '{B.AS_OF}' - INTERVAL 7 DAY", ORDER, 100), B.POSTINGS, B.SCORES, JOINED))
@@ -330,6 +343,30 @@ def s21_export_lines(spark, sf_dir):
     return rows.select(serving.export_lines(rows, list(EXPORT)).alias("line"))
 
 
+SHOWN = {c: {"apply_url": "coalesce(apply_url, source_url)", "first_seen_at": "strftime(first_seen_at, '%Y-%m-%dT%H:%M:%SZ')", "verdict_one_liner": "CASE WHEN id % 3 = 0 THEN '=good, \"fit\"' END"}.get(c, c) for c in serving.EXPORTED}
+
+
+def _csv_sql(header) -> str:
+    return f"{S.lit(','.join(header))} || chr(10) || string_agg({' || chr(44) || '.join(_cell(c) for c in SHOWN.values())}, chr(10) ORDER BY {ORDER}) || chr(10)"
+
+
+@query(B.with_tables(
+    f"SELECT form, n_rows, sha256(body) AS sha256 FROM (SELECT 'csv' AS form, count(*) AS n_rows, {_csv_sql(serving.EXPORTED)} AS body FROM best UNION ALL SELECT 'notion', count(*), {_csv_sql(serving.EXPORTED.values())} FROM best UNION ALL "
+    + "SELECT 'json', count(*), string_agg('{' || " + " || ',' || ".join(S.lit(f'"{c}":') + f" || coalesce(CAST(to_json({v}) AS VARCHAR), 'null')" for c, v in SHOWN.items()) + f" || '}}', chr(10) ORDER BY {ORDER}) || chr(10) FROM best)",
+    B.POSTINGS, B.SCORES, JOINED, f"best AS (SELECT * FROM joined WHERE {SERVED} ORDER BY {ORDER} LIMIT 2000)"))
+def s21_export_files(spark, sf_dir):
+    """Exports in all forms, read back: how many rows each has, and a hash of its whole text in file order."""
+    rows = serving.filtered(_joined(spark, sf_dir), serving.Filters()).withColumn("verdict_one_liner", F.when(F.col("id") % 3 == 0, '=good, "fit"'))
+    out = []
+    for form in ("csv", "notion", "json"):
+        path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex[:12]}"
+        n = serving.export(rows, path, form)
+        files = F.array_sort(F.collect_list(F.struct("file", "text")))
+        body = F.array_join(F.transform(files, lambda x: x["text"]), "")
+        out.append(serving.exported(spark, path).agg(F.sha2(body.cast("binary"), 256).alias("sha256")).select(F.lit(form).alias("form"), F.lit(n).cast("long").alias("n_rows"), "sha256"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(B.with_tables(f"SELECT id, total_count FROM (SELECT *, count(*) OVER () AS total_count FROM joined WHERE {SERVED} ORDER BY {ORDER} LIMIT 50 OFFSET 50)", B.POSTINGS, B.SCORES, JOINED))
 def w2_page_total(spark, sf_dir):
     return _page(serving.filtered(_joined(spark, sf_dir), serving.Filters()), True, 50, 50).select("id", "total_count")

@@ -3,6 +3,8 @@ what a reader should find is known."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +13,7 @@ from ..sources import payloads as P
 from . import bindings as B
 from . import sql as S
 from .registry import query
+from .state_queries import shared_folder
 
 BOARD = "https://boards.greenhouse.io/acme"
 LINE = "split_part(text, chr(10), 1)"
@@ -213,6 +216,23 @@ def s1_source_catalog(spark, sf_dir):
     return P.catalog(whole, GROUPS).select("v2_group", "name", "super_group")
 
 
+@query("SELECT 'group_' || (n_nationkey % 6 + 1) AS v2_group, c_name AS name, 'https://b/' || c_custkey AS url, CASE WHEN n_nationkey % 6 < 3 THEN 1 ELSE 2 END AS super_group FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 6 < 5 AND c_custkey % 6 <> 0 UNION ALL SELECT NULL, n_name, NULL, NULL FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def s1_catalog_files(spark, sf_dir):
+    """A catalog file for each nation, over several lines, written and read back: its customers as sources, and its name on
+    the boost list."""
+    kind = F.when(F.col("c_custkey") % 6 == 0, "X_Feed").otherwise("Board")
+    source = F.struct(F.col("c_name").alias("name"), F.concat(F.lit("https://b/"), F.col("c_custkey").cast("string")).alias("url"), kind.alias("category"))
+    c = B.table(spark, sf_dir, "customer").join(B.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    each = c.groupBy("n_nationkey", "n_name").agg(F.collect_list(source).alias("sources"))
+    group = F.concat(F.lit("group_"), (F.col("n_nationkey") % 6 + 1).cast("string"))
+    body = F.to_json(F.struct(F.create_map(group, F.struct("sources")).alias("groups"), F.struct(F.array("n_name").alias("cjl_boost_companies")).alias("metadata")), {"pretty": "true"})
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex[:12]}"
+    each.select("n_nationkey", body.alias("value")).write.partitionBy("n_nationkey").text(path)
+    whole = P.read_catalog(spark, path)
+    boosted = P.boost_list(whole).select(F.lit(None).cast("string").alias("v2_group"), F.col("company").alias("name"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("int").alias("super_group"))
+    return P.catalog(whole, GROUPS).select("v2_group", "name", "url", "super_group").unionByName(boosted)
+
+
 FED = "CASE event_type WHEN 'error' THEN 'X_Feed' ELSE event_type END AS category, CASE WHEN user_id % 10 = 0 THEN 'X: @' || user_id ELSE 'u' || user_id END AS name"
 
 
@@ -263,6 +283,30 @@ def s22_fingerprint(spark, sf_dir):
     return P.fingerprints(pages, SIGNS).select(F.col("company").alias("host"), "product", F.array_join("samples", "; ").alias("samples"))
 
 
+#: Some products of a company's pages; the second of each three pages failed.
+PROBED = "probed AS (SELECT url, html, regexp_extract(url, '//([^/]+)', 1) AS company, CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS status FROM pages)"
+HITS = "hits AS (SELECT company, url, s.product, substr(s.sample, 1, 80) AS sample FROM (SELECT company, url, unnest([" + ", ".join(f"{{'product': '{k}', 'sample': regexp_extract(html, {S.lit(p)}, 0)}}" for k, p in SIGNS.items()) + "]) AS s FROM probed WHERE status < 400) WHERE s.sample <> '')"
+SAMPLES = "array_to_string(list_sort(list(url || ' -> ' || sample)), '; ')"
+
+
+def _probed(spark, sf_dir):
+    k = F.col("page_id") % 3
+    pages = B.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/]+)", 1).alias("company"), "url", F.when(k == 0, 200).when(k == 1, 404).alias("status"), F.col("html").alias("body"))
+    return P.probed(pages, SIGNS)
+
+
+@query(B.with_tables(f"SELECT p.company, p.fetched_ok, coalesce(h.hits, '') AS hits FROM (SELECT company, coalesce(bool_or(status < 400), false) AS fetched_ok FROM probed GROUP BY company) p LEFT JOIN (SELECT company, string_agg(product || ': ' || samples, ' | ' ORDER BY product) AS hits FROM (SELECT company, product, {SAMPLES} AS samples FROM hits GROUP BY ALL) GROUP BY company) h USING (company)", PROBED, HITS))
+def s22_rollup(spark, sf_dir):
+    """Each company with a map of products to samples, companies without hits or fetched pages included."""
+    said = F.transform(F.array_sort(F.map_entries("hits")), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(e["value"], "; ")))
+    return _probed(spark, sf_dir).select("company", "fetched_ok", F.array_join(said, " | ").alias("hits"))
+
+
+@query(B.with_tables("SELECT company, product, min(url || ' -> ' || sample) AS sample FROM hits WHERE product NOT IN ('copy', 'title') GROUP BY ALL", PROBED, HITS))
+def s22_actionable(spark, sf_dir):
+    return P.actionable(_probed(spark, sf_dir), ("copy", "title"))
+
+
 @query("SELECT s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN lower(replace(s_name, ' ', '-')) || '-labs' WHEN s_suppkey % 3 = 1 THEN lower(replace(s_name, ' ', '-')) || 'network' END AS slug, CASE WHEN s_suppkey % 3 = 0 THEN 'lever' WHEN s_suppkey % 3 = 1 THEN 'ashby' END AS ats FROM supplier")
 def s23_slug_resolution(spark, sf_dir):
     s = B.table(spark, sf_dir, "supplier")

@@ -13,13 +13,6 @@ from .registry import query
 from .state_queries import BEST, STATES, shared_folder
 
 
-def _stream(spark, df, per_trigger: int = 1):
-    """df, written as files in the shared folder and read as a stream of so many files at a time."""
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(f"{path}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path}/in"), path
-
-
 @query(B.with_tables("SELECT * FROM states", B.HEALTH, STATES))
 def t1_state_stream(spark, sf_dir):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
@@ -60,10 +53,35 @@ def t2_upsert_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/table/1").select("dedup_key", "id", "score_total", "title")
 
 
-@query(B.with_tables("SELECT strftime(date_trunc('day', run_at), '%Y-%m-%d') AS day, operation, round(CAST(sum(cents) AS DOUBLE) / 1000000, 6) AS cost_usd FROM ledger WHERE date_trunc('day', run_at) + INTERVAL 3 DAY <= (SELECT max(run_at) FROM ledger) GROUP BY ALL", B.LEDGER))
+#: What comes first: rows until a day, but every tenth, which comes later, with all others.
+EARLY = "run_at <= TIMESTAMP '1995-06-15' AND id % 10 <> 0"
+MARK = f"mark AS (SELECT max(run_at) FILTER ({EARLY}) - INTERVAL 2 DAY AS first, max(run_at) - INTERVAL 2 DAY AS last FROM ledger)"
+LATE = f"NOT ({EARLY}) AND date_trunc('day', run_at) + INTERVAL 1 DAY <= first"
+
+
+def _spend_stream(spark, sf_dir):
+    """The ledger in two parts, after each of which the stream stops and goes on from its checkpoint; the path, and the
+    progress of all batches."""
+    rows = B.ledger(spark, sf_dir).select("id", "run_at", "operation", "cost_usd")
+    path, progress = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}", []
+    for part in (F.expr(EARLY), ~F.expr(EARLY)):
+        rows.filter(part).write.mode("append").parquet(f"{path}/in")
+        spend = jobs.daily_spend(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        progress += jobs.drained(spend.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/checkpoint")
+    return path, progress
+
+
+@query(B.with_tables(f"SELECT strftime(date_trunc('day', run_at), '%Y-%m-%d') AS day, operation, round(CAST(sum(cents) AS DOUBLE) / 1000000, 6) AS cost_usd FROM ledger, mark WHERE NOT ({LATE}) AND date_trunc('day', run_at) + INTERVAL 1 DAY <= last GROUP BY ALL", B.LEDGER, MARK))
 def t3_daily_stream(spark, sf_dir):
-    """Days that the watermark has closed."""
-    rows, path = _stream(spark, B.ledger(spark, sf_dir).select("run_at", "operation", "cost_usd"), 2**31 - 1)
-    jobs.drained(jobs.daily_spend(rows).writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/checkpoint")
+    """Days that the watermark has closed, without the rows that came after theirs was."""
+    path, _ = _spend_stream(spark, sf_dir)
     out = spark.read.schema("day timestamp, operation string, cost_usd double").parquet(f"{path}/out")
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "operation", F.round("cost_usd", 6).alias("cost_usd"))
+
+
+@query(B.with_tables(f"SELECT part, CASE part WHEN 0 THEN '1970-01-01' ELSE strftime(any_value(first), '%Y-%m-%d') END AS watermark, count(DISTINCT CASE WHEN part = 1 AND {LATE} THEN (date_trunc('day', run_at), operation) END) AS late_groups FROM ledger, mark, (SELECT unnest([0, 1]) AS part) GROUP BY part", B.LEDGER, MARK))
+def t3_late_rows(spark, sf_dir):
+    """For both parts, the watermark they met and how many groups of late rows were left out, by the stream's progress."""
+    _, progress = _spend_stream(spark, sf_dir)
+    rows = [(k, mark[:10], n) for k, (_, mark, n) in enumerate(jobs.late(progress))]
+    return spark.createDataFrame(rows, "part int, watermark string, late_groups long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -392,6 +392,24 @@ def catalog(rows: DataFrame, group_of: dict[str, int]) -> DataFrame:
     return flat.withColumn("super_group", F.try_element_at(number, F.col("v2_group"))).filter(F.col("super_group").isNotNull() & ~is_feed(F.col("category"), F.col("name")))
 
 
+CATALOG = "groups map<string,struct<sources:array<struct<name:string,url:string,category:string>>>>, metadata struct<cjl_boost_companies:array<string>>"
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Catalogs in files, one JSON object a file over several lines: groups and metadata, with the file. A file that isn't
+    one fails with its name, as a run without its sources would look like one in which all of them had gone."""
+    raw = spark.read.schema(f"{CATALOG}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rows = raw.select("groups", "metadata", "_corrupt", F.col("_metadata.file_path").alias("file"))
+    wrong = F.col("_corrupt").isNotNull() | F.col("groups").isNull()
+    said = F.raise_error(F.concat(F.lit("not a catalog: "), F.col("file")))
+    return rows.withColumn("groups", F.when(wrong, said.cast(raw.schema["groups"].dataType)).otherwise(F.col("groups"))).drop("_corrupt")
+
+
+def boost_list(catalogs: DataFrame) -> DataFrame:
+    """company: the names that catalogs boost."""
+    return catalogs.select(F.explode("metadata.cjl_boost_companies").alias("company")).distinct()
+
+
 # --- crawled pages --------------------------------------------------------------------------------------------------
 
 # What tells a hosting product in a page, the first match of each.
@@ -422,6 +440,29 @@ def fingerprints(pages: DataFrame, signatures: dict[str, str] | None = None) ->
     return hits.groupBy("company", "product").agg(F.array_sort(F.collect_list(F.concat_ws(" -> ", "url", "sample"))).alias("samples"))
 
 
+#: Products whose boards can't be read.
+NOT_ACTIONABLE = ("notion", "wellfound")
+
+
+def probed(pages: DataFrame, signatures: dict[str, str] | None = None) -> DataFrame:
+    """One row for each company of pages (company, url, status, body): fetched_ok, and hits, a map of each product it shows
+    to the samples of its pages in the order of their urls.
+
+    Pages that failed (no status, or 400 and above) show nothing; a company without any hit has an empty map.
+    """
+    ok = pages.filter(F.coalesce(F.col("status") < 400, F.lit(False)))
+    companies = pages.groupBy("company").agg(F.coalesce(F.max(F.col("status") < 400), F.lit(False)).alias("fetched_ok"))
+    hits = fingerprints(ok, signatures).groupBy("company").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("product", "samples")))).alias("hits"))
+    none = F.create_map().cast("map<string,array<string>>")
+    return companies.join(hits, companies.company.eqNullSafe(hits.company), "left").select(companies.company, "fetched_ok", F.coalesce("hits", none).alias("hits"))
+
+
+def actionable(companies: DataFrame, without: tuple[str, ...] = NOT_ACTIONABLE) -> DataFrame:
+    """What can be acted on of probed(): company, product and the first sample, but for products that can't be read."""
+    left = F.map_filter("hits", lambda product, samples: ~product.isin(*without))
+    return companies.select("company", F.explode(left).alias("product", "samples")).select("company", "product", F.get("samples", F.lit(0)).alias("sample"))
+
+
 SUFFIXES = ("-labs", "labs", "-foundation", "foundation", "-network", "network", "-finance", "finance", "-protocol", "protocol", "-xyz", "-io", "-inc")
 
 

@@ -90,8 +90,17 @@ def daily_spend(ledger: DataFrame, delay: str = "2 days") -> DataFrame:
     return sums.select(F.col("window.start").alias("day"), "operation", F.col("cost_usd").cast("double").alias("cost_usd"))
 
 
-def drained(query_of, checkpoint: str) -> None:
-    """Runs a stream over all that is there and ends."""
-    query_of.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def drained(query_of, checkpoint: str) -> list:
+    """Runs a stream over all that is there and ends; gives the progress of its batches."""
+    run = query_of.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return run.recentProgress
 
 
+def late(progress: list) -> list[tuple[int, str, int]]:
+    """batch, watermark and how many groups of late rows were left out, for each batch of an aggregation that took rows.
+
+    Late rows meet in the groups they would have gone to before they are counted, so it is groups that are counted.
+    """
+    taken = [p for p in progress if p.numInputRows]
+    return [(p.batchId, p.eventTime.get("watermark", ""), sum(o.numRowsDroppedByWatermark for o in p.stateOperators)) for p in taken]
