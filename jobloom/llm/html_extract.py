@@ -2,14 +2,16 @@
 
 Every element's subtree gets a hash of its tags and texts. Spark counts on how many different pages of a host, and in how
 many different parents, each subtree occurs; subtrees that recur across many of them are the host's template and are
-deleted, together with elements that are page furniture by their tag, role or class. Copies of a page count once. What is
-left of the article is written block by block.
+deleted, together with elements that are page furniture by their tag, role or class. Copies of a page count once. Running
+text of an article (paragraphs, headings, quotes, items, parts of lines) is never template by itself, however often it
+recurs; containers in an article are, as anything is outside of one. What is left of the article is written block by block.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +26,6 @@ LEAST_PAGES = 10
 LEAST_SHARE = 0.3
 #: On small hosts a block is template from fewer pages on, if on nearly all of them.
 SMALL_PAGES, SMALL_SHARE = 3, 0.8
-#: Words of a block from which on its share no longer falls.
-MOST_WORDS = 60
 
 #: HTML's own tags and common names of page furniture.
 FURNITURE_TAGS = frozenset("head nav footer aside form script style noscript iframe object svg canvas template button select textarea input dialog menu".split())
@@ -34,6 +34,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that are template in an article, too, where they recur.
+CONTAINERS = frozenset("address aside center details dir div dl fieldset footer form header menu nav ol section table ul".split())
 LOOSE_TAGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup td th li dt dd figcaption summary".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 LISTS = frozenset("ul ol dl table menu article main section div body".split())
@@ -78,7 +80,9 @@ def furniture_kind(tag: str, attributes: str, in_main: bool) -> int:
 
 
 class Page:
-    """One page's blocks, with the hash and the place of each subtree that is not furniture."""
+    """One page's blocks, with the hash and the place of each subtree that may be template. Takes time in proportion to the
+    page: places of open elements are kept by tag, and it is parsed anew at most once for each way in which furniture may
+    hold the main text."""
 
     def __init__(self, page: str):
         #: Elements, by their number, that would be furniture but hold the page's main text.
@@ -89,18 +93,24 @@ class Page:
             self.parse(page)
 
     def parse(self, page: str) -> None:
-        #: Furniture inside none: number, kind, characters outside nested furniture, whether main and article are in it.
-        self.furniture: list[list[int]] = []
+        #: Furniture, but that in NEVER: number, kind, that around it, depth, own characters, whether it holds main and article.
+        self.furniture: list[dict] = []
+        #: Open articles inside furniture, as [furniture, whether they have text], and how deep the first with text would come up.
+        self.hidden: list[list] = []
+        self.shallowest: int | None = None
         self.elements = 0
         self.tokens: list[str | None] = []
-        #: Subtrees: hash, first token, token after the last.
+        #: Subtrees that may be template: hash, first token, token after the last.
         self.spans: list[tuple[int, int, int]] = []
-        #: A subtree's hash, its weight (the words of a block, 0 for headings, cells and parts of lines) and its parent's hash.
+        #: A subtree's hash, its weight (2 for blocks, 1 for parts of them) and its parent's hash.
         self.parents: set[tuple[int, int, int]] = set()
         self.mains: list[tuple[int, int]] = []
-        #: Open elements: tag, depth and kind of furniture, first token, child hashes, hashes and weights of child elements.
-        self.stack: list[tuple[str, tuple[int, int], int, list[bytes], list[tuple[int, int]]]] = [("", (0, 0), 0, [], [])]
-        self.words = [0]
+        #: Open elements: tag, depth and worst kind of furniture, the innermost one, first token, child hashes, hashes and
+        #: weights of child elements.
+        self.stack: list[tuple] = [("", 0, 0, None, 0, [], [])]
+        #: Places in the stack of open elements by tag, and of those that end the reach of an implied end tag.
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.lists: list[int] = []
         at, find = 0, _TAG.search
         while m := find(page, at):
             if m.start() > at:
@@ -121,110 +131,125 @@ class Page:
             self.text(page[at:])
         while len(self.stack) > 1:
             self.pop()
-        self.parents.update((*x, 0) for x in self.stack[0][4])
+        self.parents.update((*x, 0) for x in self.stack[0][6])
 
     def text(self, raw: str) -> None:
-        _, (depth, kind), _, children, _ = self.stack[-1]
+        _, depth, kind, inner, _, children, _ = self.stack[-1]
         if depth:
-            if depth == 1 and kind != NEVER:
-                self.furniture[-1][2] += len("".join(raw.split()))
+            if kind != NEVER:
+                size = len("".join(raw.split()))
+                inner["own"] += size
+                if size and self.hidden and self.hidden[-1][0] is inner:
+                    self.hidden[-1][1] = True
             return
         text = entities.unescape(raw) if "&" in raw else raw
         self.tokens.append(text)
         if words := text.split():
             children.append(" ".join(words).encode("utf-8", "surrogatepass"))
-            self.words[-1] += len(words)
+
+    def in_main(self) -> bool:
+        return any(self.where[t] for t in MAIN_TAGS)
 
     def pop(self) -> None:
-        tag, (depth, _), first, children, names = self.stack.pop()
-        words = self.words.pop()
+        tag, depth, kind, inner, first, children, names = self.stack.pop()
+        if tag:
+            self.where[tag].pop()
+            if tag in LISTS:
+                self.lists.pop()
         if depth:
+            if tag == "article" and kind != NEVER:
+                around, filled = self.hidden.pop()
+                if filled and around["open"] and (self.shallowest is None or around["depth"] < self.shallowest):
+                    self.shallowest = around["depth"]
             return
         if tag in BLOCK_TAGS:
             self.tokens.append(BREAK)
         if children:
             name = xxhash.xxh3_64_intdigest(b"\x00".join([tag.encode(), *children])) - 2**63
-            self.spans.append((name, first, len(self.tokens)))
             self.parents.update((*x, name) for x in names)
-            self.stack[-1][3].append(name.to_bytes(8, "little", signed=True))
-            self.stack[-1][4].append((name, min(words, MOST_WORDS) if tag in BLOCK_TAGS and tag not in LOOSE_TAGS else 0))
-            self.words[-1] += words
-        if tag in MAIN_TAGS and not any(x[0] in MAIN_TAGS for x in self.stack):
+            self.stack[-1][5].append(name.to_bytes(8, "little", signed=True))
+            if tag in CONTAINERS or not self.in_main():
+                self.spans.append((name, first, len(self.tokens)))
+                self.stack[-1][6].append((name, 2 if tag in BLOCK_TAGS and tag not in LOOSE_TAGS else 1))
+        if tag in MAIN_TAGS and not self.in_main():
             self.mains.append((first, len(self.tokens)))
 
     def open(self, tag: str, attributes: str) -> None:
         stack = self.stack
-        if tag in BLOCK_TAGS and any(x[0] == "p" for x in stack):
+        if tag in BLOCK_TAGS and self.where["p"]:
             self.close("p")
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in CLOSED_BY.get(tag, ()):
-                while len(stack) > k:
-                    self.pop()
-                break
-            if stack[k][0] in LISTS:
-                break
-        depth, worst = stack[-1][1]
+        ends = max((self.where[t][-1] for t in CLOSED_BY.get(tag, ()) if self.where[t]), default=0)
+        if ends > (self.lists[-1] if self.lists else 0):
+            while len(stack) > ends:
+                self.pop()
+        _, depth, worst, inner, *_ = stack[-1]
         if tag in VOID_TAGS:
             if not depth:
                 self.tokens.append(BREAK if tag in BLOCK_TAGS else " ")
             return
         self.elements += 1
-        kind = 0 if self.elements in self.kept else furniture_kind(tag, attributes, any(x[0] in MAIN_TAGS for x in stack))
-        if kind and not depth:
-            self.furniture.append([self.elements, kind, 0, 0, 0])
+        kind = 0 if self.elements in self.kept else furniture_kind(tag, attributes, self.in_main())
         if depth and worst != NEVER and tag in MAIN_TAGS:
-            self.furniture[-1][3 if tag == "main" else 4] = 1
+            around, what = inner, "main" if tag == "main" else "article"
+            while around and not around[what]:
+                around[what] = True
+                around = around["around"]
+        if kind and worst != NEVER:
+            deep = inner["depth"] + 1 if inner else 1
+            inner = {"number": self.elements, "kind": kind, "around": inner, "depth": deep, "own": 0, "main": False, "article": False, "open": kind == WRAPPER and (not inner or inner["open"])}
+            self.furniture.append(inner)
         depth, worst = depth + (kind > 0), max(kind, worst)
+        if depth and tag == "article" and worst != NEVER:
+            self.hidden.append([inner, False])
         if not depth and tag in BLOCK_TAGS:
             self.tokens.append(BREAK)
-        stack.append((tag, (depth, worst), len(self.tokens), [], []))
-        self.words.append(0)
+        self.where[tag].append(len(stack))
+        if tag in LISTS:
+            self.lists.append(len(stack))
+        stack.append((tag, depth, worst, inner, len(self.tokens), [], []))
 
     def holders(self) -> set[int]:
-        """Furniture that holds the page's main text: main, the only articles, or most of a page that has neither."""
-        if not any(kind != NEVER for _, kind, *_ in self.furniture):
-            return set()
-        if found := {k for k, kind, _, main, _ in self.furniture if main and kind != NEVER}:
+        """Furniture that holds the page's main text: main, the only articles, or most of a page that has neither.
+
+        main is brought up through all furniture around it; articles through wrappers only, as far as the first with text
+        needs it.
+        """
+        loose = [x for x in self.furniture if x["kind"] != NEVER]
+        if found := {x["number"] for x in loose if x["main"]}:
             return found
-        if any(not self.blank(a, b) for a, b in self.mains):
+        if not loose or any(not self.blank(a, b) for a, b in self.mains):
             return set()
-        if found := {k for k, kind, _, _, article in self.furniture if article and kind == WRAPPER}:
+        if found := {x["number"] for x in loose if x["article"] and x["open"] and (self.shallowest is None or x["depth"] <= self.shallowest)}:
             return found
-        size = sum(len("".join(t.split())) for t in self.tokens if t) + sum(x[2] for x in self.furniture)
-        return {k for k, kind, n, *_ in self.furniture if kind == WRAPPER and n and n >= size * WRAPPER_SHARE}
+        outer = [x for x in self.furniture if x["depth"] == 1]
+        size = sum(len("".join(t.split())) for t in self.tokens if t) + sum(x["own"] for x in outer)
+        return {x["number"] for x in outer if x["kind"] == WRAPPER and x["own"] and x["own"] >= size * WRAPPER_SHARE}
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self.pop()
-                return
+        if self.where[tag]:
+            at = self.where[tag][-1]
+            while len(self.stack) > at:
+                self.pop()
 
-    def main_text(self, dead: frozenset[int] = frozenset(), rare: frozenset[int] = frozenset()) -> str:
-        """The blocks of the article, or of the whole page where no article has text, without dead and rare subtrees.
+    def main_text(self, dead: frozenset[int] = frozenset()) -> str:
+        """The blocks of the article, or of the whole page where no article has text, without dead subtrees.
 
         A subtree that holds all of that text is not deleted. Where the dead subtrees together hold all of it, or more
-        than half of an article, they are the page's content and stay; so do rare ones that hold more than half of what
-        is left by then, as paragraphs of near copies do.
+        than half of an article, they are the page's content and stay.
         """
         parts = [(a, b) for a, b in self.mains if not self.blank(a, b)]
         whole = self.blocks([t for a, b in parts for t in [*self.tokens[a:b], BREAK]]) if parts else self.blocks(self.tokens)
-        if not whole or not (dead or rare):
+        if not whole or not dead:
             return whole
         filled = [k for a, b in parts or [(0, len(self.tokens))] for k in range(a, b) if not self.blank(k, k + 1)]
-
-        def cut(names: frozenset[int]) -> str:
-            tokens = list(self.tokens)
-            for name, a, b in self.spans:
-                if name in names and (a > filled[0] or b <= filled[-1]):
-                    tokens[a:b] = [BREAK] * (b - a)
-            return self.blocks([t for a, b in parts or [(0, len(tokens))] for t in [*tokens[a:b], BREAK]])
-
-        left = cut(dead)
-        if not left or parts and 2 * len(left) < len(whole):
-            left, dead = whole, frozenset()
-        less = cut(dead | rare) if rare else left
-        return less if less and 2 * len(less) >= len(left) else left
+        tokens, end = list(self.tokens), 0
+        # Subtrees by their first token, the largest first: what lies in one that is gone is passed over.
+        for name, a, b in sorted(self.spans, key=lambda x: (x[1], -x[2])):
+            if b > end and name in dead and (a > filled[0] or b <= filled[-1]):
+                tokens[a:b] = [BREAK] * (b - a)
+                end = b
+        left = self.blocks([t for a, b in parts or [(0, len(tokens))] for t in [*tokens[a:b], BREAK]])
+        return left if left and not (parts and 2 * len(left) < len(whole)) else whole
 
     def blank(self, first: int, last: int) -> bool:
         return not any(t and not t.isspace() for t in self.tokens[first:last])
@@ -259,8 +284,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [[frozenset(x or ()) for x in batch.column(c).to_pylist()] for c in (2, 3)]
-        texts = [Page(p or "").main_text(d, r).encode("utf-8", "replace").decode() for p, d, r in zip(batch.column(4).to_pylist(), *sets, strict=True)]
+        dead = [frozenset(x or ()) for x in batch.column(2).to_pylist()]
+        texts = [Page(p or "").main_text(d).encode("utf-8", "replace").decode() for p, d in zip(batch.column(3).to_pylist(), dead, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -284,13 +309,10 @@ def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     counts = counts.select("host", "mark", "weight", F.when(F.col("mark") == 0, F.col("contents")).otherwise(F.least("contents", "parents")).alias("n"))
     counts = stored(counts.filter((F.col("mark") == 0) | (F.col("n") >= min(least_pages, SMALL_PAGES))), "subtrees")
     totals = counts.filter("mark = 0").select("host", F.col("n").alias("pages"))
-    n, share = F.col("n"), F.col("pages") * least_share
-    small = (n >= SMALL_PAGES) & (F.col("weight") > 0) & (n >= F.col("pages") * SMALL_SHARE)
-    often = (n >= least_pages) & (n >= share) | small
-    # Each word makes it less likely that different pages have a block by chance, so long blocks need no share.
-    rare = (n >= least_pages) & (F.col("weight") > 0) & (n >= share / F.pow(F.lit(2.0), F.col("weight")))
-    template = stored(counts.filter("mark <> 0").join(totals, "host").filter(often | rare).select("host", "mark", often.alias("often")), "template")
-    sets = [F.collect_set(F.when(c, F.col("mark"))).alias(name) for name, c in (("dead", F.col("often")), ("rare", ~F.col("often")))]
-    dead = marks.join(template, ["host", "mark"]).groupBy(F.col("page_id").alias("p"), F.col("key").alias("k")).agg(*sets)
-    whole = keyed.join(stored(dead, "dead"), same(F.col("page_id"), F.col("p")) & (F.col("key") == F.col("k")), "left").select("page_id", "url", "dead", "rare", "html")
+    n = F.col("n")
+    small = (n >= SMALL_PAGES) & (F.col("weight") > 1) & (n >= F.col("pages") * SMALL_SHARE)
+    often = (n >= least_pages) & (n >= F.col("pages") * least_share)
+    template = stored(counts.filter("mark <> 0").join(totals, "host").filter(often | small).select("host", "mark"), "template")
+    dead = marks.join(template, ["host", "mark"]).groupBy(F.col("page_id").alias("p"), F.col("key").alias("k")).agg(F.collect_set("mark").alias("dead"))
+    whole = keyed.join(stored(dead, "dead"), same(F.col("page_id"), F.col("p")) & (F.col("key") == F.col("k")), "left").select("page_id", "url", "dead", "html")
     return whole.mapInArrow(_texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -393,20 +394,122 @@ def test_elements_around_and_in_the_article_stay(spark):
     assert {r.page_id: r.text for r in got} == {k: t for k, (_, t) in enumerate(WRAPPED)}
 
 
-def test_template_of_sections_and_of_small_hosts(spark):
+def test_template_in_articles_and_of_small_hosts(spark):
     story = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
     note = "<div><p>Members of our club save on every ticket</p></div>"
-    page = lambda k, more: f"<body><article><h2>{'Background' if k % 5 == 0 else f'Head {k}'}</h2><p>{story(k)} {'<em>not</em>' if k % 5 == 0 else 'not'} so</p>{more}</article></body>"
-    rows = [(k, f"http://big.org/{k}", page(k, note if k % 4 == 0 else "")) for k in range(120)]
+    page = lambda k, more: f"<body><article><h2>{'Background' if k % 2 == 0 else f'Head {k}'}</h2><p>{story(k)} {'<em>not</em>' if k % 2 == 0 else 'not'} so</p>{more}</article></body>"
+    rows = [(k, f"http://big.org/{k}", page(k, note if k % 2 == 0 else "")) for k in range(120)]
     rows += [(k, f"http://big.org/{k}", page(k, f"<p>{story(999)}</p><p>{story(998)}</p><p>{story(997)}</p>")) for k in range(120, 135)]
     rows += [(k, f"http://small.org/{k}", f"<body><div><p>Join our club today</p></div><div><p>{story(k)}</p></div></body>") for k in range(200, 205)]
     got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    head = lambda k: f"{'Background' if k % 5 == 0 else f'Head {k}'}\n{story(k)} not so"
+    head = lambda k: f"{'Background' if k % 2 == 0 else f'Head {k}'}\n{story(k)} not so"
     assert all(got[k] == head(k) for k in range(120)) and all(got[k] == story(k) for k in range(200, 205))
-    # Near copies have most of their paragraphs in common, so these are their content.
     assert all(got[k] == f"{head(k)}\n{story(999)}\n{story(998)}\n{story(997)}" for k in range(120, 135))
 
 
+@pytest.mark.parametrize("pages", [10, 100, 1000])
+def test_recurring_text_of_articles_stays(spark, pages):
+    """Quotes, bylines, headings and stock sentences on many pages of a host of four times as many, at any place."""
+    stock = ["<p>The views expressed here are those of the author and of nobody else at all.</p>", "<blockquote>To be or not to be, that is the question.</blockquote>", '<p class="byline">By Jane Doe</p>', "<h2>Background</h2>", "<ul><li>salt</li></ul>"]
+    own = lambda k, j: f"<p>own {k} {j}</p>"
+    rows, want = [], []
+    for k in range(4 * pages):
+        parts = [own(k, j) for j in range(6)]
+        if k % 4 == 0:
+            for j, t in enumerate(stock):
+                parts.insert((k // 4 + j) % 6, t)
+        rows.append((k, "http://h.org/x", f"<body><nav>menu</nav><article>{''.join(parts)}</article><footer>f</footer></body>"))
+        want.append("\n".join(re.sub("<[^>]*>", "", t) for t in parts))
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(4 * pages)] == want
+
+
+def brute_template(rows, least_pages=10, least_share=0.3):
+    """Texts of well-formed pages of div, p, ul, li, article and main by counting each element's markup over the pages of
+    its host: one page a content, in different parents."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.root = self.now = ["", None, []]
+            self.feed(html)
+
+        def handle_starttag(self, tag, attrs):
+            node = [tag, self.now, []]
+            self.now[2].append(node)
+            self.now = node
+
+        def handle_endtag(self, tag):
+            self.now = self.now[1]
+
+        def handle_data(self, data):
+            if data.strip():
+                self.now[2].append(" ".join(data.split()))
+
+    show = lambda n: n if isinstance(n, str) else f"<{n[0]}>{''.join(map(show, n[2]))}</{n[0]}>"
+    nodes = lambda n: [] if isinstance(n, str) else [n, *(x for c in n[2] for x in nodes(c))]
+    inside = lambda n: bool(n[1]) and (n[1][0] in ("article", "main") or inside(n[1]))
+
+    def text(n, gone):
+        if isinstance(n, str):
+            return [n]
+        return [] if id(n) in gone else [t for c in n[2] for t in text(c, gone)]
+
+    trees = [(i, host, Tree(html).root) for i, host, html in rows]
+    main = lambda t: next((n for n in nodes(t) if n[0] in ("article", "main")), t)
+    may = lambda n: n[1] and text(n, ()) and (n[0] in ("div", "ul") or not inside(n) and n[0] not in ("article", "main"))
+    out = {}
+    for host in {h for _, h, _ in trees}:
+        own = [(i, t) for i, h, t in trees if h == host]
+        contents, parents, pages = {}, {}, {"\n".join(text(main(t), ())) for _, t in own}
+        for _, t in own:
+            for n in filter(may, nodes(t)):
+                contents.setdefault(show(n), set()).add("\n".join(text(main(t), ())))
+                parents.setdefault(show(n), set()).add(show(n[1]))
+        many = {k: min(len(v), len(parents[k])) for k, v in contents.items()}
+        often = {k for k, n in many.items() if n >= least_pages and n >= least_share * len(pages) or n >= 3 and n >= 0.8 * len(pages)}
+        for i, t in own:
+            whole = "\n".join(text(main(t), ()))
+            gone = {id(n) for n in nodes(t) if may(n) and show(n) in often and text(n, ()) != text(main(t), ())}
+            left = "\n".join(text(main(t), gone))
+            out[i] = left if left and not (main(t) is not t and 2 * len(left) < len(whole)) else whole
+    return out
+
+
+def test_html_against_brute_force(spark):
+    rng = random.Random(21)
+    own = lambda: f"<p>{words(rng, rng.randint(1, 8))}</p>"
+    shared = {h: ["<div><p>Join our club</p></div>", "<ul><li>one</li><li>two</li></ul>", "<p>stock line</p>", "<div><div><p>deep</p></div><p>note</p></div>"] for h in "abcd"}
+    rows = []
+    for k in range(400):
+        host = "abcd"[min(3, rng.randrange(6))]
+        inner = [own() for _ in range(rng.randint(1, 6))] + [t for j, t in enumerate(shared[host]) if rng.random() < (0.9, 0.5, 0.35, 0.2)[(j + ord(host)) % 4]]
+        rng.shuffle(inner)
+        body = "".join(inner)
+        if host in "ab":
+            cut = rng.randint(0, len(inner))
+            body = f"{''.join(inner[:cut])}<article>{own()}{''.join(inner[cut:])}</article>"
+        rows.append((k, host, f"<div>{body}</div>"))
+    rows += [(400 + k, "a", rows[3][2]) for k in range(40)] + [(500 + k, "small", f"<div><div>all of it</div><div>{own()}</div></div>") for k in range(4)]
+    df = spark.createDataFrame([(i, f"http://{h}.org/{i}", t) for i, h, t in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extracted(df).collect()} == brute_template(rows)
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<div>" * n + "x", lambda n: "<div class=sidebar>" * n + "<article>x</article>", lambda n: "<div class=sidebar>" * n + "<main>x</main>", lambda n: "<span>" * n + "<li>x</li>" * n,
+    lambda n: "<ul><li>" + "<b>" * n + "<li>x</li>" * n, lambda n: "</p>" * n + "<p>" * n + "x", lambda n: "<form><nav>" * n + "x", lambda n: "<div>" * n + "<p>x" * n, lambda n: "<a '>" * n + "x", lambda n: "<article>" * n + "x",
+])
+def test_nested_pages_take_time_in_proportion(page):
+    def seconds(n):
+        start = time.process_time()
+        html_extract.Page(page(n)).main_text(frozenset({1}))
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(100_000) < 12
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.2, (300, 8)).astype("float32")
