@@ -5,6 +5,7 @@ Read schemas name every alias of a field; nothing is inferred. A body that doesn
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -252,33 +253,35 @@ JOB_SIGNALS = (
 LINKS_PER_SOURCE = 50
 PLACE_NEAR = r"(?i)remote|on[\s\-]?site|hybrid|buenos aires|latam|americas|global"
 NOTE_NEAR = r"""(?is)<(p|span|div)\b[^>]*class=["'][^"']*(?:desc|summary|subtitle|location)[^"']*["'][^>]*>(.*?)</\1>"""
-ANCHOR = r"""(?is)<a\s[^>]*href=["'][^"']*["'][^>]*>.*?</a>"""
+#: Where a link's tag begins, and its address in the rest of that tag.
+ANCHOR, HREF = r"(?i)<a(?=\s)", r"""(?i)^[^>]*?\shref=["']([^"']*)["']"""
 
 
 def joined_url(base: Column, href: Column) -> Column:
     """A link of a page as a whole URL, by RFC 3986: with a scheme, with a host, from the root, from the page's folder, or
     only a query or a fragment; dot segments are resolved."""
     part = lambda k: F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//([^/?#]*)([^?#]*)(\?[^#]*)?", k)
-    root = F.concat(part(1), F.lit("//"), part(2))
-    tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
-    path = F.regexp_extract(href, r"^([^?#]*)", 1)
-    folder = F.coalesce(T.or_null(F.regexp_extract(part(3), "^(.*/)", 1)), F.lit("/"))
     none = F.array().cast("array<string>")
 
     def resolved_path(p: Column) -> Column:
         add = lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
-        kept = F.aggregate(F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/"))), none, add)
-        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(p.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))
-
-    whole = F.concat(root, T.once(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path)), resolved_path), tail)
-    return (
-        F.when(href.startswith("http") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(part(1), href))
-        .when(href == "", base)
-        .when(href.startswith("?"), F.concat(root, part(3), href))
-        .when(href.startswith("#"), F.concat(root, part(3), part(4), href))
-        .otherwise(whole)
-    )
+        of = lambda kept: F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(p.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))
+        return T.once(F.aggregate(F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/"))), none, add), of)
+
+    def whole(b: Column) -> Column:
+        path, tail = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+        folder = F.coalesce(T.or_null(F.regexp_extract(b["path"], "^(.*/)", 1)), F.lit("/"))
+        at = T.once(path, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(folder, p)))
+        return (
+            F.when(href.startswith("http") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+            .when(href.startswith("//"), F.concat(b["scheme"], href))
+            .when(href == "", base)
+            .when(href.startswith("?"), F.concat(b["scheme"], F.lit("//"), b["host"], b["path"], href))
+            .when(href.startswith("#"), F.concat(b["scheme"], F.lit("//"), b["host"], b["path"], b["query"], href))
+            .otherwise(F.concat(b["scheme"], F.lit("//"), b["host"], T.once(at, resolved_path), tail))
+        )
+
+    return T.once(F.struct(part(1).alias("scheme"), part(2).alias("host"), part(3).alias("path"), part(4).alias("query")), whole)
 
 
 def harvested(pages: DataFrame, signals: tuple[str, ...] = JOB_SIGNALS, title_ok: Callable[[Column], Column] | None = None, most: int = LINKS_PER_SOURCE) -> DataFrame:
@@ -286,7 +289,8 @@ def harvested(pages: DataFrame, signals: tuple[str, ...] = JOB_SIGNALS, title_ok
     description, pos.
 
     A page that was sent to its site's front page gives none. Titles are cleaned; of equal ones in a page, without regard
-    to case, the first stays; at most so many of a page are kept, as its source's limit. What stands between a link's
+    to case, the first stays; at most so many of a page are kept, as its source's limit. A link without an end tag ends
+    where the next one begins. What stands between a link's
     neighbours is near it: the first text there that names a place is the location, in 120 characters, and the first
     element that is marked as a description is the description, in 500.
     """
@@ -296,19 +300,25 @@ def harvested(pages: DataFrame, signals: tuple[str, ...] = JOB_SIGNALS, title_ok
 
     path = lambda c: F.regexp_extract(c, r"^https?://[^/?#]+([^?#]*)", 1)
     home = F.coalesce(path(F.col("final_url")).isin("", "/") & ~path(F.col("url")).isin("", "/"), F.lit(False))
-    anchors = F.regexp_extract_all("body", F.lit(ANCHOR), F.lit(0))
-    gaps = F.split("body", ANCHOR, -1)
-    between = lambda k: F.get(gaps, k)
-    each = F.transform(anchors, lambda a, k: F.struct(a.alias("a"), F.concat(between(k), a, between(k + 1)).alias("near")))
-    r = pages.filter(~home).select("source", "url", F.posexplode(each).alias("pos", "v")).select("source", "url", "pos", "v.*")
-    href = F.regexp_extract("a", r"""(?i)href=["']([^"']*)["']""", 1)
-    r = r.withColumn("href", href).filter(F.exists(F.array(*map(F.lit, signals)), lambda s: F.contains(F.lower("href"), s)))
-    r = r.withColumn("title", T.clean_title(T.strip_html(F.col("a")))).filter((title_ok or looks_like_title)(F.col("title")))
+    # A piece begins inside a link's tag, and what follows its end tag is near it and near the next link.
+    end = lambda piece: F.instr(F.lower(piece), "</a")
+    upto = lambda piece: F.when(end(piece) > 0, F.substr(piece, F.lit(1), end(piece) - 1)).otherwise(piece)
+    after = lambda piece: F.when(end(piece) > 0, F.substr(piece, end(piece))).otherwise("")
+    wanted = "|".join(re.escape(x) for x in signals)
+
+    def links(pieces: Column) -> Column:
+        numbered = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, k: F.struct(p.alias("piece"), k.alias("pos"), F.regexp_extract(p, HREF, 1).alias("href")))
+        jobs = F.filter(numbered, lambda x: F.lower(x["href"]).rlike(wanted))
+        before = lambda k: F.when(k == 0, F.get(pieces, k)).otherwise(after(F.get(pieces, k)))
+        titled = F.transform(jobs, lambda x: F.struct(x["pos"], x["href"], T.clean_title(T.strip_html(F.concat(F.lit("<a"), upto(x["piece"])))).alias("title"), F.concat(before(x["pos"]), F.lit("<a"), x["piece"]).alias("near")))
+        return F.filter(titled, lambda x: (title_ok or looks_like_title)(x["title"]))
+
+    r = pages.filter(~home).select("source", "url", F.explode(T.once(F.split("body", ANCHOR, -1), links)).alias("v")).select("source", "url", "v.*")
     texts = F.filter(F.transform(F.split("near", "<[^>]*>"), T.strip), lambda t: t.rlike(PLACE_NEAR))
-    r = r.withColumn("location", F.substring(F.try_element_at(texts, F.lit(1)), 1, 120))
-    r = r.withColumn("description", F.substring(T.or_null(T.strip_html(F.regexp_extract("near", NOTE_NEAR, 2))), 1, 500))
+    note = F.substring(T.or_null(T.strip_html(F.regexp_extract("near", NOTE_NEAR, 2))), 1, 500)
+    r = r.select("source", "url", "pos", "title", joined_url(F.col("url"), F.col("href")).alias("apply_url"), F.substring(F.try_element_at(texts, F.lit(1)), 1, 120).alias("location"), note.alias("description"))
     one = F.row_number().over(Window.partitionBy("source", "url", F.lower("title")).orderBy("pos"))
-    r = r.withColumn("apply_url", joined_url(F.col("url"), F.col("href"))).withColumn("_n", one).filter("_n = 1")
+    r = r.withColumn("_n", one).filter("_n = 1")
     return r.withColumn("_k", F.row_number().over(Window.partitionBy("source", "url").orderBy("pos"))).filter(F.col("_k") <= most).select("source", "url", "title", "apply_url", "location", "description", "pos")
 
 
