@@ -34,21 +34,23 @@ def repair_collisions(rows: DataFrame, day) -> DataFrame:
     """rows with an action: canonical (the oldest of a title and company), deleted (others first seen since day), kept.
 
     A canonical row takes the newest last_seen_at of its group; an inactive one whose group has members that go is active
-    again and its reject reason is cleared. Rows without title or company are not grouped.
+    again and its reject reason is cleared. Rows without title or company are kept apart, not grouped.
     """
     named = (T.strip(T.or_empty(F.col("title"))) != "") & (T.strip(T.or_empty(F.col("company"))) != "")
+    order, rest = rows.columns, rows.filter(~named).withColumn("action", F.lit("kept"))
     group = Window.partitionBy(F.lower("title"), F.lower("company"))
-    rows = rows.withColumn("_n", F.row_number().over(group.orderBy("first_seen_at", "id")))
-    gone = named & (F.col("_n") > 1) & (F.col("first_seen_at") >= day)
+    rows = rows.filter(named).withColumn("_n", F.row_number().over(group.orderBy("first_seen_at", "id")))
+    gone = (F.col("_n") > 1) & (F.col("first_seen_at") >= day)
     rows = rows.withColumn("_gone", gone).withColumn("_any", F.max("_gone").over(group)).withColumn("_newest", F.max(F.when(F.col("_gone") | (F.col("_n") == 1), F.col("last_seen_at"))).over(group))
-    repaired = named & (F.col("_n") == 1) & F.col("_any")
+    repaired = (F.col("_n") == 1) & F.col("_any")
     rows = rows.withColumn("action", F.when(F.col("_gone"), "deleted").when(repaired, "canonical").otherwise("kept"))
     again = repaired & ~F.col("is_active")
-    return rows.withColumns({
+    rows = rows.withColumns({
         "last_seen_at": F.when(repaired, F.greatest("last_seen_at", "_newest")).otherwise(F.col("last_seen_at")),
         "geo_reject_reason": F.when(again, F.lit(None)).otherwise(F.col("geo_reject_reason")),
         "is_active": F.col("is_active") | again,
-    }).drop("_n", "_gone", "_any", "_newest")
+    })
+    return rows.select(*order, "action").unionByName(rest)
 
 
 def backfill_keys(rows: DataFrame) -> DataFrame:

@@ -17,18 +17,18 @@ def states(health: DataFrame, suspend_after: int = SUSPEND_AFTER) -> DataFrame:
     """Each source's state after all its runs: consecutive_failures, suspended, suspended_at, last_success_at, updated_at.
 
     Runs that only record a suspension (error_message 'suspended') change nothing. Everything follows from the last
-    success and the failures after it, so the failures are ranked within the runs since then.
+    success, which is an aggregate, and the failures after it; of these only the first few are ranked, so a source's
+    history meets in no one task.
     """
     runs = health.filter(~F.coalesce(F.col("error_message") == "suspended", F.lit(False)))
-    order = Window.partitionBy("source").orderBy("run_at", "seq")
-    streaks = runs.withColumn("_streak", F.sum(F.col("success").cast("int")).over(order))
-    newest = Window.partitionBy("source")
-    last = streaks.withColumn("_last", F.max("_streak").over(newest)).filter("_streak = _last AND NOT success")
-    ranked = last.withColumn("_n", F.row_number().over(order))
-    failed = ranked.groupBy("source").agg(F.count("*").alias("consecutive_failures"), F.max(F.when(F.col("_n") == suspend_after, F.col("run_at"))).alias("suspended_at"))
-    seen = runs.groupBy("source").agg(F.max(F.when(F.col("success"), F.col("run_at"))).alias("last_success_at"), F.max("run_at").alias("updated_at"))
+    at = F.struct("run_at", "seq")
+    seen = runs.groupBy("source").agg(F.max(F.when(F.col("success"), at)).alias("_good"), F.max("run_at").alias("updated_at"))
+    failed = runs.filter(~F.col("success")).join(seen.select("source", "_good"), "source").filter(F.col("_good").isNull() | (at > F.col("_good"))).select("source", "run_at", "seq")
+    counts = failed.groupBy("source").agg(F.count("*").alias("consecutive_failures"))
+    ranked = failed.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("run_at", "seq"))).filter(F.col("_n") <= suspend_after)
+    nth = ranked.groupBy("source").agg(F.max(F.when(F.col("_n") == suspend_after, F.col("run_at"))).alias("suspended_at"))
     n = F.coalesce("consecutive_failures", F.lit(0))
-    return seen.join(failed, "source", "left").select("source", n.cast("int").alias("consecutive_failures"), (n >= suspend_after).alias("suspended"), "suspended_at", "last_success_at", "updated_at")
+    return seen.join(counts, "source", "left").join(nth, "source", "left").select("source", n.cast("int").alias("consecutive_failures"), (n >= suspend_after).alias("suspended"), "suspended_at", F.col("_good.run_at").alias("last_success_at"), "updated_at")
 
 
 def overview(last: DataFrame, counts: DataFrame) -> DataFrame:
