@@ -12,11 +12,13 @@ Runs that meet a base span are neither counted nor reported.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ._common import digest, stored
 
 #: Fixed patterns: kind, expression, smallest length of the match or of the value in its last group.
@@ -52,21 +54,71 @@ MOST_BITS = 200
 KINDS = ("assign", "access", "hex", "random")
 
 
+def running(values: Column, of: Callable[[Column, Column], Column], start: int) -> Column:
+    """The running of(total, value) of an array of whole numbers.
+
+    An array is copied for each number added to it, so it is cut into as many pieces as each has numbers: a long array
+    costs little more than its length.
+    """
+    none = F.array().cast("array<int>")
+    scan = lambda a: F.aggregate(a, none, lambda done, v: F.concat(done, F.array(of(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(start)), v).cast("int"))))
+
+    def cut(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        pieces = F.sequence(F.lit(0), F.ceil(F.size(x) / width).cast("int") - 1)
+        return F.when(F.size(x) > 0, F.transform(pieces, lambda c: scan(F.slice(x, c * width + 1, width)))).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(pieces: Column) -> Column:
+        before = scan(F.transform(pieces, lambda p: F.element_at(p, -1)))
+        return once(before, lambda b: F.flatten(F.transform(pieces, lambda p, k: F.transform(p, lambda v: of(F.coalesce(F.get(b, k - 1), F.lit(start)), v).cast("int")))))
+
+    return once(once(values, cut), joined)
+
+
 def found(text: Column, pattern: str) -> Column:
     """All leftmost matches that don't overlap, as an array of (start, stop, match), code points from 0.
 
     Splitting at the pattern gives the text between matches, so lengths add up to places.
     """
-    kind = "array<struct<start:int,stop:int,match:string>>"
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    both = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
 
-    def add(a: Column, z: Column) -> Column:
-        begin = F.coalesce(F.try_element_at(a, F.lit(-1))["stop"], F.lit(0)) + z.gap
-        span = F.struct(begin.alias("start"), (begin + F.length(z.hit)).alias("stop"), z.hit.alias("match"))
-        return F.when(z.hit.isNull(), a).otherwise(F.concat(a, F.array(span).cast(kind)))
+    def placed(x: Column) -> Column:
+        stops = running(F.transform(x["hits"], lambda h, k: F.get(x["gaps"], k) + F.length(h)), lambda total, v: total + v, 0)
+        return F.zip_with(x["hits"], stops, lambda h, stop: F.struct((stop - F.length(h)).alias("start"), stop.alias("stop"), h.alias("match")))
+
+    return once(F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), placed)
+
+
+def apart(tested: Column, base: Column) -> Column:
+    """Those of tested that meet none of base.
+
+    In the order of their starts, a span meets an earlier base span if the largest stop so far is beyond its start, and a
+    later one if the next base span starts before its stop.
+    """
+    of = lambda spans, kind, t: F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(kind).alias("kind"), s.stop.alias("stop"), t(s).alias("t")))
+    far = 2**31 - 1
+
+    def kept(x: Column) -> Column:
+        stops = running(F.transform(x, lambda s: F.when(s.kind == 0, s.stop).otherwise(-1)), lambda most, v: F.greatest(most, v), -1)
+        starts = F.reverse(running(F.reverse(F.transform(x, lambda s: F.when(s.kind == 0, s.start).otherwise(far))), lambda least, v: F.least(least, v), far))
+        free = lambda b: F.filter(x, lambda s, k: (s.kind == 1) & (F.get(b["stops"], k) <= s.start) & (F.get(b["starts"], k) >= s.stop))
+        return once(F.struct(stops.alias("stops"), starts.alias("starts")), lambda b: F.transform(free(b), lambda s: s.t))
+
+    none = F.get(F.slice(tested, 1, 0), F.lit(0))
+    both = F.array_sort(F.concat(of(base, 0, lambda s: none), of(tested, 1, lambda s: s)))
+    return F.when((F.size(base) == 0) | (F.size(tested) == 0), tested).otherwise(once(both, kept))
+
+
+def outermost(hits: Column) -> Column:
+    """Those of hits, no two of which are the same span, that lie in no other: the earlier ones, of those with one start
+    the longer first, end before they do."""
+
+    def kept(x: Column) -> Column:
+        ends = running(F.transform(x, lambda s: s.stop), lambda most, v: F.greatest(most, v), -1)
+        return once(ends, lambda e: F.filter(x, lambda s, k: F.coalesce(F.get(e, k - 1), F.lit(-1)) < s.stop))
 
-    return F.aggregate(both, F.array().cast(kind), add)
+    ordered = F.array_sort(F.transform(hits, lambda s: F.struct(s.start.alias("start"), (-s.stop).alias("back"), s.stop.alias("stop"))))
+    return F.when(F.size(hits) < 2, ordered).otherwise(once(ordered, kept))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -134,10 +186,11 @@ def tested(text: Column) -> Column:
 
     def with_segments(s: Column) -> Column:
         moved = lambda g: F.struct((s.start + g.start).alias("start"), (s.start + g.stop).alias("stop"), g.match.alias("match"))
-        return F.when(s.match.rlike("/|=[^=]"), F.concat(F.array(s), F.transform(found(s.match, SEGMENT), moved))).otherwise(F.array(s))
+        # A segment that is the whole run is there already.
+        parts = lambda: F.filter(found(s.match, SEGMENT), lambda g: F.length(g.match) < F.length(s.match))
+        return F.when(s.match.rlike("/|=[^=]"), F.concat(F.array(s), F.transform(parts(), moved))).otherwise(F.array(s))
 
-    runs = F.flatten(F.transform(found(text, RUN), with_segments))
-    return F.transform(F.array_distinct(runs), test)
+    return F.transform(F.flatten(F.transform(found(text, RUN), with_segments)), test)
 
 
 def background(rows: DataFrame) -> list[tuple[float, float]]:
@@ -189,15 +242,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     of_kind = lambda spans, no: F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(no).alias("kind"), s.stop.alias("stop")))
     base = F.array_sort(F.concat(*[of_kind(spans, no) for no, spans in enumerate(base_spans(text))]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.alias("base"), tested(text).alias("tested"))
-    apart = F.filter("tested", lambda t: ~F.exists("base", lambda b: (b.start < t.stop) & (t.start < b.stop)))
-    rows = stored(rows.withColumn("tested", apart), "scanned")
+    rows = stored(rows.withColumn("tested", apart(F.col("tested"), F.col("base"))), "scanned")
     rates = background(rows)
     least = least_bits(rows, rates)
     lowest = F.array(*[F.lit(least.get((size, code), MOST_BITS + 1)) for size in range(len(CLASSES)) for code in range(len(ALPHABETS))])
     rows = rows.withColumn("hits", F.filter("tested", lambda t: t.random & (text_bits(t, rates) >= F.element_at(lowest, t["size"] * len(ALPHABETS) + t.code + 1))))
-    inside = lambda t, u: (u.start <= t.start) & (t.stop <= u.stop) & (u.stop - u.start > t.stop - t.start)
-    more = F.filter("hits", lambda t: ~F.exists("hits", lambda u: inside(t, u)))
-    rows = rows.withColumn("more", F.transform(more, lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.stop.alias("stop"))))
+    rows = rows.withColumn("more", F.transform(outermost(F.col("hits")), lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.stop.alias("stop"))))
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
