@@ -44,23 +44,23 @@ def s5_greenhouse(spark, sf_dir):
     return P.greenhouse(raw).select("company", "title", "location", "description", "apply_url")
 
 
-@query(f"SELECT source AS company, {TITLE} AS title, 'https://jobs.lever.co/x/' || doc_id AS apply_url, CASE WHEN doc_id % 3 <> 1 THEN CAST(40000 + doc_id AS INT) END AS salary_min_usd, CASE WHEN doc_id % 3 <> 1 THEN 'listed' END AS salary_source FROM documents WHERE {TITLE} <> ''")
+@query(f"SELECT source AS company, {TITLE} AS title, 'https://jobs.lever.co/x/' || doc_id AS apply_url, CASE WHEN doc_id % 3 <> 1 THEN CAST(40000 + doc_id AS INT) END AS salary_min_usd, CASE WHEN doc_id % 3 <> 1 THEN 'listed' END AS salary_source, {S.capped('text')} AS description FROM documents WHERE {TITLE} <> ''")
 def s6_lever(spark, sf_dir):
     i = F.col("doc_id")
     pay = F.struct((40000 + i).cast("double").alias("min"), (50000 + i).cast("double").alias("max"), F.when(i % 3 == 0, "usd").when(i % 3 == 1, "GBP").alias("currency"))
     post = F.struct(F.col("line").alias("text"), F.struct(F.col("lang").alias("location")).alias("categories"), _link("https://jobs.lever.co/x/").alias("hostedUrl"), F.col("text").alias("descriptionPlain"), pay.alias("salaryRange"))
     raw = _wrapped(_docs(spark, sf_dir), F.to_json(F.array(post)), "https://jobs.lever.co/x")
-    return P.lever(raw).select("company", "title", "apply_url", "salary_min_usd", "salary_source")
+    return P.lever(raw).select("company", "title", "apply_url", "salary_min_usd", "salary_source", "description")
 
 
-@query(f"SELECT CASE WHEN doc_id % 2 = 0 THEN 'Org ' || doc_id % 7 ELSE source END AS company, {TITLE} AS title, CAST(60000 + doc_id AS INT) AS salary_min_usd, CAST(90000 + doc_id AS INT) AS salary_max_usd FROM documents WHERE {TITLE} <> ''")
+@query(f"SELECT CASE WHEN doc_id % 2 = 0 THEN 'Org ' || doc_id % 7 ELSE source END AS company, {TITLE} AS title, CAST(60000 + doc_id AS INT) AS salary_min_usd, CAST(90000 + doc_id AS INT) AS salary_max_usd, CASE WHEN doc_id % 2 = 0 THEN {S.capped(S.tags_gone("'<p>' || text"))} ELSE {S.capped(S.strip_html_if_markup('text'))} END AS description FROM documents WHERE {TITLE} <> ''")
 def s7_ashby(spark, sf_dir):
     i = F.col("doc_id")
     tier = lambda cur, lo: F.struct(F.lit(cur).alias("currencyCode"), lo.cast("double").alias("minValue"), (lo + 30000).cast("double").alias("maxValue"))
     org = F.when(i % 2 == 0, F.struct(F.concat(F.lit("Org "), (i % 7).cast("string")).alias("name")))
-    job = F.struct(F.col("line").alias("title"), _link("https://jobs.ashbyhq.com/x/").alias("jobUrl"), org.alias("organization"), F.array(tier("EUR", i), tier("None", i + 60000)).alias("compensationTiers"))
+    job = F.struct(F.col("line").alias("title"), _link("https://jobs.ashbyhq.com/x/").alias("jobUrl"), F.when(i % 2 != 0, F.col("text")).alias("descriptionPlain"), F.concat(F.lit("<p>"), "text").alias("descriptionHtml"), org.alias("organization"), F.array(tier("EUR", i), tier("None", i + 60000)).alias("compensationTiers"))
     raw = _wrapped(_docs(spark, sf_dir), _json(F.array(job).alias("jobs")), "https://jobs.ashbyhq.com/x")
-    return P.ashby(raw).select("company", "title", "salary_min_usd", "salary_max_usd")
+    return P.ashby(raw).select("company", "title", "salary_min_usd", "salary_max_usd", "description")
 
 
 @query(f"SELECT {TITLE} AS title, 'https://acme.wd5.myworkdayjobs.com/Careers/job/' || doc_id AS apply_url, lang AS location FROM documents WHERE doc_id % 7 < 5 AND {TITLE} <> ''")
@@ -70,7 +70,7 @@ def s8_workday(spark, sf_dir):
     return P.workday(raw).select("title", "apply_url", "location")
 
 
-@query(f"SELECT {TITLE} AS title, CASE WHEN doc_id % 3 <> 0 THEN 'City ' || doc_id % 5 END AS location, CASE WHEN doc_id % 3 <> 0 THEN 'https://share/' || doc_id ELSE 'https://acme.bamboohr.com/careers/' || doc_id END AS apply_url FROM documents WHERE {TITLE} <> ''")
+@query(f"SELECT {TITLE} AS title, CASE WHEN doc_id % 3 <> 0 THEN 'City ' || doc_id % 5 END AS location, CASE WHEN doc_id % 3 <> 0 THEN 'https://share/' || doc_id ELSE 'https://acme.bamboohr.com/careers/' || doc_id END AS apply_url, CASE WHEN doc_id % 3 <> 0 THEN {S.capped(S.tags_gone('text'))} END AS description FROM documents WHERE {TITLE} <> ''")
 def s9_bamboohr(spark, sf_dir):
     d = _docs(spark, sf_dir)
     i = F.col("doc_id").cast("string")
@@ -78,7 +78,7 @@ def s9_bamboohr(spark, sf_dir):
     place = F.struct(F.concat(F.lit("City "), (F.col("doc_id") % 5).cast("string")).alias("name"))
     opening = F.struct(F.struct(F.col("line").alias("jobOpeningName"), F.col("text").alias("description"), _link("https://share/").alias("jobOpeningShareUrl"), place.alias("location")).alias("jobOpening"))
     details = d.select(F.col("firm").alias("source"), i.alias("job_id"), F.when(F.col("doc_id") % 3 != 0, _json(opening.alias("result"))).otherwise("not found").alias("body"))
-    return P.bamboohr(lists, details).select("title", "location", "apply_url")
+    return P.bamboohr(lists, details).select("title", "location", "apply_url", "description")
 
 
 def _xml(c):
@@ -89,40 +89,40 @@ def _tag(name: str, c):
     return F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
 
 
-@query(f"SELECT source AS company, {TITLE} AS title, 'https://acme.teamtailor.com/jobs/' || doc_id AS apply_url FROM documents WHERE {TITLE} <> ''")
+@query(f"SELECT source AS company, {TITLE} AS title, 'https://acme.teamtailor.com/jobs/' || doc_id AS apply_url, {S.capped(S.tags_gone('text'))} AS description FROM documents WHERE {TITLE} <> ''")
 def s10_teamtailor_rss(spark, sf_dir):
     item = _tag("item", F.concat(_tag("title", _xml(F.col("line"))), _tag("link", _link("https://acme.teamtailor.com/jobs/")), _tag("description", _xml(F.col("text")))))
     raw = _wrapped(_docs(spark, sf_dir), _tag("rss", _tag("channel", item)), "https://acme.teamtailor.com")
-    return P.teamtailor(raw).select("company", "title", "apply_url")
+    return P.teamtailor(raw).select("company", "title", "apply_url", "description")
 
 
-@query(f"SELECT 'Account' AS company, {TITLE} AS title, CASE WHEN doc_id % 2 = 0 THEN 'Remote — ' ELSE '' END || 'Rome, Italy' AS location, CASE WHEN doc_id % 3 = 0 THEN 'https://apply.workable.com/j/c' || doc_id || '/' ELSE 'https://w/' || doc_id END AS apply_url FROM documents WHERE {TITLE} <> ''")
+@query(f"SELECT 'Account' AS company, {TITLE} AS title, CASE WHEN doc_id % 2 = 0 THEN 'Remote — ' ELSE '' END || 'Rome, Italy' AS location, CASE WHEN doc_id % 3 = 0 THEN 'https://apply.workable.com/j/c' || doc_id || '/' ELSE 'https://w/' || doc_id END AS apply_url, {S.capped(S.strip_html_if_markup('text'))} AS description FROM documents WHERE {TITLE} <> ''")
 def s11_workable(spark, sf_dir):
     i = F.col("doc_id")
     job = F.struct(F.col("line").alias("title"), F.when(i % 3 != 0, _link("https://w/")).alias("url"), _link("c").alias("shortcode"), F.col("text").alias("description"), F.lit("Rome").alias("city"), F.lit("Italy").alias("country"), (i % 2 == 0).alias("telecommuting"))
     raw = _wrapped(_docs(spark, sf_dir), _json(F.lit("Account").alias("name"), F.array(job).alias("jobs")), "https://apply.workable.com/acme")
-    return P.workable(raw).select("company", "title", "location", "apply_url")
+    return P.workable(raw).select("company", "title", "location", "apply_url", "description")
 
 
-@query(f"SELECT source AS company, {TITLE} AS title, 'https://cryptojobslist.com/jobs/s' || doc_id AS apply_url, CASE WHEN doc_id % 2 = 0 THEN 'Remote' ELSE 'Lisbon' END AS location FROM documents WHERE doc_id % 10 <> 0 AND {TITLE} <> ''")
+@query(f"SELECT source AS company, {TITLE} AS title, 'https://cryptojobslist.com/jobs/s' || doc_id AS apply_url, CASE WHEN doc_id % 2 = 0 THEN 'Remote' ELSE 'Lisbon' END AS location, {S.capped("replace(text, ' ', ', ')", 500)} AS description FROM documents WHERE doc_id % 10 <> 0 AND {TITLE} <> ''")
 def s12_cryptojobslist(spark, sf_dir):
     i = F.col("doc_id")
-    job = F.struct(F.col("line").alias("jobTitle"), F.col("firm").alias("company_name"), _link("s").alias("seoSlug"), F.when(i % 2 != 0, F.struct(F.lit("Lisbon").alias("city"))).alias("jobLocation"), F.lit(True).alias("remote"), F.when(i % 10 == 0, False).alias("is_active"))
+    job = F.struct(F.col("line").alias("jobTitle"), F.col("firm").alias("company_name"), _link("s").alias("seoSlug"), F.when(i % 2 != 0, F.struct(F.lit("Lisbon").alias("city"))).alias("jobLocation"), F.lit(True).alias("remote"), F.split("text", " ").alias("tags"), F.when(i % 10 == 0, False).alias("is_active"))
     jobs = F.array(job)
     blob = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), _json(F.struct(F.struct(jobs.alias("jobs")).alias("pageProps")).alias("props")), F.lit("</script></html>"))
     # A text that closes a script would end the blob early, so the slash is escaped as pages do.
     body = F.when(i % 4 == 0, F.to_json(jobs)).when(i % 4 == 1, _json(jobs.alias("jobs"))).when(i % 4 == 2, _json(jobs.alias("data"))).otherwise(blob)
     raw = _wrapped(_docs(spark, sf_dir), body, "https://cryptojobslist.com/feed")
-    return P.cryptojobslist(raw).select("company", "title", "apply_url", "location")
+    return P.cryptojobslist(raw).select("company", "title", "apply_url", "location", "description")
 
 
-@query(f"SELECT source AS company, {TITLE} AS title, CAST(CASE doc_id % 3 WHEN 0 THEN 50000 WHEN 1 THEN 60000 + doc_id ELSE 70000 END AS INT) AS salary_min_usd FROM documents WHERE {TITLE} <> ''")
+@query(f"SELECT source AS company, {TITLE} AS title, CAST(CASE doc_id % 3 WHEN 0 THEN 50000 WHEN 1 THEN 60000 + doc_id ELSE 70000 END AS INT) AS salary_min_usd, {S.capped(S.strip('text'))} AS description FROM documents WHERE {TITLE} <> ''")
 def s13_web3_api(spark, sf_dir):
     i = F.col("doc_id")
-    base = lambda *pay: F.to_json(F.struct(F.col("line").alias("title"), F.col("firm").alias("company"), _link("https://web3.career/").alias("apply_url"), *pay))
+    base = lambda *pay: F.to_json(F.struct(F.col("line").alias("title"), F.col("firm").alias("company"), _link("https://web3.career/").alias("apply_url"), F.col("text").alias("description"), *pay))
     job = F.when(i % 3 == 0, base(F.lit("$50k - $80k").alias("salary"))).when(i % 3 == 1, base(F.struct((60000 + i).alias("min"), F.lit(999999).alias("max")).alias("salary"))).otherwise(base(F.lit(70000).alias("salary_min"), F.lit(80000).alias("salary_max")))
     body = F.concat(F.lit('["meta", {"page": 1}, ['), job, F.lit("]]"))
-    return P.web3_api(_wrapped(_docs(spark, sf_dir), body, "https://web3.career/api/v1")).select("company", "title", "salary_min_usd")
+    return P.web3_api(_wrapped(_docs(spark, sf_dir), body, "https://web3.career/api/v1")).select("company", "title", "salary_min_usd", "description")
 
 
 CELLED = S.collapsed(LINE)
@@ -132,26 +132,26 @@ CELLED = S.collapsed(LINE)
 def s14_web3_html(spark, sf_dir):
     cell = lambda c: _tag("td", c)
     link = F.concat(F.lit("tableTurboRowClick(event, '/j/"), F.col("doc_id").cast("string"), F.lit("')"))
-    row = F.concat(F.lit('<tr data-jobid="1" onclick="'), link, F.lit('">'), cell(_xml(F.col("line"))), cell(F.col("firm")), cell(F.lit("2d")), cell(F.col("lang")), cell(F.lit("$60k - $90k")), F.lit("</tr>"))
+    row = F.concat(F.lit('<tr data-jobid="1" onclick="'), link, F.lit('">'), cell(_xml(F.col("line"))), cell(F.col("firm")), cell(F.lit("2d")), cell(F.col("lang")), cell(F.lit("$60k - $90k")), cell(_xml(F.col("text"))), F.lit("</tr>"))
     raw = _wrapped(_docs(spark, sf_dir), F.concat(F.lit("<table>"), row, F.lit("</table>")), "https://web3.career/jobs")
     return P.web3_html(raw).select("company", "title", "apply_url", "salary_min_usd")
 
 
-@query(f"SELECT source AS company, {TITLE} AS title, CASE doc_id % 3 WHEN 0 THEN 'Europe' WHEN 1 THEN 'Peru' ELSE 'Remote' END AS location FROM documents WHERE CASE WHEN doc_id % 2 = 0 THEN true ELSE source IN ('src1', 'src3') END AND {TITLE} <> ''")
+@query(f"SELECT source AS company, {TITLE} AS title, CASE doc_id % 3 WHEN 0 THEN 'Europe' WHEN 1 THEN 'Peru' ELSE 'Remote' END AS location, {S.capped(S.strip_html_unescaped('text'))} AS description FROM documents WHERE CASE WHEN doc_id % 2 = 0 THEN true ELSE source IN ('src1', 'src3') END AND {TITLE} <> ''")
 def s15_wwr_rss(spark, sf_dir):
     i = F.col("doc_id")
-    item = F.concat(_tag("title", F.concat(F.col("firm"), F.lit(": "), _xml(F.col("line")))), _tag("link", _link("https://weworkremotely.com/")), _tag("description", F.lit("&lt;p&gt;x")), F.when(i % 3 == 0, "<region>Europe</region>").when(i % 3 == 1, "<country>Peru</country>").otherwise(""))
+    item = F.concat(_tag("title", F.concat(F.col("firm"), F.lit(": "), _xml(F.col("line")))), _tag("link", _link("https://weworkremotely.com/")), _tag("description", _xml(F.col("text"))), F.when(i % 3 == 0, "<region>Europe</region>").when(i % 3 == 1, "<country>Peru</country>").otherwise(""))
     raw = _wrapped(_docs(spark, sf_dir), _tag("rss", _tag("channel", _tag("item", item))), "https://weworkremotely.com/x").withColumn("mode", F.when(F.substring_index(F.regexp_extract("body", r"weworkremotely.com/(\d+)", 1), ".", 1).cast("long") % 2 == 0, "function").otherwise("default"))
-    return P.weworkremotely(raw, r"src\d", r"src[13]:").select("company", "title", "location")
+    return P.weworkremotely(raw, r"src\d", r"src[13]:").select("company", "title", "location", "description")
 
 
-@query(f"SELECT coalesce(s_name, 'Unknown') AS company, {TITLE} AS title, CASE WHEN doc_id % 2 = 0 THEN 'Remote — Chile, Peru' ELSE 'Chile, Peru' END AS location, CAST(CASE WHEN doc_id % 8000 <= 10000 THEN doc_id % 8000 * 12 ELSE doc_id % 8000 END AS INT) AS salary_max_usd FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % 150 WHERE {TITLE} <> ''")
+@query(f"SELECT coalesce(s_name, 'Unknown') AS company, {TITLE} AS title, CASE WHEN doc_id % 2 = 0 THEN 'Remote — Chile, Peru' ELSE 'Chile, Peru' END AS location, CAST(CASE WHEN doc_id % 8000 <= 10000 THEN doc_id % 8000 * 12 ELSE doc_id % 8000 END AS INT) AS salary_max_usd, nullif({S.strip_html('text')}, '') AS description FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % 150 WHERE {TITLE} <> ''")
 def s16_getonbrd(spark, sf_dir):
     i = F.col("doc_id")
-    attrs = F.struct(F.col("line").alias("title"), (i % 2 == 0).alias("remote"), F.array(F.lit("Chile"), F.lit("Peru")).alias("countries"), (i % 8000).alias("max_salary"), F.struct(F.struct((i % 150).cast("string").alias("id")).alias("data")).alias("company"))
+    attrs = F.struct(F.col("line").alias("title"), F.col("text").alias("description"), (i % 2 == 0).alias("remote"), F.array(F.lit("Chile"), F.lit("Peru")).alias("countries"), (i % 8000).alias("max_salary"), F.struct(F.struct((i % 150).cast("string").alias("id")).alias("data")).alias("company"))
     body = _json(F.array(F.struct(attrs.alias("attributes"), F.struct(_link("https://www.getonbrd.com/").alias("public_url")).alias("links"))).alias("data"))
     companies = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return P.getonbrd(_wrapped(_docs(spark, sf_dir), body, "https://www.getonbrd.com/api"), companies).select("company", "title", "location", "salary_max_usd")
+    return P.getonbrd(_wrapped(_docs(spark, sf_dir), body, "https://www.getonbrd.com/api"), companies).select("company", "title", "location", "salary_max_usd", "description")
 
 
 #: Links that are put after each page's own html: text, href, what they become on a page of https://{host}/careers/list?x=1.
@@ -195,12 +195,12 @@ def s17_link_harvest(spark, sf_dir):
     return P.harvested(pages).select(F.col("source").cast("long").alias("page_id"), "title", "apply_url", "location", "description")
 
 
-@query(f"SELECT source AS company, {TITLE} AS title, CAST(NULL AS VARCHAR) AS _job_type FROM documents WHERE {TITLE} <> '' UNION ALL SELECT source, {TITLE}, 'listed' FROM documents WHERE {TITLE} <> ''")
+@query(f"SELECT source AS company, {TITLE} AS title, CAST(NULL AS VARCHAR) AS _job_type, {S.capped(S.strip_html('text'))} AS description FROM documents WHERE {TITLE} <> '' UNION ALL SELECT source, {TITLE}, 'listed', {S.capped('text')} FROM documents WHERE {TITLE} <> ''")
 def s18_union_formats(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    green = P.greenhouse(_wrapped(d, _json(F.array(F.struct(F.col("line").alias("title"))).alias("jobs")), BOARD))
-    lev = P.lever(_wrapped(d, F.to_json(F.array(F.struct(F.col("line").alias("text"), F.lit("https://h").alias("hostedUrl")))), "https://jobs.lever.co/x")).withColumn("_job_type", F.lit("listed"))
-    return P.union(green, lev).select("company", "title", "_job_type")
+    green = P.greenhouse(_wrapped(d, _json(F.array(F.struct(F.col("line").alias("title"), F.col("text").alias("content"))).alias("jobs")), BOARD))
+    lev = P.lever(_wrapped(d, F.to_json(F.array(F.struct(F.col("line").alias("text"), F.lit("https://h").alias("hostedUrl"), F.col("text").alias("descriptionPlain")))), "https://jobs.lever.co/x")).withColumn("_job_type", F.lit("listed"))
+    return P.union(green, lev).select("company", "title", "_job_type", "description")
 
 
 GROUPS = {"group_1": 1, "group_2": 1, "group_3": 1, "group_4": 2, "group_5": 2}

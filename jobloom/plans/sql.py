@@ -63,4 +63,23 @@ def strip_html(c: str) -> str:
     return collapsed(text)
 
 
+def tags_gone(c: str) -> str:
+    return collapsed(sub(f"coalesce({c}, '')", "<[^>]+>", " "))
+
+
+def strip_html_if_markup(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, {lit(r'^\s*<')}) THEN {tags_gone(c)} ELSE {strip(c)} END"
+
+
+def strip_html_unescaped(c: str) -> str:
+    text = c
+    for a, b in T.ENTITIES[1:] + T.ENTITIES[:1]:
+        text = f"replace({text}, {lit(a)}, {lit(b)})"
+    return tags_gone(text)
+
+
+def capped(c: str, chars: int = 5000) -> str:
+    return f"nullif(substr({c}, 1, {chars}), '')"
+
+
 BLOB = blob("title", "company", "description", "location")
