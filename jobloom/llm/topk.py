@@ -27,8 +27,9 @@ SCALE = 64
 CELLS = 64
 #: Vectors in a block, and blocks that one task scans after another.
 BLOCK_ROWS, GROUP_BLOCKS = 4096, 16
-#: Queries in a block, at most.
-QUERY_ROWS = 2048
+#: Bytes of a block of queries, at most, and queries that are multiplied with a file at once. A file goes to every block
+#: of queries, so blocks are as large as a task can hold.
+QUERY_BYTES, TILE_QUERIES = 64 << 20, 2048
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -93,17 +94,20 @@ class Scan:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.best = ids, queries, np.full((len(ids), k), -np.inf, dtype=object if queries.dtype == object else np.float64)
 
-    def read(self, vids: np.ndarray, cell: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
-        """query, vid, lower and upper bound (twice the score) of those whose upper bound reaches the floor so far."""
-        middle, reach = bounds(self.queries, cell, low, width)
-        k = self.best.shape[1]
-        lower = middle - reach[:, None]
-        top = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k:] if lower.shape[1] > k else lower
-        both = np.concatenate([self.best, top.astype(self.best.dtype)], axis=1)
-        self.best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        upper = middle + reach[:, None]
-        i, j = np.nonzero(upper >= self.best.min(axis=1)[:, None])
-        return self.ids[i], vids[j], lower[i, j].astype(np.int64), upper[i, j].astype(np.int64)
+    def read(self, vids: np.ndarray, cell: np.ndarray, low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """query, vid, lower and upper bound (twice the score) of those whose upper bound reaches the floor so far, for
+        some of the queries at a time."""
+        for first in range(0, len(self.ids), TILE_QUERIES):
+            own = slice(first, first + TILE_QUERIES)
+            middle, reach = bounds(self.queries[own], cell, low, width)
+            k = self.best.shape[1]
+            lower = middle - reach[:, None]
+            top = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k:] if lower.shape[1] > k else lower
+            both = np.concatenate([self.best[own], top.astype(self.best.dtype)], axis=1)
+            self.best[own] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            upper = middle + reach[:, None]
+            i, j = np.nonzero(upper >= self.best[own].min(axis=1)[:, None])
+            yield self.ids[own][i], vids[j], lower[i, j].astype(np.int64), upper[i, j].astype(np.int64)
 
 
 def _scanned(k: int):
@@ -120,8 +124,8 @@ def _scanned(k: int):
                     scan = Scan(ids, np.frombuffer(row["data"], np.int64).reshape(len(ids), row["dim"]), k)
                 elif own == group:
                     cell = np.frombuffer(row["data"], np.uint8).reshape(len(ids), row["dim"])
-                    found = scan.read(ids, cell, np.frombuffer(row["low"], np.int64), np.frombuffer(row["width"], np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vid", "lower", "upper"])
+                    for found in scan.read(ids, cell, np.frombuffer(row["low"], np.int64), np.frombuffer(row["width"], np.int64)):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vid", "lower", "upper"])
 
     return run
 
@@ -152,8 +156,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     x = stored(distinct_vectors(quantised(vectors), most), "vectors")
     q = stored(quantised(queries).groupBy(F.col("vec_id").alias("vid")).agg(F.min("q").alias("q")), "queries")
     files = stored(blocks(x.select("vid", "q"), BLOCK_ROWS, _file), "files")
-    # Enough blocks of queries for all cores; more than QUERY_ROWS are never in one.
-    each = max(1, min(QUERY_ROWS, -(-q.count() // spark.sparkContext.defaultParallelism)))
+    # Enough blocks of queries for all cores; more than QUERY_BYTES are never in one.
+    many, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    each = max(1, min(QUERY_BYTES // (8 * max(1, dim)), -(-many // spark.sparkContext.defaultParallelism)))
     asked = stored(blocks(q, each, _exact), "asked")
     count = lambda d, name, n: d.groupBy("dim").agg(F.floor(F.max("block") / n).alias(name))
     every = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), F.col(last)))

@@ -540,6 +540,37 @@ def test_top_k_with_empty_blocks_of_queries(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("query_bytes", [64, 2000, 1 << 20])
+def test_top_k_with_groups_of_files(spark, monkeypatch, query_bytes):
+    """Many blocks of queries, and many files in many groups."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 3)
+    monkeypatch.setattr(topk, "QUERY_BYTES", query_bytes)
+    rng = np.random.default_rng(3)
+    x = np.floor(64 * rng.normal(0, 0.2, (500, 6)).astype("float32").astype(float)).astype(int)
+    df = spark.createDataFrame([(k, (v / 64).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, topk.queries_of(df, 10), 7).collect()))
+    want = []
+    for k in range(0, 500, 10):
+        best = sorted((-int(x[k] @ x[i]), i) for i in range(500) if i != k)[:7]
+        want += [(k, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_scan_of_queries_by_tiles(monkeypatch):
+    monkeypatch.setattr(topk, "TILE_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    q, cell = rng.integers(-9, 9, (10, 4)), rng.integers(0, 64, (50, 4)).astype(np.uint8)
+    low, width = np.full(4, -20), np.full(4, 2)
+    scan = topk.Scan(np.arange(10), q.astype(np.int64), 2)
+    found = list(scan.read(np.arange(50), cell, low, width))
+    assert len(found) == 4 and sorted({i for f in found for i in f[0].tolist()}) == list(range(10))
+    exact = q @ (low + cell.astype(int) * width).T
+    for f in found:
+        for i, v, lower, upper in zip(*f, strict=True):
+            assert lower <= 2 * exact[i, v] <= upper
+
+
 def brute_windows(turns, budget, history):
     """The windows of one conversation's (role, text) as lists of (turn number, repeated)."""
     body = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
