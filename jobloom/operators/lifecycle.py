@@ -108,6 +108,22 @@ def activated(profiles: DataFrame, user_id: int, profile_id: int) -> DataFrame:
     return rows.withColumn("is_active", F.when(F.col("_u").isNotNull(), F.col("id") == profile_id).otherwise(F.col("is_active"))).drop("_u")
 
 
+def activations(profiles: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """profiles after users asked for one of theirs to be the active one (wanted: user_id, id, seq), and what became of each
+    request: user_id, id, seq and outcome (activated, replaced by a later request, not owned, or missing).
+
+    A user whose requests are all refused keeps the profiles as they are; one without a request does, too.
+    """
+    owner = profiles.select("id", F.col("user_id").alias("_owner"))
+    judged = wanted.join(owner, "id", "left").withColumn("_ok", F.col("_owner").eqNullSafe(F.col("user_id")) & F.col("_owner").isNotNull())
+    last = judged.filter("_ok").groupBy("user_id").agg(F.max(F.struct("seq", "id")).alias("_last"))
+    rows = profiles.join(last.select("user_id", F.col("_last.id").alias("_chosen")), "user_id", "left")
+    after = rows.withColumn("is_active", F.when(F.col("_chosen").isNotNull(), F.col("id") == F.col("_chosen")).otherwise(F.col("is_active"))).select(*profiles.columns)
+    is_last = F.struct("seq", "id").eqNullSafe(F.col("_last"))
+    said = F.when(F.col("_owner").isNull(), "missing").when(~F.col("_ok"), "not owned").when(is_last, "activated").otherwise("replaced")
+    return after, judged.join(last, "user_id", "left").select("user_id", "id", "seq", said.alias("outcome"))
+
+
 def status_changes(applications: DataFrame, changes: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     """changes (id, status, at): applied_at is set once, by the first change that applies; updated_at at every change, and
     the last one's status stays; unknown statuses are rejected."""
@@ -182,6 +198,13 @@ def requeued(postings: DataFrame, since: Column) -> DataFrame:
     return postings.withColumns(columns | {"geo_filtered": F.col("geo_filtered") & ~F.col("is_active")})
 
 
+def rescorable(scores: DataFrame, postings: DataFrame, since: Column, breakdown: str = "breakdown") -> DataFrame:
+    """scores without the breakdown of postings of a window, so that these count as unscored again."""
+    window = postings.filter(F.col("first_seen_at") >= since).select(F.col("id").alias("job_id"), F.lit(True).alias("_again")).distinct()
+    rows = scores.join(window, "job_id", "left")
+    return rows.withColumn(breakdown, F.when(F.col("_again").isNull(), F.col(breakdown))).select(*scores.columns)
+
+
 def with_sentinels(postings: DataFrame) -> DataFrame:
     """Views show a sentinel where an enum says that nothing is classified."""
     return postings.fillna(SENTINELS)

@@ -121,3 +121,33 @@ def m15_delete_cascade(spark, sf_dir):
         .unionByName(left.select(F.lit("score").alias("part"), F.col("job_id").alias("id"), F.col("profile_id").alias("user_id"), none))
         .unionByName(refused.select(F.lit("refusal").alias("part"), "id", "user_id", "outcome"))
     )
+
+
+ASKS = "asks AS (SELECT c_custkey % 120 AS user_id, c_custkey * 3 % 1000 AS id, c_custkey AS seq FROM customer)"
+JUDGED = "judged AS (SELECT a.*, p.user_id AS owner, coalesce(p.user_id = a.user_id, false) AS ok FROM asks a LEFT JOIN profiles p ON p.id = a.id)"
+CHOSEN = "chosen AS (SELECT user_id, max(seq) AS seq, arg_max(id, seq) AS id FROM judged WHERE ok GROUP BY user_id)"
+
+
+def _activations(spark, sf_dir):
+    k = F.col("c_custkey")
+    wanted = B.table(spark, sf_dir, "customer").select((k % 120).alias("user_id"), (k * 3 % 1000).alias("id"), k.alias("seq"))
+    return lifecycle.activations(B.profiles(spark, sf_dir), wanted)
+
+
+@query(B.with_tables("SELECT p.id, CASE WHEN c.id IS NOT NULL THEN p.id = c.id ELSE p.is_active END AS is_active FROM profiles p LEFT JOIN chosen c USING (user_id)", B.PROFILES, ASKS, JUDGED, CHOSEN))
+def m7_activations(spark, sf_dir):
+    """Profiles after every customer asked for some profile, most of which are someone else's."""
+    return _activations(spark, sf_dir)[0].select("id", "is_active")
+
+
+@query(B.with_tables("SELECT j.user_id, j.id, j.seq, CASE WHEN owner IS NULL THEN 'missing' WHEN NOT ok THEN 'not owned' WHEN j.seq = c.seq THEN 'activated' ELSE 'replaced' END AS outcome FROM judged j LEFT JOIN chosen c USING (user_id)", B.PROFILES, ASKS, JUDGED, CHOSEN))
+def m7_outcomes(spark, sf_dir):
+    return _activations(spark, sf_dir)[1]
+
+
+@query(B.with_tables("SELECT s.job_id, s.profile_id, CASE WHEN NOT coalesce(p.first_seen_at >= TIMESTAMP '2024-02-01', false) AND has_breakdown THEN 'b' || s.job_id END AS breakdown FROM scores s LEFT JOIN postings p ON p.id = s.job_id", B.SCORES, B.POSTINGS))
+def m16_rescorable(spark, sf_dir):
+    """Scores whose breakdown goes, as their posting is of the window."""
+    s = B.scores(spark, sf_dir)
+    s = s.withColumn("breakdown", F.when(F.col("has_breakdown"), F.concat(F.lit("b"), F.col("job_id").cast("string"))))
+    return lifecycle.rescorable(s, B.postings(spark, sf_dir), B.at("2024-02-01")).select("job_id", "profile_id", "breakdown")

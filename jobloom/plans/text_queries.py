@@ -25,15 +25,20 @@ def x1_normalize(spark, sf_dir):
 PLACES = ("{n}", "{n}, Country", " Remote - {n}", "", "{n} & Sons; North (Upper) District Area")
 
 
+#: A customer's place: its nation, its city (the first part of its name) or both.
+CITY = "replace(replace(c_name, '#', ' '), '0', 'o')"
+
+
 @query(
-    "WITH v AS (SELECT n_nationkey AS id, unnest(["
-    + ", ".join(f"{{'form': {k}, 'place': {S.lit(p).replace('{n}', chr(39) + ' || n_name || ' + chr(39))}}}" for k, p in enumerate(PLACES))
-    + f"]) AS v FROM nation), w AS (SELECT id, v.form AS form, v.place AS place FROM v) SELECT id, form, {S.bucket('place')} AS bucket FROM w"
+    "WITH v AS (SELECT c_custkey AS id, unnest(["
+    + ", ".join(f"{{'form': {k}, 'place': {S.lit(p).replace('{n}', chr(39) + ' || place || ' + chr(39))}}}" for k, p in enumerate(PLACES))
+    + f"]) AS v FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE {CITY} END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey)), w AS (SELECT id, v.form AS form, v.place AS place FROM v) SELECT id, form, {S.bucket('place')} AS bucket FROM w"
 )
 def x2_location_bucket(spark, sf_dir):
-    n = B.table(spark, sf_dir, "nation")
-    forms = F.array(*[F.struct(F.lit(k).alias("form"), F.replace(F.lit(p), F.lit("{n}"), F.col("n_name")).alias("place")) for k, p in enumerate(PLACES)])
-    return n.select(F.col("n_nationkey").alias("id"), F.explode(forms).alias("v")).select("id", "v.form", T.location_bucket(F.col("v.place")).alias("bucket"))
+    c = B.table(spark, sf_dir, "customer").join(B.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.withColumn("place", F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.expr(CITY)))
+    forms = F.array(*[F.struct(F.lit(k).alias("form"), F.replace(F.lit(p), F.lit("{n}"), F.col("place")).alias("place")) for k, p in enumerate(PLACES)])
+    return c.select(F.col("c_custkey").alias("id"), F.explode(forms).alias("v")).select("id", "v.form", T.location_bucket(F.col("v.place")).alias("bucket"))
 
 
 @query(B.with_tables(f"SELECT id, {S.key('title', 'company', 'location')} AS dedup_key FROM postings", B.POSTINGS))
