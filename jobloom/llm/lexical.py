@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, chunks, stored, text_bytes
+from ._common import LOWER, chunks, forget, stored, text_bytes
 
 TOP = 10
 #: Terms of a group of items, at most, but for one item that has more of its own.
@@ -206,7 +206,7 @@ def top_documents(docs: DataFrame, benchmark: DataFrame, top: int = TOP, group_t
     items = items_of(benchmark)
     found = None
     for group in groups_of(items, group_terms, block_items):
-        part = stored(_group_top(docs, group, top, tile_docs, width), "best")
+        part = _group_top(docs, group, top, tile_docs, width)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "number long, doc_id long, score long")
@@ -248,7 +248,9 @@ def _group_top(docs: DataFrame, group: Group, top: int, tile_docs: int, width: i
             doc = pa.array(kept.doc, mask=kept.doc == NO_ID)
             yield pa.RecordBatch.from_arrays([pa.array(numbers[kept.item]), doc, pa.array(kept.score)], ["number", "doc_id", "score"])
 
-    return counts.mapInArrow(search, "number long, doc_id long, score long")
+    out = stored(counts.mapInArrow(search, "number long, doc_id long, score long"), "best")
+    forget(counts)
+    return out
 
 
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS terms FROM documents),

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import keyed, stored
+from ._common import forget, keyed, stored
 
 SHARDS = 8
 #: Bits of a cell: so many cells, as a power of two, in each dimension.
@@ -23,8 +23,8 @@ BITS = 5
 RANGE_ROWS = 1 << 20
 
 
-def ranked(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
-    """df with the sums of each of totals over all rows that come before a row in the order, written once.
+def ranked(df: DataFrame, order: list[Column], totals: dict[str, Column], name: str) -> DataFrame:
+    """df with the sums of each of totals over all rows that come before a row in the order, written once, as a table.
 
     Rows are dealt to ranges of the order; ranges are summed up and the sums added up, one row a range.
     """
@@ -37,7 +37,9 @@ def ranked(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> Dat
     sums = ranges.groupBy("_range").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in totals])
     sums = sums.select("_range", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in totals])
     placed = ranges.withColumns({f"_i_{k}": F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in totals}).join(sums, "_range")
-    return placed.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in totals])
+    out = stored(placed.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in totals]), name)
+    forget(ranges)
+    return out
 
 
 def value_cells(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
@@ -45,7 +47,8 @@ def value_cells(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     rows stand by value, null last. Cells of frequent values are far apart, rare neighbours share one."""
     counts = stored(rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("many")), "values")
     total = counts.agg(F.sum("many")).first()[0] or 1
-    placed = ranked(counts, [F.col("value").isNull(), F.col("value")], {"ahead": F.col("many")})
+    placed = ranked(counts, [F.col("value").isNull(), F.col("value")], {"ahead": F.col("many")}, "cells")
+    forget(counts)
     return placed.select("value", F.expr(f"(2 * ahead + many) * {1 << bits} div (2 * {total})").cast("int").alias("cell"))
 
 
@@ -97,17 +100,18 @@ def _placed(docs: DataFrame, key: Column, shards: int, law: str, bits: int) -> D
     text = F.col("text").cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     plain = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = stored(plain, "sizes")
+    sizes = rows = stored(plain, "sizes")
     for c in ("source", "lang"):
         cells = value_cells(rows, c, bits).withColumnRenamed("cell", f"{c}_cell")
         rows = rows.join(cells, F.col(c).eqNullSafe(F.col("value"))).drop("value")
     rows = hilbert(rows.withColumn("size_cell", size_cell(F.col("size"), bits)), ["source_cell", "lang_cell", "size_cell"], "place", bits)
     rows = rows.drop("source_cell", "lang_cell", "size_cell")
     order = [F.col(c) for c in ("place", "source", "lang", "size", "text_crc32", "doc_id")]
-    placed = ranked(rows, order, {"rank": F.lit(1), "start": F.col("size")})
-    whole = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(1)).alias("total")).first()
+    placed = ranked(rows, order, {"rank": F.lit(1), "start": F.col("size")}, "placed")
+    whole = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(1)).alias("total")).first()
+    forget(sizes)
     cut = f"(2 * start + size) * {shards} div (2 * {whole['total']})" if law == "bytes" else f"rank * {shards} div {max(1, whole['n'])}"
-    out = stored(placed.withColumn("shard", F.expr(cut).cast("int")), "shards")
+    out = placed.withColumn("shard", F.expr(cut).cast("int"))
     first = out.groupBy("shard").agg(F.min("rank").alias("first"))
     slots = out.join(first, "shard").withColumn("slot", F.col("rank") - F.col("first"))
     return slots.select("doc_id", "key", "size", "text_crc32", "source", "lang", F.lit(law).alias("law"), "place", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

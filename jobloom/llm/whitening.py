@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import forget, stored
 
 SCALE, SHIFT = 1024, 100_000
 COMPONENTS = 8
@@ -149,16 +149,11 @@ def leading(v: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and x, whole numbers; without vectors that are null or hold null or non-finite entries.
-
-    Of vectors of several lengths, those of the most frequent length count, of the longer one of two equally frequent.
-    """
+    """vec_id and x, whole numbers, as a table; without vectors that are null or hold null or non-finite entries."""
     v = F.transform(vector_col, lambda c: c.cast("double"))
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & sound)
-    rows = stored(rows.select("vec_id", F.transform("v", lambda c: F.floor(c * SCALE).cast("long") + SHIFT).alias("x")), "x")
-    usual = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.col("count").desc(), F.col("dim").desc()).first()
-    return rows.filter(F.size("x") == (usual.dim if usual else 0))
+    return stored(rows.select("vec_id", F.transform("v", lambda c: F.floor(c * SCALE).cast("long") + SHIFT).alias("x")), "x")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -214,16 +209,19 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "ve
     """One row for each sound row of vectors (vec_id, embedding) and component: vec_id, component (from 1), n, deviation,
     whitened, explained, identity_error.
 
+    Of vectors of several lengths, those of the most frequent length count, of the longer one of two equally frequent.
     Repeated rows count as often as they stand there, a null id is a value like any other. Components whose eigenvalue
     is zero to working precision (constant dimensions, too few vectors) can't be whitened and give no rows; so do an
     empty table and vectors without entries. deviation is null where it does not fit into a long. Other columns are not
     read.
     """
-    x = quantised(vectors, id_col, vector_col)
+    whole = quantised(vectors, id_col, vector_col)
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    n, dim = x.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-    if not n or not dim:
+    usual = whole.groupBy(F.size("x").alias("dim")).count().orderBy(F.col("count").desc(), F.col("dim").desc()).first()
+    if not usual or not usual.dim:
         return vectors.sparkSession.createDataFrame([], schema)
+    dim, n = usual
+    x = whole.filter(F.size("x") == dim)
     sums = _summed(x.select("x"), _sums, dim)[0]
     v = covariance(x, sums, n)
     values, basis = leading(v, components)
@@ -242,6 +240,7 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "ve
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(deviations(rows, total, n), pa.int64()), pa.array(list(y), pa.list_(pa.float64()))], ["vec_id", "deviation", "y"])
 
     rows = stored(x.select("vec_id", "x").mapInArrow(project, "vec_id long, deviation long, y array<double>"), "whitened")
+    forget(whole)
     error = identity_error(rows, len(values))
     shares = F.array(*[F.lit(float(e) / trace) for e in values])
     out = rows.select("vec_id", "deviation", F.posexplode("y").alias("k", "whitened"))
