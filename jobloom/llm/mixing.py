@@ -54,7 +54,7 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     A source's slots beyond its target are void; those it lacks come after the others. goals is what targets() returns.
     """
     goals = goals.withColumn("goal", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("goal") / block_words).cast("long"))
-    total = goals.agg(F.sum("blocks")).first()[0] or 0
+    total, sources = (x or 0 for x in goals.agg(F.sum("blocks"), F.max("source_no")).first())
     upto = Window.orderBy("source_no")
     whole = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bounds = goals.withColumn("high", F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("target").over(whole))
@@ -70,7 +70,8 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     got = ranked.groupBy("source_no").agg(F.count("*").alias("got"))
     lack = goals.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < blocks")
     more = lack.select(F.lit(total).alias("slot"), "source_no", "goal", "blocks", F.explode(F.sequence("got", F.col("blocks") - 1)).alias("block"))
-    slots = ranked.filter("block < blocks").unionByName(more.withColumn("slot", F.col("slot") + F.col("block") * 1024 + F.col("source_no")))
+    # Late slots go block by block, one for each source that lacks it.
+    slots = ranked.filter("block < blocks").unionByName(more.withColumn("slot", F.col("slot") + F.col("block") * sources + F.col("source_no") - 1))
     return slots.select("slot", "source_no", "block", F.least(F.lit(block_words), F.col("goal") - F.col("block") * block_words).alias("words"))
 
 
@@ -82,7 +83,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTA
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 7, key: str | None = None) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+    """One row for each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, first_slot (of
+    the mix that holds some of it, null for none) and pieces (that slots hold of it).
 
     size counts words; a null text has none and is never taken. A null source is a source of its own, after the others.
     Documents stand by hash of doc_id, ties by doc_id and size, so reruns agree; a null doc_id is a value like any
@@ -90,7 +92,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TO
     number of each row, which breaks ties and is given back. An empty table gives no rows.
     """
     parts, empty = _parts(docs, weights, percent, most, block_words, seed, key)
-    taken = parts.groupBy("key", "doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("words").cast("long").alias("taken"))
+    taken = parts.groupBy("key", "doc_id", "source", "size", "source_size", "target", "start").agg(
+        F.sum("words").cast("long").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"), F.count_if(F.col("words") > 0).alias("pieces")
+    )
     out = taken.drop("start").unionByName(empty)
     return out if key else out.drop("key")
 
@@ -103,7 +107,7 @@ def _parts(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int, b
     shuffled = F.xxhash64("doc_id", F.lit(seed))
     rows = sized.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("place", shuffled).withColumn("bucket", F.pmod("place", F.lit(buckets_for(sized.count()))))
-    empty = rows.filter("size = 0").select("key", "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    empty = rows.filter("size = 0").select("key", "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("pieces"))
     placed = running_total(rows.filter("size > 0"), ["source_no"], "bucket", ["place", "doc_id", "size", "key"], F.col("size"), "start")
     passes = placed.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.col("start") + p * F.col("source_size"))))
     parts = passes.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))

@@ -198,12 +198,24 @@ def test_mixture(docs, rows, none):
     for r in slots:
         by_slot.setdefault(r.slot, set()).add((r.source, r.block))
     assert all(len(v) == 1 for v in by_slot.values()) and len({x for v in by_slot.values() for x in v}) == len(by_slot)
+    held = {}
+    for r in slots:
+        held.setdefault(r.doc_id, []).append(r.slot)
+    assert all((r.first_slot, r.pieces) == (min(held[r.doc_id]), len(held[r.doc_id])) if r.doc_id in held else (r.first_slot, r.pieces) == (None, 0) for r in got)
     again = {(r.doc_id, r.taken) for r in mixing.mixed(docs, block_words=16).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
     assert mixing.mixed(none).count() == 0 and mixing.mix_documents(none).count() == 0
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_slots_of_many_sources_differ(spark):
+    """Sources that get fewer slots of the schedule than they have blocks, as each has a block at least."""
+    goals = spark.range(1500).select(F.format_string("s%04d", "id").alias("source"), (F.col("id") + 1).cast("int").alias("source_no"), F.lit(9).alias("source_size"), F.when(F.col("id") < 3, 900.0).otherwise(1.0).alias("target"))
+    slots = mixing.schedule(goals, 4).collect()
+    assert len({s.slot for s in slots}) == len(slots) == 3 * 225 + 1497 and len({(s.source_no, s.block) for s in slots}) == len(slots)
+    assert min(s.slot for s in slots) >= 0
+
+
 def test_schedule_holds_shares_in_every_stretch(docs):
     goals = mixing.targets(docs.select("source", mixing.word_count(F.col("text")).alias("size")))
     slots = mixing.schedule(goals, 8).orderBy("slot").collect()
