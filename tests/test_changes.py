@@ -5,11 +5,12 @@ import glob
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import enrich, lifecycle, partitioned, serving, skill_index
+from jobloom.operators import dedup, enrich, health, lifecycle, partitioned, serving, skill_index
 from jobloom.sources import payloads
 from jobloom.streaming import jobs
 
@@ -171,6 +172,63 @@ def test_cascade(spark, tmp_path):
     assert sorted((r.id, r.outcome) for r in refused.collect()) == [(2, "active"), (3, "not owned"), (4, "missing")]
 
 
+def test_activations(spark):
+    profiles = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 8, True), (4, None, False)], "id long, user_id long, is_active boolean")
+    wanted = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3), (8, 9, 1), (None, 4, 1)], "user_id long, id long, seq long")
+    after, said = lifecycle.activations(profiles, wanted)
+    assert sorted((r.id, r.is_active) for r in after.collect()) == [(1, False), (2, True), (3, True), (4, False)]
+    assert sorted((r.id, r.seq, r.outcome) for r in said.collect()) == [(1, 1, "replaced"), (2, 2, "activated"), (3, 3, "not owned"), (4, 1, "missing"), (9, 1, "missing")]
+
+
+# --- rows without names, histories of any length --------------------------------------------------------------------
+
+
+def test_repair_of_rows_without_names(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(k, None if k % 3 == 0 else " " if k % 3 == 1 else f"t{k // 6}", "c", at(1 + k % 20), at(25), k % 2 == 0, "r") for k in range(60)] + [(100, "only", None, at(1), at(2), True, None)]
+    df = spark.createDataFrame(rows, "id long, title string, company string, first_seen_at timestamp, last_seen_at timestamp, is_active boolean, geo_reject_reason string")
+    got = dedup.repair_collisions(df, F.lit(at(10)))
+    out = {r.id: r.action for r in got.collect()}
+    assert len(out) == 61 and all(out[k] == "kept" for k in out if k % 3 != 2) and {"canonical", "deleted"} <= set(out.values())
+    # The second part of the union, rows without names, passes through no window.
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("Union") and not [line for line in plan if "Window" in line and not line.startswith(":")]
+
+
+def test_states_of_long_histories(spark):
+    rng = random.Random(5)
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k)
+    rows = [("hot" if k % 3 == 0 else f"s{k % 7}", at(rng.randint(0, 500)), k, rng.random() < 0.1, "suspended" if rng.random() < 0.1 else None) for k in range(900)] + [("bad", at(k), k, False, None) for k in range(400)] + [(None, at(1), 1, True, None)]
+    df = spark.createDataFrame(rows, "source string, run_at timestamp, seq long, success boolean, error_message string")
+    want = {}
+    for source in {r[0] for r in rows} - {None}:
+        fails, since, good = 0, None, None
+        for _, t, _, ok, said in sorted((r for r in rows if r[0] == source), key=lambda r: r[1:3]):
+            if said != "suspended":
+                fails = 0 if ok else fails + 1
+                since = None if ok else t if fails == 4 else since
+                good = t if ok else good
+        want[source] = (fails, fails >= 4, since, good)
+    states = health.states(df, 4)
+    assert {r.source: (r.consecutive_failures, r.suspended, r.suspended_at, r.last_success_at) for r in states.collect() if r.source} == want
+    assert "WindowGroupLimit" in states._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("part", ["<a href='/jobs/1'>x ", "<a href='/jobs/1", "<a >", "</a>", "<a href='/jobs/{k}'>Data Engineer {k}</a> "])
+def test_links_of_long_pages(spark, part):
+    body = lambda n: "".join(part.replace("{k}", str(k)) for k in range(n))
+
+    def seconds(n):
+        page = spark.createDataFrame([("s", "http://a/x", "http://a/x", body(n))], "source string, url string, final_url string, body string")
+        start = time.time()
+        found = payloads.harvested(page).collect()
+        assert len(found) == (50 if "{k}" in part else 0)
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(8000) < 15
+
+
 # --- answers --------------------------------------------------------------------------------------------------------
 
 
