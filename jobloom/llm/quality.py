@@ -190,7 +190,11 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs without the rows whose predicted label is 0; all columns stay."""
+    """docs without the rows whose predicted label is 0; all columns stay, whatever their names.
+
+    A null text is judged as an empty one; rows that repeat, or whose doc_id is null or repeats, are each judged by their own
+    text; an empty table gives no rows, and without labels every row scores 0.5 and goes.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows=rows))
     name = "score"
     while name in docs.columns:

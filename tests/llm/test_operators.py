@@ -340,6 +340,10 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(same_id, labels).count() + quality.scored(same_id, labels).filter("predicted = 0").count() == 13
     marked = spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int")
     assert quality.scored(long, marked).filter("held_out").count() == sum(zlib.crc32(str(k).encode()) % 4 == 2 for k in range(12))
+    odd = spark.createDataFrame([(None, None), (None, ""), (1, data[1][1]), (1, data[0][1]), (1, data[1][1])], "doc_id long, text string")
+    scores = quality.scored(odd, labels).collect()
+    assert len(scores) == 5 and quality.keep_good(odd, labels).count() == sum(r.predicted for r in scores)
+    assert quality.keep_good(none, labels).count() == 0 and quality.keep_good(odd, labels.limit(0)).count() == 0
     kept = quality.keep_good(d, labels)
     assert kept.columns == d.columns and kept.count() == sum(r.predicted for r in got)
 
