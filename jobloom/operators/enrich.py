@@ -235,7 +235,7 @@ def geo_decision(outcome: Column, body: Column) -> Column:
 
 #: The dimensions of a score.
 DIMENSIONS = ("skill_match", "industry_fit", "title_alignment", "seniority", "requirements", "geography")
-#: What no text stands for, but where it is itself a text.
+#: Values that say nothing, as text; a text among them says so much as it is, but for the empty one.
 NOTHING = ("", "0", "0.0", "false", "[]", "{}")
 BREAKDOWN = (
     "struct<location_eligible:boolean,subtotal:int,dimensions:map<string,struct<score:int,notes:string>>,"
@@ -293,7 +293,7 @@ def final_score(v: Column) -> Column:
 
 def fits(v: Column, *kinds: str) -> Column:
     """Whether a part is of one of some kinds, or says nothing."""
-    return typed(v, lambda k, t: k.isNull() | k.isin(*kinds) | t.isin(*NOTHING))
+    return typed(v, lambda k, t: k.isNull() | k.isin(*kinds) | F.when(k == "string", t == "").otherwise(t.isin(*NOTHING)))
 
 
 def score_of(body: Column) -> Column:

@@ -236,7 +236,7 @@ def test_score_of_odd_answers(spark):
     bodies = [
         ({"final_score": None}, None), ({"final_score": "7.5"}, None), ({"final_score": [1]}, None), ({"final_score": 7.9}, 7), ({"final_score": " 12 "}, 12), ({"final_score": True}, 1),
         ({"final_score": -5}, 0), ({"final_score": "99999999999"}, 100), ({"final_score": 5, "dimensions": "x"}, None), ({"final_score": 5, "dimensions": {"seniority": 3}}, None),
-        ({"final_score": 5, "dimensions": {"seniority": 0}, "adjustments": {}}, 5), ({"final_score": 5, "adjustments": 3}, None), ({"location_eligible": False, "final_score": 90}, 0),
+        ({"final_score": 5, "dimensions": {"seniority": 0}, "adjustments": {}}, 5), ({"final_score": 5, "adjustments": 3}, None), ({"final_score": 5, "dimensions": "0"}, None), ({"final_score": 5, "dimensions": ""}, 5), ({"final_score": 5, "dimensions": []}, 5), ({"location_eligible": False, "final_score": 90}, 0),
         ({"location_eligible": "false", "final_score": 90}, 90), ({"location_eligible": None, "final_score": 1}, 1),
     ]
     texts = [json.dumps(b) for b, _ in bodies] + [None, "[]", "nope"]
