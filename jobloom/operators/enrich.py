@@ -307,9 +307,11 @@ def score_of(body: Column) -> Column:
     minimal = F.struct(F.lit(False), *[F.lit(None)] * 5).cast(BREAKDOWN)
     row = lambda n, s, g, v, b: F.struct(n.cast("int").alias("match_score"), s.alias("strengths"), g.alias("gaps"), v.alias("verdict"), b.alias("breakdown"))
 
+    dimensions = lambda v: F.array(*[F.struct(F.lit(d).alias("name"), part(v, f"dimensions.{d}").alias("of")) for d in DIMENSIONS])
+
     def full(v: Column, verdict: Column, score: Column) -> Column:
-        cell = lambda d: F.struct(whole(part(v, f"dimensions.{d}.score")).alias("score"), said(part(v, f"dimensions.{d}.notes"), 80, False).alias("notes"))
-        by_name = F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), cell(d))])
+        cell = lambda x: F.struct(whole(part(x["of"], "score")).alias("score"), said(part(x["of"], "notes"), 80, False).alias("notes"))
+        by_name = F.map_from_entries(F.transform(dimensions(v), lambda x: F.struct(x["name"], cell(x))))
         objects = F.filter(listed(part(v, "adjustments")), lambda a: F.coalesce(kind(a) == "object", F.lit(False)))
         changes = F.transform(objects, lambda a: F.struct(said(part(a, "label"), 60, False).alias("label"), whole(part(a, "value")).alias("value")))
         lists = F.struct(clean_list(part(v, "strengths")).alias("s"), clean_list(part(v, "gaps")).alias("g"))
@@ -317,8 +319,7 @@ def score_of(body: Column) -> Column:
 
     def made(v: Column) -> Column:
         sound = fits(part(v, "dimensions"), "object") & fits(part(v, "adjustments"), "array", "object", "string")
-        for d in DIMENSIONS:
-            sound = sound & fits(part(v, f"dimensions.{d}"), "object")
+        sound = sound & F.forall(dimensions(v), lambda x: fits(x["of"], "object"))
         known = F.struct(
             typed(part(v, "location_eligible"), lambda k, t: F.coalesce((k == "boolean") & (t == "false"), F.lit(False))).alias("away"),
             F.when(sound, final_score(part(v, "final_score"))).alias("score"),
