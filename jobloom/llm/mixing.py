@@ -7,11 +7,11 @@ block of a fixed number of words of that source's documents, which stand in an o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, stored
-from .prefix import buckets_for, running_total
+from ._common import forget, keyed, stored
+from .prefix import buckets_for, ranked, running_total
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -20,7 +20,7 @@ TOTAL_PERCENT = 150
 #: A source gives at most this many times its size.
 MOST_REPEATS = 2
 BLOCK_WORDS = 1024
-#: Cells that points and cumulative weights are joined by.
+#: Cells that points and cumulative weights are joined by, at least.
 CELLS = 1024
 GOLDEN = 0.6180339887498949
 
@@ -36,16 +36,15 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     weight among the others until none is above. With sources by rising size for weight that level is the largest
     quotient of what the earlier ones leave and the weight of the others.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighed = by_source.withColumn("source_no", number).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") - 1) % len(weights) + 1).cast("double"))
-    weighed = weighed.withColumn("most", F.col("source_size").cast("double") * most)
-    rising = Window.orderBy(F.col("most") / F.col("w"), "source_no")
-    all_rows = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(all_rows) * (percent / 100) - F.coalesce(F.sum("most").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    others = F.sum("w").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = weighed.withColumn("level", left / others).withColumn("level", F.max("level").over(all_rows))
-    return level.select("source", "source_no", "source_size", F.least("most", F.col("w") * F.col("level")).alias("target"))
+    by_source = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    numbered = ranked(by_source, [F.col("source").isNull(), F.col("source")], {"before": F.lit(1)}, "numbered")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int"))
+    weighed = numbered.select("source", (F.col("before") + 1).alias("source_no"), "source_size", weight.alias("w"), (F.col("source_size") * most).alias("most"))
+    rising = ranked(weighed, [F.col("most") / F.col("w"), F.col("source_no")], {"most_before": F.col("most"), "w_before": F.col("w")}, "rising")
+    forget(by_source, numbered)
+    size, w = (x or 0 for x in rising.agg(F.sum("source_size"), F.sum("w")).first())
+    level = rising.agg(F.max((F.lit(size * percent / 100) - F.col("most_before")) / (F.lit(w) - F.col("w_before")))).first()[0]
+    return rising.select("source", "source_no", "source_size", F.least(F.col("most").cast("double"), F.col("w") * F.lit(level or 0.0)).alias("target"))
 
 
 def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -54,24 +53,23 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     A source's slots beyond its target are void; those it lacks come after the others. goals is what targets() returns.
     """
     goals = goals.withColumn("goal", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("goal") / block_words).cast("long"))
-    total, sources = (x or 0 for x in goals.agg(F.sum("blocks"), F.max("source_no")).first())
-    upto = Window.orderBy("source_no")
-    whole = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bounds = goals.withColumn("high", F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("target").over(whole))
-    bounds = bounds.withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0.0))).filter("blocks > 0")
-    bounds = bounds.withColumn("high", F.when(F.col("high") >= F.max("high").over(whole), F.lit(1.0)).otherwise(F.col("high")))
-    cells = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
+    total, words, sources = (x or 0 for x in goals.agg(F.sum("blocks"), F.sum("goal"), F.max("source_no")).first())
+    # As many cells as sources, so that a cell has one or two of them, or many that share its few points.
+    many = max(CELLS, sources)
+    bounds = ranked(goals.select("source_no", "goal", "blocks"), [F.col("source_no")], {"before": F.col("goal")}, "bounds").filter("blocks > 0")
+    bounds = bounds.withColumns({"low": F.col("before") / max(1, words), "high": (F.col("before") + F.col("goal")) / max(1, words)}).drop("before")
+    cells = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * many), F.least(F.floor(F.col("high") * many), F.lit(many - 1)))))
     width = max(1, buckets_for(total))
     points = goals.sparkSession.range(total).select(F.col("id").alias("slot"), F.floor(F.col("id") / width).alias("stretch"), ((F.col("id") + 0.5) * GOLDEN % 1).alias("point"))
-    hit = points.withColumn("cell", F.floor(F.col("point") * CELLS)).join(cells, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    ranked = running_total(hit.select("slot", "stretch", "source_no", "goal", "blocks"), ["source_no"], "stretch", ["slot"], F.lit(1), "block")
+    hit = points.withColumn("cell", F.floor(F.col("point") * many)).join(cells, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    numbered = running_total(hit.select("slot", "stretch", "source_no", "goal", "blocks"), ["source_no"], "stretch", ["slot"], F.lit(1), "block")
     # Two uses: the slots themselves and how many each source has.
-    ranked = stored(ranked.select("slot", "source_no", "goal", "blocks", "block"), "slots")
-    got = ranked.groupBy("source_no").agg(F.count("*").alias("got"))
+    numbered = stored(numbered.select("slot", "source_no", "goal", "blocks", "block"), "slots")
+    got = numbered.groupBy("source_no").agg(F.count("*").alias("got"))
     lack = goals.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < blocks")
     more = lack.select(F.lit(total).alias("slot"), "source_no", "goal", "blocks", F.explode(F.sequence("got", F.col("blocks") - 1)).alias("block"))
     # Late slots go block by block, one for each source that lacks it.
-    slots = ranked.filter("block < blocks").unionByName(more.withColumn("slot", F.col("slot") + F.col("block") * sources + F.col("source_no") - 1))
+    slots = numbered.filter("block < blocks").unionByName(more.withColumn("slot", F.col("slot") + F.col("block") * sources + F.col("source_no") - 1))
     return slots.select("slot", "source_no", "block", F.least(F.lit(block_words), F.col("goal") - F.col("block") * block_words).alias("words"))
 
 
@@ -102,7 +100,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TO
 def _parts(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int, block_words: int, seed: int, key: str | None) -> tuple[DataFrame, DataFrame]:
     """What each slot takes of each document (words, 0 for none), and the documents without words."""
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.col(key) if key else F.lit(0)).cast("long").alias("key")), "sized")
-    goals = stored(targets(sized, weights, percent, most).coalesce(1), "targets")
+    goals = targets(sized, weights, percent, most)
     slots = schedule(goals, block_words)
     shuffled = F.xxhash64("doc_id", F.lit(seed))
     rows = sized.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")

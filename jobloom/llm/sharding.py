@@ -4,42 +4,22 @@ Each metadata dimension becomes a cell number of a few bits, the cells of a row
 rows sorted by that place are cut into runs. Neighbours on the curve are neighbours in every dimension, so a run holds a
 small box of values, and a query that asks for some values reads few files, whichever dimensions it names.
 
-Sorting and running totals are a range partitioning of narrow rows, sums by range, and a window inside each range.
+Sorting and running totals are a range partitioning of narrow rows (`prefix.ranked`).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import forget, keyed, stored
+from .prefix import ranked
 
 SHARDS = 8
 #: Bits of a cell: so many cells, as a power of two, in each dimension.
 BITS = 5
-#: Rows of a range, at most about so many once the input has more than the session has partitions for.
-RANGE_ROWS = 1 << 20
-
-
-def ranked(df: DataFrame, order: list[Column], totals: dict[str, Column], name: str) -> DataFrame:
-    """df with the sums of each of totals over all rows that come before a row in the order, written once, as a table.
-
-    Rows are dealt to ranges of the order; ranges are summed up and the sums added up, one row a range.
-    """
-    spark = df.sparkSession
-    cells = df.withColumns({f"_v_{k}": v.cast("long") for k, v in totals.items()}).withColumns({f"_o{k}": c for k, c in enumerate(order)})
-    keys = [f"_o{k}" for k in range(len(order))]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS + 1)
-    ranges = stored(cells.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
-    before, inside = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranges.groupBy("_range").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in totals])
-    sums = sums.select("_range", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in totals])
-    placed = ranges.withColumns({f"_i_{k}": F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in totals}).join(sums, "_range")
-    out = stored(placed.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in totals]), name)
-    forget(ranges)
-    return out
 
 
 def value_cells(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
@@ -112,8 +92,9 @@ def _placed(docs: DataFrame, key: Column, shards: int, law: str, bits: int) -> D
     forget(sizes)
     cut = f"(2 * start + size) * {shards} div (2 * {whole['total']})" if law == "bytes" else f"rank * {shards} div {max(1, whole['n'])}"
     out = placed.withColumn("shard", F.expr(cut).cast("int"))
+    # One row a shard.
     first = out.groupBy("shard").agg(F.min("rank").alias("first"))
-    slots = out.join(first, "shard").withColumn("slot", F.col("rank") - F.col("first"))
+    slots = out.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank") - F.col("first"))
     return slots.select("doc_id", "key", "size", "text_crc32", "source", "lang", F.lit(law).alias("law"), "place", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.llm import chat, exact_dedup, html_extract, mixing, near_dedup, packing, quality, secrets, suffix_dedup, topk
+from jobloom.llm import chat, exact_dedup, html_extract, mixing, near_dedup, packing, prefix, quality, secrets, suffix_dedup, topk
 from jobloom.llm.shingles import shingle_sets
 
 from . import brute
@@ -208,6 +208,34 @@ def test_mixture(docs, rows, none):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("one_task", [0, prefix.ONE_TASK])
+def test_targets_of_many_sources(spark, monkeypatch, one_task):
+    """Thousands of sources, most of them small, one of a third of all words: shares, bounds and points of each, with and
+    without ranges."""
+    monkeypatch.setattr(prefix, "ONE_TASK", one_task)
+    rng = random.Random(31)
+    sizes = {f"s{k:05d}": rng.choice([0, 1, 3, 40, 900]) for k in range(4000)} | {None: 7, "big": 400_000}
+    sized = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    goals = mixing.targets(sized)
+    got = {r.source: r for r in goals.collect()}
+    names = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    assert [got[s].source_no for s in names] == list(range(1, len(names) + 1))
+    low, high = 0.0, 2.0 * sum(sizes.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], level * weight[s]) for s in names) < 1.5 * sum(sizes.values()) else (low, level)
+    assert all(got[s].source_size == sizes[s] and got[s].target == pytest.approx(min(2 * sizes[s], level * weight[s]), abs=1e-6) for s in names)
+    slots = mixing.schedule(goals, 64).collect()
+    blocks = {r.source_no: -(-int(r.target + 0.5) // 64) for r in got.values()}
+    assert Counter(s.source_no for s in slots) == Counter({k: n for k, n in blocks.items() if n})
+    assert len({(s.source_no, s.block) for s in slots}) == len({s.slot for s in slots}) == len(slots)
+    # Within the schedule each source has its points: as many as its share of the slots, to one or two.
+    total, words = sum(blocks.values()), sum(int(r.target + 0.5) for r in got.values())
+    big = got["big"]
+    assert abs(sum(s.slot < total for s in slots if s.source_no == big.source_no) - min(blocks[big.source_no], total * int(big.target + 0.5) / words)) <= 3
+
+
 def test_slots_of_many_sources_differ(spark):
     """Sources that get fewer slots of the schedule than they have blocks, as each has a block at least."""
     goals = spark.range(1500).select(F.format_string("s%04d", "id").alias("source"), (F.col("id") + 1).cast("int").alias("source_no"), F.lit(9).alias("source_size"), F.when(F.col("id") < 3, 900.0).otherwise(1.0).alias("target"))
