@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import prefix
 from ._common import forget, keyed, stored
-from .prefix import buckets_for, ranked, running_total
+from .prefix import buckets_for, running_total
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -37,10 +38,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     quotient of what the earlier ones leave and the weight of the others.
     """
     by_source = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    numbered = ranked(by_source, [F.col("source").isNull(), F.col("source")], {"before": F.lit(1)}, "numbered")
+    numbered = prefix.ranked(by_source, [F.col("source").isNull(), F.col("source")], {"before": F.lit(1)}, "numbered", prefix.ONE_TASK)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int"))
     weighed = numbered.select("source", (F.col("before") + 1).alias("source_no"), "source_size", weight.alias("w"), (F.col("source_size") * most).alias("most"))
-    rising = ranked(weighed, [F.col("most") / F.col("w"), F.col("source_no")], {"most_before": F.col("most"), "w_before": F.col("w")}, "rising")
+    rising = prefix.ranked(weighed, [F.col("most") / F.col("w"), F.col("source_no")], {"most_before": F.col("most"), "w_before": F.col("w")}, "rising", prefix.ONE_TASK)
     forget(by_source, numbered)
     size, w = (x or 0 for x in rising.agg(F.sum("source_size"), F.sum("w")).first())
     level = rising.agg(F.max((F.lit(size * percent / 100) - F.col("most_before")) / (F.lit(w) - F.col("w_before")))).first()[0]
@@ -56,7 +57,7 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     total, words, sources = (x or 0 for x in goals.agg(F.sum("blocks"), F.sum("goal"), F.max("source_no")).first())
     # As many cells as sources, so that a cell has one or two of them, or many that share its few points.
     many = max(CELLS, sources)
-    bounds = ranked(goals.select("source_no", "goal", "blocks"), [F.col("source_no")], {"before": F.col("goal")}, "bounds").filter("blocks > 0")
+    bounds = prefix.ranked(goals.select("source_no", "goal", "blocks"), [F.col("source_no")], {"before": F.col("goal")}, "bounds", prefix.ONE_TASK).filter("blocks > 0")
     bounds = bounds.withColumns({"low": F.col("before") / max(1, words), "high": (F.col("before") + F.col("goal")) / max(1, words)}).drop("before")
     cells = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * many), F.least(F.floor(F.col("high") * many), F.lit(many - 1)))))
     width = max(1, buckets_for(total))

@@ -9,7 +9,7 @@ from ._common import forget, stored
 
 #: Rows of a range, at most about so many once the input has more than the session has partitions for.
 RANGE_ROWS = 1 << 20
-#: So many rows, a few megabytes of numbers and names, are totalled in one task; sums are the same either way.
+#: So many rows of a table by value, a few megabytes of numbers and names, are totalled in one task; sums are the same either way.
 ONE_TASK = 1 << 16
 
 
@@ -32,18 +32,18 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
     return placed.join(sums, [*group, bucket]).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_before", "_inside", "_value")
 
 
-def ranked(df: DataFrame, order: list[Column], totals: dict[str, Column], name: str) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], totals: dict[str, Column], name: str, one_task: int = 0) -> DataFrame:
     """df with the sums of each of totals over all rows that come before a row in the order, written once, as a table.
 
-    Rows are dealt to ranges of the order; ranges are summed up and the sums added up, one row a range. ONE_TASK rows or
-    fewer are one range.
+    Rows are dealt to ranges of the order; ranges are summed up and the sums added up, one row a range. So many rows
+    as one_task says, or fewer, are one range.
     """
     spark = df.sparkSession
     cells = df.withColumns({f"_v_{k}": v.cast("long") for k, v in totals.items()}).withColumns({f"_o{k}": c for k, c in enumerate(order)})
     keys = [f"_o{k}" for k in range(len(order))]
     total = lambda value, window: F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     many = df.count()
-    if many <= ONE_TASK:
+    if many <= one_task:
         return stored(cells.select(*df.columns, *[total(f"_v_{k}", Window.orderBy(*keys)).alias(k) for k in totals]), name)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // RANGE_ROWS + 1)
     ranges = stored(cells.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()), "ranges")

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import prefix
 from ._common import forget, keyed, stored
-from .prefix import ranked
 
 SHARDS = 8
 #: Bits of a cell: so many cells, as a power of two, in each dimension.
@@ -27,7 +27,7 @@ def value_cells(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     rows stand by value, null last. Cells of frequent values are far apart, rare neighbours share one."""
     counts = stored(rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("many")), "values")
     total = counts.agg(F.sum("many")).first()[0] or 1
-    placed = ranked(counts, [F.col("value").isNull(), F.col("value")], {"ahead": F.col("many")}, "cells")
+    placed = prefix.ranked(counts, [F.col("value").isNull(), F.col("value")], {"ahead": F.col("many")}, "cells", prefix.ONE_TASK)
     forget(counts)
     return placed.select("value", F.expr(f"(2 * ahead + many) * {1 << bits} div (2 * {total})").cast("int").alias("cell"))
 
@@ -87,7 +87,7 @@ def _placed(docs: DataFrame, key: Column, shards: int, law: str, bits: int) -> D
     rows = hilbert(rows.withColumn("size_cell", size_cell(F.col("size"), bits)), ["source_cell", "lang_cell", "size_cell"], "place", bits)
     rows = rows.drop("source_cell", "lang_cell", "size_cell")
     order = [F.col(c) for c in ("place", "source", "lang", "size", "text_crc32", "doc_id")]
-    placed = ranked(rows, order, {"rank": F.lit(1), "start": F.col("size")}, "placed")
+    placed = prefix.ranked(rows, order, {"rank": F.lit(1), "start": F.col("size")}, "placed")
     whole = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(1)).alias("total")).first()
     forget(sizes)
     cut = f"(2 * start + size) * {shards} div (2 * {whole['total']})" if law == "bytes" else f"rank * {shards} div {max(1, whole['n'])}"
