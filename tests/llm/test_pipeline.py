@@ -1,9 +1,13 @@
 """The corpus pipeline against its operators' brute-force versions, stage by stage."""
 
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
@@ -48,8 +52,56 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(ids(exact[1])) == sorted(max(v) for v in texts.values())
     want = brute.near([tuple(r) for r in near[0].select("doc_id", "text").collect()], 5)
     assert sorted(ids(near[1])) == sorted(d for d, (_, root) in want.items() if d == root)
-    assert set(ids(mixed[1])) <= set(ids(mixed[0])) and max(ids(mixed[1]).count(d) for d in set(ids(mixed[1]))) <= 2
-    assert sorted(set(ids(packed[1]))) == sorted(set(ids(packed[0])))
+    assert Counter(map(tuple, mixed[1].collect())) == brute_mix([tuple(r) for r in mixed[0].select("*", F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(7))).collect()])
+    check_packing([(r.doc_id, r.text or "") for r in packed[0].collect()], packed[1].collect())
+
+
+def brute_mix(rows):
+    """How often each row (columns of documents and its place in the order) is in the mixture: sources by name, null last,
+    weigh 5, 2, 1 and share 150 % of all words up to twice their own; each gives its first words, twice over."""
+    size = [len(brute.WORD.findall(r[1] or "")) for r in rows]
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s))
+    own = {s: sum(n for n, r in zip(size, rows, strict=True) if r[3] == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    low, high = 0.0, 2.0 * sum(own.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * own[s], level * weight[s]) for s in names) < 1.5 * sum(own.values()) else (low, level)
+    buckets, out = max(1, int(len(rows) ** 0.5)), Counter()
+    for s in names:
+        goal, start = int(round(min(2 * own[s], level * weight[s]), 6) + 0.5), 0
+        for n, r in sorted(((n, r) for n, r in zip(size, rows, strict=True) if r[3] == s and n), key=lambda x: (x[1][5] % buckets, x[1][5])):
+            taken = sum(max(0, min(at + n, goal) - at) for at in (start, start + own[s]))
+            start += n
+            if times := int(taken / n + 0.5):
+                out[r[:5]] += times
+    return out
+
+
+def check_packing(docs, pieces):
+    """Pieces against the ids of whole texts: every document is there as often as it came in, cut only where it must be,
+    sequences are full without gaps, and there are hardly more of them than all ids need."""
+    import public_tokenizers
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {t: [*encoder.encode(t, add_special_tokens=False).ids, 0] for _, t in docs}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    want = Counter()
+    for d, t in docs:
+        cuts = [0, *range(len(ids[t]) % 2048 or 2048, len(ids[t]), 2048), len(ids[t])]
+        want.update((d, k, a, b - a, crc(ids[t][a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == want
+    sequences = {}
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    need = sum(length for places in sequences.values() for _, length in places) / 2048
+    assert len(sequences) <= 1.05 * need + 2
 
 
 def test_null_and_repeated_ids(spark, corpus):
@@ -75,4 +127,4 @@ def test_no_rows(spark, corpus):
 
 def test_registered_once():
     names = list(__spark_entry__.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
