@@ -51,6 +51,23 @@ def test_profile_hits_plan_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_profile_hits_by_blocks(spark):
+    """Blocks of any size give the same pairs, without the done ones; the first of each profile are kept."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    texts = [(k, " ".join(word(rng.randint(1, 40)) for _ in range(30)), rng.randint(0, 3)) for k in range(40)]
+    terms = [(p, word(3)) for p in range(30) for _ in range(6)] + [(p, t) for p in range(100, 112) for t in ("abc", "bca", "a b")] + [(7, texts[0][1][:60])] + [(8, word(2)) for _ in range(300)]
+    done = {(rng.randint(0, 39), rng.choice([1, 2, 3, 100, 105, 999])) for _ in range(60)}
+    p, t, d = spark.createDataFrame(texts, "id long, text string, place int"), spark.createDataFrame(terms, "profile_id long, term string"), spark.createDataFrame(sorted(done), "id long, profile_id int")
+    want = [x for x in brute_hits([x[:2] for x in texts], terms, 2) if x[:2] not in done]
+    got = skill_index.profile_hits(p, t, 2, most=3, at_once=2, done=d, block=(3, 4))
+    assert got.dtypes == [("id", "bigint"), ("profile_id", "bigint"), ("hits", "bigint")] and sorted(map(tuple, got.collect())) == want
+    place = {x[0]: x[2] for x in texts}
+    best = {tuple(x) for x in skill_index.profile_hits(p, t, 2, done=d, best=2, block=(8, 4)).collect()}
+    firsts = lambda rows: [sorted((x for x in rows if x[1] == q), key=lambda x: (place[x[0]], x[0]))[:2] for q in {x[1] for x in want}]
+    assert best < set(want) and firsts(best) == firsts(want)
+
+
 @pytest.mark.parametrize("limit", [0, 3, 5, 8, 200])
 def test_rescue_budget(spark, limit):
     rows = lambda n, ids: spark.createDataFrame([(ids + k, 40 - k) for k in range(n)], "id long, score_total int")
