@@ -394,7 +394,11 @@ def skill_terms(graph: Column, least: int = 3) -> Column:
 
 
 # Places that are known by name, a word and a place, and two names with a comma between them.
-KNOWN_PLACE = r"\b(Buenos Aires|Rosario|Córdoba|Mendoza|Argentina|CABA|[A-Z][a-z]+,\s*[A-Z][a-zA-Z ]+)\b"
+PLACES = r"(Buenos Aires|Rosario|Córdoba|Mendoza|Argentina|CABA|[A-Z][a-z]+,\s*[A-Z][a-zA-Z ]+)"
+# An end of a word: letters and digits of any script are in words, whatever \b means to the Java version.
+WORD_CHAR = r"[\p{L}\p{N}_]"
+WORD_END = f"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
+KNOWN_PLACE = f"(?=[A-Z])(?<!{WORD_CHAR}){PLACES}{WORD_END}"
 TWO_NAMES = r"([A-Z][a-zA-Z ]{2,}),\s*([A-Z][a-zA-Z ]{2,})"
 LINE_ENDS = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 

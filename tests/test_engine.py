@@ -143,6 +143,28 @@ def test_profile_places(spark):
     assert calls(spark, enrich.profile_location, texts) == ["Plata, Argentina now", "Quito, Ecuador", "CABA", "LIMA, PERU", None, None, None]
 
 
+def test_places_beside_letters_of_any_script(spark, tmp_path):
+    import duckdb
+
+    from jobloom.plans import registry
+
+    lines = ["Das, Ciónas", "Das, Ci² x", "éRosario, CABAñ", "in Córdoba", "C0ó0rdoba xCórdoba", "Lima, Peru é", "Lima, Peru (x)", "Lima, Peru 1", "Éa, Lima, Peru—x", "Ürosario Mendoza日", None, ""]
+    spark.createDataFrame([(4 * k + 3, x, "en", "s", 0) for k, x in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["x32_profile_location"](spark, str(tmp_path)).collect())
+    assert [r[1] for r in got] == [None, None, "Rosario, CABA", "Córdoba", None, "Lima, Peru", "Lima, Peru", "Lima, Peru", "Lima, Peru", None, None, None]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.execute(registry.oracle_sql()["x32_profile_location"]).fetchall()) == got
+
+
+def test_customers_without_a_graph_have_no_terms(spark):
+    from jobloom.plans import registry
+
+    rows = registry.queries()["x31_skill_terms"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert {r.terms for r in rows if r.id % 5 < 2} == {""}
+
+
 def runs(spark, outcomes):
     start = dt.datetime(2024, 1, 1)
     rows = [("s", start + dt.timedelta(days=k), o == "+", "suspended" if o == "s" else None, k) for k, o in enumerate(outcomes)]
