@@ -165,6 +165,15 @@ def test_customers_without_a_graph_have_no_terms(spark):
     assert {r.terms for r in rows if r.id % 5 < 2} == {""}
 
 
+@pytest.mark.parametrize("name", ["x30_graph_sanitize", "x31_skill_terms", "s3_format_routing"])
+def test_customers_are_dealt_to_tasks(spark, name):
+    """However few parts the file has; and no graph is read a second time in a filter."""
+    from jobloom.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Filter" not in plan
+
+
 def runs(spark, outcomes):
     start = dt.datetime(2024, 1, 1)
     rows = [("s", start + dt.timedelta(days=k), o == "+", "suspended" if o == "s" else None, k) for k, o in enumerate(outcomes)]
