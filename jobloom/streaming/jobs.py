@@ -32,26 +32,26 @@ class SourceState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failures, suspended, since, good, last = self.state.get() if self.state.exists() else (0, False, None, None, None)
-        order = ["run_at", "seq"]
-        failed, success, newest = None, None, last
+        failed, success, newest = [], None, last
         for chunk in rows:
-            chunk = chunk[chunk.error_message.ne("suspended") & (chunk.run_at > last if last is not None else True)]
-            if not len(chunk):
+            # Plain columns: most sources have few rows a batch, and data frame operations would take most of the time.
+            runs = zip(chunk.run_at.tolist(), chunk.seq.tolist(), chunk.success.tolist(), chunk.error_message.tolist(), strict=True)
+            runs = [(at, seq, ok) for at, seq, ok, said in runs if said != "suspended" and (last is None or at > last)]
+            if not runs:
                 continue
-            newest = chunk.run_at.max() if newest is None else max(newest, chunk.run_at.max())
-            best = chunk[chunk.success].sort_values(order)[order].tail(1)
-            best = tuple(best.iloc[0]) if len(best) else None
-            success = max((x for x in (success, best) if x is not None), default=None)
-            failed = pd.concat([x for x in (failed, chunk.loc[~chunk.success, order]) if x is not None])
+            at = max(r[0] for r in runs)
+            newest = at if newest is None else max(newest, at)
+            success = max([r[:2] for r in runs if r[2]] + ([success] if success is not None else []), default=None)
+            failed += [r[:2] for r in runs if not r[2]]
             if success is not None:
-                failed = failed[(failed.run_at > success[0]) | ((failed.run_at == success[0]) & (failed.seq > success[1]))]
+                failed = [r for r in failed if r > success]
         if success is not None:
             failures, suspended, since, good = 0, False, None, success[0]
-        if failed is not None and len(failed):
+        if failed:
             nth = self.suspend_after - failures - 1
             failures += len(failed)
             if not suspended and failures >= self.suspend_after:
-                suspended, since = True, failed.sort_values(order).run_at.iloc[nth]
+                suspended, since = True, sorted(failed)[nth][0]
         out = (failures, suspended, since, good, newest)
         plain = lambda x: x.to_pydatetime() if isinstance(x, pd.Timestamp) else x
         self.state.update(tuple(plain(x) for x in out))
