@@ -68,6 +68,48 @@ def test_profile_hits_by_blocks(spark):
     assert best < set(want) and firsts(best) == firsts(want)
 
 
+def test_terms_of_two_words(spark, monkeypatch):
+    """Terms of two words are found by the words beside the white space: postings that only share a trigram are no rows."""
+    texts = [(1, "Ab.\ncd ef"), (2, "ab. cd\n\nef"), (3, "xxab.\ncdyy"), (4, "b.\nc"), (5, "ab.\r\ncd"), (6, "\nab.\n"), (7, " ab.\ncd"), (8, "ab.\n cd"), (9, "x" * 40 + "\t" + "y" * 40)]
+    terms = [(1, "ab.\ncd"), (2, "ab. cd"), (3, "b.\ncd"), (4, "cd\n\nef"), (5, "ab.\r\ncd"), (8, "ab.\ncd ef"), (9, "x" * 24 + "\t" + "y" * 24), (9, "x" * 25 + "\ty"), (9, "x\ty"), (9, "x\t" + "y" * 26), (10, "d\ne")]
+    p, t = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "profile_id long, term string")
+    looked_up, found = [], skill_index.found
+    monkeypatch.setattr(skill_index, "found", lambda texts, pairs, *a: looked_up.append(pairs) or found(texts, pairs, *a))
+    # Only blanks are trimmed, so these begin or end with a line.
+    edges = spark.createDataFrame([(20, " \nab"), (21, "ab.\n")], "profile_id long, term string")
+    want = sorted(brute_hits(texts, terms, 1) + [(6, 20, 1)] + [(k, 21, 1) for k in (1, 3, 6, 7, 8)])
+    for gaps in (skill_index.GAPS, 1):
+        monkeypatch.setattr(skill_index, "GAPS", gaps)
+        assert sorted(map(tuple, skill_index.profile_hits(p, t.unionByName(edges), 1).collect())) == want
+    many = spark.range(50).select("id", F.concat(F.lit("word.\nand"), F.col("id").cast("string")).alias("text"))
+    more = spark.range(50).select(F.col("id").alias("profile_id"), F.concat(F.lit("rd.\nand"), (F.col("id") + 100).cast("string")).alias("term"))
+    assert skill_index.profile_hits(many, more, 1).count() == 0 and looked_up[-1].count() == 0
+
+
+def shuffled(plan):
+    """Rows that the exchanges of a plan that ran have written."""
+    inner = [getattr(plan, k)() for k in ("executedPlan", "plan") if any(m.getName() == k for m in plan.getClass().getMethods())]
+    own = plan.metrics().get("shuffleRecordsWritten")
+    return ([own.get().value()] if own.isDefined() else []) + [n for x in inner + [plan.children().apply(i) for i in range(plan.children().size())] for n in shuffled(x)]
+
+
+def test_blocks_are_few(spark, tmp_path):
+    """A posting goes to few blocks of profiles, so what is shuffled of all pairs grows with postings and profiles."""
+    n, m, at = 60_000, 20_000, F.col("id") % 7
+    p = spark.range(m).select("id", F.concat(F.lit("aaa"), at.cast("string"), F.lit(" bbb"), ((at + 1) % 7).cast("string")).alias("text"))
+    t = spark.range(n).select(F.col("id").alias("profile_id"), F.explode(F.array(*[F.concat(F.lit(x), at.cast("string")) for x in ("aaa", "bbb")])).alias("term"))
+    names = iter("abcd")
+
+    def stored(rows):
+        rows.write.parquet(path := str(tmp_path / next(names)))
+        return spark.read.parquet(path)
+
+    got = skill_index.profile_hits(p, t, 2, stored=stored)
+    assert got.collect() == []
+    rows = shuffled(got._jdf.queryExecution().executedPlan())
+    assert m < max(rows) <= max(2 * n, m * 2 * spark.sparkContext.defaultParallelism + n // 500)
+
+
 @pytest.mark.parametrize("limit", [0, 3, 5, 8, 200])
 def test_rescue_budget(spark, limit):
     rows = lambda n, ids: spark.createDataFrame([(ids + k, 40 - k) for k in range(n)], "id long, score_total int")
