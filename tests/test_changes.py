@@ -110,6 +110,22 @@ def test_blocks_are_few(spark, tmp_path):
     assert m < max(rows) <= max(2 * n, m * 2 * spark.sparkContext.defaultParallelism + n // 500)
 
 
+@pytest.mark.parametrize("first", [1 << 10, 7])
+def test_first_of_each_profile(spark, monkeypatch, first):
+    """Profiles that have enough of the first postings meet no others, the rest finds its own among all."""
+    monkeypatch.setattr(skill_index, "FIRST_POSTINGS", first)
+    texts = [(k, ("early " if k % 9 < 2 else "") + f"common mark{k} " + ("late" if k > 1990 else ""), k % 9) for k in range(2000)]
+    own = {1: ["common"], 2: ["early"], 3: ["late"], 4: ["mark1999"], 5: ["nowhere"], 6: ["late", "common"], 7: ["mark8"]}
+    done = [(0, 1), (9, 1), (1, 2), (1998, 3), (77, 5)]
+    p, d = spark.createDataFrame(texts, "id long, text string, place int"), spark.createDataFrame(done, "id long, profile_id long")
+    terms = [(q, t) for q, ts in own.items() for t in ts]
+    got = sorted(map(tuple, skill_index.profile_hits(p, spark.createDataFrame(terms, "profile_id long, term string"), 1, done=d, best=3).collect()))
+    want = [x for x in brute_hits([x[:2] for x in texts], terms, 1) if x[:2] not in done]
+    firsts = lambda rows: [sorted((x for x in rows if x[1] == q), key=lambda x: (x[0] % 9, x[0]))[:3] for q in own]
+    assert set(got) <= set(want) and len(set(got)) == len(got) and firsts(got) == firsts(want)
+    assert all(sum(x[1] == q for x in got) == 3 for q in (1, 2, 6)) and len(got) <= 6 * len(own)
+
+
 @pytest.mark.parametrize("limit", [0, 3, 5, 8, 200])
 def test_rescue_budget(spark, limit):
     rows = lambda n, ids: spark.createDataFrame([(ids + k, 40 - k) for k in range(n)], "id long, score_total int")
